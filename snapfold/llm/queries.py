@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, personal_data, piece_codec, quality, sharding, token_file
+from . import exact_dedup, line_dedup, near_join, personal_data, piece_codec, quality, sharding, token_file
 from .common import documents, scratch
 
 
@@ -33,6 +33,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), digests=True).withColumnRenamed("decoded", "decoded_sha256")
 
 
+def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_components(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), [1.0] * 40)
 
@@ -59,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op4_piece_codec, op7_sharding, op8_quality, op9_personal_data, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op4_piece_codec, op6_near_join, op7_sharding, op8_quality, op9_personal_data, op10_exact_dedup)}
 
 _LINES = r"""
     SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
