@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_join, personal_data, piece_codec, quality, sharding, token_file
+from . import decontaminate, exact_dedup, katz, line_dedup, near_join, personal_data, piece_codec, quality, sharding, token_file
 from .common import documents, scratch
 
 
@@ -29,10 +29,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(documents(spark, sf_dir), quality.held_out(F.col("doc_id"), 10))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), digests=True).withColumnRenamed("decoded", "decoded_sha256")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_components(documents(spark, sf_dir), k=4, percent=85)
 
@@ -63,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op4_piece_codec, op6_near_join, op7_sharding, op8_quality, op9_personal_data, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op3_katz, op4_piece_codec, op5_decontaminate, op6_near_join, op7_sharding, op8_quality, op9_personal_data, op10_exact_dedup)}
 
 _LINES = r"""
     SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
