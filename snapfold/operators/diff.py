@@ -1,0 +1,70 @@
+"""Differences between snapshots and between configurations."""
+
+from __future__ import annotations
+
+import difflib
+from collections.abc import Iterable, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Lines that change with every save.
+METADATA = ["! last configuration change", "! nvram config last updated", "ntp clock-period", "! time:", "building configuration", "current configuration"]
+
+
+def diff_snapshots(df: DataFrame, keys: Sequence[str], s1: str | Column, s2: str | Column, device: str | None = None, include_changed: bool = False, values: Sequence[str] = ()) -> DataFrame:
+    """keys and change (added, removed, changed) between two snapshots of a table, in one full-outer join."""
+    base = df if device is None else df.filter(F.col("device_name") == device)
+    digest = F.xxhash64(*values) if values else F.lit(0).cast("long")
+    side = lambda s, name: base.filter(F.col("snapshot_id") == s).select(*keys, digest.alias(name)).distinct()
+    both = side(s1, "_old").groupBy(*keys).agg(F.max("_old").alias("_old")).join(side(s2, "_new").groupBy(*keys).agg(F.max("_new").alias("_new")), list(keys), "full_outer")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
+    kinds = ["added", "removed", *(["changed"] if include_changed else [])]
+    return both.withColumn("change", change).filter(F.col("change").isin(kinds)).select(*keys, "change")
+
+
+def config_line_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], text: str = "raw_output") -> DataFrame:
+    """Per pair of texts the lines added and removed, as bags of lines: order does not count, metadata lines are left out."""
+    skip = F.lit(False)
+    for m in METADATA:
+        skip = skip | F.lower("line").contains(m)
+    lines = lambda df, n: df.select(*keys, F.explode(F.split(text, "\n")).alias("line")).filter(~skip).groupBy(*keys, "line").agg(F.count(F.lit(1)).alias(n))
+    both = lines(old, "a").join(lines(new, "b"), [*keys, "line"], "full_outer")
+    more = F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))
+    return both.groupBy(*keys).agg(F.sum(F.greatest(more, F.lit(0))).alias("added"), F.sum(F.greatest(-more, F.lit(0))).alias("removed"))
+
+
+def unified_diffs(pairs: DataFrame, old: str, new: str, context_lines: int = 3, compact: int = 40) -> DataFrame:
+    """pairs with `diff`, its added and removed lines and a summary; diffs over `compact` lines keep their head. Each pair is one row of one task."""
+    schema = pairs.drop(old, new)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b in zip(pdf[old].fillna(""), pdf[new].fillna(""), strict=True):
+                lines = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=context_lines))
+                real = [x for x in lines if not any(m in x.lower() for m in METADATA)]
+                added = sum(x.startswith("+") and not x.startswith("+++") for x in real)
+                removed = sum(x.startswith("-") and not x.startswith("---") for x in real)
+                out.append(("\n".join(lines[:compact]), added, removed, f"{added + removed} lines changed ({added - removed:+d})"))
+            yield pdf.drop(columns=[old, new]).assign(**dict(zip(("diff", "added", "removed", "summary"), zip(*out, strict=True), strict=True)) if out else {"diff": "", "added": 0, "removed": 0, "summary": ""})
+
+    return pairs.mapInPandas(work, f"{fields}, diff string, added long, removed long, summary string")
+
+
+def extract_sections(text: Column, sections: Sequence[str]) -> Column:
+    """Lines of the named top-level sections. An unindented line opens or ends one, a line '!' ends it."""
+    names = [s.lower() for s in sections]
+    start = F.struct(F.lit(False).alias("inside"), F.expr("cast(array() as array<string>)").alias("kept"))
+
+    def step(a: Column, line: Column) -> Column:
+        top = (F.trim(line) != "") & ~line.rlike(r"^[ \t]")
+        named = F.lit(False)
+        for n in names:
+            named = named | F.lower(line).startswith(n)
+        inside = F.when(top, named).otherwise(a["inside"])
+        return F.struct((inside & (F.trim(line) != "!")).alias("inside"), F.when(inside, F.concat(a["kept"], F.array(line))).otherwise(a["kept"]).alias("kept"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda a: F.array_join(a["kept"], "\n"))
