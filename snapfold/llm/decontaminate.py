@@ -9,6 +9,8 @@ shingles themselves, weights being how often each occurs. All in DataFrame funct
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,23 +29,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), BREAKS), lambda w: w != "")
 
 
-def shingles_of(words: Column, k: int, make) -> Column:  # noqa: ANN001
-    """make(words of the shingle) for each k-word shingle; the whole sequence for fewer words; none without words."""
-    n = F.size(words)
-    full = F.transform(F.sequence(F.lit(0), n - k), lambda i: make([F.get(words, i + j) for j in range(k)]))
-    return F.when(n >= k, full).when(n > 0, F.array(make([F.array_join(words, " ")]))).otherwise(F.array().cast(full_type(make)))
-
-
-def full_type(make) -> str:  # noqa: ANN001
-    return "array<bigint>" if make is hashed else "array<string>"
-
+def grams(words: Column, k: int) -> Column:
+    """The hash of each run of k words; none for fewer words."""
+    full = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.when(F.size(words) >= k, full).otherwise(F.array().cast("array<bigint>"))
 
-def hashed(words: list[Column]) -> Column:
-    return F.xxhash64(*words)
 
-
-def joined(words: list[Column]) -> Column:
-    return F.concat_ws(" ", *words)
+def shingles_of(words: Column, k: int) -> Column:
+    """The k-word shingles as text; the whole sequence for fewer words; none without words."""
+    n = F.size(words)
+    full = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
+    return F.when(n >= k, full).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def simhash(df: DataFrame, keys: list[str], words: str) -> DataFrame:
@@ -74,6 +70,12 @@ def weighted_jaccard(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
+def _placed(worded: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, row, pos, shingle for the runs of each size."""
+    each = [worded.select("doc_id", "row", F.posexplode(grams(F.col("words"), n)).alias("pos", "shingle")) for n in sizes]
+    return reduce(DataFrame.unionByName, each)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, similarity: for each document and item the best window of `similarity` or more.
 
@@ -83,15 +85,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     first is named. Items are broadcast only while they have BROADCAST_ROWS shingles at most.
     """
     items = benchmark.filter("item_id is not null").select("item_id", words_of(F.coalesce("text", F.lit(""))).alias("item_words")).dropDuplicates().filter(F.size("item_words") > 0)
-    items = items.withColumn("item_key", F.xxhash64("item_id", "item_words")).withColumn("length", F.size("item_words")).withColumn("item_shingles", shingles_of(F.col("item_words"), k, joined))
+    items = items.withColumn("item_key", F.xxhash64("item_id", "item_words")).withColumn("length", F.size("item_words")).withColumn("item_shingles", shingles_of(F.col("item_words"), k))
     items = written(items, "items")
-    index = items.select("item_key", "length", F.size("item_shingles").alias("parts"), F.explode(shingles_of(F.col("item_words"), k, hashed)).alias("shingle")).distinct()
+    # Items of fewer than k words are met on runs of their own length; there are k - 1 such lengths at most.
+    sizes = [k, *sorted(r["length"] for r in items.filter(F.col("length") < k).select("length").distinct().collect())]
+    own = F.coalesce(*[F.when(F.col("length") == n, grams(F.col("item_words"), n)) for n in sizes[1:]], grams(F.col("item_words"), k))
+    index = items.select("item_key", "length", F.size("item_shingles").alias("parts"), F.explode(own).alias("shingle")).distinct()
     few = index.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     worded = rows.select("doc_id", "row", words_of(F.col("text")).alias("words"))
-    at = worded.select("doc_id", "row", F.posexplode(shingles_of(F.col("words"), k, hashed)).alias("pos", "shingle"))
+    at = _placed(worded, sizes)
     hits = at.join(small(index), "shingle").groupBy("doc_id", "row", "item_key", "length", "parts").agg(F.collect_set("pos").alias("hits"))  # places in one document
     hits = written(hits.filter(F.size("hits") * 2 >= F.col("parts")), "hits")
 
@@ -112,7 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
 
     pairs = pairs.withColumnsRenamed({"doc_id": "_doc", "row": "_row", "length": "_length", "start": "_start"})
     same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col("row")) & (F.col("_length") == F.col("length")) & (F.col("_start") == F.col("start"))
-    checked = pairs.join(windows, same).select("doc_id", "item_key", "start", shingles_of(F.col("window"), k, joined).alias("shingles"))
+    checked = pairs.join(windows, same).select("doc_id", "item_key", "start", shingles_of(F.col("window"), k).alias("shingles"))
     checked = checked.join(small(items.select("item_key", "item_id", "item_shingles")), "item_key")
     scored = checked.withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles"))).filter(F.col("similarity") >= similarity)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("start")))

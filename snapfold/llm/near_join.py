@@ -142,8 +142,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     schema = "doc_id long, row long, n long, cls binary, low long, high long, prefix array<long>"
     signed = written(texts.withColumn("row", F.xxhash64("text")).mapInArrow(partial(_signatures, k=k, percent=percent, sketch=sketch), schema), "signatures")
     first = F.min(F.struct("doc_id", "row"))
-    classes = signed.filter("cls is not null").groupBy("cls").agg(first.alias("r"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
-    classes = written(classes.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("rep_row"), "n", "low", "high", "prefix"), "classes")
+    classes = signed.filter("cls is not null").groupBy("cls").agg(first.alias("r"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
+    classes = written(classes.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("rep_row"), "least", "n", "low", "high", "prefix"), "classes")
     tokens = classes.select("cls", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
 
     # Shingles that two classes share, each with its most central class: the one with the fewest rarer shingles.
@@ -168,8 +168,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = _verified(rest.join(known, ["a", "b"], "left_anti"), classes, texts, k, percent).filter("linked").select("a", "b")
     roots = components(links.union(more))
 
-    member = classes.select("cls", "rep").join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    names = member.groupBy("root").agg(F.min("rep").alias("component_id"))
+    member = classes.select("cls", "least").join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(names, "root").select("cls", "component_id")
     return signed.select("doc_id", "n", "cls").join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
