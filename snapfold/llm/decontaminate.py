@@ -106,8 +106,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.least(F.greatest(p - F.col("parts") + 1, F.lit(0)), last), F.least(p, last)))))
     dense = F.filter(starts, lambda s: F.size(F.filter("hits", lambda p: (p >= s) & (p < s + F.col("parts")))) * 2 >= F.col("parts"))
-    windows = found.select("doc_id", "row", "length", "words", F.explode(dense).alias("start")).dropDuplicates(["doc_id", "row", "length", "start"])
-    windows = written(windows.select("doc_id", "row", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")), "windows")
+    windows = found.select("doc_id", "row", "length", "words", F.explode(dense).alias("start"))
+    windows = windows.select("doc_id", "row", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
+    windows = written(windows.dropDuplicates(["doc_id", "row", "length", "start"]), "windows")  # cut first: whole texts stay out of the shuffle
 
     key = ["doc_id", "row", "length", "start"]
     marks = simhash(windows, key, "window").withColumn("b", F.explode(blocks(F.col("fingerprint"), radius)))
