@@ -52,7 +52,7 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about `limit` bytes of text (or one row), so that a task's memory is bounded."""
     for batch in batches:
         column = batch.column(text)

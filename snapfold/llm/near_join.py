@@ -28,7 +28,7 @@ BROADCAST_ROWS = 500_000
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text"):
         hashes, _ = shingle_sets(batch.column("text").to_pylist(), k)
         counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
     if counts.any():
@@ -66,7 +66,7 @@ def _lanes(own: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text"):
         hashes, at = shingle_sets(batch.column("text").to_pylist(), k)
         rank = sketch[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         sizes, sets, lows, highs, prefixes = [], [], [], [], []
@@ -107,7 +107,7 @@ def _named(tokens: DataFrame, side: str) -> DataFrame:
 
 
 def _check(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "a_text", 2 << 20):
+    for batch in pieces(batches, "a_text"):
         left, right = (shingle_sets(batch.column(c).to_pylist(), k) for c in ("a_text", "b_text"))
         linked = []
         for i in range(batch.num_rows):
