@@ -146,10 +146,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = written(classes.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("rep_row"), "least", "n", "low", "high", "prefix"), "classes")
     tokens = classes.select("cls", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
 
-    # Shingles that two classes share, each with its most central class: the one with the fewest rarer shingles.
-    shared = tokens.groupBy("token").agg(F.min(F.struct("pos", "cls", "n", "low", "high")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    hubs = shared.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("cls", "n", "pos", "low", "high")])
-    meeting = written(tokens.join(shared.select("token"), "token", "left_semi").select("token", "cls", "n", "pos", "low", "high"), "meetings")
+    # Shingles that two classes share; only the shingles themselves are counted, so those of one class are dropped as narrow rows.
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("token")
+    meeting = written(tokens.join(shared, "token", "left_semi").select("token", "cls", "n", "pos", "low", "high"), "meetings")
+    # The most central class of each: the one with the fewest rarer shingles.
+    central = meeting.groupBy("token").agg(F.min(F.struct("pos", "cls", "n", "low", "high")).alias("hub"))
+    hubs = central.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("cls", "n", "pos", "low", "high")])
     star = _named(meeting, "a").join(hubs, "token").filter((F.col("a_cls") != F.col("b_cls")) & _may_link("a", "b", percent))
     star = star.groupBy("a_cls").agg(F.min(F.struct("b_pos", "b_cls")).alias("hub")).select(F.col("a_cls").alias("a"), F.col("hub.b_cls").alias("b"))
     tried = _verified(star, classes, texts, k, percent)
