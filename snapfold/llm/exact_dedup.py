@@ -68,7 +68,7 @@ def _id(chunk: bytes, size: int) -> bytes:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", 4 << 20):
         data, offsets = _buffer(batch.column("text"))
         seen = set()
         for a, ends in zip(offsets, cuts(np.frombuffer(data, np.uint8), offsets), strict=False):
@@ -80,7 +80,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _recipes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", 4 << 20):
         data, offsets = _buffer(batch.column("text"))
         recipes, digests = [], []
         for a, z, ends in zip(offsets, offsets[1:], cuts(np.frombuffer(data, np.uint8), offsets), strict=False):

@@ -171,7 +171,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int, schema: pa
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
     held, last = 0, np.array([end], encoder.kind)
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", 4 << 20):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = encoder.encode(text or "")
             ids += [own, last]
