@@ -44,12 +44,16 @@ def _context(before, place: Column, n: int) -> Column:  # noqa: ANN001
 
 
 def discounts(counts: DataFrame) -> dict[int, float]:
-    """The factor for each count up to CUT, from the counts of counts (CUT + 1 numbers). Counts above keep their value.
+    """factors() of a table's counts of counts (CUT + 1 numbers)."""
+    rows = counts.filter(F.col("count") <= CUT + 1).groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
+    return factors({r["count"]: r["n"] for r in rows})
+
+
+def factors(n: dict[int, int]) -> dict[int, float]:
+    """The factor for each count up to CUT, from how many n-grams have each count. Counts above keep their value.
 
     Where Good-Turing gives no factor in (0, 1), as on tiny corpora, absolute discounting takes its place for all.
     """
-    rows = counts.filter(F.col("count") <= CUT + 1).groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["count"]: r["n"] for r in rows}
     out = {}
     if all(n.get(r) for r in range(1, CUT + 2)):
         common = (CUT + 1) * n[CUT + 1] / n[1]
@@ -128,8 +132,12 @@ def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str =
 
     Words lie between ASCII white space, A-Z in lower case; each text ends with one more token. Null counts as empty: the
     end token alone. Repeated rows train as often as they stand and get equal scores. Null ids are kept. Other columns are
-    not read. An empty table gives no rows.
+    not read. An empty table gives no rows. Order 2 goes by packed pairs, other orders by the tables of train().
     """
+    if order == 2:
+        from .katz_pairs import score_pairs
+
+        return score_pairs(docs, held, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("row", F.xxhash64("text")).withColumn("held_out", held)
     model = train(rows.filter(~F.col("held_out")).select("text"), order)
     texts = rows.select("row", "text").dropDuplicates(["row"])
