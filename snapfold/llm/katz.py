@@ -11,6 +11,7 @@ A token is evaluated recursively: its n-gram's row if there is one, else the con
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,18 +53,28 @@ def discounts(counts: DataFrame) -> dict[int, float]:
 def factors(n: dict[int, int]) -> dict[int, float]:
     """The factor for each count up to CUT, from how many n-grams have each count. Counts above keep their value.
 
-    Where Good-Turing gives no factor in (0, 1), as on tiny corpora, absolute discounting takes its place for all.
+    Good-Turing by the counts of counts as they are, wherever that gives a factor in (0, 1). Where repeated copies lift one
+    count of counts beside its neighbour and it gives none, the factor is Good-Turing's by the log-linear fit of the counts
+    of counts up to CUT + 1, which lies in (0, 1) whenever the fit falls faster than 1 / r. Absolute discounting takes
+    the place of all where there is no such fit: one of these counts does not occur at all, or the fit is flatter.
     """
-    out = {}
-    if all(n.get(r) for r in range(1, CUT + 2)):
+    slope = _slope(n) if all(n.get(r) for r in range(1, CUT + 2)) else 0.0
+    if slope < -1:
         common = (CUT + 1) * n[CUT + 1] / n[1]
-        if common < 1:
-            out = {r: ((r + 1) * n[r + 1] / (n[r] * r) - common) / (1 - common) for r in range(1, CUT + 1)}
-    if not out or not all(0 < d < 1 for d in out.values()):
-        least = n.get(1, 0) / (n.get(1, 0) + 2 * n.get(2, 0)) if n.get(1) else 0.5
-        least = min(max(least, 0.1), 0.9)
-        out = {r: (r - least) / r for r in range(1, CUT + 1)}
-    return out
+        own = {r: ((r + 1) * n[r + 1] / (n[r] * r) - common) / (1 - common) if common < 1 else 0.0 for r in range(1, CUT + 1)}
+        level = (CUT + 1.0) ** (slope + 1)
+        fitted = {r: (((r + 1) / r) ** (slope + 1) - level) / (1 - level) for r in range(1, CUT + 1)}
+        return {r: own[r] if 0 < own[r] < 1 else fitted[r] for r in range(1, CUT + 1)}
+    least = n.get(1, 0) / (n.get(1, 0) + 2 * n.get(2, 0)) if n.get(1) else 0.5
+    least = min(max(least, 0.1), 0.9)
+    return {r: (r - least) / r for r in range(1, CUT + 1)}
+
+
+def _slope(n: dict[int, int]) -> float:
+    """The slope of log n_r over log r by least squares, r up to CUT + 1."""
+    x, y = [math.log(r) for r in range(1, CUT + 2)], [math.log(n[r]) for r in range(1, CUT + 2)]
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    return sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / sum((a - mx) ** 2 for a in x)
 
 
 def _factor(d: dict[int, float]) -> Column:

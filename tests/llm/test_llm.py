@@ -162,6 +162,40 @@ def test_katz(docs, rows, nothing, order):
         assert katz.score_documents(nothing, quality.held_out(F.col("doc_id"), 10)).count() == 0
 
 
+def good_turing(n, r, cut=katz.CUT):
+    common = (cut + 1) * n[cut + 1] / n[1]
+    return ((r + 1) * n[r + 1] / (n[r] * r) - common) / (1 - common)
+
+
+@pytest.mark.parametrize("n", [[215810, 61309, 26017, 14862, 13741, 7222], [1655711, 262472, 56325, 23262, 20048, 8151], [51654, 14844, 5474, 2713, 2570, 1129], [16971, 3831, 1233, 563, 507, 210]])
+def test_katz_factors(n):
+    """Counts of counts of sf0.1 (words, pairs), sf0.01 and sf0.001: n5 near n4 leaves the other factors Good-Turing's."""
+    n = dict(enumerate(n, 1))
+    d = katz.factors(n)
+    assert good_turing(n, 4) > 1 and all(0 < d[r] < 1 for r in d)
+    assert all(abs(d[r] - good_turing(n, r)) < 1e-12 for r in (1, 2, 3, 5))
+    assert max(d[2], 0.5) < d[4] < 1
+
+
+def test_katz_many_copies(spark):
+    """A corpus with n5 near n4: word probabilities are Good-Turing's, and packed pairs give what the tables of train() give."""
+    rnd = random.Random(9)
+    n = dict(zip(range(1, 7), (120, 48, 26, 14, 13, 6), strict=True))
+    seq = [f"w{r}x{i}" for r, many in n.items() for i in range(many) for _ in range(r)]
+    rnd.shuffle(seq)
+    texts = [(1, " ".join(seq)), (2, "w1x1 w5x1 unseen w4x1 w2x2")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = katz.train(df.filter("doc_id = 1").select("text"), 2)
+    n[1] += 1  # the end of the text
+    by_count = {r["count"]: r.p for r in model["grams"][1].select("count", "p").distinct().collect()}
+    total = len(seq) + 1
+    assert good_turing(n, 4) > 1 and all(abs(by_count[r] - r * good_turing(n, r) / total) < 1e-12 for r in (1, 2, 3, 5)) and by_count[4] < 4 / total
+    each = katz.evaluate(model, katz.tokens(df.select("doc_id", "text"), 2, "doc_id"), "doc_id").groupBy("doc_id").agg(F.sum("p").alias("p"))
+    want = {r.doc_id: r.p for r in each.collect()}
+    got = {r.doc_id: r.score for r in katz.score_documents(df, F.col("doc_id") == 2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
 def test_pieces(docs, rows, nothing):
     model = tokenizer("piece_bpe_32k.model")
     library = piece_codec.agenda(model).library
