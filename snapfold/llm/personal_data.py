@@ -1,9 +1,11 @@
 """Personal data: base spans by pattern, then terms that disclose a protected entity, in DataFrame functions.
 
 An entity is one found value (an address, a number). Over the whole corpus, its information content is
-IC(c) = -log2(n(c) / D), and a term t near it shares PMI(c; t) = log2(n(c, t) * D / (n(c) * n(t))) of it; counts are of
-distinct texts. PMI(c; t) = IC(c) + log2 P(c | t): a term that hardly occurs apart from the entity gives all of it away.
-Terms for which PMI exceeds IC less `slack` bits, with the support asked for, are sanitised wherever they stand.
+IC(c) = -log2 P(c) with P(c) = n(c) / D, and a term t of the same text shares PMI(c; t) = log2(P(c | t) / P(c)) of it; counts
+are of distinct texts, whole ones. P(c | t) = (n(c, t) + P(c)) / (n(t) + 1): one more text, in which the entity is as likely
+as anywhere, stands for what small counts cannot tell. PMI(c; t) = IC(c) + log2 P(c | t): a term that hardly occurs apart
+from the entity gives all of it away. Terms whose PMI is above 0 and at least IC + log2 `disclosure`, so P(c | t) >=
+`disclosure`, are sanitised wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 TERM = r"[^\p{L}]+"
-NEAR = 60
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -74,45 +75,53 @@ def _terms(text: Column, least: int) -> Column:
     return F.filter(F.array_distinct(F.split(ascii_lower(text), TERM)), lambda t: F.length(t) >= least)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = 3, slack: float = 0.1, least: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
-    """term, entity kind and value, pmi, ic for each term that gives an entity away. found: doc_id, text, spans; docs: text.
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by a space, so that an entity is no term of itself. spans: by start."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    Terms are runs of letters of at least `least` characters within NEAR code points of the entity.
-    """
-    total = docs.count()
-    spans = found.select("text", F.explode("spans").alias("s"))
-    around = F.concat_ws(" ", F.substring("text", F.greatest(F.col("s.start") - NEAR + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(NEAR))), F.substring("text", F.col("s.end") + 1, F.lit(NEAR)))
-    near = spans.select(F.xxhash64("text").alias("row"), F.col("s.rank").alias("rank"), F.col("s.value").alias("value"), around.alias("around"))
-    entities = near.groupBy("rank", "value").agg(F.count_distinct("row").alias("n_c")).filter(F.col("n_c") >= support)
-    pairs = near.join(entities, ["rank", "value"]).select("rank", "value", "n_c", "row", F.explode(_terms(F.col("around"), least)).alias("term"))
-    pairs = pairs.groupBy("rank", "value", "n_c", "term").agg(F.count_distinct("row").alias("n_ct")).filter(F.col("n_ct") >= support)
-    # n_t is at least what is seen near entities, then in the texts that hold any; what fails on these bounds fails on n_t.
-    most = F.col("n_ct") * 2.0**slack
-    for seen in (near.select("row", F.explode(_terms(F.col("around"), least)).alias("term")), found.select(F.xxhash64("text").alias("row"), F.explode(_terms(F.col("text"), least)).alias("term"))):
-        bound = seen.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("bound"))
-        pairs = written(pairs.join(bound, "term").filter(F.col("bound") <= most).drop("bound"), "disclosing-pairs")
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    words = docs.select(F.xxhash64("text").alias("row"), F.explode(_terms(F.col("text"), least)).alias("term"))
-    totals = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    ic = -F.log2(F.col("n_c") / F.lit(float(max(1, total))))
-    pmi = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
-    return pairs.join(totals, "term").withColumn("pmi", pmi).withColumn("ic", ic).filter((F.col("pmi") >= F.col("ic") - slack) & (F.col("pmi") > 0))
-
-
-def _term_spans(docs: DataFrame, terms: DataFrame, least: int) -> DataFrame:
-    """doc_id, row, spans of the terms in every document that holds one. terms: a column term, distinct."""
-    held = docs.select("doc_id", "row", "text", F.filter(_terms(F.col("text"), least), lambda t: F.length(t) > 0).alias("words"))
-    hits = held.select("doc_id", "row", F.explode("words").alias("term")).join(terms, "term", "left_semi").distinct()
-    each = hits.groupBy("doc_id", "row").agg(F.collect_set("term").alias("terms"))  # as many as the document's words at most
-    each = each.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
-    joined = docs.join(each, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).dropDuplicates(["doc_id", "row"])
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    return joined.select("doc_id", "row", _found(ascii_lower(F.col("text")), pattern, F.lit(KINDS.index("term"))).alias("term_spans"))
+    def step(a: Column, s: Column) -> Column:
+        between = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], between, F.lit(" ")).alias("out"))
 
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
 
-def find_personal_data(docs: DataFrame, support: int = 3, slack: float = 0.1, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = 0.5, least: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
+    """term, kind and value of an entity, n_c, n_ct, n_t, pmi, ic for each term that gives entities away.
+
+    found: row (a hash of the text), text, spans; docs: row, text. Terms are runs of letters of at least `least` characters,
+    anywhere in a text that holds the entity and outside the entities. Entities of the very same texts have the same counts
+    with every term: they are counted as one, of which the least is named.
+    """
+    total = docs.select("row").distinct().count()
+    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    values = F.array_distinct(F.transform("spans", lambda s: F.struct(s["rank"].alias("rank"), s["value"].alias("value"))))
+    holders = found.select("row", values.alias("entities"), _terms(_outside(F.col("text"), F.col("spans")), least).alias("terms"))
+    holders = written(holders.dropDuplicates(["row"]), "entity-texts")
+    each = holders.select("row", F.explode("entities").alias("entity"))
+    texts = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), F.bit_xor("row").alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"))
+    groups = written(texts.groupBy("n_c", "a", "b").agg(F.min("entity").alias("entity")), "entity-groups")
+    held = each.join(few(groups), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_c")).alias("groups"))
+    both = holders.select("row", "terms").join(held, "row").select(F.explode("groups").alias("g"), "terms")
+    pairs = both.select("g.entity", "g.n_c", F.explode("terms").alias("term")).groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct"))
+    share = F.col("n_c") / F.lit(float(max(1, total)))
+    given = lambda n: (F.col("n_ct") + share) / (F.col(n) + 1)
+    # n_t is at least what is seen in the texts that hold any entity; what fails on this bound fails on n_t.
+    bound = holders.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("bound"))
+    pairs = written(pairs.join(bound, "term").filter(given("bound") >= disclosure).drop("bound"), "disclosing-pairs")
+    words = docs.select("row", F.explode(_terms(F.col("text"), least)).alias("term"))
+    totals = words.join(few(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    out = pairs.join(totals, "term").withColumn("given", given("n_t")).withColumn("ic", -F.log2(share)).withColumn("pmi", F.log2(F.col("given") / share))
+    return out.filter((F.col("given") >= disclosure) & (F.col("pmi") > 0)).select("term", "entity.rank", "entity.value", "n_c", "n_ct", "n_t", "pmi", "ic")
+
+
+def _held_terms(rows: DataFrame, terms: DataFrame, least: int) -> DataFrame:
+    """row, terms for every distinct text that holds one of the terms. terms: a column term, distinct."""
+    hits = rows.select("row", F.explode(_terms(F.col("text"), least)).alias("term")).join(terms, "term", "left_semi")
+    return hits.groupBy("row").agg(F.collect_set("term").alias("terms"))  # as many as the text's words at most
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = 0.5, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, base, spans for each row: base spans, and all spans with those of disclosing terms. Spans are by start, then kind.
 
     Null text counts as empty. Rows of one id stay apart; equal rows get equal spans. Null ids are kept. Other columns are
@@ -121,14 +130,14 @@ def find_personal_data(docs: DataFrame, support: int = 3, slack: float = 0.1, le
     text = whole(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("text"))
     found = rows.withColumn("spans", base_spans(F.col("text")))
-    terms = disclosing_terms(found.filter(F.size("spans") > 0), rows, support, slack, least).select("term").distinct()
-    terms = _small(terms)
+    terms = _small(disclosing_terms(found.filter(F.size("spans") > 0), rows, disclosure, least).select("term").distinct())
     if terms is None:
         return found.select("doc_id", "text", F.col("spans").alias("base"), "spans")
-    extra = _term_spans(rows, terms, least).withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
-    out = found.join(extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
-    none = F.expr(f"cast(array() as {SPAN})")
-    return out.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("term_spans", none))).alias("spans"))
+    held = written(_held_terms(rows, terms, least), "held-terms").withColumnRenamed("row", "_row")
+    out = found.join(held, F.col("row") == F.col("_row"), "left")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    extra = F.when(F.col("terms").isNotNull(), _found(ascii_lower(F.col("text")), pattern, F.lit(KINDS.index("term")))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return out.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(F.concat("spans", extra)).alias("spans"))
 
 
 def _small(terms: DataFrame) -> DataFrame | None:

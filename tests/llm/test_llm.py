@@ -331,6 +331,33 @@ def test_disclosing_terms(spark):
     assert all(out[i].s == "" and out[i].t == texts[i] for i in range(4, 24))
 
 
+def test_terms_of_rare_entities(spark):
+    """Whole texts and smoothed small counts against brute force: entities of one text, terms far away, repeated texts."""
+    rnd = random.Random(4)
+    common = [a + b for a in ("over", "under", "after", "before") for b in ("ground", "hand", "line", "word")]
+    fill = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    texts = [f"Zebulonia {fill(60)} one@a.example {fill(9)} xerxesque", f"{fill(20)} Quillon lives {fill(40)} two@b.example", f"{fill(30)} two@b.example {fill(30)} quillon three@c.example", f"Quillon {fill(9)}"]
+    texts += [fill(12) for _ in range(20)] + [f"xerxesque {fill(5)}", ""]
+    texts += [texts[0], texts[3]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    patterns, distinct = re.compile(r"\w+@\w\.example"), set(texts)
+    terms = {t: {w.lower() for w in re.findall("[^\\W\\d_]{4,}", t)} for t in distinct}
+    own = {t: {w.lower() for w in re.findall("[^\\W\\d_]{4,}", patterns.sub(" ", t))} for t in distinct}
+    for disclosure in (0.5, 0.7, 0.3):
+        want = set()
+        for c in {m for t in distinct for m in re.findall(r"\w+@\w\.example", t)}:
+            for w in {w for t in distinct if c in t for w in own[t]}:
+                n_c, n_ct, n_t = sum(c in t for t in distinct), sum(c in t and w in own[t] for t in distinct), sum(w in terms[t] for t in distinct)
+                given = (n_ct + n_c / len(distinct)) / (n_t + 1)
+                want |= {w} if given >= disclosure and given > n_c / len(distinct) else set()
+        got = personal_data.find_personal_data(df, disclosure).select("doc_id", "text", "spans").collect()
+        spelt = {r.text[s.start : s.end].lower() for r in got for s in r.spans if s["rank"] == 4}
+        assert spelt == want and len(got) == len(texts) + 1
+        assert ("zebulonia" in want) == (disclosure <= 0.5)
+        held = {r.doc_id: {r.text[s.start : s.end].lower() for s in r.spans if s["rank"] == 4} for r in got}
+        assert all(held[i] == terms[t] & want for i, t in enumerate(texts)) and held[99] == set()
+
+
 def test_exact_dedup(docs, rows, nothing):
     groups = defaultdict(list)
     for i, t in rows:
