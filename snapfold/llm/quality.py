@@ -6,6 +6,7 @@ labelled rows (MOST_ROWS, chosen by a hash of the id) and flattened into arrays,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -48,11 +49,11 @@ def statistics(texts: list[str | None]) -> np.ndarray:
         counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _MATRIX
         words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
         out[i, :n] = counts / len(raw)
-        many, seen = max(1, len(words)), set(words)
+        many, seen = max(1, len(words)), Counter(words)
         stops = counts[6] + counts[8] + counts[9]
         out[i, n:] = [
             np.log1p(len(raw)), len(raw) / many, many / max(1, len(lines)), len(seen) / many, len(set(lines)) / max(1, len(lines)),
-            many / (1 + stops), max(map(words.count, list(seen)[:8]), default=0) / many, sum(len(w) > 20 for w in words) / many,
+            many / (1 + stops), max(seen.values(), default=0) / many, sum(len(w) > 20 for w in words) / many,
         ]
     return out
 

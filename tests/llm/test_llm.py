@@ -292,6 +292,13 @@ def test_quality(spark, docs, rows, nothing):
     assert {r.score for r in quality.score_documents(docs, alone).collect()} == {0.5}
 
 
+def test_top_word_is_of_all_words():
+    texts = [" ".join([f"w{i}" for i in range(300)] + ["junk"] * 700), "a b c d e f g h i j j", "", None, "one", " \n "]
+    got = quality.statistics(texts)[:, quality.FEATURES.index("top_word")]
+    want = [max(Counter((t or "").split()).values(), default=0) / max(1, len((t or "").split())) for t in texts]
+    assert got.tolist() == want and want[0] == 0.7
+
+
 def brute_spans(t):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
