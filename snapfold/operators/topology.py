@@ -139,21 +139,29 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) -> Da
     return sizes.groupBy("scenario").agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"), F.count_if(F.col("size") == 1).alias("isolated"))
 
 
-def bfs_levels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, root, depth from the node of highest degree (then least name) of each component, at most `most` deep."""
+def bfs_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root, depth, slot from the node of highest degree (then least name) of each component, however deep.
+
+    slot: a node's place in its level from 0, by its first parent's place and then by name, as a queue meets them.
+    """
     spark = nodes.sparkSession
     keyed = lambda df: df.withColumn("k", F.lit(0))
     both = mirrored(edges)
     labels = connected(spark, keyed(nodes.select("node").distinct()), keyed(both), ["k"]).select("node", F.col("root").alias("comp"))
     degree = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     roots = labels.join(degree, "node", "left").groupBy("comp").agg(F.min(F.struct(-F.coalesce("degree", F.lit(0)), F.col("node"))).getField("node").alias("node"))
-    seen = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth")).checkpoint()
-    front, depth = seen, 0
-    while depth < most and not front.isEmpty():
+    front = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(0).alias("slot")).checkpoint()
+    seen, before, depth = front, front.select("node"), 0
+    while not front.isEmpty():
         depth += 1
-        step = both.join(front.select(F.col("node").alias("src"), "root"), "src").select(F.col("dst").alias("node"), "root").distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        step = both.join(front.select(F.col("node").alias("src"), "root", "slot"), "src").groupBy("root", F.col("dst").alias("node")).agg(F.min("slot").alias("parent"))
+        new = step.join(before, "node", "left_anti")  # a node's neighbours are at most one level away
+        slot = F.row_number().over(Window.partitionBy("root").orderBy("parent", "node")) - 1
+        before = front.select("node")
+        front = new.select("node", "root", F.lit(depth).alias("depth"), slot.alias("slot")).checkpoint()
+        before = before.union(front.select("node"))
         seen = seen.unionByName(front)
+        seen = seen.checkpoint() if depth % 20 == 0 else seen
     return seen
 
 

@@ -1,4 +1,6 @@
-"""The graph operators over links as they are: all of them, several components; brute force."""
+"""The graph operators over links as they are: all of them, several components, long chains; brute force."""
+
+from collections import defaultdict, deque
 
 import pandas as pd
 from compare import SF
@@ -7,6 +9,40 @@ from snapfold.operators import topology
 from snapfold.plans.fixtures import model
 
 
+def brute_bfs(nodes, edges):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    left, out = set(nodes), set()
+    while left:
+        comp, queue = set(), deque([min(left)])
+        while queue:
+            n = queue.popleft()
+            if n not in comp:
+                comp.add(n)
+                queue.extend(near[n])
+        root = min(comp, key=lambda n: (-len(near[n]), n))
+        depth, levels, queue = {root: 0}, defaultdict(int), deque([root])
+        while queue:
+            n = queue.popleft()
+            out.add((n, root, depth[n], levels[depth[n]]))
+            levels[depth[n]] += 1
+            for m in sorted(near[n]):
+                if m not in depth:
+                    depth[m] = depth[n] + 1
+                    queue.append(m)
+        left -= comp
+    return out
+
+
+def test_bfs_has_no_depth_limit(spark):
+    edges = [(f"c{i:02}", f"c{i + 1:02}") for i in range(54)] + [("c00", "x1"), ("c00", "x2"), ("x2", "a1"), ("x1", "z1")] + [("t1", "t2"), ("t2", "t3"), ("t3", "t1")]
+    nodes = sorted({n for e in edges for n in e} | {"alone"})
+    got = topology.bfs_levels(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "src string, dst string"))
+    rows = [(r.node, r.root, r.depth, r.slot) for r in got.collect()]
+    assert len(rows) == len(nodes) and set(rows) == brute_bfs(nodes, edges) and max(r[2] for r in rows) == 54
+
+
 def test_edges_are_all_links(spark):
     lines = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_suppkey"])
     after = lines.assign(l_linenumber=lines.l_linenumber - 1)
