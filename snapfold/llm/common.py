@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+_HOMES: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset, one of our own in local mode; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="snapfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -35,7 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: it cuts lineage, and lost executors cost nothing that was finished."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _HOMES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        ref, path = _HOMES.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -65,3 +80,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -
             held += int(size)
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def strings(column: pa.Array) -> list:
+    """The values of a column, faster than to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()

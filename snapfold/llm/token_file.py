@@ -19,17 +19,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, strings
 
-_INVISIBLE = re.compile(r" (?:\s|$)")
+#: Texts with white space that is neither a line end nor a space before a visible character are not cut.
+_ODD = r" \s| $|^[\s]|[^\S\n]\n|\x00|[\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Punctuation that makes a pre-token of its own behind a word, and letters that are not so in every version of Unicode.
+_TAIL, _RARE = ".,;:!?#$%&*", r"[^\x{00}-\x{24F}]"
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
+BROADCAST_PARTS = 2_000_000
 SEGMENT = (
-    "part int, seg int, n_docs long, n_tokens long, doc_ids array<long>, doc_ends array<long>,"
+    "part int, seg int, before long, n_docs long, n_tokens long, doc_ids array<long>, doc_ends array<long>,"
     " levels array<binary>, more array<binary>, ranks array<binary>"
 )
 
@@ -83,23 +88,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else 256 + sum(x not in own for x in range(b))) for b in range(256)}
 
 
-class WordIds(dict):
-    """Ids, as bytes, of what follows a space up to the next one (the space included), from the tokenizers library.
+class WordIds:
+    """Ids of the parts that texts fall into, from the tokenizers library; a word met before costs one look-up.
 
-    At most `most` entries are kept, and as many of plain words without the punctuation behind them.
+    At most `most` plain words are kept, as bytes.
     """
 
-    def __init__(self, path: str, most: int = 350_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         before = str(self.tokenizer.pre_tokenizer)
-        # With this splitting rule a pre-token starts at every space that has a visible character behind it.
+        # With this splitting rule a pre-token starts at every space with a visible character behind it and at every run of line ends.
         self.cuts = before.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in before and self.tokenizer.normalizer is None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts &= len(self.tokenizer.encode("\n", add_special_tokens=False).ids) == 1
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *special])
         self.model, self.letters, self.plain = self.tokenizer.model.tokenize, _byte_letters(), {}
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -108,44 +114,77 @@ class WordIds(dict):
     def _whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _plain(self, word: str) -> bytes:
-        """A space and letters only: one pre-token."""
-        if word not in self.plain:
-            if len(self.plain) >= self.most:
-                self.plain.clear()
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            self.plain[word] = self._packed([t.id for t in self.model("Ġ" + spelled)])
-        return self.plain[word]
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        stem = word.rstrip(".,;:!?#$%&*")
-        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):  # letters in every version of Unicode
-            out = self._plain(stem) + (self["\0" + word[len(stem) :]] if len(stem) < len(word) else b"")
-        elif word[:1] == "\0":  # punctuation behind a word, which makes a pre-token of its own
-            out = self._whole(word[1:])
-        else:
-            out = self._whole(" " + word)
-        self[word] = out
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        """As Tokenizer.encode(text, add_special_tokens=False)."""
-        if not self.cuts or "\0" in text or any(s in text for s in self.special):
-            return np.frombuffer(self._whole(text), self.kind)
-        first, *rest = text.split(" ")
-        if _INVISIBLE.search(text):
-            joined: list[str] = []
-            for word in rest:
-                if word and not word[0].isspace():
-                    joined.append(word)
-                elif joined:
-                    joined[-1] += " " + word
-                else:
-                    first += " " + word
-            rest = joined
-        return np.frombuffer((self._whole(first) if first else b"") + b"".join(map(self.__getitem__, rest)), self.kind)
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Words of letters behind a space: one pre-token each."""
+        if len(self.plain) >= self.most:
+            self.plain.clear()
+        plain, model = self.plain, self.model
+        for word in stems:
+            if word not in plain:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                plain[word] = self._packed([t.id for t in model("Ġ" + spelled)])
+        return [plain[word] for word in stems]
+
+    def _pool(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(units), self.kind), np.fromiter(map(len, units), np.int64, len(units)) // self.kind.itemsize
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, each behind a space unless it begins with a line end; and how many each has."""
+        stems = pc.utf8_rtrim(words, _TAIL)
+        plain = pc.fill_null(pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, _RARE))), False)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        cut = words.filter(plain)
+        own = stems.filter(plain).dictionary_encode()
+        ends = pa.array([w[n:] for w, n in zip(strings(cut), strings(pc.utf8_length(stems.filter(plain))), strict=True)], pa.string()).dictionary_encode()
+        others = [self._whole(w if w[:1] == "\n" else " " + w) if w else b"" for w in strings(words.filter(pc.invert(plain)))]
+        units = [*self._stems(strings(own.dictionary)), *(self._whole(t) if t else b"" for t in strings(ends.dictionary)), *others, b""]
+        pool, size = self._pool(units)
+        first, second = np.empty(len(words), np.int64), np.full(len(words), len(units) - 1)
+        first[is_plain] = own.indices.to_numpy(zero_copy_only=False)
+        second[is_plain] = len(own.dictionary) + ends.indices.to_numpy(zero_copy_only=False)
+        first[~is_plain] = len(own.dictionary) + len(ends.dictionary) + np.arange(len(others))
+        both = np.stack([first, second], axis=1)
+        return gathered(pool, size, both.ravel()), size[both].sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, and how many each has: as Tokenizer.encode(text, add_special_tokens=False).
+
+        Each distinct part of the batch is looked up once; texts that may not be cut so go to the library as a whole.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.equal(texts, "")) if self.cuts else pa.array([True] * len(texts))
+        even = texts.filter(pc.invert(odd))
+        # A line end in front of each text: what follows no space then always follows a line end, whose one id is taken off again.
+        spaced = pc.replace_substring_regex(even, "(\n+)", r" \1") if pc.any(pc.match_substring(even, "\n\n")).as_py() else pc.replace_substring(even, "\n", " \n")
+        lined = pc.binary_join_element_wise(pa.scalar("\n", even.type), spaced, pa.scalar("", even.type))
+        parts = pc.split_pattern(lined, " ")
+        coded = parts.flatten().dictionary_encode()
+        pool, size = self._words(coded.dictionary.cast(pa.string()))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat = gathered(pool, size, codes)
+        words = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        stops = np.concatenate([[0], np.cumsum(size[codes])])[words]
+        counts = np.zeros(len(texts), np.int64)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        counts[~is_odd] = np.diff(stops) - 1
+        keep = np.ones(len(flat), bool)
+        keep[stops[:-1]] = False
+        flat = flat[keep]
+        if not is_odd.any():
+            return flat, counts
+        own, counts[is_odd] = self._pool([self._whole(t) for t in strings(texts.filter(odd))])
+        out, inside = np.empty(int(counts.sum()), self.kind), np.repeat(is_odd, counts)
+        out[~inside], out[inside] = flat, own
+        return out, counts
+
+
+def gathered(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of `pool` (whose lengths are `size`) that codes name, one after another."""
+    if not len(codes):
+        return pool[:0]
+    each, begin = size[codes], (np.cumsum(size) - size)[codes]
+    ends = np.cumsum(each)
+    return pool[np.arange(int(ends[-1])) + np.repeat(begin - ends + each, each)]
 
 
 _CACHE: dict[str, WordIds] = {}
@@ -159,28 +198,31 @@ def _encoder(path: str) -> WordIds:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, part, seg = _encoder(path), TaskContext.get().partitionId(), 0
+    encoder, part, seg, before = _encoder(path), TaskContext.get().partitionId(), 0, 0
     ids: list[np.ndarray] = []
-    docs: list[int | None] = []
-    sizes: list[int] = []
+    docs: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
 
     def segment() -> pa.RecordBatch:
-        tokens = np.concatenate(ids)
-        levels, more, ranks = dac_encode(tokens)
-        row = [part, seg, len(docs), len(tokens), list(docs), np.cumsum(sizes).tolist(), levels, more, ranks]
+        tokens, each = np.concatenate(ids), np.concatenate(sizes)
+        own = pa.concat_arrays(docs)
+        row = [part, seg, before, len(own), len(tokens), own, np.cumsum(each), *dac_encode(tokens)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
-    held, last = 0, np.array([end], encoder.kind)
-    for batch in pieces(batches, "text", 4 << 20):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = encoder.encode(text or "")
-            ids += [own, last]
-            docs.append(doc)
-            sizes.append(len(own) + 1)
-            held += len(own) + 1
-            if held >= SEGMENT_TOKENS:
-                yield segment()
-                ids, docs, sizes, held, seg = [], [], [], 0, seg + 1
+    held = 0
+    for batch in pieces(batches, "text"):
+        own, counts = encoder.encode(batch.column("text"))
+        closed = np.full(len(own) + len(counts), end, encoder.kind)
+        at = np.ones(len(closed), bool)
+        at[np.cumsum(counts + 1) - 1] = False
+        closed[at] = own
+        ids.append(closed)
+        docs.append(batch.column("doc_id"))
+        sizes.append(counts + 1)
+        held += len(closed)
+        if held >= SEGMENT_TOKENS:
+            yield segment()
+            ids, docs, sizes, seg, before, held = [], [], [], seg + 1, before + held, 0
     if docs:
         yield segment()
 
@@ -189,7 +231,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0, id_co
     """Encodes every whole text and writes the token file, documents in ascending id order, each closed by `end`.
 
     Null text counts as empty and gives the end id alone. Null ids come first; rows of equal id are ordered by text and
-    all are written. Other columns are not read. An empty table gives a file without segments.
+    all are written; ranges are cut by id and the first characters of the text, so that rows of one id spread too. Other
+    columns are not read. An empty table gives a file without segments.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -197,7 +240,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0, id_co
     schema = to_arrow_schema(spark.createDataFrame([], SEGMENT).schema)
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.substring("text", 1, 32))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(partial(_segments, path=tokenizer, end=end, schema=schema), SEGMENT)
         .write.option("compression", "none")
@@ -208,30 +251,29 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0, id_co
 def open_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The segments of a token file with `start`, the number of tokens before each.
 
-    Only counts are read for it: the total of each part, then of each segment in its part.
+    A segment knows its place in its part. The parts' places come from their counts, a row for each task that wrote, and
+    are broadcast up to BROADCAST_PARTS of them: segments are not shuffled.
     """
     file = spark.read.schema(SEGMENT).parquet(path)
     parts = file.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that wrote
     starts = parts.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    segs = file.select("part", "seg", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("seg_start"))
-    starts = segs.join(starts, "part").select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("start"))
-    return file.join(starts, ["part", "seg"])
+    small = F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts
+    return file.join(small, "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            ids = dac_decode(row["levels"], row["more"]).astype("<u4")
-            ends = np.array(row["doc_ends"], np.int64)
+            own = batch.slice(i, 1)
+            levels, more = (own.column(c).to_pylist()[0] for c in ("levels", "more"))
+            ids = dac_decode(levels, more).astype("<u4")
+            docs, ends = own.column("doc_ids").flatten(), own.column("doc_ends").flatten().to_numpy()
             begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            view = memoryview(ids).cast("B")
+            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            start = own.column("start").to_pylist()[0]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(begins + start), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
