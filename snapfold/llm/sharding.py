@@ -46,20 +46,31 @@ def number_slots(df: DataFrame, shards: int, tie: Sequence[str], rows: int | Non
     return df.withColumn("_place", place).join(F.broadcast(offsets), ["shard", "_cell"]).withColumn("slot", F.col("_offset") + F.col("_place")).drop("_cell", "_place", "_offset")
 
 
+def _placed(docs: DataFrame, weights: Sequence[float], grown: float, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.col(id_col).cast("long")
+    kept = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)]
+    base = docs.select(key.alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), *kept)
+    placed = base.withColumn("shard", rendezvous(F.col("doc_id"), weights)).withColumn("grown_shard", rendezvous(F.col("doc_id"), [*weights, grown]))
+    return number_slots(placed, len(weights), ["doc_id", "text_crc32", "size"], rows=docs.count())
+
+
 def shard_documents(docs: DataFrame, weights: Sequence[float], grown: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard (with one more shard, of weight `grown`) for each row.
 
     Null text has no bytes (size 16, crc 0); a null id is a key of its own; repeated rows go to one shard, each with its
     own slot. Other columns are not read, so no name can clash. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.col(id_col).cast("long")
-    base = docs.select(key.alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = base.withColumn("shard", rendezvous(F.col("doc_id"), weights)).withColumn("grown_shard", rendezvous(F.col("doc_id"), [*weights, grown]))
-    out = number_slots(placed, len(weights), ["doc_id", "text_crc32", "size"], rows=docs.count())
+    out = _placed(docs, weights, grown, id_col, text_col)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents as one folder per shard, rows of a shard in slot order within each file."""
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartition("shard", F.floor(F.col("slot") / ROWS_A_CELL)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, weights: Sequence[float], path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Every row of docs, whole, in one folder per shard with its `slot`; rows of a shard lie in slot order within each file.
+
+    Rows keep all their columns (a column named shard or slot gives way to these); repeated rows and null ids are written
+    like all others.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    out = _placed(docs, weights, 1.0, id_col, text_col, names).select(*[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(names)], "shard", "slot")
+    out.repartition("shard", F.floor(F.col("slot") / ROWS_A_CELL)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
