@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, strings
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -169,7 +169,7 @@ class Agenda:
             lists = pc.if_else(pc.equal(texts, ""), pa.scalar([], lists.type), lists)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
-        pool, sizes = self.encode_words([" " + w for w in coded.dictionary.to_pylist()])
+        pool, sizes = self.encode_words([" " + w for w in strings(coded.dictionary)])
         begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
