@@ -2,42 +2,63 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The canonical state for each spelling, by protocol.
+# Spelling -> canonical state.
 STATES = {
-    "Established": "estab establ established", "Idle": "idle", "Active": "active", "Connect": "connect", "OpenSent": "opensent", "OpenConfirm": "openconfirm",
-    "Full": "full", "2-Way": "2way 2-way", "ExStart": "exstart", "Exchange": "exchange", "Loading": "loading", "Init": "init", "Attempt": "attempt",
-    "up": "up connected", "down": "down notconnect notconnected", "admin-down": "disabled administratively_down admin_down admin-down",
-    "err-disabled": "err-disabled err_disabled", "testing": "testing", "dormant": "dormant",
-    "designated": "desg designated", "root": "root", "alternate": "altn alternate", "backup": "back backup",
-    "forwarding": "fwd forwarding", "learning": "lrn learning", "listening": "lis listening", "blocking": "blk blocking", "disabled": "dis",
-    "loopback": "loop", "dr": "dr", "bdr": "bdr", "dother": "dother", "waiting": "waiting", "point-to-point": "p2p p-2-p",
+    "estab": "Established", "establ": "Established", "established": "Established", "idle": "Idle", "active": "Active", "connect": "Connect", "opensent": "OpenSent", "openconfirm": "OpenConfirm",
+    "full": "Full", "2way": "2-Way", "2-way": "2-Way", "exstart": "ExStart", "exchange": "Exchange", "loading": "Loading", "init": "Init", "attempt": "Attempt",
+    "up": "up", "connected": "up", "down": "down", "notconnect": "down", "notconnected": "down",
+    "disabled": "admin-down", "administratively down": "admin-down", "admin down": "admin-down", "admin-down": "admin-down",
+    "err-disabled": "err-disabled", "err disabled": "err-disabled", "testing": "testing", "dormant": "dormant",
+    "desg": "designated", "designated": "designated", "root": "root", "altn": "alternate", "alternate": "alternate", "back": "backup", "backup": "backup",
+    "fwd": "forwarding", "forwarding": "forwarding", "lrn": "learning", "learning": "learning", "lis": "listening", "listening": "listening", "blk": "blocking", "blocking": "blocking", "dis": "disabled",
+    "loop": "loopback", "dr": "dr", "bdr": "bdr", "dother": "dother", "waiting": "waiting", "p2p": "point-to-point", "p-2-p": "point-to-point",
 }
-# Accepted platform spellings.
+# Accepted spelling -> platform.
 PLATFORMS = {
-    "cisco_ios": "cisco_ios ios cisco cisco_ios_xe iosxe", "cisco_nxos": "cisco_nxos nxos nx_os", "cisco_iosxr": "cisco_iosxr cisco_xr iosxr ios_xr xr",
-    "juniper_junos": "juniper_junos junos juniper juniperjunos", "arista_eos": "arista_eos eos arista", "huawei_vrp": "huawei_vrp vrp huawei",
+    "cisco_ios": "cisco_ios", "ios": "cisco_ios", "cisco": "cisco_ios", "cisco_ios_xe": "cisco_ios", "iosxe": "cisco_ios", "cisco_nxos": "cisco_nxos", "nxos": "cisco_nxos", "nx_os": "cisco_nxos",
+    "cisco_iosxr": "cisco_iosxr", "cisco_xr": "cisco_iosxr", "iosxr": "cisco_iosxr", "ios_xr": "cisco_iosxr", "xr": "cisco_iosxr",
+    "juniper_junos": "juniper_junos", "junos": "juniper_junos", "juniper": "juniper_junos", "juniperjunos": "juniper_junos",
+    "arista_eos": "arista_eos", "eos": "arista_eos", "arista": "arista_eos", "huawei_vrp": "huawei_vrp", "vrp": "huawei_vrp", "huawei": "huawei_vrp",
 }
 # Role words in a host's name, the first one found counts.
 ROLES = "border core spine leaf edge wan dist access oob router".split()
 # Product ids that begin so run this platform.
 IOS_PRODUCTS = "C9800 C9300 C9200 C9500 C9400 C9600 WS-C ISR ASR".split()
-# Short interface names.
+# Short interface name -> full name.
 INTERFACES = {
-    "Ethernet": "eth et", "FastEthernet": "fa", "GigabitEthernet": "gi gig", "TenGigabitEthernet": "te ten", "TwentyFiveGigE": "twe", "FortyGigabitEthernet": "fo", "HundredGigE": "hu",
-    "Loopback": "lo", "Port-channel": "po", "Tunnel": "tu", "Vlan": "vl", "Management": "ma mgmt", "Serial": "se",
+    "eth": "Ethernet", "et": "Ethernet", "fa": "FastEthernet", "gi": "GigabitEthernet", "gig": "GigabitEthernet", "te": "TenGigabitEthernet", "ten": "TenGigabitEthernet",
+    "twe": "TwentyFiveGigE", "fo": "FortyGigabitEthernet", "hu": "HundredGigE", "lo": "Loopback", "po": "Port-channel", "tu": "Tunnel", "vl": "Vlan", "ma": "Management", "mgmt": "Management", "se": "Serial",
 }
 # Statuses of a sound edge.
 SOUND = {"l2_cdp": ["up", "new", ""], "bgp": ["established"], "ospf": ["full", "2way"]}
 SENTINELS = ["unassigned", "none", "n/a", "-", "--"]
 
 
+# The words in a field's name that tell what it holds, and what such a value looks like.
+FIELD_WORDS = {
+    "state": ["state", "status", "role", "admin", "oper"],
+    "interface": ["interface", "port", "intf", "link"],
+    "ip": ["ip", "ipv4", "ipv6", "address", "router_id", "destination", "source", "next_hop", "gateway", "loopback"],
+    "asn": ["asn", "as_number", "as"],
+    "mac": ["mac", "hwaddr", "chassis_id", "physical_address"],
+}
+STATE_VALUE = r"^[A-Za-z0-9/_+\- ]{1,40}$"
+IP_VALUE = r"^(\d{1,3}(?:\.\d{1,3}){3}(?:/\d+)?|[0-9a-fA-F:]+(?:/\d+)?)$"
+ASN_VALUE = r"^(\d+|\d+\.\d+)$"
+# Marks of page breaks in extracted documents.
+PAGE_MARK = r"=== PAGE \d+ ==="
+
+
 def _map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for name, words in table.items() for word in words.split() for x in (word.replace("_", " ") if table is STATES else word, name)])
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
 def canonical_state(value: Column) -> Column:
@@ -69,6 +90,29 @@ def ipv4_number(value: Column) -> Column:
     return F.when(sound, reduce(lambda a, i: a * 256 + F.get(octets, F.lit(i)).cast("long"), range(1, 4), F.get(octets, F.lit(0)).cast("long")))
 
 
+@F.pandas_udf("string")
+def _ipv6_text(values: pd.Series) -> pd.Series:
+    """The shortest form of IPv6 addresses, a prefix kept; what is none comes back as it is."""
+
+    def one(value: str | None) -> str | None:
+        address, slash, length = (value or "").partition("/")
+        try:
+            return str(ipaddress.IPv6Address(address)) + slash + length
+        except ValueError:
+            return value
+
+    return values.map(one)
+
+
+def canonical_ip(value: Column) -> Column:
+    """IPv4 with an optional prefix as it is where its octets are sound, IPv6 in its shortest form; all else unchanged.
+
+    Octets with leading zeros make no address, so such text stays too. Only texts with a colon leave the JVM.
+    """
+    six = F.when(value.rlike(r"^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*(/\d+)?$"), value)
+    return F.coalesce(_ipv6_text(six), value)
+
+
 def asn_number(value: Column) -> Column:
     """Plain or dotted AS number as a number: 1.1 -> 65537."""
     part = lambda i: F.split_part(value, F.lit("."), F.lit(i)).try_cast("long")
@@ -122,7 +166,7 @@ def command_slug(value: Column) -> Column:
 
 
 def clean_text(value: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(value, r"=== PAGE \d+ ===", ""), "\n{3,}", "\n\n")
+    text = F.regexp_replace(F.regexp_replace(value, PAGE_MARK, ""), "\n{3,}", "\n\n")
     return F.btrim(text, F.lit(" \t\n\r"))
 
 
@@ -148,11 +192,21 @@ def edge_sound(protocol: Column, status: Column) -> Column:
     return reduce(lambda c, p: c.when(protocol == p, F.lower(status).isin(SOUND[p])), list(SOUND)[1:], F.when(protocol == "l2_cdp", F.lower(status).isin(SOUND["l2_cdp"]))).otherwise(F.lower(status).isin(SOUND["l2_cdp"]))
 
 
+# Roles, and segments of a host's name, that make a device of a kind; segments may end in digits.
+KIND_ROLES = {"firewall": ["firewall", "fw", "edge-fw"], "router": ["router", "rtr", "border", "core"], "switch": ["switch", "access", "distribution", "dist"]}
+KIND_SEGMENTS = {"firewall": ["fw", "firewall", "asa", "palo", "checkpoint"], "router": ["r", "router", "rtr", "rt", "bgp", "asr", "edge", "border", "core"]}
+
+
 def device_kind(host: Column, role: Column) -> Column:
+    """firewall, router or switch: by role, else by the first kind that a segment of the name speaks of, else switch."""
     own = F.lower(F.trim(role))
-    by_role = F.when(own.isin("firewall", "fw", "edge-fw"), "firewall").when(own.isin("router", "rtr", "border", "core"), "router").when(own.isin("switch", "access", "distribution", "dist"), "switch")
-    name = F.when(host.rlike(r"(?i)(?:^|[-_.])(?:fw\d?|firewall|asa|palo|checkpoint)\b"), "firewall").when(host.rlike(r"(?i)(?:^|[-_.])(?:r\d|router|rtr|rt\d|bgp|asr|edge\b|border\b|core\b)"), "router")
-    return F.coalesce(by_role, name, F.lit("switch"))
+    segments = F.split(F.lower(host), "[^a-z0-9]+")
+    # A segment is a word of the list, alone or with a number behind it; a single letter needs its number.
+    stem = lambda x: F.when(F.length(F.regexp_replace(x, "[0-9]+$", "")) > 1, F.regexp_replace(x, "[0-9]+$", "")).when(x.rlike("^[a-z][0-9]+$"), F.left(x, F.lit(1)))
+    named = F.transform(segments, stem)
+    by_role = [F.when(own.isin(roles), F.lit(kind)) for kind, roles in KIND_ROLES.items()]
+    by_name = [F.when(F.arrays_overlap(named, F.lit(words)), F.lit(kind)) for kind, words in KIND_SEGMENTS.items()]
+    return F.coalesce(*by_role, *by_name, F.lit("switch"))
 
 
 def rollout_stage(role: Column) -> Column:
@@ -170,17 +224,23 @@ def interface_list(value: Column) -> Column:
 
 
 def normalised(field: str, value: Column) -> Column:
-    """The value of a parsed field in canonical form: state, interface, address, AS number, MAC, or trimmed."""
-    words = set(field.lower().split("_"))
+    """The value of a parsed field in canonical form: state, interface, address, AS number, MAC, or trimmed.
+
+    What the field's name says is tried in this order; a rule that has no form for a value leaves it to the next. Sentinels
+    stay as they are, blank is ''.
+    """
+    says = lambda kind: any(re.search(rf"(?:^|_){w}(?:$|_)", field.lower()) for w in FIELD_WORDS[kind])
     text = F.trim(value)
-    if words & {"state", "status", "role", "admin", "oper"}:
-        out = F.coalesce(F.when(text.rlike(r"^[A-Za-z0-9/_+\- ]{1,40}$"), canonical_state(text)), text)
-    elif words & {"interface", "port", "intf", "link"}:
-        out = canonical_interface(text)
-    elif words & {"asn", "as"} or "as_number" in field:
-        out = F.when(text.rlike(r"^(\d+|\d+\.\d+)$"), asn_number(text).cast("string")).otherwise(text)
-    elif words & {"mac", "hwaddr"} or field in ("chassis_id", "physical_address"):
-        out = mac_colons(text)
-    else:
-        out = text
-    return F.when(F.lower(text).isin(SENTINELS), text).otherwise(F.coalesce(out, F.lit("")))
+    long = canonical_interface(text)
+    rules = []
+    if says("state"):
+        rules.append(F.when(text.rlike(STATE_VALUE), canonical_state(text)))
+    if says("interface"):
+        rules.append(F.when(long != text, long))
+    if says("ip"):
+        rules.append(F.when(text.rlike(IP_VALUE) & (ipv4_number(text).isNotNull() | text.contains(":")), canonical_ip(text)))
+    if says("asn"):
+        rules.append(F.when(text.rlike(ASN_VALUE), asn_number(text).cast("string")))
+    if says("mac"):
+        rules.append(mac_colons(text))
+    return F.when(F.lower(text).isin(SENTINELS), value).otherwise(F.coalesce(*rules, text, F.lit("")))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lines that change with every save.
-METADATA = ["! last configuration change", "! nvram config last updated", "ntp clock-period", "! time:", "building configuration", "current configuration"]
+METADATA = ["current configuration", "last configuration change at", "building configuration", "bytes"]
 
 
 def diff_snapshots(df: DataFrame, keys: Sequence[str], s1: str | Column, s2: str | Column, device: str | None = None, include_changed: bool = False, values: Sequence[str] = ()) -> DataFrame:
@@ -24,6 +25,20 @@ def diff_snapshots(df: DataFrame, keys: Sequence[str], s1: str | Column, s2: str
     return both.withColumn("change", change).filter(F.col("change").isin(kinds)).select(*keys, "change")
 
 
+def diff_tables(tables: dict[str, tuple[DataFrame, Sequence[str]]], s1: str, s2: str, device: str | None = None, samples: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Totals (table_name, change, n) and samples (table_name, change, row_text) of the rows added and removed between two snapshots.
+
+    tables: name -> (table, its key columns). The samples are the first `samples` of each table and change, by their text.
+    """
+    each = []
+    for name, (df, keys) in tables.items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+        each.append(diff_snapshots(df, keys, s1, s2, device).select(F.lit(name).alias("table_name"), "change", text.alias("row_text")))
+    rows = reduce(DataFrame.unionByName, each)
+    place = F.row_number().over(Window.partitionBy("table_name", "change").orderBy("row_text"))
+    return rows.groupBy("table_name", "change").agg(F.count(F.lit(1)).alias("n")), rows.withColumn("_n", place).filter(F.col("_n") <= samples).drop("_n")
+
+
 def config_line_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], text: str = "raw_output") -> DataFrame:
     """Per pair of texts the lines added and removed, as bags of lines: order does not count, metadata lines are left out."""
     skip = F.lit(False)

@@ -7,25 +7,29 @@ from pyspark.sql import functions as F
 
 
 def config_lines(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
+    """keys, line_no, line of each line of the texts."""
     return raw.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def route_map_lines(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
-    """keys, policy, action, seq, kind (match or set), line of every route-map stanza; a stanza ends at a blank or unindented line."""
-    lines = config_lines(raw, text, keys)
+def route_maps(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
+    """keys, policy, action, seq, place, matches, sets: one row per stanza with its match and set lines in text order.
+
+    A stanza runs from its head to the next line that is blank or not indented; place is the head's line number, so that
+    stanzas of equal policy, action and number stay apart. One text is one row all along: nothing is shuffled.
+    """
     head = r"^route-map (\S+) (permit|deny) (\d+)"
-    top = ~F.col("line").rlike(r"^\s+\S")
-    run = Window.partitionBy(*keys).orderBy("line_no")
-    opened = F.when(top, F.struct(F.regexp_extract("line", head, 1).alias("policy"), F.regexp_extract("line", head, 2).alias("action"), F.regexp_extract("line", head, 3).try_cast("int").alias("seq")))
-    inside = lines.withColumn("_s", F.last(opened, ignorenulls=True).over(run)).filter("_s.policy <> ''")
-    kind = F.regexp_extract("line", r"^\s+(match|set)\b", 1)
-    return inside.select(*keys, "_s.policy", "_s.action", "_s.seq", kind.alias("kind"), F.trim("line").alias("line"))
+    lines = F.split(text, "\n")
+    cut = raw.select(*keys, lines.alias("_lines")).withColumn("_tops", F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"^\s+\S"), i)), lambda i: i.isNotNull()))
 
+    def stanza(top: Column, j: Column) -> Column:
+        line = F.get("_lines", top)
+        end = F.coalesce(F.get("_tops", j + 1), F.size("_lines"))
+        return F.when(line.rlike(head), F.struct(top.alias("place"), line.alias("line"), F.slice("_lines", top + 2, F.greatest(end - top - 1, F.lit(0))).alias("body")))
 
-def route_maps(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
-    """One row per stanza with its match and set lines, in text order within each."""
-    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("line"))))  # noqa: E731  a stanza's lines
-    return route_map_lines(raw, text, keys).groupBy(*keys, "policy", "action", "seq").agg(pick("match").alias("matches"), pick("set").alias("sets"))
+    each = cut.select(*keys, F.explode(F.array_compact(F.transform("_tops", stanza))).alias("s"))
+    part = lambda i: F.regexp_extract("s.line", head, i)
+    of = lambda kind: F.transform(F.filter("s.body", lambda x: x.rlike(rf"^\s+{kind}\b")), lambda x: F.trim(x))
+    return each.select(*keys, part(1).alias("policy"), part(2).alias("action"), part(3).try_cast("int").alias("seq"), F.col("s.place").alias("place"), of("match").alias("matches"), of("set").alias("sets"))
 
 
 def bindings(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
@@ -36,6 +40,15 @@ def bindings(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = (
     return lines.groupBy(*keys, part(1).alias("neighbor"), part(3).alias("direction")).agg(F.max_by(part(2), "line_no").alias("policy"))
 
 
+def policies_of_neighbors(asked: DataFrame, raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
+    """asked (keys, neighbor, direction) with policy, action, seq, place, matches, sets: a row for each clause of the bound policy.
+
+    A neighbour without a policy in that direction has one row of nulls (nothing is filtered); so has a policy that no stanza defines.
+    """
+    bound = asked.join(bindings(raw, text, keys), [*keys, "neighbor", "direction"], "left")
+    return bound.join(route_maps(raw, text, keys), [*keys, "policy"], "left")
+
+
 def policy_walk(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> DataFrame:
     """request and outcome of the first clause whose match lines all hold: permit, deny, implicit_deny, or missing policy.
 
@@ -43,10 +56,11 @@ def policy_walk(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> Da
     A condition without a row is false; a request without any row of truth takes all as true; no match lines always match.
     """
     told = truth.groupBy("request").agg(F.count(F.lit(1)).alias("told"))
-    lines = requests.join(clauses, ["device", "policy"]).select("request", "seq", "action", F.explode_outer("matches").alias("condition"))
+    place = F.col("place") if "place" in clauses.columns else F.lit(0)
+    lines = requests.join(clauses.withColumn("place", place), ["device", "policy"]).select("request", "seq", "place", "action", F.explode_outer("matches").alias("condition"))
     judged = lines.join(truth, ["request", "condition"], "left").join(told, "request", "left")
     holds = F.col("condition").isNull() | F.col("told").isNull() | F.coalesce("holds", F.lit(False))
-    first = judged.groupBy("request", "seq", "action").agg(F.bool_and(holds).alias("all")).groupBy("request").agg(F.min(F.when(F.col("all"), F.struct("seq", "action"))).alias("won"))
+    first = judged.groupBy("request", "seq", "place", "action").agg(F.bool_and(holds).alias("all")).groupBy("request").agg(F.min(F.when(F.col("all"), F.struct("seq", "place", "action"))).alias("won"))
     out = requests.select("request", "policy").join(first.withColumn("known", F.lit(True)), "request", "left")
     outcome = F.when(F.col("policy").isNull(), "unbound").when(F.col("known").isNull(), "missing").otherwise(F.coalesce("won.action", F.lit("implicit_deny")))
     return out.select("request", F.col("won.seq").alias("seq"), outcome.alias("outcome"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import ipv4_number, rollout_stage
+from ..functions.network import canonical_interface, ipv4_number, rollout_stage
 
 # Syslog severities.
 SEVERITIES = "emergency alert critical error warning notice info debug".split()
@@ -32,6 +32,24 @@ def search_logs(logs: DataFrame, query: str, as_of: str, hours: int = 24, severi
     return top.withColumn("_any", any_in).filter("_in or not _any").select("timestamp", "host", "severity", "message", (~F.col("_any")).alias("widened"))
 
 
+# Named ranges of time, in hours.
+RANGES = {"last_1h": 1, "last_24h": 24, "last_7d": 168}
+
+
+def since(df: DataFrame, column: str, as_of: str, span: str | int) -> DataFrame:
+    """The rows of the last hours up to as_of; span is a number of hours or the name of a range. What is no time is left out."""
+    hours = RANGES[span] if isinstance(span, str) else span
+    at, now = F.col(column).try_cast("timestamp_ntz"), F.to_timestamp(F.lit(as_of)).cast("timestamp_ntz")
+    return df.filter((at >= now - F.make_dt_interval(hours=F.lit(hours))) & (at <= now))
+
+
+def stale_devices(devices: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """devices with `seen`: never, stale (last_seen more than `hours` before as_of) or fresh."""
+    limit = F.to_timestamp(F.lit(as_of)).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
+    last = F.col("last_seen").cast("timestamp_ntz")
+    return devices.withColumn("seen", F.when(last.isNull(), "never").when(last < limit, "stale").otherwise("fresh"))
+
+
 def excerpt(text: Column, pattern: str, before: int = 200, length: int = 1200, default: int = 800) -> Column:
     """Text around the first match in any case, else the head."""
     at = F.locate(pattern.lower(), F.lower(text))
@@ -73,16 +91,31 @@ def rollout_plan(devices: DataFrame, model_like: str) -> DataFrame:
     return rows.select("hostname", "role", "stage", place.alias("place"))
 
 
+#: Subnets meet addresses on blocks of this many leading bits, and wider ones on the first so many of an address.
+BLOCK_BITS = (16, 8, 0)
+
+
 def plan_check(claims: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """claims (claim, device, subnet) with whether the device is known and its subnet overlaps an address in use.
+    """claims (claim, device, subnet and, if given, interface) with what speaks against them: one row for each claim.
 
-    Addresses and subnets meet on their /16 block; subnets are /16 or narrower, as claims are.
+    device_known; in_use: addresses inside the claimed subnet; interface_known and interface_address: the claimed interface of
+    the device and the address that it has already. Subnets of any width are met: each on the longest of BLOCK_BITS that it
+    has. Distinct addresses are counted by block before a subnet wider than its block takes them as a whole.
     """
     length = F.split_part("subnet", F.lit("/"), F.lit(2)).cast("int")
     size = F.pow(F.lit(2), 32 - length).cast("long")
     low = ipv4_number(F.col("subnet"))
-    asked = claims.withColumn("low", low - low % size).withColumn("high", F.col("low") + size - 1).withColumn("block", F.shiftright("low", 16))
-    used = interfaces.select(ipv4_number(F.col("ip_address")).alias("address")).filter("address is not null").distinct().withColumn("block", F.shiftright("address", 16))
-    hits = asked.join(used, "block").filter("address between low and high").groupBy("claim").agg(F.count(F.lit(1)).alias("in_use"))
+    bits = F.coalesce(*[F.when(length >= b, F.lit(b)) for b in BLOCK_BITS])
+    key = lambda address, b: F.floor(address / F.pow(F.lit(2), 32 - b)).cast("long")
+    asked = claims.withColumn("low", low - low % size).withColumn("high", F.col("low") + size - 1).withColumn("bits", bits).withColumn("block", key(F.col("low"), bits))
+    used = interfaces.select(ipv4_number(F.col("ip_address")).alias("address")).filter("address is not null").distinct()
+    used = used.withColumn("bits", F.explode(F.array(*map(F.lit, BLOCK_BITS)))).withColumn("block", key(F.col("address"), F.col("bits")))
+    hits = asked.join(used, ["bits", "block"]).filter("address between low and high").groupBy("claim").agg(F.count(F.lit(1)).alias("in_use"))
     known = interfaces.select(F.col("device_name").alias("device")).distinct().withColumn("known", F.lit(True))
-    return asked.join(hits, "claim", "left").join(known, "device", "left").select("claim", "device", F.coalesce("known", F.lit(False)).alias("device_known"), F.coalesce("in_use", F.lit(0)).alias("in_use"))
+    out = asked.join(hits, "claim", "left").join(known, "device", "left")
+    columns = ["claim", "device", F.coalesce("known", F.lit(False)).alias("device_known"), F.coalesce("in_use", F.lit(0)).alias("in_use")]
+    if "interface" in claims.columns:
+        have = interfaces.groupBy(F.col("device_name").alias("device"), canonical_interface(F.col("interface")).alias("_if")).agg(F.max("ip_address").alias("interface_address"), F.lit(True).alias("_have"))
+        out = out.withColumn("_if", canonical_interface(F.col("interface"))).join(have, ["device", "_if"], "left")
+        columns += [F.coalesce("_have", F.lit(False)).alias("interface_known"), "interface_address"]
+    return out.select(*columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import canonical_interface, canonical_platform, first_present, link_id, platform_of_product, role_of_host, usable_interface, vendor_of
@@ -105,8 +106,8 @@ def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Seq
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="snapfold-")
     spark.sparkContext.setCheckpointDir(path)
     keys = list(keys)
@@ -183,16 +184,18 @@ def overlay(edges: DataFrame, facts: DataFrame, sessions: DataFrame) -> DataFram
     return edges.join(state, ["src", "dst"], "left")
 
 
+def devices_without_links(devices: DataFrame, links: DataFrame) -> DataFrame:
+    """hostname of the devices at neither end of any link."""
+    ends = links.select(F.col("source_device").alias("hostname")).union(links.select("destination_device"))
+    return devices.select("hostname").join(ends, "hostname", "left_anti")
+
+
 def latest_sessions(ospf: DataFrame, interfaces: DataFrame) -> DataFrame:
     """OSPF neighbours with the area of their interface, where one is known."""
     area = interfaces.select("device_name", "snapshot_id", "interface", "area").dropDuplicates(["device_name", "snapshot_id", "interface"])
     return ospf.join(area, ["device_name", "snapshot_id", "interface"], "left")
 
 
-def flag(column: Column) -> Column:
-    return F.coalesce(column, F.lit(False))
-
-
 def session_flaps(events: DataFrame, by: Sequence[str], time: str, state: str) -> DataFrame:
     """State changes per peer: rows whose state differs from the one before."""
     before = F.lag(state).over(Window.partitionBy(*by).orderBy(time, state))

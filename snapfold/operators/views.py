@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,60 @@ def explode_parsed(parsed: DataFrame, fields: Iterable[str], latest: bool = True
     return rows.select("device_name", "snapshot_id", F.inline(F.from_json("parsed_data", schema)))
 
 
+# Variant type names and the column types that stand for them.
+TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "STRING": "string", "VOID": "string"}
+
+
+def _fields(shape: str) -> list[tuple[str, str]]:
+    """(name, type) of the top-level fields of an OBJECT<...> shape."""
+    out, depth, start = [], 0, 0
+    inner = shape[len("OBJECT<") : -1]
+    for i, c in enumerate(inner + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and depth == 0:
+            name, _, kind = inner[start:i].strip().partition(": ")
+            out += [(name.strip("`"), kind)] if name else []
+            start = i + 1
+    return out
+
+
+def flat_columns(shape: str, path: str = "$") -> list[tuple[str, str, str]]:
+    """(column, JSON path, type) of an object's fields, those of nested objects as outer_inner; lists stay JSON text."""
+    out = []
+    for name, kind in _fields(shape):
+        at = f"{path}['{name}']"
+        if kind.startswith("OBJECT<"):
+            out += [(f"{name}_{c}", p, t) for c, p, t in flat_columns(kind, at)]
+        else:
+            out.append((name, at, TYPES.get(kind, "decimal(38,10)" if kind.startswith("DECIMAL") else "string")))
+    return out
+
+
+def typed_view(parsed: DataFrame, shape: str) -> DataFrame:
+    """device_name, snapshot_id and the typed columns of one command's parsed lists, for the newest snapshot of each device."""
+    rows = latest_snapshots(parsed).select("device_name", "snapshot_id", F.expr("try_parse_json(parsed_data)").alias("v"))
+    each = rows.filter("schema_of_variant(v) like 'ARRAY<%'").select("device_name", "snapshot_id", F.explode(F.expr("cast(v as array<variant>)")).alias("o"))
+    names = [c for c, _, _ in flat_columns(shape)]
+    taken = {"device_name", "snapshot_id"}
+    columns = [F.try_variant_get("o", p, t).alias(c if c.lower() not in taken and names.count(c) == 1 else f"{c}_{i}") for i, (c, p, t) in enumerate(flat_columns(shape))]
+    return each.select("device_name", "snapshot_id", *columns)
+
+
+def build_views(parsed: DataFrame) -> dict[str, DataFrame]:
+    """v_<command>_auto for every command whose outputs hold lists of objects, with columns and types found in all its rows.
+
+    One aggregate finds all shapes (a row for each command comes to the driver); the views themselves are plans, not tables.
+    """
+    out = {}
+    for command, shape in element_type(parsed).items():
+        out[f"v_{view_slug(command)}_auto"] = typed_view(parsed.filter(F.col("command") == command), shape[len("ARRAY<") : -1])
+    return out
+
+
+def view_slug(command: str) -> str:
+    return re.sub("[^a-z0-9_]+", "_", command.strip().lower()).strip("_")
+
+
 def snapshot_metadata(parsed: DataFrame) -> DataFrame:
     """Per snapshot: first and last ingestion, devices, rows, seconds; the id's own date where no time was written."""
     named = F.try_to_timestamp(F.substring("snapshot_id", 6, 15), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")

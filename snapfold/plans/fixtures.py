@@ -57,6 +57,24 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
             CASE p_size % 5 WHEN 0 THEN 'show running-config' WHEN 1 THEN 'show version' WHEN 2 THEN 'show ip route' WHEN 3 THEN 'show interfaces' ELSE 'show ip bgp summary' END AS command,
             min(CASE p_partkey % 3 WHEN 0 THEN 'builtin' WHEN 1 THEN 'raw_only' ELSE 'learned' END) AS parser_type, min(p_partkey) % 6 = 0 AS blacklisted
         FROM part WHERE p_size % 5 <> 3 OR p_partkey % 4 = 1 GROUP BY 1, 2"""),
+    "outputs": (("lineitem",), """
+        SELECT 'r' || CAST(l_suppkey AS STRING) AS device_name,
+            CASE l_linenumber % 5 WHEN 0 THEN 'show ip ospf neighbor' WHEN 1 THEN 'show ip bgp summary' WHEN 2 THEN 'show vlan' WHEN 3 THEN 'show ip interface brief' ELSE 'show interfaces terse' END AS command,
+            'snap_' || CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING) || '01_000000_t' AS snapshot_id, l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk,
+            CASE WHEN l_partkey % 97 = 0 THEN 'no list' ELSE '[' || chr(123) || CASE l_linenumber % 5
+                WHEN 0 THEN '"NEIGHBOR_ID": "10.0.0.' || CAST(l_partkey % 250 AS STRING) || '", "State": "' || CASE l_partkey % 4 WHEN 0 THEN 'FULL/DR' WHEN 1 THEN '2WAY' WHEN 2 THEN 'INIT' ELSE 'full' END || '", "address": "10.9.0.' || CAST(l_partkey % 200 AS STRING) || '", "interface": "Gi0/' || CAST(l_linenumber AS STRING) || '"'
+                WHEN 1 THEN '"neighbor": "' || CASE WHEN l_partkey % 11 = 0 THEN '' ELSE '10.0.0.' || CAST(l_partkey % 250 AS STRING) END || '", "peer": "10.7.0.' || CAST(l_partkey % 9 AS STRING) || '", "as": "' || CAST(64512 + l_partkey % 100 AS STRING) || '", "state_pfxrcd": "' || CASE l_partkey % 3 WHEN 0 THEN '12' WHEN 1 THEN 'Idle' ELSE 'weird' END || '"'
+                WHEN 2 THEN '"tag": "' || CAST(l_partkey % 30 AS STRING) || '", "interfaces": ["Gi0/' || CAST(l_partkey % 4 AS STRING) || '", "Gi0/' || CAST(l_partkey % 3 AS STRING) || '"]'
+                WHEN 3 THEN '"interface": "Gi0/' || CAST(l_partkey % 40 AS STRING) || '", "ip_address": "' || CASE WHEN l_partkey % 3 = 0 THEN 'unassigned' ELSE '10.' || CAST(l_partkey % 99 AS STRING) || '.0.1' END || '", "status": "' || CASE WHEN l_partkey % 5 = 0 THEN 'down' ELSE 'up' END || '", "proto": "up"'
+                ELSE '"interface": "ge-0/0/' || CAST(l_partkey % 40 AS STRING) || '", "ip_address": "' || CASE WHEN l_partkey % 4 = 0 THEN '' ELSE '10.' || CAST(l_partkey % 77 AS STRING) || '.1.1/24' END || '", "link_state": "up", "proto": "inet"'
+            END || chr(125) || ']' END AS parsed_data
+        FROM lineitem"""),
+    "links": (("lineitem",), """
+        SELECT 'r' || CAST(a.l_suppkey AS STRING) AS source_device, 'Gi0/' || CAST(a.l_linenumber AS STRING) AS source_interface, 'r' || CAST(b.l_suppkey AS STRING) AS destination_device,
+            'Gi0/' || CAST(b.l_linenumber AS STRING) AS destination_interface, CASE a.l_partkey % 3 WHEN 0 THEN 'CDP' WHEN 1 THEN 'LLDP' ELSE 'FDP' END AS discovery_protocol,
+            CASE WHEN a.l_partkey % 4 = 0 THEN NULL WHEN a.l_partkey % 4 = 1 THEN 'down' ELSE 'up' END AS link_status, 'snap_' || CAST(year(a.l_shipdate) AS STRING) || '0101_000000_t' AS snapshot_id
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+        WHERE a.l_suppkey <> b.l_suppkey"""),
 }
 SQL = {k: (tables, " ".join(text.split())) for k, (tables, text) in SQL.items()}
 
