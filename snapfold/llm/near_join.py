@@ -10,6 +10,7 @@ in different components, pass all filters and have not been checked remain. Each
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,18 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import discard, pieces, strings, written
 from .components import components
 from .words import shingle_sets
 
 SKETCH_BITS, SLICE_BITS = 18, 12
-BROADCAST_ROWS = 500_000
+#: Rows of a broadcast at most, and pairs of one class in a block.
+BROADCAST_ROWS, BLOCK = 250_000, 256
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in pieces(batches, "text"):
-        hashes, _ = shingle_sets(batch.column("text").to_pylist(), k)
+        hashes, _ = shingle_sets(strings(batch.column("text")), k)
         counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
     if counts.any():
         slices = counts.reshape(-1, 1 << SLICE_BITS).astype("<i8")
@@ -67,7 +69,7 @@ def _lanes(own: np.ndarray) -> tuple[int, int]:
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        hashes, at = shingle_sets(batch.column("text").to_pylist(), k)
+        hashes, at = shingle_sets(strings(batch.column("text")), k)
         rank = sketch[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         sizes, sets, lows, highs, prefixes = [], [], [], [], []
         for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
@@ -102,31 +104,48 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return long_enough & overlap & ((na + nb - apart) * (100 + percent) >= (na + nb) * 2 * percent)
 
 
-def _named(tokens: DataFrame, side: str) -> DataFrame:
-    return tokens.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "pos", "low", "high")])
+def _named(df: DataFrame, side: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys])
 
 
-def _check(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "a_text"):
-        left, right = (shingle_sets(batch.column(c).to_pylist(), k) for c in ("a_text", "b_text"))
-        linked = []
-        for i in range(batch.num_rows):
-            x, y = (h[at[i] : at[i + 1]] for h, at in (left, right))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+def _blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come block by block, the text b that all are compared with first; its set is kept, each other text is met once."""
+    block, held = None, np.zeros(0, np.uint64)
+    for batch in pieces(batches, "text"):
+        sets, at = shingle_sets(strings(batch.column("text")), k)
+        a, b, salt = (batch.column(c).to_numpy() for c in ("cid", "b", "salt"))
+        out, linked = [], []
+        for i in range(len(a)):
+            own = sets[at[i] : at[i + 1]]
+            if a[i] == b[i]:
+                block, held = (b[i], salt[i]), own.copy()
+                continue
+            if block != (b[i], salt[i]):
+                raise ValueError("a block without its first text")
+            both = len(np.intersect1d(own, held, assume_unique=True))
+            out.append(i)
+            linked.append(100 * both >= percent * (len(own) + len(held) - both))
+        yield pa.record_batch({"a": pa.array(a[out]), "b": pa.array(b[out]), "linked": pa.array(linked, pa.bool_())})
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, linked for each pair of classes, a written table. Only texts of classes in a pair are moved."""
+    """a, b, linked for each pair of classes, a written table. Only texts of classes in a pair are moved, once for each pair.
+
+    The pairs of one b are cut into blocks of about BLOCK, so that no class gathers all its partners in one task; b's own
+    text goes to each of its blocks.
+    """
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep", "rep_row"), "cls")
-    wanted = written(wanted, "pair-classes")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    salted = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("salt"))
+    members = salted.select(F.col("a").alias("cid"), "b", "salt").unionByName(salted.select(F.col("b").alias("cid"), "b", "salt").distinct())
+    placed = written(members.join(classes.select("cid", "rep", "rep_row"), "cid"), "pair-members")
+    few = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
     rows = docs.withColumn("row", F.xxhash64("text"))
-    texts = rows.join(few, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row") == F.col("rep_row"))).select("cls", "text").dropDuplicates(["cls"])
-    joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
-    return written(joined.select("a", "b", "a_text", "b_text").mapInArrow(partial(_check, k=k, percent=percent), "a binary, b binary, linked boolean"), "checked-pairs")
+    texts = rows.join(few, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row") == F.col("rep_row"))).select("cid", "b", "salt", "text")
+    ordered = texts.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("cid") != F.col("b"))
+    out = written(ordered.mapInArrow(partial(_blocks, k=k, percent=percent), "a long, b long, linked boolean"), "checked-pairs")
+    discard(pairs, placed)
+    return out
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,43 +156,59 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     link with nothing: component_id is their own id. Rows of one id are joined by their texts like other rows; a null id
     is named as a component only if nothing else is in it. Other columns are not read. An empty table gives no rows.
     """
+    out = near_rows(docs, k, percent, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def near_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_components() with two more columns: row, the hash of the row's text, and kept.
+
+    kept is true for the rows that stand for their component: those of its smallest id and, where that id has several
+    texts in it, of the least hash among them. Rows without shingles stand for themselves.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = shingle_sketch(texts, k)
     schema = "doc_id long, row long, n long, cls binary, low long, high long, prefix array<long>"
     signed = written(texts.withColumn("row", F.xxhash64("text")).mapInArrow(partial(_signatures, k=k, percent=percent, sketch=sketch), schema), "signatures")
     first = F.min(F.struct("doc_id", "row"))
-    classes = signed.filter("cls is not null").groupBy("cls").agg(first.alias("r"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
-    classes = written(classes.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("rep_row"), "least", "n", "low", "high", "prefix"), "classes")
-    tokens = classes.select("cls", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    classes = signed.filter("cls is not null").groupBy("cls").agg(first.alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")])
+    # Classes get a number of 8 bytes as they are written, which stands for them from here on.
+    bucket = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "cls", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("rep_row"), "least", "n", "low", "high", bucket.alias("bucket"), "prefix"), "classes")
+    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
 
     # Shingles that two classes share; only the shingles themselves are counted, so those of one class are dropped as narrow rows.
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("token")
-    meeting = written(tokens.join(shared, "token", "left_semi").select("token", "cls", "n", "pos", "low", "high"), "meetings")
-    # The most central class of each: the one with the fewest rarer shingles.
-    central = meeting.groupBy("token").agg(F.min(F.struct("pos", "cls", "n", "low", "high")).alias("hub"))
-    hubs = central.select("token", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("cls", "n", "pos", "low", "high")])
-    star = _named(meeting, "a").join(hubs, "token").filter((F.col("a_cls") != F.col("b_cls")) & _may_link("a", "b", percent))
-    star = star.groupBy("a_cls").agg(F.min(F.struct("b_pos", "b_cls")).alias("hub")).select(F.col("a_cls").alias("a"), F.col("hub.b_cls").alias("b"))
+    met = tokens.join(shared, "token", "left_semi").join(classes.select("cid", "n", "low", "high", "bucket"), "cid")
+    meeting = written(met.select("token", "bucket", "cid", "n", "pos", "low", "high"), "meetings")
+    # The most central class of each shingle and length: the one with the fewest rarer shingles.
+    central = meeting.groupBy("token", "bucket").agg(F.min(F.struct("pos", "cid", "n", "low", "high")).alias("hub"))
+    hubs = central.select("token", "bucket", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("cid", "n", "pos", "low", "high")])
+    star = _named(meeting, "a", "token", "bucket").join(hubs, ["token", "bucket"]).filter((F.col("a_cid") != F.col("b_cid")) & _may_link("a", "b", percent))
+    star = star.groupBy("a_cid").agg(F.min(F.struct("b_pos", "b_cid")).alias("hub")).select(F.col("a_cid").alias("a"), F.col("hub.b_cid").alias("b"))
     tried = _verified(star, classes, texts, k, percent)
     links = tried.filter("linked").select("a", "b")
     roots = components(links)
 
-    # What is left: pairs of different components that meet on a shingle, pass the filters and were not tried.
-    placed = meeting.join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    # What is left: pairs of different components that meet on a shingle, pass the filters and were not tried. Partners lie in
+    # one length bucket or in neighbouring ones; the shorter class goes to its own and the next, so a shingle is split by length.
+    placed = meeting.join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     open_rows = written(placed.join(mixed, "token", "left_semi"), "open-meetings")
-    a = open_rows.select("token", F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "low", "high")])
-    b = open_rows.select(F.col("token").alias("b_token"), F.col("comp").alias("b_comp"), *[F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "low", "high")])
-    apart = (F.col("token") == F.col("b_token")) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp"))
-    rest = a.join(b, apart & _may_link("a", "b", percent)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(rest.join(known, ["a", "b"], "left_anti"), classes, texts, k, percent).filter("linked").select("a", "b")
-    roots = components(links.union(more))
-
-    member = classes.select("cls", "least").join(roots.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(names, "root").select("cls", "component_id")
-    return signed.select("doc_id", "n", "cls").join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    a = _named(open_rows.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))), "a", "token", "bucket")
+    b = _named(open_rows, "b", "token", "bucket")
+    apart = (F.struct("a_n", "a_cid") < F.struct("b_n", "b_cid")) & (F.col("a_comp") != F.col("b_comp"))
+    rest = a.join(b, ["token", "bucket"]).filter(apart & _may_link("a", "b", percent)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+    known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    checked = _verified(rest.join(known, ["a", "b"], "left_anti"), classes, texts, k, percent)
+    roots = components(links.union(checked.filter("linked").select("a", "b")))
+    discard(meeting, open_rows, tried, checked)
+
+    member = classes.select("cid", "cls", "least").join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    names = member.groupBy("root").agg(F.min("least").alias("name"))
+    named = member.join(names, "root").select("cls", "name")
+    none = F.col("cls").isNull()
+    chosen = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("row") == F.col("name.row"))
+    return signed.select("doc_id", "row", "n", "cls").join(named, "cls", "left").select(
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("component_id"), (none | chosen).alias("kept")
     )
-
