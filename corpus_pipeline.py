@@ -29,17 +29,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def _text_key(docs: DataFrame) -> DataFrame:
+    """docs with _row, the hash of the text: decisions are on rows, not on ids alone."""
+    return docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more on 5-word shingles hold together, the one of smallest id stays."""
-    found = near_join.near_components(docs).filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.select(*COLUMNS)
+    """Of documents that links of 0.8 or more on 5-word shingles hold together, the one of smallest id stays.
+
+    Rows of one id with different texts are documents of their own; of equal rows one stays.
+    """
+    found = near_join.near_rows(docs).filter("kept").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_of")).agg(F.count(F.lit(1)).alias("_times"))
+    kept = _text_key(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")))
+    return kept.filter("_times = 1").select(*COLUMNS).unionByName(kept.filter("_times > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+    """Drops rows that hold a benchmark passage; other rows of the same id stay."""
+    leaks = decontaminate.contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_of")).distinct()
+    return _text_key(docs).join(leaks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")), "left_anti").select(*COLUMNS)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
