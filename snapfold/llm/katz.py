@@ -81,6 +81,42 @@ def _factor(d: dict[int, float]) -> Column:
     return reduce(lambda c, r: c.when(F.col("count") == r, F.lit(d[r])), range(2, CUT + 1), F.when(F.col("count") == 1, F.lit(d[1]))).otherwise(F.lit(1.0))
 
 
+class Tables:
+    """An order-2 model as tables: words (word, count), pairs (context, word, count), contexts (context, stats of a part of its words).
+
+    stats: total, how many of the context's words have each count up to CUT, the sum of greater counts, and the lower-order
+    mass of its words. A context that was dealt out has several rows, whose stats add up (but for the total, which is whole).
+    """
+
+    def __init__(self, words: DataFrame, mass: float, unknown: float, d1: dict[int, float], pairs: DataFrame, stats: DataFrame, d2: dict[int, float]) -> None:
+        self.counts, self.mass, self.unknown, self.d1, self.pairs, self.stats, self.d2 = words, mass, unknown, d1, pairs, stats, d2
+
+    def words(self) -> DataFrame:
+        """word, count, p of the words in training texts."""
+        return self.counts.filter("count > 0").select("word", "count", (F.col("count") * _factor(self.d1) / self.mass).alias("p"))
+
+    def contexts(self) -> DataFrame:
+        """context, total, divisor (what counts are taken over) and weight, the exactly normalised backoff weight."""
+        sums = [F.max(F.col("stats")[0]).alias("total"), *[F.sum(F.col("stats")[r]).alias(f"n{r}") for r in range(1, CUT + 1)], F.sum(F.col("stats")[CUT + 1]).alias("above"), F.sum(F.col("stats")[CUT + 2]).alias("below")]
+        each = self.stats.groupBy("context").agg(*sums)
+        low = reduce(lambda a, b: a + b, [F.col(f"n{r}") for r in range(1, CUT + 1)])
+        divisor = F.col("total") + 1 - F.when(low > 0, 1.0).otherwise(0.0)
+        seen = reduce(lambda a, b: a + b, [F.col(f"n{r}") * (r * self.d2[r]) for r in range(1, CUT + 1)]) + F.col("above")
+        return each.select("context", "total", divisor.alias("divisor"), ((1 - seen / divisor) / (1 - F.col("below"))).alias("weight"))
+
+    def grams(self) -> DataFrame:
+        """context, word, count, p of the word pairs."""
+        return self.pairs.join(self.contexts(), "context").select("context", "word", "count", (F.col("count") * _factor(self.d2) / F.col("divisor")).alias("p"))
+
+    def evaluate(self, each: DataFrame, *keys: str) -> DataFrame:
+        """keys, word, p (log10) of tokens (keys, context, word), recursively: the pair, else its context's weight and the word, else the unknown class."""
+        pair = self.grams().select("context", "word", F.col("p").alias("own"))
+        met = each.join(pair, ["context", "word"], "left").join(self.contexts().select("context", "weight"), "context", "left")
+        met = met.join(self.words().select("word", F.col("p").alias("lower")), "word", "left")
+        below = F.log10(F.coalesce("weight", F.lit(1.0))) + F.log10(F.coalesce("lower", F.lit(self.unknown)))
+        return met.select(*keys, "word", F.when(F.col("own").isNotNull(), F.log10("own")).otherwise(below).alias("p"))
+
+
 def train(texts: DataFrame, order: int = 2) -> dict:
     """The model of the texts (a column text, not null): tables by order, their folder, and the totals N and V.
 
@@ -138,17 +174,18 @@ def evaluate(model: dict, each: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "word", F.coalesce("count", F.lit(0)).alias("count"), p.alias("p"))
 
 
-def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; rows where `held` is false train the model.
 
     Words lie between ASCII white space, A-Z in lower case; each text ends with one more token. Null counts as empty: the
     end token alone. Repeated rows train as often as they stand and get equal scores. Null ids are kept. Other columns are
-    not read. An empty table gives no rows. Order 2 goes by packed pairs, other orders by the tables of train().
+    not read. An empty table gives no rows. Order 2 goes by packed pairs (katz_pairs), other orders by the tables of train().
+    stable says that docs comes straight from files; other texts are written first, so that a lost task meets the same rows.
     """
     if order == 2:
         from .katz_pairs import score_pairs
 
-        return score_pairs(docs, held, id_col, text_col)
+        return score_pairs(docs, held, id_col, text_col, stable)[0]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("row", F.xxhash64("text")).withColumn("held_out", held)
     model = train(rows.filter(~F.col("held_out")).select("text"), order)
     texts = rows.select("row", "text").dropDuplicates(["row"])

@@ -1,18 +1,26 @@
-"""Katz backoff of order 2 over packed word pairs: the model of katz.py, with no row for each token in any shuffle.
+"""Katz backoff of order 2: a model of typed tables, trained and read with no row for each token in any shuffle.
 
-Texts are taken a few MB at a time. Each such batch sends one message to each of `parts` partitions: its distinct pairs of
-(context, word), for each the texts that have it and how often. A pair's partition follows from its context; contexts with
-a large share of all tokens (found by a pass over all texts; this decides placement only) are dealt out by the whole pair.
+The model is three tables in the shared folder, keyed by 64-bit hashes of words and hashed by context into partitions:
 
-1. Batches send their words and counts to the words' owners, with the partitions that will ask; owners add up and reply
-   with whole counts (`words` table). Unigram discounts follow from the owners' counts of counts.
-2. Messages and replies meet. A partition counts its pairs, stores them with their contexts (`pairs` table), and for each
-   message evaluates its tokens as far as they go without the pair discounts: a seen pair gives its count over its
-   context's; an unseen one backs off to the word below and names its context, with what the weight is made of.
-3. Pair discounts and the weights of dealt-out contexts are known now; what was left open is added, and a batch's sums meet.
+* words: word, count (in training texts), tokens (in all texts);
+* pairs: context, word, count;
+* contexts: context, total, the numbers of its words with each discounted count, and what a backoff weight is made of.
 
-Counts and weights are those of the whole corpus and exact; words are 64-bit hashes. Batches are numbered by scan
-partition and place, so `docs` must give the same rows in the same order when a lost task runs again, as files do.
+katz.Tables gives them probabilities and exactly normalised weights, and evaluate() there reads any text's tokens from them
+by joins. For the whole corpus that would move a row for each token, so here a text's tokens travel packed. Texts are taken
+a few MB at a time; each such batch sends one message to each partition that owns one of its contexts: its distinct pairs,
+and for each the texts that have it and how often. A message holds a token at least, so messages never outnumber tokens.
+
+1. Words are counted (a plain sum by word). Contexts of more than half a partition's tokens are known from it, at most two
+   for each partition, and dealt out by the whole pair.
+2. Batches ask the words' owners for counts; owners reply to the partitions that will need them.
+3. Messages and replies meet. A partition counts its pairs, writes them and their contexts, and evaluates each message as far
+   as it goes without the pair discounts: a seen pair by its count over its context's; an unseen one backs off, its context's
+   weight being named, to the word below, and from an unknown word to the class of unknown words.
+4. Pair discounts and all weights follow from the written tables; what was left open is added, and a batch's sums meet.
+
+Counts and weights are those of the whole corpus and exact. Batches are numbered by scan partition and place, so texts that
+do not come straight from files are written first.
 """
 
 from __future__ import annotations
@@ -25,27 +33,39 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, whole
-from .katz import CUT, END, START, factors
+from .common import pieces, scratch, strings, whole, written
+from .katz import CUT, END, START, Tables, factors
 from .packed import deltas, pack, unpack
 from .words import mix, word_hashes
 
-#: A context with this share of all tokens is always dealt out; so at most this many contexts are.
-HOT_SHARE = 4000
 #: Tokens for each partition, and bytes of text for each batch.
-PART_TOKENS, BATCH_BYTES = 4_000_000, 6 << 20
-ASK, REPLY, STATE, DOCS, SUMS, HOT, PAIRS = range(7)
-_DDL = "part int, kind int, batch long, blob binary, hot long, sums array<double>"
-_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary()), ("hot", pa.int64()), ("sums", pa.list_(pa.float64()))])
+PART_TOKENS, BATCH_BYTES = 3_000_000, 6 << 20
+ASK, WORDS, REPLY, STATE, DOCS, SUMS, CONTEXTS, PAIRS = range(8)
+_DDL = "part int, kind int, batch long, blob binary, context long, word long, count long, stats array<double>"
+_ARROW = pa.schema([
+    ("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary()), ("context", pa.int64()), ("word", pa.int64()), ("count", pa.int64()), ("stats", pa.list_(pa.float64())),
+])
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 Rows = list[tuple]
 
 
 def _record(rows: Rows) -> pa.RecordBatch:
-    """Rows of (part, kind, batch, blob) or (part, kind, batch, blob, hot, sums)."""
-    full = [(*r, None, None) if len(r) == 4 else r for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+    """Rows of (part, kind, batch, blob)."""
+    none = [pa.nulls(len(rows), f.type) for f in list(_ARROW)[4:]]
+    return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], f.type) for i, f in zip(range(4), _ARROW, strict=False)), *none], schema=_ARROW)
+
+
+def _typed(part: int, kind: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of the model's tables, some at a time."""
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(np.full(n, {"part": part, "kind": kind}[f.name], np.int32)) if f.name in ("part", "kind") else columns.get(f.name, pa.nulls(n, f.type)) for f in _ARROW]
+    whole_batch = pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+    yield from (whole_batch.slice(i, 50_000) for i in range(0, n, 50_000))
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
 class Batch:
@@ -53,7 +73,7 @@ class Batch:
 
     def __init__(self, rows: pa.RecordBatch) -> None:
         places: dict[str, int] = {}
-        self.text_of = np.array([places.setdefault(t, len(places)) for t in rows.column("text").to_pylist()], np.int64)
+        self.text_of = np.array([places.setdefault(t, len(places)) for t in strings(rows.column("text"))], np.int64)
         ids, held = rows.column("doc_id"), rows.column("held_out")
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -96,28 +116,40 @@ def _pieces_of(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(values, np.arange(parts + 1))
 
 
-def _shares(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of large share in each batch, with their counts; under 0 the tokens of the batch."""
+def _word_counts(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, count in training texts, tokens in all of them (contexts follow: a word is the context of the token behind it)."""
     for _, b in _batches(records):
-        contexts, counts = np.unique(b.context, return_counts=True)
-        much = counts * HOT_SHARE >= len(b.context)
-        yield pa.record_batch({"hot": pa.array(np.append(contexts[much], np.uint64(0)).view(np.int64)), "n": pa.array(np.append(counts[much], len(b.context)))})
+        words, of, tokens = np.unique(b.word, return_inverse=True, return_counts=True)
+        counts = np.bincount(of, weights=b.train[b.text], minlength=len(words)).astype(np.int64)
+        rows = np.bincount(b.text_of, minlength=len(b.train))
+        every = np.bincount(of, weights=rows[b.text], minlength=len(words)).astype(np.int64)
+        yield pa.record_batch({"word": _signed(words), "count": pa.array(counts), "tokens": pa.array(every)})
+        del tokens
+
+
+def _word_blobs(records: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The words table, packed for the words' owners."""
+    for record in records:
+        words, counts = record.column("word").to_numpy().view(np.uint64), record.column("count").to_numpy()
+        order = np.lexsort((words, _owner(words, parts)))
+        words, counts = words[order], counts[order]
+        at = _pieces_of(_owner(words, parts), parts)
+        yield _record([(q, WORDS, None, pack(deltas(words[i:j]), counts[i:j])) for q, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
 
 
 def _asks(records: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """To each owner: words, their training counts, and the partitions that will ask for each."""
+    """To each owner: words and the partitions that will ask for each."""
     for _, b in _batches(records):
         words, of = np.unique(b.word, return_inverse=True)
-        counts = np.bincount(of, weights=b.train[b.text], minlength=len(words)).astype(np.int64)
         owner = _owner(words, parts)
         order = np.argsort(owner, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words, counts, owner = words[order], counts[order], owner[order]
+        words, owner = words[order], owner[order]
         asking = np.unique(rank[of] * parts + _part(b.context, b.word, hot, parts))
         who, asked = asking % parts, np.bincount(asking // parts, minlength=len(words))
         at, ask_at = _pieces_of(owner, parts), np.concatenate([[0], np.cumsum(asked)])
-        yield _record([(q, ASK, None, pack(deltas(words[i:j]), counts[i:j], asked[i:j], who[ask_at[i] : ask_at[j]])) for q, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+        yield _record([(q, ASK, None, pack(deltas(words[i:j]), asked[i:j], who[ask_at[i] : ask_at[j]])) for q, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
 
 
 def _rows(records: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
@@ -125,25 +157,27 @@ def _rows(records: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, by
         yield from zip(*(record.column(name).to_pylist() for name in ("part", "kind", "batch", "blob")), strict=True)
 
 
-def _replies(records: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """An owner's counts, to each partition that asked, and its counts of counts."""
-    words, counts, asked, who, q = [], [], [], [], None
-    for q, _, _, blob in _rows(records):
-        w, c, n, p = unpack(blob)
-        words.append(np.cumsum(w, dtype=np.uint64))
-        counts.append(c), asked.append(n), who.append(p)
-    if q is None:
+def _replies(records: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """An owner's counts, to each partition that asked."""
+    words, asked, who, known, counts = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, kind, _, blob in _rows(records):
+        first, *rest = unpack(blob)
+        if kind == WORDS:
+            known.append(np.cumsum(first, dtype=np.uint64)), counts.append(rest[0].astype(np.int64))
+        else:
+            words.append(np.cumsum(first, dtype=np.uint64)), asked.append(rest[0]), who.append(rest[1])
+    if not words:
         return
-    words, of = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(of, weights=np.concatenate(counts), minlength=len(words)).astype(np.int64)
-    pairs = np.unique(np.concatenate(who).astype(np.int64) * len(words) + np.repeat(of, np.concatenate(asked)))
-    at = _pieces_of(pairs // len(words), parts)
+    known, counts = np.concatenate(known), np.concatenate(counts)
+    order = np.argsort(known)
+    known, counts = known[order], counts[order]
+    of = np.searchsorted(known, np.concatenate(words))
+    pairs = np.unique(np.concatenate(who).astype(np.int64) * len(known) + np.repeat(of, np.concatenate(asked)))
+    at = _pieces_of(pairs // len(known), parts)
     for p, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
         if j > i:
-            place = pairs[i:j] % len(words)
-            yield _record([(p, REPLY, None, pack(deltas(words[place]), total[place]))])
-    watched = np.isin(words, np.append(hot, np.uint64(END)))
-    yield _record([(q, STATE, None, pack(np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3), np.array([total.sum(), (total > 0).sum()]), words[watched], total[watched]))])
+            place = pairs[i:j] % len(known)
+            yield _record([(p, REPLY, None, pack(deltas(known[place]), counts[place]))])
 
 
 def _messages(records: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -215,9 +249,11 @@ def _partition(records: Iterator[pa.RecordBatch], hot: np.ndarray, hot_totals: n
     above = np.bincount(c_of, weights=np.where(have > CUT, have, 0), minlength=size)
     below = np.bincount(c_of, weights=np.where(seen, p1[w_of], 0.0), minlength=size)
     divisor = totals + 1 - (table.sum(1) > 0)
-    yield _record([(part, HOT, None, None, int(np.uint64(h).view(np.int64)), [*map(float, t), float(a), float(q)]) for h, t, a, q in zip(contexts[in_hot], table[in_hot], above[in_hot], below[in_hot], strict=True)])
-    follow = np.bincount(c_of[seen], minlength=size)
-    yield _record([(part, PAIRS, None, pack(deltas(contexts), follow, deltas(words), w_of[seen], have[seen])), (part, STATE, None, pack(np.bincount(np.minimum(have, CUT + 2), minlength=CUT + 3)))])
+    stats = np.column_stack([totals, table, above, below])[totals > 0]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1]), pa.int32()), pa.array(stats.ravel()))
+    yield from _typed(part, CONTEXTS, context=_signed(contexts[totals > 0]), stats=lists)
+    yield from _typed(part, PAIRS, context=_signed(contexts[c_of[seen]]), word=_signed(words[w_of[seen]]), count=pa.array(have[seen]))
+    yield _record([(part, STATE, None, pack(np.bincount(np.minimum(have, CUT + 2), minlength=CUT + 3)))])
 
     with np.errstate(divide="ignore"):
         value = np.where(seen, np.log10(have) - np.where(in_hot, 0.0, np.log10(divisor))[c_of], np.log10(p1[w_of]))
@@ -288,48 +324,49 @@ def _collect(records: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.Recor
         })
 
 
-def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What katz.score_documents gives for order 2."""
+def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> tuple[DataFrame, Tables]:
+    """What katz.score_documents gives for order 2, and the model. stable: docs comes straight from files, so its rows keep their order."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("held_out", held)
+    texts = texts if stable else written(texts, "katz-texts")
     home = scratch(spark, "katz-pairs")
 
     def table(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "none").parquet(f"{home}/{name}")
+        df.write.option("compression", "zstd" if name == "words" else "none").parquet(f"{home}/{name}")
         return spark.read.schema(df.schema).parquet(f"{home}/{name}")
 
-    shares = table(texts.mapInArrow(_shares, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n")), "shares")
-    found = shares.filter("hot = 0").first()
-    n = found["n"] if found else 0
+    words = table(texts.mapInArrow(_word_counts, "word long, count long, tokens long").groupBy("word").agg(F.sum("count").alias("count"), F.sum("tokens").alias("tokens")), "words")
+    low = F.least(F.col("count"), F.lit(CUT + 2)).cast("int")
+    by_count = words.groupBy(low.alias("r")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("count"), F.sum("tokens").alias("tokens")).collect()
+    total, kinds, n = sum(r["count"] for r in by_count), sum(r["kinds"] for r in by_count if r["r"]), sum(r["tokens"] for r in by_count)
     parts = max(12, n // PART_TOKENS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    large = shares.filter((F.col("hot") != 0) & (F.col("n") >= F.lit(n / min(2 * parts, HOT_SHARE)))).collect()
-    hot = np.sort(np.array([r["hot"] for r in large], np.int64).view(np.uint64))
-
-    asks = texts.mapInArrow(lambda rows: _asks(rows, hot, parts), _DDL).repartitionById(parts, F.col("part"))
-    words = table(asks.mapInArrow(lambda rows: _replies(rows, hot, parts), _DDL), "words")
-    states = [unpack(r["blob"]) for r in words.filter(F.col("kind") == STATE).select("blob").collect()]
-    of_counts = sum((s[0].astype(np.int64) for s in states), np.zeros(CUT + 3, np.int64))
-    total, kinds = (int(sum(int(s[1][i]) for s in states)) for i in (0, 1))
-    watched = {int(w): int(c) for s in states for w, c in zip(s[2], s[3], strict=True)}
-    ends = watched.get(END, 0)
-    hot_totals = np.array([ends if h == START else watched.get(int(h), 0) for h in hot], np.float64)
-    d = factors({r: int(of_counts[r]) for r in range(1, CUT + 2)})
-    kept = total - sum(r * int(of_counts[r]) * (1 - d[r]) for r in range(1, CUT + 1))
+    # The end of a text is no context, but as many tokens follow its start. Two contexts for each partition at most.
+    large = words.filter((F.col("tokens") * 2 > PART_TOKENS) | (F.col("word") == END)).collect()
+    sizes = {int(np.int64(START if r["word"] == END else r["word"]).view(np.uint64)): r for r in large}
+    ends = sizes[START]["count"] if START in sizes else 0
+    hot = np.sort(np.array([h for h, r in sizes.items() if r["tokens"] * 2 > PART_TOKENS], np.uint64))
+    hot_totals = np.array([sizes[int(h)]["count"] for h in hot], np.float64)
+    of_counts = {r["r"]: r["kinds"] for r in by_count}
+    d = factors({r: of_counts.get(r, 0) for r in range(1, CUT + 2)})
+    kept = total - sum(r * of_counts.get(r, 0) * (1 - d[r]) for r in range(1, CUT + 1))
     mass = float(total if total and total - kept > 1e-9 * total else total + 1)
     unknown = (mass - kept) / mass
 
+    asks = texts.mapInArrow(lambda rows: _asks(rows, hot, parts), _DDL).unionByName(words.mapInArrow(lambda rows: _word_blobs(rows, parts), _DDL))
+    replies = table(asks.repartitionById(parts, F.col("part")).mapInArrow(lambda rows: _replies(rows, parts), _DDL), "replies")
     messages = texts.mapInArrow(lambda rows: _messages(rows, hot, parts), _DDL)
-    met = messages.unionByName(words.filter(F.col("kind") == REPLY)).repartitionById(parts, F.col("part"))
-    pairs = table(met.mapInArrow(lambda rows: _partition(rows, hot, hot_totals, ends, total, kinds, d, mass, unknown), _DDL), "pairs")
-    of_counts = sum((unpack(r["blob"])[0].astype(np.int64) for r in pairs.filter(F.col("kind") == STATE).select("blob").collect()), np.zeros(CUT + 3, np.int64))
+    met = messages.unionByName(replies).repartitionById(parts, F.col("part"))
+    out = table(met.mapInArrow(lambda rows: _partition(rows, hot, hot_totals, ends, total, kinds, d, mass, unknown), _DDL), "pairs")
+    of_counts = sum((unpack(r["blob"])[0].astype(np.int64) for r in out.filter(F.col("kind") == STATE).select("blob").collect()), np.zeros(CUT + 3, np.int64))
     d2 = factors({r: int(of_counts[r]) for r in range(1, CUT + 2)})
+    model = Tables(words, mass, unknown, d, out.filter(F.col("kind") == PAIRS).select("context", "word", "count"), out.filter(F.col("kind") == CONTEXTS).select("context", "stats"), d2)
     d2 = np.array([d2[r] for r in range(1, CUT + 1)])
-    own = pairs.filter(F.col("kind") == HOT).groupBy("hot").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(CUT + 2)]).collect()
-    by_hot = {int(np.int64(r["hot"]).view(np.uint64)): r[1:] for r in own}
-    stats = np.array([by_hot.get(int(h), (0.0,) * (CUT + 2)) for h in hot]).reshape(len(hot), CUT + 2)
-    divisors = hot_totals + 1 - (stats[:, :CUT].sum(1) > 0)
-    weights = _weight(stats[:, :CUT], stats[:, CUT], divisors, stats[:, CUT + 1], d2) if len(hot) else np.ones(0)
 
-    closed = pairs.filter(F.col("kind").isin(DOCS, SUMS)).mapInArrow(lambda rows: _finish(rows, d2, weights, divisors), _DDL)
+    own = model.contexts().filter(F.col("context").isin([int(h) for h in hot.view(np.int64)])).collect() if len(hot) else []
+    by_hot = {int(np.int64(r["context"]).view(np.uint64)): r for r in own}
+    divisors = np.array([by_hot[int(h)]["divisor"] if int(h) in by_hot else 1.0 for h in hot])
+    weights = np.array([by_hot[int(h)]["weight"] if int(h) in by_hot else 1.0 for h in hot])
+
+    closed = out.filter(F.col("kind").isin(DOCS, SUMS)).select(*[f.name for f in _ARROW]).mapInArrow(lambda rows: _finish(rows, d2, weights, divisors), _DDL)
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return closed.select("part", "kind", "batch", "blob").repartition("batch").mapInArrow(lambda rows: _collect(rows, total), columns)
+    return closed.select("part", "kind", "batch", "blob").repartition("batch").mapInArrow(lambda rows: _collect(rows, total), columns), model

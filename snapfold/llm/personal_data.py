@@ -1,6 +1,7 @@
 """Personal data: base spans by pattern, then terms that disclose a protected entity, in DataFrame functions.
 
-An entity is one found value (an address, a number). Over the whole corpus, its information content is
+An entity is one found value: an address, a number, or a credential, the value that stands behind a word such as token or
+password and an equals sign or colon. Over the whole corpus, its information content is
 IC(c) = -log2 P(c) with P(c) = n(c) / D, and a term t of the same text shares PMI(c; t) = log2(P(c | t) / P(c)) of it; counts
 are of distinct texts, whole ones. P(c | t) = (n(c, t) + P(c)) / (n(t) + 1): one more text, in which the entity is as likely
 as anywhere, stands for what small counts cannot tell. PMI(c; t) = IC(c) + log2 P(c | t): a term that hardly occurs apart
@@ -25,7 +26,10 @@ PATTERNS = {
 }
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-KINDS = [*PATTERNS, "term"]
+#: A credential: the value alone is the match, what must stand before it is looked behind at (bounded, as it has to be).
+SECRET = r"(?i)(?<=\b(?:token|secret|password|passwd|api[_-]?key)[\x20\x09]{0,3}[=:][\x20\x09]{0,3}[\"']{0,1})[A-Za-z0-9+/_.-]{12,}+"
+SECRET_WORDS = r"(?i)token|secret|passw|api[_-]?key"
+KINDS = [*PATTERNS, "term", "secret"]
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 TERM = r"[^\p{L}]+"
 
@@ -46,31 +50,49 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _found(text: Column, pattern: Column, rank: Column) -> Column:
-    """All matches with their places in code points: the pieces between matches and the matches, laid end to end."""
+    """All matches with their places in code points: the pieces between matches and the matches, laid end to end.
+
+    Running sums go block by block, as many blocks as a block has matches, so that many matches in one text stay cheap.
+    """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"), gaps.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+    both = F.filter(F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"), gaps.alias("gap")), lambda m: m["value"].isNotNull())
+    length = lambda m: m["gap"] + F.length(m["value"])
+    none = F.expr(f"cast(array() as {SPAN})")
+
+    def spans(matches: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(matches))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(matches), width), lambda at: F.slice(matches, at, width))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, m: a + length(m)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+        def step(a: Column, m: Column) -> Column:
+            begin = a["at"] + m["gap"]
+            end = a["at"] + length(m)
+            span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), m["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
 
-    def step(a: Column, m: Column) -> Column:
-        begin = a["at"] + m["gap"]
-        end = begin + F.length(m["value"])
-        span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+        run = lambda b, i: F.aggregate(b, F.struct(F.get(starts, i).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+        return F.flatten(F.transform(blocks, run))
 
-    matched = F.filter(both, lambda m: m["value"].isNotNull())
-    return F.aggregate(matched, start, step, lambda a: a["spans"])
+    return F.when(F.size(both) > 0, spans(both)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
-    """The valid matches of every kind, by start and then kind. text is not null."""
+    """The valid matches of every base kind, by start and then kind. text is not null."""
     def of(rank: int, kind: str) -> Column:
         spans = F.filter(_found(text, F.lit(PATTERNS[kind]), F.lit(rank)), lambda s: _valid(kind, s["value"]))
-        return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+        here = F.contains(text, F.lit(NEEDS[kind])) & F.regexp_like(text, F.lit(PATTERNS[kind]))
+        return F.when(here, spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
     kinds = [of(rank, kind) for rank, kind in enumerate(PATTERNS)]
     return F.array_sort(F.concat(*kinds))
 
 
+def secret_spans(text: Column) -> Column:
+    """The credentials of the text. text is not null."""
+    return F.when(F.regexp_like(text, F.lit(SECRET_WORDS)), _found(text, F.lit(SECRET), F.lit(KINDS.index("secret")))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+
 def _terms(text: Column, least: int) -> Column:
     return F.filter(F.array_distinct(F.split(ascii_lower(text), TERM)), lambda t: F.length(t) >= least)
 
@@ -122,22 +144,24 @@ def _held_terms(rows: DataFrame, terms: DataFrame, least: int) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = 0.5, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, base, spans for each row: base spans, and all spans with those of disclosing terms. Spans are by start, then kind.
+    """doc_id, text, base, spans for each row: base spans, and all spans with credentials and disclosing terms. Spans are by start, then kind.
 
     Null text counts as empty. Rows of one id stay apart; equal rows get equal spans. Null ids are kept. Other columns are
     not read. An empty table gives no rows.
     """
-    text = whole(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("text"))
-    found = rows.withColumn("spans", base_spans(F.col("text")))
-    terms = _small(disclosing_terms(found.filter(F.size("spans") > 0), rows, disclosure, least).select("term").distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
+    found = rows.withColumn("spans", base_spans(F.col("text"))).withColumn("secrets", secret_spans(F.col("text")))
+    entities = found.select("row", "text", F.array_sort(F.concat("spans", "secrets")).alias("spans")).filter(F.size("spans") > 0)
+    entities = written(entities.dropDuplicates(["row"]), "entity-rows")  # the texts with an entity, found in one pass
+    terms = _small(disclosing_terms(entities, rows, disclosure, least).select("term").distinct())
+    protected = F.concat("spans", "secrets")
     if terms is None:
-        return found.select("doc_id", "text", F.col("spans").alias("base"), "spans")
+        return found.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(protected).alias("spans"))
     held = written(_held_terms(rows, terms, least), "held-terms").withColumnRenamed("row", "_row")
     out = found.join(held, F.col("row") == F.col("_row"), "left")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     extra = F.when(F.col("terms").isNotNull(), _found(ascii_lower(F.col("text")), pattern, F.lit(KINDS.index("term")))).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    return out.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(F.concat("spans", extra)).alias("spans"))
+    return out.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(F.concat(protected, extra)).alias("spans"))
 
 
 def _small(terms: DataFrame) -> DataFrame | None:
@@ -155,12 +179,15 @@ def spelled(spans: Column) -> Column:
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span generalised to its kind in brackets, disclosing terms removed; of overlapping spans the first counts."""
-    name = lambda s: F.element_at(F.array(*map(F.lit, [*(f"[{k}]" for k in PATTERNS), ""])), s["rank"] + 1)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    names = F.array(*[F.lit("" if k == "term" else f"[{k}]") for k in KINDS])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,start:int,end:int,rank:int>>").alias("kept"))
 
     def step(a: Column, s: Column) -> Column:
-        between = F.substring(text, a["at"] + 1, s["start"] - a["at"])
+        own = F.array(F.struct(a["at"].alias("begin"), s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank")))
         go = s["start"] >= a["at"]
-        return F.struct(F.when(go, s["end"]).otherwise(a["at"]).alias("at"), F.when(go, F.concat(a["out"], between, name(s))).otherwise(a["out"]).alias("out"))
+        return F.struct(F.when(go, s["end"]).otherwise(a["at"]).alias("at"), F.when(go, F.concat(a["kept"], own)).otherwise(a["kept"]).alias("kept"))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
+    kept = F.aggregate(spans, start, step)
+    part = lambda k: F.concat(F.substring(text, k["begin"] + 1, k["start"] - k["begin"]), F.element_at(names, k["rank"] + 1))
+    whole_text = F.concat(F.array_join(F.transform(kept["kept"], part), ""), F.substring(text, kept["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(whole_text)

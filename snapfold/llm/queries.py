@@ -30,7 +30,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(documents(spark, sf_dir), quality.held_out(F.col("doc_id"), 10))
+    return katz.score_documents(documents(spark, sf_dir), quality.held_out(F.col("doc_id"), 10), stable=True)
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,11 @@ def _of_rank(rank: int) -> Callable[[Column], Column]:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_personal_data(documents(spark, sf_dir))
     counts = [F.size(F.filter("base", _of_rank(r))).cast("long").alias(f"n_{kind}") for r, kind in enumerate(personal_data.PATTERNS)]
-    return found.select("doc_id", *counts, F.sha2(personal_data.spelled(F.col("base")), 256).alias("base_sha256"), personal_data.spelled(F.col("spans")).alias("spans"))
+    term = F.size(F.filter("spans", _of_rank(personal_data.KINDS.index("term")))).cast("long")
+    return found.select(
+        "doc_id", *counts, F.sha2(personal_data.spelled(F.col("base")), 256).alias("base_sha256"), personal_data.spelled(F.col("spans")).alias("spans"),
+        (F.size("spans") - term).cast("long").alias("n_protected"), term.alias("n_terms"), F.sha2(personal_data.sanitised(F.col("text"), F.col("spans")), 256).alias("sanitised_sha256"),
+    )
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
