@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 1024, 12, 16384
 #: Digest lengths in bytes, tried in turn until no two contents share a digest.
 DIGESTS = (16, 32, 64)
+#: A group of more than one row in HOT_SHARE, HOT_LEAST rows and at most HOT_CHUNKS chunks is broadcast: 64 MB of recipes at most.
+HOT_SHARE, HOT_LEAST, HOT_CHUNKS = 1000, 64, 4096
 _TABLE = np.random.default_rng(20240131).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -112,11 +114,17 @@ def exact_duplicates(docs: DataFrame, normal: F.Column | None = None, id_col: st
     `normal` is the text to compare, as a Column (default: the text as it is). Null counts as empty; empty texts equal one
     another. Rows with the same id and text are copies: one of them is kept. A null id is below all others; keep_id is
     null only where a group has no other id. Other columns are not read.
+
+    Recipes are written once. Groups are summed up before they meet, and a group with more than its share of all rows
+    (one in HOT_SHARE, so there are fewer than HOT_SHARE of them) is broadcast: its rows stay where they are.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(text_col) if normal is None else normal).alias("text"))
     size = verified_size(texts, sizes)
-    recipes = texts.mapInArrow(partial(_recipes, size=size), "doc_id long, recipe array<binary>, text_sha256 string")
+    recipes = written(texts.mapInArrow(partial(_recipes, size=size), "doc_id long, recipe array<binary>, text_sha256 string"), "recipes")
     rows = recipes.groupBy("recipe", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.first("text_sha256").alias("text_sha256"))
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    out = rows.join(groups, "recipe").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    groups = written(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
+    large = (F.col("group_size") > max(HOT_LEAST, recipes.count() // HOT_SHARE)) & (F.size("recipe") <= HOT_CHUNKS)
+    hot = F.broadcast(groups.filter(large))
+    out = rows.join(hot, "recipe").unionByName(rows.join(hot.select("recipe"), "recipe", "left_anti").join(groups.filter(~large), "recipe"))
+    out = out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")

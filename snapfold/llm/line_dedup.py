@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, whole
+from .common import SPACES, ascii_lower, whole, written
 
-SAMPLED_DOCS = 20_000
+SAMPLED_DOCS = 50_000
 #: A key in this share of the sampled documents, and in HOT_LEAST of them, is hot.
-HOT_SHARE, HOT_LEAST, HOT_KEYS = 0.005, 20, 2000
+HOT_SHARE, HOT_LEAST, HOT_KEYS = 0.001, 20, 2000
 #: Lines to a word of the bitmap.
 WORD = 32
 
@@ -31,19 +31,19 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     return at.select("doc_id", "row", "pos", F.col("hash.h1").alias("h1"), F.col("hash.h2").alias("h2"))
 
 
-def _hot_keys(docs: DataFrame, least: int) -> DataFrame:
-    """h1, h2 of keys that the sample shows in very many documents: HOT_KEYS rows at most."""
-    total = docs.count()
-    share = min(1.0, SAMPLED_DOCS / max(1, total))
-    seen = _occurrences(docs.sample(False, share, 17), least).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    hot = seen.filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * share * total)).orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS)
-    return docs.sparkSession.createDataFrame(hot.select("h1", "h2").collect(), "h1 long, h2 long")
+def _hot_keys(occurrences: DataFrame, docs: int) -> DataFrame:
+    """h1, h2 of keys that a sample of the documents shows in very many of them: HOT_KEYS rows at most."""
+    share = min(1.0, SAMPLED_DOCS / max(1, docs))
+    sampled = F.pmod(F.xxhash64(F.lit(17), "doc_id", "row"), F.lit(1 << 30)) < int(share * (1 << 30))
+    seen = occurrences.filter(sampled).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    hot = seen.filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * share * docs)).orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS)
+    return occurrences.sparkSession.createDataFrame(hot.select("h1", "h2").collect(), "h1 long, h2 long")
 
 
 def dropped_lines(docs: DataFrame, least: int = 20, copies: int = 3) -> DataFrame:
-    """doc_id, row, pos of each line to drop. docs: doc_id, row, text (not null)."""
-    occurrences = _occurrences(docs, least)
-    hot = _hot_keys(docs, least)
+    """doc_id, row, pos of each line to drop. docs: doc_id, row, text (not null). Lines are cut and hashed once and written."""
+    occurrences = written(_occurrences(docs, least), "occurrences")
+    hot = _hot_keys(occurrences, docs.count())
 
     stats = (
         occurrences.join(F.broadcast(hot), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)))
@@ -78,14 +78,21 @@ def keep_bitmaps(docs: DataFrame, least: int = 20, copies: int = 3) -> DataFrame
     return words.groupBy("doc_id", "row").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.collect_list(entry)).alias("kept"))
 
 
-def kept_text(text: Column, kept: Column) -> Column:
-    """The lines that the bitmap keeps, joined again; the text itself where there is no bitmap."""
+def dense(kept: Column) -> Column:
+    """The bitmap as an array of words up to the last one that it has; words that it leaves out have all bits set."""
+    words = F.array_sort(F.map_entries(kept))
+    before = lambda i: F.coalesce(F.get(words, i - 1)["key"], F.lit(-1))
+    return F.flatten(F.transform(words, lambda w, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), w["key"] - before(i) - 1), F.array(w["value"]))))
+
+
+def kept_text(text: Column, words: Column) -> Column:
+    """The lines that a dense() bitmap keeps, joined again; the text itself where there is none."""
 
     def stays(line: Column, i: Column) -> Column:
-        word = F.coalesce(F.element_at(kept, F.floor(i / WORD).cast("int")), F.lit(-1).cast("long"))
+        word = F.coalesce(F.get(words, F.floor(i / WORD).cast("int")), F.lit(-1).cast("long"))
         return F.getbit(word, i % WORD) == 1
 
-    return F.when(kept.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
+    return F.when(words.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -97,7 +104,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, id_col: str =
     document below all others. A text that loses every line becomes ''. No rows are lost; an empty table gives none.
     """
     base = identified(docs, id_col, text_col)
-    maps = keep_bitmaps(base, least, copies)
+    maps = keep_bitmaps(base, least, copies).withColumn("kept", dense(F.col("kept")))
     own = docs.select(*[F.col(c).alias(f"_carry_{c}") for c in carry], F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
     maps = maps.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
     joined = own.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left")

@@ -130,11 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Forest:
     """A forest from the labelled rows of docs. docs: doc_id, text; labels: doc_id, quality (0 or 1).
 
     At most `most` labelled ids, those of least hash, are used: the one bounded sample. Labels that are null or of null
-    id are passed over; an id with several labels counts once, with the largest.
+    id are passed over; an id with several labels counts once, with the largest, and of an id with several texts that of the
+    least hash counts.
     """
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_features, "x array<double>, quality int").collect()
+    each = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` ids
+    each = each.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = each.select("text", "quality").mapInArrow(_features, "x array<double>, quality int").collect()
     if not rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array([r.x for r in rows]), np.array([r.quality for r in rows], float)
