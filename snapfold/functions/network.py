@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Spelling -> canonical state.
 STATES = {
@@ -90,7 +91,7 @@ def ipv4_number(value: Column) -> Column:
     return F.when(sound, reduce(lambda a, i: a * 256 + F.get(octets, F.lit(i)).cast("long"), range(1, 4), F.get(octets, F.lit(0)).cast("long")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6_text(values: pd.Series) -> pd.Series:
     """The shortest form of IPv6 addresses, a prefix kept; what is none comes back as it is."""
 

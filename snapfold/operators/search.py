@@ -56,13 +56,21 @@ def excerpt(text: Column, pattern: str, before: int = 200, length: int = 1200, d
     return F.when(at > 0, F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(length))).otherwise(F.left(text, F.lit(default)))
 
 
-def query_evidence(df: DataFrame, pattern: str, *, device: str | None = None, text: str = "raw_output", limit: int = 50) -> DataFrame:
-    """The first `limit` texts that hold the pattern, newest snapshot first, as excerpts."""
+def query_evidence(df: DataFrame, pattern: str, *, device: str | None = None, snapshot_id: str | None = None, time: str | None = None, as_of: str | None = None, span: str | int = "last_24h", text: str = "raw_output", limit: int = 50) -> DataFrame:
+    """The first `limit` texts that hold the pattern, newest snapshot first, as excerpts.
+
+    df is any source of evidence: outputs, configurations or logs, with device_name, command, snapshot_id and a text column.
+    A device, a snapshot, or a range of a time column up to as_of narrows it.
+    """
     if not pattern.strip():
         raise ValueError("an empty pattern")
     rows = df.filter(F.contains(F.lower(text), F.lit(pattern.lower())))
     if device:
         rows = rows.filter(F.col("device_name") == device)
+    if snapshot_id:
+        rows = rows.filter(F.col("snapshot_id") == snapshot_id)
+    if time and as_of:
+        rows = since(rows, time, as_of, span)
     out = rows.select("device_name", "command", "snapshot_id", excerpt(F.col(text), pattern).alias("excerpt"))
     return out.orderBy(F.desc("snapshot_id"), "device_name", "command", "excerpt").limit(limit)
 

@@ -53,6 +53,7 @@ def build_devices(facts: DataFrame, inventory: DataFrame) -> DataFrame:
         "hostname", first_present(F.col("ip_address"), F.col("f_ip_address")).alias("ip_address"), platform.alias("platform"), "site", F.coalesce(own_role, derived).alias("role"),
         F.when(own_role.isNotNull(), "inventory").when(derived.isNotNull(), "hostname").alias("role_source"), vendor_of(platform).alias("vendor"),
         first_present(F.col("f_model"), F.col("f_pid")).alias("model"), F.col("f_os_version").alias("os_version"),
+        F.to_json(F.struct(F.col("f_platform").alias("seen_platform"), F.col("f_pid").alias("pid"), F.col("f_ip_address").alias("seen_ip"))).alias("metadata"),
     )
 
 
@@ -123,21 +124,51 @@ def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Seq
             return labels
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """For each scenario that removes devices: components, largest one and isolated devices of what is left.
+def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """For each scenario that removes devices and links: components, largest one and isolated devices of what is left, and before.
 
-    scenarios: scenario, device. All scenarios run at once, keyed by scenario; work is scenarios x graph.
+    scenarios: scenario, device; links: scenario, src, dst. The graph is labelled once. A scenario takes up again only the
+    components that it touches; all others count as they are. So work is what scenarios touch, not scenarios x graph.
     """
     spark = nodes.sparkSession
-    every = scenarios.select("scenario").distinct()
+    keyed = lambda df: df.withColumn("k", F.lit(0))
+    known = nodes.select("node").distinct()
+    pairs = mirrored(edges).filter("src < dst")
+    labels = connected(spark, keyed(known), keyed(pairs), ["k"]).select("node", F.col("root").alias("comp"))
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).checkpoint()
     gone = scenarios.select("scenario", F.col("device").alias("node")).distinct()
-    left_nodes = nodes.select("node").distinct().crossJoin(_few(every)).join(gone, ["scenario", "node"], "left_anti")
-    left = mirrored(edges).filter("src < dst").crossJoin(_few(every))
+    hit = gone.select("scenario", "node")
+    if links is not None:
+        cut = links.select("scenario", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        hit = hit.union(cut.select("scenario", "src"))
+    touched = hit.join(labels, "node").select("scenario", "comp").distinct()
+    left_nodes = touched.join(labels, "comp").select("scenario", "node").join(gone, ["scenario", "node"], "left_anti")
+    inside = pairs.join(labels.withColumnRenamed("node", "src"), "src")
+    left = touched.join(inside, "comp").select("scenario", "src", "dst")
     for end in ("src", "dst"):
         left = left.join(gone.withColumnRenamed("node", end), ["scenario", end], "left_anti")
-    labels = connected(spark, left_nodes, left, ["scenario"])
-    sizes = labels.groupBy("scenario", "root").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("scenario").agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"), F.count_if(F.col("size") == 1).alias("isolated"))
+    if links is not None:
+        left = left.join(cut, ["scenario", "src", "dst"], "left_anti")
+    parts = connected(spark, left_nodes, left, ["scenario"]).groupBy("scenario", "root").agg(F.count(F.lit(1)).alias("size"))
+    new = parts.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("top"), F.count_if(F.col("size") == 1).alias("alone"))
+
+    # Components by size: the largest untouched one is the first rank that the scenario doesn't touch.
+    # No scenario touches more components than `most`, so the most + 1 largest hold one that it doesn't, if there is any.
+    most = touched.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    top = sizes.orderBy(F.desc("size"), "comp").limit(most + 1).checkpoint()
+    ranks = top.select("comp", F.row_number().over(Window.orderBy(F.desc("size"), "comp")).alias("rank"))  # most + 1 rows
+    ranked = touched.join(sizes, "comp").join(ranks, "comp", "left")
+    old = ranked.groupBy("scenario").agg(F.count(F.lit(1)).alias("t_n"), F.count_if(F.col("size") == 1).alias("t_alone"), F.array_sort(F.collect_set("rank")).alias("ranks"))
+    whole = sizes.agg(F.count(F.lit(1)).alias("components_before"), F.max("size").alias("largest_before"), F.count_if(F.col("size") == 1).alias("alone_before"))
+    every = scenarios.select("scenario") if links is None else scenarios.select("scenario").union(links.select("scenario"))
+    out = every.distinct().join(new, "scenario", "left").join(old, "scenario", "left").crossJoin(F.broadcast(whole))  # one row
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.coalesce(F.size("ranks"), F.lit(0)) + 1), F.coalesce("ranks", F.array().cast("array<int>"))))
+    out = out.withColumn("rank", free).join(top.join(ranks, "comp").select("rank", F.col("size").alias("untouched")), "rank", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(
+        "scenario", (F.col("components_before") - zero("t_n") + zero("n")).alias("components"), F.greatest(zero("top"), zero("untouched")).alias("largest"),
+        (F.col("alone_before") - zero("t_alone") + zero("alone")).alias("isolated"), "components_before", "largest_before",
+    )
 
 
 def bfs_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = model(spark, sf_dir, "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     busiest = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(2)
-    return topology.blast_radius(nodes, e, busiest.select(F.col("src").alias("scenario"), F.col("src").alias("device")))
+    return topology.blast_radius(nodes, e, busiest.select(F.col("src").alias("scenario"), F.col("src").alias("device"))).select("scenario", "components", "largest", "isolated")
 
 
 @query()

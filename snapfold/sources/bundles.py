@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.text import sniff_platform
+
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     """host, file, text, length of every devices/<host>/<command>.txt under the path; dot files and _meta files are no outputs."""
@@ -32,24 +36,108 @@ def parse_headers(files: DataFrame) -> DataFrame:
     )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come bundle by bundle in order; only the running digest is held."""
+    now, digest, hosts, last, n = None, None, 0, None, 0
+    done: list[tuple] = []
+    for batch in batches:
+        for bundle, host, text in zip(*(batch.column(c).to_pylist() for c in ("bundle", "host", "text")), strict=True):
+            if digest is None or bundle != now:
+                done += [(now, digest.hexdigest(), hosts, n)] if digest else []
+                now, digest, hosts, last, n = bundle, hashlib.sha256(), 0, None, 0
+            digest.update((text or "").encode())
+            hosts, last, n = hosts + (host != last), host, n + 1
+    done += [(now, digest.hexdigest(), hosts, n)] if digest else []
+    yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["bundle", "sha256", "hosts", "commands"])
+
+
 def bundle_digest(files: DataFrame) -> DataFrame:
-    """sha256 over each bundle's texts by host, then file. files: bundle, host, file, text. A bundle is one digest, so one task; bundles run in parallel."""
+    """sha256 over each bundle's texts by host, then file. files: bundle, host, file, text.
+
+    A bundle is one digest and so one task's work; its files stream through it in order, and none is held.
+    """
+    rows = files.select(F.col("bundle").cast("string").alias("bundle"), "host", "file", "text")
+    return rows.repartition("bundle").sortWithinPartitions("bundle", "host", "file").select("bundle", "host", "text").mapInArrow(_digests, "bundle string, sha256 string, hosts long, commands long")
+
+
+def _yaml(text: str | None) -> dict:
+    import yaml
+
+    try:
+        held = yaml.safe_load(text or "")
+    except yaml.YAMLError:
+        return {}
+    return held if isinstance(held, dict) else {}
+
+
+def _yaml_json(files: DataFrame) -> DataFrame:
+    """files with `held`, the YAML document of each as JSON; a broken one is {}. Each is small: a manifest, or one host's."""
+
+    @F.pandas_udf("string")
+    def held(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(_yaml(t), default=str))
+
+    return files.withColumn("held", held("text"))
+
+
+MANIFEST = "schema_version int, collector struct<name: string, version: string>, collected_at string, collected_by string, workspace_id string, hosts_collected int, hosts_failed int, redaction struct<pre_scrubbed: boolean, salt_fingerprint: string>, content_sha256 string, templates struct<count: int, sha256: string>"
+META = "hostname string, mgmt_ip string, platform string, vendor string, os_version string, model string, commands_attempted int, commands_succeeded int, commands_failed int, collected_at string"
+
+
+def read_yaml(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """path and the fields of schema of every YAML file of this name under the path. Fields that a file lacks are null."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(path)
+    rows = _yaml_json(files.select("path", F.decode("content", "UTF-8").alias("text")))
+    return rows.select("path", F.from_json("held", schema).alias("m")).select("path", "m.*")
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    return read_yaml(spark, path, "manifest.yaml", MANIFEST)
+
+
+def read_metas(spark: SparkSession, path: str) -> DataFrame:
+    return read_yaml(spark, path, "_meta.yaml", META)
+
+
+def with_meta(files: DataFrame, metas: DataFrame) -> DataFrame:
+    """files with platform, mgmt_ip and vendor of their host; hosts without a meta file have nulls."""
+    known = metas.groupBy(F.col("hostname").alias("host")).agg(*[F.min(c).alias(c) for c in ("platform", "mgmt_ip", "vendor")])
+    return files.join(known, "host", "left")
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """hostname, ip_address, platform, role, site, environment, groups, aliases, extra (a map) of each host in hosts.yaml files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "hosts.yaml").option("recursiveFileLookup", "true").load(path)
+    held = _yaml_json(files.select("path", F.decode("content", "UTF-8").alias("text"))).select(F.explode(F.from_json("held", "map<string,string>")).alias("hostname", "entry"))
+    data = F.from_json(F.get_json_object("entry", "$.data"), "map<string,string>")
+    value = lambda k: F.element_at("data", k)
+    own = ("role", "site", "environment", "aliases")
+    rows = held.select("hostname", F.get_json_object("entry", "$.hostname").alias("ip_address"), F.get_json_object("entry", "$.platform").alias("platform"), F.from_json(F.get_json_object("entry", "$.groups"), "array<string>").alias("groups"), F.coalesce(data, F.create_map().cast("map<string,string>")).alias("data"))
+    return rows.select("hostname", "ip_address", "platform", *[value(c).alias(c) for c in own[:3]], "groups", F.from_json(value("aliases"), "array<string>").alias("aliases"), F.map_filter("data", lambda k, _: ~k.isin(*own)).alias("extra"))
+
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        digest = hashlib.sha256()
-        for text in pdf.sort_values(["host", "file"])["text"].fillna(""):
-            digest.update(text.encode())
-        return pd.DataFrame({"bundle": [pdf["bundle"].iloc[0]], "sha256": [digest.hexdigest()], "hosts": [pdf["host"].nunique()], "commands": [len(pdf)]})
+def dump_facts(dump: DataFrame) -> DataFrame:
+    """host, platform, mgmt_ip of a command-major dump: the first banner that names a platform, the first address of the interface brief."""
+    address = F.regexp_extract("text", r"\b(\d{1,3}(?:\.\d{1,3}){3})\b", 1)
+    brief = F.when(F.col("command").rlike("interfaces? brief|interfaces terse") & (address != ""), address)
+    named = F.min(F.when(sniff_platform(F.col("text")).isNotNull(), F.struct("command", sniff_platform(F.col("text")).alias("p"))))
+    return dump.groupBy("host").agg(named["p"].alias("platform"), F.min(F.when(brief.isNotNull(), F.struct("command", brief.alias("ip"))))["ip"].alias("mgmt_ip"))
 
-    return files.groupBy("bundle").applyInPandas(work, "bundle string, sha256 string, hosts long, commands long")
 
+def validate_bundles(digests: DataFrame, manifests: DataFrame, allowed_templates: DataFrame | None = None) -> DataFrame:
+    """bundle, errors, warnings. manifests: bundle, content_sha256, hosts_collected and, if given, templates (count, sha256).
 
-def validate_bundles(digests: DataFrame, manifests: DataFrame) -> DataFrame:
-    """bundle, errors, warnings. manifests: bundle, content_sha256, hosts_collected."""
+    With allowed_templates (sha256, count) a bundle's template set must be one of them (error) and of its size (warning).
+    """
     both = manifests.join(digests, "bundle", "left")
-    errors = F.array_compact(F.array(F.when(F.coalesce("commands", F.lit(0)) == 0, "empty tree"), F.when(F.col("sha256") != F.col("content_sha256"), "digest differs")))
-    warnings = F.array_compact(F.array(F.when(F.col("hosts") != F.col("hosts_collected"), "host count differs")))
-    return both.select("bundle", errors.alias("errors"), warnings.alias("warnings"))
+    errors = [F.when(F.coalesce("commands", F.lit(0)) == 0, "empty tree"), F.when(F.col("sha256") != F.col("content_sha256"), "digest differs")]
+    warnings = [F.when(F.col("hosts") != F.col("hosts_collected"), "host count differs")]
+    if allowed_templates is not None:
+        known = allowed_templates.groupBy(F.col("sha256").alias("_set")).agg(F.max("count").alias("_count"))
+        both = both.join(known, F.col("templates.sha256") == F.col("_set"), "left")
+        errors.append(F.when(F.col("templates.sha256").isNotNull() & F.col("_set").isNull(), "unknown templates"))
+        warnings.append(F.when(F.col("_count") != F.col("templates.count"), "template count differs"))
+    return both.select("bundle", F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
 def expand_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -88,9 +176,16 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(path)
 
 
-def survey(files: DataFrame) -> DataFrame:
-    """bundle, format, hosts, files from a listing (bundle, path)."""
+def survey(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """bundle, format, hosts, files from a listing (bundle, path); with texts (bundle, host, text) also the platform most of its hosts
+    speak of, and how many hosts speak of none."""
     has = lambda p: F.max(F.col("path").rlike(p).cast("int")) == 1
     kind = F.when(has(r"devices/[^/]+/[^/]+\.txt$"), "canonical").when(has(r"network_data/"), "vendor_dump").when(has(r"router\.db$"), "rancid").when(has(r"(?i)tech-?support"), "tech_support").otherwise("unknown")
     host = F.regexp_extract("path", r"devices/([^/]+)/", 1)
-    return files.groupBy("bundle").agg(kind.alias("format"), F.count_distinct(F.when(host != "", host)).alias("hosts"), F.count(F.lit(1)).alias("files"))
+    out = files.groupBy("bundle").agg(kind.alias("format"), F.count_distinct(F.when(host != "", host)).alias("hosts"), F.count(F.lit(1)).alias("files"))
+    if texts is None:
+        return out
+    each = texts.groupBy("bundle", "host").agg(F.min(sniff_platform(F.col("text"))).alias("platform"))
+    votes = each.groupBy("bundle", "platform").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.when(F.col("platform").isNotNull(), F.struct("n", "platform")))["platform"].alias("platform_guess")
+    return out.join(votes.groupBy("bundle").agg(best, F.coalesce(F.sum(F.when(F.col("platform").isNull(), F.col("n"))), F.lit(0)).alias("undetected")), "bundle", "left")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.tables import latest_per_key
 
 
 def severity_windows(logs: DataFrame, width: str = "1 hour", late: str | None = None, slide: str | None = None) -> DataFrame:
@@ -23,9 +27,49 @@ def host_sessions(logs: DataFrame, gap: str = "30 minutes", late: str | None = N
 
 
 def dedup_in_flight(logs: DataFrame, keys: Sequence[str], late: str = "10 minutes") -> DataFrame:
+    """The first of equal rows (by these keys) that come within `late` of one another."""
     return logs.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def upsert_into(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """An upsert for land_stream(): the newest row of each key of a batch, in a folder of the batch's own number.
+
+    A batch that comes again writes the same folder again, so nothing lands twice. landed() reads the table.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        rows = latest_per_key(batch, keys, [F.desc(c) for c in order])
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return upsert
+
+
+def landed(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The newest row of each key over all batches."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return latest_per_key(rows, keys, [*[F.desc(c) for c in order], F.desc("batch")]).drop("batch")
+
+
+def flap_stream(events: DataFrame, by: Sequence[str], time: str, state: str) -> DataFrame:
+    """by and flaps so far, as a stream: how often the state has changed for each key, updated by every micro-batch.
+
+    The state kept for a key is its last state and its count; a batch's events are taken in order of time, then state.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in by) + ", flaps long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, flaps = held.get if held.exists else (None, 0)
+        every = pd.concat(list(batches)).sort_values([time, state])  # one key's events of one micro-batch
+        for now in every[state]:
+            flaps += last is not None and now != last
+            last = now
+        held.update((last, flaps))
+        yield pd.DataFrame({**{c: [v] for c, v in zip(by, key, strict=True)}, "flaps": [flaps]})
+
+    return events.groupBy(*by).applyInPandasWithState(step, schema, "last string, flaps long", "update", GroupStateTimeout.NoTimeout)
+
+
 def land_stream(staging: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Lands each micro-batch by an upsert that is idempotent by batch id, all that is there now."""
     return staging.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
