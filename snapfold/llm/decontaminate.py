@@ -133,7 +133,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, k: int = 5, similar
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     worded = rows.select("doc_id", "row", words_of(F.col("text")).alias("words"))
-    hits = _placed(worded, sizes).join(small(index), ["size", "shingle"]).groupBy("doc_id", "row", "size", "length").agg(F.collect_set("pos").alias("hits"))  # places in one document
+    hits = _placed(worded, sizes).join(small(index), ["size", "shingle"]).groupBy("doc_id", "row", "size", "length").agg(F.array_sort(F.collect_set("pos")).alias("hits"))  # places in one document
     parts = F.col("length") - F.col("size") + 1
     need = F.greatest(F.ceil(parts * similarity - 1e-9), F.lit(1)).cast("int")
     hits = written(hits.withColumn("parts", parts).withColumn("need", need).filter(F.size("hits") >= F.col("need")), "hits")
@@ -143,7 +143,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, k: int = 5, similar
     found = worded.join(near, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
     step = F.greatest(F.floor(F.col("parts") / STEPS), F.lit(1)).cast("int")
-    places = found.select("doc_id", "row", "size", "length", "words", F.explode(_starts(F.array_sort("hits"), F.col("parts"), F.col("need"), last, step)).alias("start"))
+    places = found.select("doc_id", "row", "size", "length", "words", F.explode(_starts(F.col("hits"), F.col("parts"), F.col("need"), last, step)).alias("start"))
     # Words are cut first, so that whole texts stay out of the shuffle; rows that repeat an id and a text give their windows once.
     windows = places.select("doc_id", "row", "size", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
     windows = written(windows.dropDuplicates(["doc_id", "row", "length", "start"]), "windows")

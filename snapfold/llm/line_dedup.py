@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, whole, written
+from .common import SPACES, ascii_lower, let, whole, written
 
 SAMPLED_DOCS = 50_000
 #: A key in this share of the sampled documents, and in HOT_LEAST of them, is hot.
@@ -80,9 +80,11 @@ def keep_bitmaps(docs: DataFrame, least: int = 20, copies: int = 3) -> DataFrame
 
 def dense(kept: Column) -> Column:
     """The bitmap as an array of words up to the last one that it has; words that it leaves out have all bits set."""
-    words = F.array_sort(F.map_entries(kept))
-    before = lambda i: F.coalesce(F.get(words, i - 1)["key"], F.lit(-1))
-    return F.flatten(F.transform(words, lambda w, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), w["key"] - before(i) - 1), F.array(w["value"]))))
+    def filled(words: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(words, i - 1)["key"], F.lit(-1))
+        return F.flatten(F.transform(words, lambda w, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), w["key"] - before(i) - 1), F.array(w["value"]))))
+
+    return let(F.array_sort(F.map_entries(kept)), filled)
 
 
 def kept_text(text: Column, words: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, whole, written
+from .common import ascii_lower, let, whole, written
 
 #: Fixed patterns. Possessive repeats match the same strings as greedy ones here, as nothing follows them that they could give back;
 #: shorter digit runs than a card's are left out by the pattern, as they would be dropped.
@@ -59,22 +59,23 @@ def _found(text: Column, pattern: Column, rank: Column) -> Column:
     length = lambda m: m["gap"] + F.length(m["value"])
     none = F.expr(f"cast(array() as {SPAN})")
 
-    def spans(matches: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(matches))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(1), F.size(matches), width), lambda at: F.slice(matches, at, width))
+    def step(a: Column, m: Column) -> Column:
+        begin = a["at"] + m["gap"]
+        end = a["at"] + length(m)
+        span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), m["value"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+
+    def laid(blocks: Column) -> Column:
         sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, m: a + length(m)))
         starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        run = lambda at, b: F.aggregate(b, F.struct(at.alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: run(F.get(at, i), b))))
 
-        def step(a: Column, m: Column) -> Column:
-            begin = a["at"] + m["gap"]
-            end = a["at"] + length(m)
-            span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), m["value"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
-
-        run = lambda b, i: F.aggregate(b, F.struct(F.get(starts, i).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
-        return F.flatten(F.transform(blocks, run))
+    def spans(matches: Column) -> Column:
+        cut = lambda width: F.transform(F.sequence(F.lit(1), F.size(matches), width), lambda at: F.slice(matches, at, width))
+        return let(F.ceil(F.sqrt(F.size(matches))).cast("int"), lambda width: let(cut(width), laid))
 
-    return F.when(F.size(both) > 0, spans(both)).otherwise(none)
+    return let(both, lambda matches: F.when(F.size(matches) > 0, spans(matches)).otherwise(none))
 
 
 def base_spans(text: Column) -> Column:
