@@ -50,23 +50,30 @@ def config_line_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], tex
     return both.groupBy(*keys).agg(F.sum(F.greatest(more, F.lit(0))).alias("added"), F.sum(F.greatest(-more, F.lit(0))).alias("removed"))
 
 
-def unified_diffs(pairs: DataFrame, old: str, new: str, context_lines: int = 3, compact: int = 40) -> DataFrame:
-    """pairs with `diff`, its added and removed lines and a summary; diffs over `compact` lines keep their head. Each pair is one row of one task."""
+def unified_diffs(pairs: DataFrame, old: str, new: str, context_lines: int = 3, compact: int | None = None) -> DataFrame:
+    """pairs with `diff`, full_line_count, its added and removed lines and a summary.
+
+    The whole diff is given; with `compact`, one of more lines keeps its head and a note of how many it has. Pairs are rows
+    of their own and spread as such; finding the longest common runs of one pair is the small part that difflib does.
+    """
     schema = pairs.drop(old, new)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
+    names = ("diff", "full_line_count", "added", "removed", "summary")
+
+    def one(a: str, b: str) -> tuple[str, int, int, int, str]:
+        lines = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=context_lines))
+        real = [x for x in lines if not any(m in x.lower() for m in METADATA)]
+        added = sum(x.startswith("+") and not x.startswith("+++") for x in real)
+        removed = sum(x.startswith("-") and not x.startswith("---") for x in real)
+        shown = lines if compact is None or len(lines) <= compact else [*lines[:compact], f"... ({len(lines)} lines in all)"]
+        return "\n".join(shown), len(lines), added, removed, f"{added + removed} lines changed ({added - removed:+d})"
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for a, b in zip(pdf[old].fillna(""), pdf[new].fillna(""), strict=True):
-                lines = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=context_lines))
-                real = [x for x in lines if not any(m in x.lower() for m in METADATA)]
-                added = sum(x.startswith("+") and not x.startswith("+++") for x in real)
-                removed = sum(x.startswith("-") and not x.startswith("---") for x in real)
-                out.append(("\n".join(lines[:compact]), added, removed, f"{added + removed} lines changed ({added - removed:+d})"))
-            yield pdf.drop(columns=[old, new]).assign(**dict(zip(("diff", "added", "removed", "summary"), zip(*out, strict=True), strict=True)) if out else {"diff": "", "added": 0, "removed": 0, "summary": ""})
-
-    return pairs.mapInPandas(work, f"{fields}, diff string, added long, removed long, summary string")
+            out = pd.DataFrame([one(a, b) for a, b in zip(pdf[old].fillna(""), pdf[new].fillna(""), strict=True)], columns=list(names))
+            yield pd.concat([pdf.drop(columns=[old, new]).reset_index(drop=True), out], axis=1)
+
+    return pairs.mapInPandas(work, f"{fields}, diff string, full_line_count long, added long, removed long, summary string")
 
 
 def extract_sections(text: Column, sections: Sequence[str]) -> Column:

@@ -78,10 +78,10 @@ def link_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as JSON lists, one per device, snapshot and command."""
+    """Each session as an output of its own: a JSON list of one object."""
     s = model(spark, sf_dir, "sessions")
-    rows = F.array_sort(F.collect_list(F.struct("ok", "ln", "neighbor", "state", "interface", "seen")))
-    return s.groupBy("device_name", "snapshot_id").agg(F.to_json(F.transform(rows, lambda r: F.struct(r["neighbor"].alias("neighbor"), r["state"].alias("state"), r["interface"].alias("interface")))).alias("parsed_data")).withColumn("command", F.lit("show ip bgp summary"))
+    one = F.to_json(F.array(F.struct("neighbor", "state", "interface")))
+    return s.select("device_name", "snapshot_id", one.alias("parsed_data"), F.lit("show ip bgp summary").alias("command"))
 
 
 @query(cte("sessions") + """, latest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name) AS newest FROM sessions)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.text import sniff_platform
 
@@ -73,7 +75,7 @@ def _yaml(text: str | None) -> dict:
 def _yaml_json(files: DataFrame) -> DataFrame:
     """files with `held`, the YAML document of each as JSON; a broken one is {}. Each is small: a manifest, or one host's."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def held(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: json.dumps(_yaml(t), default=str))
 
@@ -96,7 +98,28 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metas(spark: SparkSession, path: str) -> DataFrame:
-    return read_yaml(spark, path, "_meta.yaml", META)
+    """path and the fields of META of the _meta.yaml beside each host's outputs.
+
+    Spark's readers pass over names that begin with an underscore, so tasks open these small files themselves, one for each
+    host folder that the listing of the outputs names.
+    """
+
+    @F.pandas_udf(StringType())
+    def held(folders: pd.Series) -> pd.Series:
+        from pyarrow import fs
+
+        def one(folder: str) -> str | None:
+            system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder) + "/_meta.yaml")
+            if system.get_file_info(at).type == fs.FileType.NotFound:
+                return None
+            with system.open_input_stream(at) as f:
+                return json.dumps(_yaml(f.read().decode("utf-8", "replace")), default=str)
+
+        return folders.map(one)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+    folders = files.select(F.regexp_extract("path", r"^(.*/devices/[^/]+)/[^/]+$", 1).alias("path")).filter("path <> ''").distinct()
+    return folders.select("path", F.from_json(held("path"), META).alias("m")).filter("m is not null").select("path", "m.*")
 
 
 def with_meta(files: DataFrame, metas: DataFrame) -> DataFrame:

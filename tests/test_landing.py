@@ -214,7 +214,7 @@ def test_plan_check_of_wide_subnets_and_interfaces(spark):
 
 
 def test_secrets_that_look_like_patterns(spark):
-    value = spark.createDataFrame([(r"password a\Eb.*c\nsecret $1",)], "x string").select(text.redact_text(F.col("x"), "s").alias("y")).first().y
+    value = spark.createDataFrame([("password a\\Eb.*c\nsecret $1",)], "x string").select(text.redact_text(F.col("x"), "s").alias("y")).first().y
     assert r"\E" not in value and value.count("removed_") == 2
     doc = spark.createDataFrame([(json.dumps({"my_apikey": "k", "credentials": "c", "passwd": 5, "auth_header": "h", "tokens_in": 3}),)], "j string")
     assert json.loads(text.redact_json(doc, "j").first().j) == {"my_apikey": "REDACTED", "credentials": "REDACTED", "passwd": "REDACTED", "auth_header": "REDACTED", "tokens_in": 3}
