@@ -166,6 +166,21 @@ def command_slug(value: Column) -> Column:
     return F.left(F.regexp_replace(F.lower(F.trim(value)), "[ /]", "_"), F.lit(60))
 
 
+def file_slug(value: Column) -> Column:
+    """A file name of a command: lower case, all but letters, digits, dots and dashes as one underscore."""
+    return F.btrim(F.regexp_replace(F.lower(F.trim(value)), "[^a-z0-9.-]+", "_"), F.lit("_"))
+
+
+def snapshot_id(at: Column, workspace: str = "unknown") -> Column:
+    """snap_20240131_235959_<workspace>."""
+    return F.concat(F.lit("snap_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(f"_{workspace}"))
+
+
+def snapshot_time(value: Column) -> Column:
+    """The time in a snapshot's id, null if there is none."""
+    return F.try_to_timestamp(F.regexp_extract(value, r"^snap_(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")
+
+
 def clean_text(value: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(value, PAGE_MARK, ""), "\n{3,}", "\n\n")
     return F.btrim(text, F.lit(" \t\n\r"))

@@ -66,6 +66,25 @@ def policy_walk(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> Da
     return out.select("request", F.col("won.seq").alias("seq"), outcome.alias("outcome"))
 
 
+def policy_trace(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> DataFrame:
+    """request, seq, place, action, reason, won, sets: the clauses that policy_walk() looks at, up to the one that decides.
+
+    reason: no match lines, all match lines hold, or the first line by name that does not. sets are those of a permitting winner.
+    """
+    place = F.col("place") if "place" in clauses.columns else F.lit(0)
+    told = truth.groupBy("request").agg(F.count(F.lit(1)).alias("told"))
+    kept = F.col("sets") if "sets" in clauses.columns else F.array().cast("array<string>")
+    lines = requests.join(clauses.withColumns({"place": place, "sets": kept}), ["device", "policy"]).select("request", "seq", "place", "action", F.array_join("sets", "\n").alias("sets"), F.explode_outer("matches").alias("condition"))
+    judged = lines.join(truth, ["request", "condition"], "left").join(told, "request", "left")
+    fails = F.col("condition").isNotNull() & F.col("told").isNotNull() & ~F.coalesce("holds", F.lit(False))
+    each = judged.groupBy("request", "seq", "place", "action", "sets").agg(F.min(F.when(fails, F.col("condition"))).alias("failed"), F.max("condition").alias("any"))
+    won = F.min(F.when(F.col("failed").isNull(), F.struct("seq", "place"))).over(Window.partitionBy("request"))
+    looked = each.withColumn("_won", won).filter(F.col("_won").isNull() | (F.struct("seq", "place") <= F.col("_won")))
+    reason = F.when(F.col("any").isNull(), "no match lines").when(F.col("failed").isNull(), "all match lines hold").otherwise(F.concat(F.lit("fails: "), "failed"))
+    sets = F.when(F.col("failed").isNull() & (F.col("action") == "permit") & (F.col("sets") != ""), F.split("sets", "\n")).otherwise(F.array().cast("array<string>"))
+    return looked.select("request", "seq", "place", "action", reason.alias("reason"), F.col("failed").isNull().alias("won"), sets.alias("sets"))
+
+
 def best_path(paths: DataFrame, by: tuple[str, ...] = ("device", "prefix")) -> DataFrame:
     """The winning path per device and prefix: weight, local preference, local origin, AS path length, origin, MED within one AS, then type, metric, router id."""
     least_med = F.min("med").over(Window.partitionBy(*by, "neighbor_as"))

@@ -74,3 +74,19 @@ def stamp_bundle(raw: DataFrame, snapshot_id: str, bundle_id: str, sha256: str,
     own = F.col("snapshot_id") == snapshot_id
     values = {"bundle_id": bundle_id, "bundle_sha256": sha256, "ingested_via": via}
     return raw.withColumns({c: F.when(own, F.lit(v)).otherwise(F.col(c) if c in raw.columns else F.lit(None).cast("string")) for c, v in values.items()})
+
+
+def inventory_shape(devices: DataFrame, raw: DataFrame, status: str = "active") -> DataFrame:
+    """name, role, site, status, snapshot_id: devices in the shape of an inventory import, under the newest snapshot (one row)."""
+    last = raw.agg(F.max("snapshot_id").alias("snapshot_id"))
+    rows = devices.select(F.col("hostname").alias("name"), F.coalesce("role", F.lit("")).alias("role"), "site", F.lit(status).alias("status"))
+    return rows.crossJoin(F.broadcast(last))
+
+
+def export_inventory(devices: DataFrame, raw: DataFrame, path: str) -> None:
+    inventory_shape(devices, raw).write.option("header", True).csv(path)
+
+
+def prefer_first(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The rows of first, and those of second whose key first doesn't have; columns are aligned by name, missing ones null."""
+    return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)

@@ -197,15 +197,32 @@ def bfs_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
-def device_facts(devices: DataFrame, sessions: DataFrame) -> DataFrame:
-    """hostname, platform, loopback, local_as, role with each fact from its first source: inventory, own sessions, peers' sessions.
+# Words in a role that make a device a router, for the last step of device_facts().
+ROUTER_ROLES = ["border", "core", "router", "edge", "spine", "leaf"]
 
-    sessions: device, loopback, local_as, peer_ip, remote_as. What a peer calls a device's AS counts where the device says none.
+
+def device_facts(devices: DataFrame, sessions: DataFrame, text_ids: DataFrame | None = None) -> DataFrame:
+    """hostname, platform, loopback, local_as, role with each fact from its first source.
+
+    The sources: inventory, own sessions, what the device's texts say (text_ids: device_name, router_id, local_as), what peers
+    call a device's AS, and last, where all sessions have exactly one peer that is nobody's loopback, that peer for router
+    roles that still lack a fact. sessions: device, loopback, local_as, peer_ip, remote_as. Each step sees the state before it.
     """
     own = sessions.groupBy(F.col("device").alias("hostname")).agg(F.min("loopback").alias("s_loopback"), F.min("local_as").alias("s_as"))
-    base = devices.join(own, "hostname", "left").withColumn("loopback", F.coalesce("loopback", "s_loopback"))
+    base = devices.join(own, "hostname", "left")
+    if text_ids is not None:
+        base = base.join(text_ids.select(F.col("device_name").alias("hostname"), F.col("router_id").alias("t_loopback"), F.col("local_as").alias("t_as")), "hostname", "left")
+    else:
+        base = base.withColumns({"t_loopback": F.lit(None).cast("string"), "t_as": F.lit(None).cast("string")})
+    base = base.withColumns({"loopback": F.coalesce("loopback", "s_loopback", "t_loopback"), "own_as": F.coalesce(F.col("s_as").cast("string"), "t_as")})
     told = sessions.groupBy(F.col("peer_ip").alias("loopback")).agg(F.min("remote_as").alias("told_as"))
-    return base.join(told, "loopback", "left").select("hostname", "platform", "loopback", F.coalesce("s_as", "told_as").alias("local_as"), "role")
+    known = base.join(told, "loopback", "left").select("hostname", "platform", "loopback", F.coalesce("own_as", F.col("told_as").cast("string")).alias("local_as"), "role")
+    speakers = known.filter("local_as is not null").select(F.col("hostname").alias("device"))
+    strangers = sessions.filter("peer_ip is not null").join(known.select(F.col("loopback").alias("peer_ip")), "peer_ip", "left_anti").join(speakers, "device", "left_semi")
+    one = strangers.agg(F.count(F.lit(1)).alias("_n"), F.min("peer_ip").alias("_ip"), F.min("remote_as").cast("string").alias("_as"))  # one row
+    router = F.exists(F.lit(ROUTER_ROLES), lambda r: F.contains(F.lower(F.coalesce("role", F.lit(""))), r))
+    last = lambda c, guess: F.coalesce(c, F.when(router & (F.col("_n") == 1), F.col(guess))).alias(c)
+    return known.crossJoin(F.broadcast(one)).select("hostname", "platform", last("loopback", "_ip"), last("local_as", "_as").cast(sessions.schema["local_as"].dataType).alias("local_as"), "role")
 
 
 def overlay(edges: DataFrame, facts: DataFrame, sessions: DataFrame) -> DataFrame:

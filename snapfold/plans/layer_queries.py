@@ -234,3 +234,27 @@ def command_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view of one command, out of all views that are built at once from the parsed lists, each with its own typed columns."""
     built = views.build_views(model(spark, sf_dir, "outputs").select("device_name", "command", "snapshot_id", "parsed_data"))
     return built["v_show_ip_interface_brief_auto"].select("device_name", "snapshot_id", "interface", F.nullif("ip_address", F.lit("")).alias("ip_address"), "status")
+
+
+@query(cte("devices") + """ SELECT hostname, CASE role WHEN 'core' THEN 'router' WHEN 'border' THEN 'router' WHEN 'access' THEN 'switch' WHEN 'dist' THEN 'switch' ELSE 'router' END AS kind,
+        CASE role WHEN 'core' THEN 'router' WHEN 'border' THEN 'router' WHEN 'access' THEN 'switch' WHEN 'dist' THEN 'switch' ELSE 'firewall' END AS kind_of_fw FROM devices""")
+def device_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each device by role, else by its name (r17 is a router, x-fw2 a firewall)."""
+    d = model(spark, sf_dir, "devices")
+    return d.select("hostname", net.device_kind(F.col("hostname"), F.col("role")).alias("kind"), net.device_kind(F.concat(F.lit("x-fw"), F.substring("hostname", 2, 9)), F.col("role")).alias("kind_of_fw"))
+
+
+@query(cte("links", "sessions") + f", {SOURCES_SQL} SELECT protocol, status, CASE protocol WHEN 'bgp' THEN false WHEN 'ospf' THEN false ELSE status = 'up' END AS sound, count(*) AS n FROM u GROUP BY ALL")
+def edge_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the status of an edge is sound for its protocol."""
+    every = [df.withColumn("protocol", F.lit(p)) for p, df in _sources(spark, sf_dir).items()]
+    rows = reduce(DataFrame.unionByName, every)
+    return rows.groupBy("protocol", "status", net.edge_sound(F.col("protocol"), F.col("status")).alias("sound")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey AS k, 'snap_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_w' AS id, date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) AS at, lower(replace(replace(o_orderpriority, ' ', '_'), '/', '_')) AS slug FROM orders""")
+def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot ids written from times and read back, and slugs."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = net.snapshot_id(F.col("o_orderdate"), "w")
+    return o.select(F.col("o_orderkey").alias("k"), name.alias("id"), net.snapshot_time(name).alias("at"), net.command_slug(F.col("o_orderpriority")).alias("slug"))

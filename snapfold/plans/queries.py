@@ -129,7 +129,7 @@ def interface_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = model(spark, sf_dir, "sessions").select("device_name", "interface", "state")
     ios = s.filter("interface like 'Gi%' and state <> 'Idle'").select("device_name", "interface").distinct()
     junos = s.filter("interface like 'ge%'").select("device_name", "interface").distinct()
-    return ios.unionByName(junos.join(ios, "device_name", "left_anti"))
+    return tables.prefer_first(ios, junos, "device_name")
 
 
 _TWO = "(SELECT min(snapshot_id) FROM sessions WHERE snapshot_id >= 'snap_1995')", "(SELECT max(snapshot_id) FROM sessions)"
@@ -221,8 +221,8 @@ def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cte("raw") + r""" SELECT device_name, seq, regexp_extract(raw_output, '(?m)^router ospf (\d+)', 1) AS ospf, regexp_extract(raw_output, '(?m)^ network (\S+)', 1) AS network, len(regexp_extract_all(raw_output, '(?m)^route-map .*$')) AS stanzas FROM raw""")
 def config_regex_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda p: F.regexp_extract("raw_output", p, 1)
-    return model(spark, sf_dir, "raw").select("device_name", "seq", one(r"(?m)^router ospf (\d+)").alias("ospf"), one(r"(?m)^ network (\S+)").alias("network"), F.size(F.regexp_extract_all("raw_output", F.lit(r"(?m)^route-map .*$"), F.lit(0))).cast("long").alias("stanzas"))
+    facts = model(spark, sf_dir, "raw").select("device_name", "seq", text.config_facts(F.col("raw_output")).alias("f"))
+    return facts.select("device_name", "seq", "f.ospf", "f.network", F.size("f.route_maps").cast("long").alias("stanzas"))
 
 
 @query(cte("sessions", "devices") + """ SELECT device_name, snapshot_id, neighbor AS peer, state AS status FROM sessions WHERE device_name IN (SELECT hostname FROM devices WHERE vendor = 'cisco') AND state <> 'Idle' UNION ALL SELECT device_name, snapshot_id, neighbor, interface FROM sessions WHERE device_name IN (SELECT hostname FROM devices WHERE vendor = 'juniper')""")
@@ -301,6 +301,18 @@ def policy_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.policy_walk(maps, asked, truth)
 
 
+@query(cte("raw") + """ SELECT seq AS request, 10 AS clause, CASE WHEN seq % 4 = 3 THEN 'all match lines hold' ELSE 'fails: match community C' || (seq % 4) END AS reason, seq % 4 = 3 AS won, CASE WHEN seq % 4 = 3 THEN 'set metric ' || (seq % 50) ELSE '' END AS sets
+        FROM raw WHERE raw_output LIKE 'hostname%'
+    UNION ALL SELECT seq, 20, 'no match lines', true, '' FROM raw WHERE raw_output LIKE 'hostname%' AND seq % 4 <> 3""")
+def policy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each clause of each captured policy decides a route of community C3, or does not."""
+    raw = model(spark, sf_dir, "raw").select(F.col("seq").alias("device"), "raw_output")
+    asked = policy.bindings(raw, keys=("device",)).select(F.col("device").alias("request"), "device", "policy")
+    truth = asked.select("request", F.lit("match community C3").alias("condition"), F.lit(True).alias("holds"))
+    out = policy.policy_trace(policy.route_maps(raw, keys=("device",)), asked, truth)
+    return out.select("request", F.col("seq").alias("clause"), "reason", "won", F.array_join("sets", ",").alias("sets"))
+
+
 @query(cte("devices") + """, s AS (SELECT hostname, role, CASE lower(coalesce(role, '')) WHEN 'access' THEN 0 WHEN 'dist' THEN 1 WHEN 'wan' THEN 2 WHEN 'core' THEN 3 ELSE 1 END AS stage FROM devices WHERE model LIKE 'M1%') SELECT *, row_number() OVER (PARTITION BY stage ORDER BY role NULLS FIRST, hostname) AS place FROM s""")
 def rollout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rollout_plan(model(spark, sf_dir, "devices"), "M1%").withColumn("place", F.col("place").cast("long"))
@@ -317,9 +329,7 @@ def content_hash_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cte("devices", "raw") + """ SELECT hostname AS name, coalesce(role, '') AS role, site, 'active' AS status, (SELECT max(snapshot_id) FROM raw) AS snapshot_id FROM devices""")
 def inventory_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = model(spark, sf_dir, "raw").agg(F.max("snapshot_id").alias("snapshot_id"))
-    d = model(spark, sf_dir, "devices").select(F.col("hostname").alias("name"), F.coalesce("role", F.lit("")).alias("role"), "site", F.lit("active").alias("status"))
-    return d.crossJoin(F.broadcast(last))  # one row
+    return tables.inventory_shape(model(spark, sf_dir, "devices"), model(spark, sf_dir, "raw"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), f AS (SELECT *, list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS full_lines FROM l) SELECT doc_id, len(lines) AS line_count, len(full_lines) AS non_blank, list_max(list_transform(lines, lambda x: length(x))) AS max_line, len(list_filter(full_lines, lambda x: starts_with(x, '  '))) AS indented FROM f""")

@@ -244,3 +244,11 @@ def test_log_search_widens(spark):
     assert search.search_logs(logs, "boom", "2024-01-01 12:00:00", hours=1).first().widened
     assert not search.search_logs(logs, "boom", "2024-01-01 01:30:00", hours=1).first().widened
     assert search.search_logs(logs, "boom", "2024-01-09 01:30:00", hours=1).count() == 0
+
+
+def test_facts_ladder(spark):
+    devices = spark.createDataFrame([("a", "ios", "1.1.1.1", "core"), ("b", "ios", None, "border"), ("c", None, None, "access"), ("d", None, "4.4.4.4", None), ("e", None, None, "Spine-2")], "hostname string, platform string, loopback string, role string")
+    sessions = spark.createDataFrame([("a", "9.9.9.9", "65001", "4.4.4.4", "65004"), ("b", "2.2.2.2", None, "1.1.1.1", "65001"), ("a", None, None, "7.7.7.7", "65007")], "device string, loopback string, local_as string, peer_ip string, remote_as string")
+    said = spark.createDataFrame([("b", "8.8.8.8", "65002")], "device_name string, router_id string, local_as string")
+    got = {r.hostname: (r.loopback, r.local_as) for r in topology.device_facts(devices, sessions, said).collect()}
+    assert got == {"a": ("1.1.1.1", "65001"), "b": ("2.2.2.2", "65002"), "c": (None, None), "d": ("4.4.4.4", "65004"), "e": ("7.7.7.7", "65007")}
