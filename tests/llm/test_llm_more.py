@@ -101,11 +101,25 @@ def test_katz_with_contexts_dealt_out(spark, monkeypatch):
     want = brute_katz_fitted(texts)
     assert sorted(map(show, scores.collect())) == sorted(map(show, want))
     assert model.stats.groupBy("context").count().filter("count > 1").count() > 3
-    each = katz.tokens(df, 2, "doc_id").withColumnRenamed("context_2", "context").withColumn("context", F.col("context"))
-    assert each.count() == sum(r[2] for r in want)
-    assert all(0 < r.weight < 1e6 for r in model.contexts().collect())
-    mass = model.grams().groupBy("context").agg(F.sum("p").alias("p")).collect()
-    assert all(0 < r.p < 1 for r in mass)
+    assert all(0 < r.p < 1 for r in model.grams().collect()) and all(r.weight > 0 for r in model.contexts().collect())
+    assert abs(sum(r.p for r in model.words().collect()) + model.unknown - 1) < 1e-9
+
+
+def test_katz_tables_score_by_themselves(spark):
+    """Sums over tokens of what the tables say, token by token, are the documents' scores."""
+    from snapfold.llm.words import word_hashes
+
+    rnd = random.Random(20)
+    texts = [(i, " ".join(rnd.choice(["x", "y", *[f"v{rnd.randint(0, 80)}"] * 3]) for _ in range(rnd.randint(0, 40)))) for i in range(50)]
+    scores, model = katz_pairs.score_pairs(frame(spark, texts), quality.held_out(F.col("doc_id"), 10))
+    rows = []
+    for i, t in texts:
+        own = [katz.START, *word_hashes([t])[0].view(np.int64).tolist(), katz.END] if t else [katz.START, katz.END]
+        rows += [(i, c, w) for c, w in zip(own, own[1:], strict=False)]
+    each = spark.createDataFrame(rows, "doc_id long, context long, word long")
+    got = {r.doc_id: r.p for r in model.evaluate(each, "doc_id").groupBy("doc_id").agg(F.sum("p").alias("p")).collect()}
+    want = {r.doc_id: r.score for r in scores.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
 
 
 def brute_katz_fitted(rows):
@@ -120,7 +134,8 @@ def brute_katz_fitted(rows):
             one.update(w[1:]), two.update(zip(w, w[1:], strict=False))
     d1, d2 = (katz.factors({r: n for r, n in Counter(c.values()).items() if r <= katz.CUT + 1}) for c in (one, two))
     total = sum(one.values())
-    p1 = {w: c * d1.get(c, 1) / total for w, c in one.items()}
+    mass = total + all(c > katz.CUT for c in one.values())  # nothing discounted: as if one more token had followed
+    p1 = {w: c * d1.get(c, 1) / mass for w, c in one.items()}
     unknown = 1 - sum(p1.values())
     sums, leaves = Counter(), defaultdict(int)
     for (h, _), c in two.items():
