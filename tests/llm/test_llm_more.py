@@ -358,3 +358,13 @@ def test_pipeline_stages_against_plain_ones(spark, small_corpus):
 
 def test_unused_brute_helpers_agree():
     assert brute_katz([(1, "a b"), (2, "a")], 2)[0][2] == 3
+
+
+def test_terms_through_the_filter(spark, monkeypatch):
+    """More terms than are broadcast meet the words through the filter, and the same words come out."""
+    rnd = random.Random(21)
+    words_ = spark.createDataFrame([(rnd.randint(0, 50), f"t{rnd.randint(0, 4000)}") for _ in range(6000)], "row long, term string").cache()
+    terms = spark.createDataFrame([(f"t{i}",) for i in range(0, 4000, 3)], "term string").cache()
+    plain = sorted(map(tuple, personal_data._among(words_, terms).select("row", "term").collect()))
+    monkeypatch.setattr(personal_data, "BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, personal_data._among(words_, terms).select("row", "term").collect())) == plain and plain
