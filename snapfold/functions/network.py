@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -239,24 +240,27 @@ def interface_list(value: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(value, ",", " "), r"\s+"), lambda x: x != "")
 
 
+def _canonical(says: Callable[[str], Column], value: Column) -> Column:
+    """The value by the first rule whose kind the field's name says and which has a form for it."""
+    text = F.trim(value)
+    long = canonical_interface(text)
+    address = text.rlike(IP_VALUE) & (ipv4_number(text).isNotNull() | text.contains(":"))
+    rules = [
+        F.when(says("state") & text.rlike(STATE_VALUE), canonical_state(text)), F.when(says("interface") & (long != text), long), F.when(says("ip") & address, canonical_ip(text)),
+        F.when(says("asn") & text.rlike(ASN_VALUE), asn_number(text).cast("string")), F.when(says("mac"), mac_colons(text)),
+    ]
+    return F.when(F.lower(text).isin(SENTINELS), value).otherwise(F.coalesce(*rules, text, F.lit("")))
+
+
 def normalised(field: str, value: Column) -> Column:
     """The value of a parsed field in canonical form: state, interface, address, AS number, MAC, or trimmed.
 
     What the field's name says is tried in this order; a rule that has no form for a value leaves it to the next. Sentinels
     stay as they are, blank is ''.
     """
-    says = lambda kind: any(re.search(rf"(?:^|_){w}(?:$|_)", field.lower()) for w in FIELD_WORDS[kind])
-    text = F.trim(value)
-    long = canonical_interface(text)
-    rules = []
-    if says("state"):
-        rules.append(F.when(text.rlike(STATE_VALUE), canonical_state(text)))
-    if says("interface"):
-        rules.append(F.when(long != text, long))
-    if says("ip"):
-        rules.append(F.when(text.rlike(IP_VALUE) & (ipv4_number(text).isNotNull() | text.contains(":")), canonical_ip(text)))
-    if says("asn"):
-        rules.append(F.when(text.rlike(ASN_VALUE), asn_number(text).cast("string")))
-    if says("mac"):
-        rules.append(mac_colons(text))
-    return F.when(F.lower(text).isin(SENTINELS), value).otherwise(F.coalesce(*rules, text, F.lit("")))
+    return _canonical(lambda kind: F.lit(re.search(rf"(?:^|_)({'|'.join(FIELD_WORDS[kind])})(?:$|_)", field.lower()) is not None), value)
+
+
+def normalised_by(field: Column, value: Column) -> Column:
+    """normalised() for a field whose name is itself a value."""
+    return _canonical(lambda kind: F.lower(field).rlike(rf"(?:^|_)({'|'.join(FIELD_WORDS[kind])})(?:$|_)"), value)

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import FIELD_WORDS, canonical_platform, normalised
+from ..functions.network import canonical_platform, normalised_by
 from . import report
 from .layers import parsed_rows, pick
 from .tables import latest_per_key, upsert_latest
@@ -78,18 +76,7 @@ def normalize_fields(parsed: DataFrame) -> DataFrame:
     flat = rows.select("device_name", "command", "snapshot_id", "row", F.explode("fields").alias("field", "value")).filter("value is not null")
     each = F.when(F.col("value").startswith("["), F.coalesce(F.from_json("value", "array<string>"), F.array("value"))).otherwise(F.array("value"))
     out = flat.withColumn("value", F.explode(each))
-    return out.withColumn("canonical", by_field(F.lower("field"), F.col("value")))
-
-
-def by_field(field: Column, value: Column) -> Column:
-    """normalised() for a field whose name is itself a value: each mix of words that a name can have takes its own rules."""
-    kinds = {kind: field.rlike(rf"(?:^|_)({'|'.join(words)})(?:$|_)") for kind, words in FIELD_WORDS.items()}
-    out = normalised("text", value)
-    for n in range(1, len(kinds) + 1):  # the more words a name has, the later its rule is laid over the others
-        for held in combinations(kinds, n):
-            fits = reduce(lambda a, b: a & b, [kinds[k] for k in held])
-            out = F.when(fits, normalised("_".join(held), value)).otherwise(out)
-    return out
+    return out.withColumn("canonical", normalised_by(F.col("field"), F.col("value")))
 
 
 def raw_neighbors(raw: DataFrame, kind: str, linked: DataFrame | None = None) -> DataFrame:

@@ -236,7 +236,7 @@ def test_device_kind(spark, host, role, kind):
 @pytest.mark.parametrize(("field", "value", "want"), [("ip_mtu", "1500", "1500"), ("ip_address", "2001:DB8:0:0::1/64", "2001:db8::1/64"), ("ip", "10.00.0.1", "10.00.0.1"), ("link_state", "connected", "up"), ("state", "no such", "no such"), ("local_port", "Gi0/1", "GigabitEthernet0/1"), ("remote_as", "1.1", "65537"), ("chassis_id", "aabb.ccdd.eeff", "aa:bb:cc:dd:ee:ff"), ("ip", "unassigned", "unassigned"), ("x", "  a ", "a"), ("x", " ", ""), ("router_id", "::FFFF", "::ffff")])
 def test_normalised(spark, field, value, want):
     df = spark.createDataFrame([(value, field)], "v string, f string")
-    assert tuple(df.select(net.normalised(field, F.col("v")), landing.by_field(F.col("f"), F.col("v"))).first()) == (want, want)
+    assert tuple(df.select(net.normalised(field, F.col("v")), net.normalised_by(F.col("f"), F.col("v"))).first()) == (want, want)
 
 
 def test_log_search_widens(spark):
