@@ -82,10 +82,10 @@ def _factor(d: dict[int, float]) -> Column:
 
 
 class Tables:
-    """An order-2 model as tables: words (word, count), pairs (context, word, count), contexts (context, stats of a part of its words).
+    """An order-2 model as tables: words (word, count), pairs (context, word, count), contexts (context, stats and below of a part of its words).
 
-    stats: total, how many of the context's words have each count up to CUT, the sum of greater counts, and the lower-order
-    mass of its words. A context that was dealt out has several rows, whose stats add up (but for the total, which is whole).
+    stats: total, how many of the context's words have each count up to CUT, and the sum of greater counts; below: the
+    lower-order mass of its words. A context that was dealt out has several rows, which add up (but for the total, which is whole).
     """
 
     def __init__(self, words: DataFrame, mass: float, unknown: float, d1: dict[int, float], pairs: DataFrame, stats: DataFrame, d2: dict[int, float]) -> None:
@@ -97,7 +97,7 @@ class Tables:
 
     def contexts(self) -> DataFrame:
         """context, total, divisor (what counts are taken over) and weight, the exactly normalised backoff weight."""
-        sums = [F.max(F.col("stats")[0]).alias("total"), *[F.sum(F.col("stats")[r]).alias(f"n{r}") for r in range(1, CUT + 1)], F.sum(F.col("stats")[CUT + 1]).alias("above"), F.sum(F.col("stats")[CUT + 2]).alias("below")]
+        sums = [F.max(F.col("stats")[0]).alias("total"), *[F.sum(F.col("stats")[r]).alias(f"n{r}") for r in range(1, CUT + 1)], F.sum(F.col("stats")[CUT + 1]).alias("above"), F.sum("below").alias("below")]
         each = self.stats.groupBy("context").agg(*sums)
         low = reduce(lambda a, b: a + b, [F.col(f"n{r}") for r in range(1, CUT + 1)])
         divisor = F.col("total") + 1 - F.when(low > 0, 1.0).otherwise(0.0)

@@ -33,17 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, strings, whole, written
+from .common import freed_shuffles, pieces, scratch, strings, whole, written
 from .katz import CUT, END, START, Tables, factors
 from .packed import deltas, pack, unpack
 from .words import mix, word_hashes
 
 #: Tokens for each partition, and bytes of text for each batch.
-PART_TOKENS, BATCH_BYTES = 3_000_000, 6 << 20
+PART_TOKENS, BATCH_BYTES = 2_000_000, 6 << 20
 ASK, WORDS, REPLY, STATE, DOCS, SUMS, CONTEXTS, PAIRS = range(8)
-_DDL = "part int, kind int, batch long, blob binary, context long, word long, count long, stats array<double>"
+_DDL = "part int, kind int, batch long, blob binary, context long, word long, count long, stats array<double>, below double"
 _ARROW = pa.schema([
-    ("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary()), ("context", pa.int64()), ("word", pa.int64()), ("count", pa.int64()), ("stats", pa.list_(pa.float64())),
+    ("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary()), ("context", pa.int64()), ("word", pa.int64()), ("count", pa.int64()), ("stats", pa.list_(pa.float64())), ("below", pa.float64()),
 ])
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -249,9 +249,9 @@ def _partition(records: Iterator[pa.RecordBatch], hot: np.ndarray, hot_totals: n
     above = np.bincount(c_of, weights=np.where(have > CUT, have, 0), minlength=size)
     below = np.bincount(c_of, weights=np.where(seen, p1[w_of], 0.0), minlength=size)
     divisor = totals + 1 - (table.sum(1) > 0)
-    stats = np.column_stack([totals, table, above, below])[totals > 0]
+    stats = np.column_stack([totals, table, above])[totals > 0]
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1]), pa.int32()), pa.array(stats.ravel()))
-    yield from _typed(part, CONTEXTS, context=_signed(contexts[totals > 0]), stats=lists)
+    yield from _typed(part, CONTEXTS, context=_signed(contexts[totals > 0]), stats=lists, below=pa.array(below[totals > 0]))
     yield from _typed(part, PAIRS, context=_signed(contexts[c_of[seen]]), word=_signed(words[w_of[seen]]), count=pa.array(have[seen]))
     yield _record([(part, STATE, None, pack(np.bincount(np.minimum(have, CUT + 2), minlength=CUT + 3)))])
 
@@ -332,7 +332,9 @@ def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     home = scratch(spark, "katz-pairs")
 
     def table(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd" if name == "words" else "none").parquet(f"{home}/{name}")
+        with freed_shuffles(spark):
+            # A dictionary of a row group's words is larger than the default limit, beyond which hashes would be written out.
+            df.write.option("compression", "zstd").option("parquet.dictionary.page.size", 8 << 20).parquet(f"{home}/{name}")
         return spark.read.schema(df.schema).parquet(f"{home}/{name}")
 
     words = table(texts.mapInArrow(_word_counts, "word long, count long, tokens long").groupBy("word").agg(F.sum("count").alias("count"), F.sum("tokens").alias("tokens")), "words")
@@ -359,7 +361,7 @@ def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     out = table(met.mapInArrow(lambda rows: _partition(rows, hot, hot_totals, ends, total, kinds, d, mass, unknown), _DDL), "pairs")
     of_counts = sum((unpack(r["blob"])[0].astype(np.int64) for r in out.filter(F.col("kind") == STATE).select("blob").collect()), np.zeros(CUT + 3, np.int64))
     d2 = factors({r: int(of_counts[r]) for r in range(1, CUT + 2)})
-    model = Tables(words, mass, unknown, d, out.filter(F.col("kind") == PAIRS).select("context", "word", "count"), out.filter(F.col("kind") == CONTEXTS).select("context", "stats"), d2)
+    model = Tables(words, mass, unknown, d, out.filter(F.col("kind") == PAIRS).select("context", "word", "count"), out.filter(F.col("kind") == CONTEXTS).select("context", "stats", "below"), d2)
     d2 = np.array([d2[r] for r in range(1, CUT + 1)])
 
     own = model.contexts().filter(F.col("context").isin([int(h) for h in hot.view(np.int64)])).collect() if len(hot) else []
