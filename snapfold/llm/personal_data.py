@@ -109,6 +109,39 @@ def _outside(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
 
 
+#: A filter of hashes: CELLS rows of CELL longs, 16 MB whatever it holds.
+CELLS, CELL = 4096, 512
+BROADCAST_ROWS = 200_000
+
+
+def _place(term: Column) -> tuple[Column, Column, Column]:
+    """The row, the long and the bit of a term in the filter."""
+    h = F.xxhash64(term)
+    return F.pmod(h, F.lit(CELLS)), F.pmod(F.shiftright(h, 12), F.lit(CELL)).cast("int"), F.pmod(F.shiftright(h, 21), F.lit(64)).cast("int")
+
+
+def _filter(terms: DataFrame) -> DataFrame:
+    """cell, bits: the terms as a bitmap of fixed size. It lets through all of them and, of N, one other word in 2^27 / N."""
+    cell, at, bit = _place(F.col("term"))
+    held = terms.groupBy(cell.alias("cell"), at.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    grid = terms.sparkSession.range(CELLS * CELL).select(F.pmod("id", F.lit(CELLS)).alias("cell"), F.floor(F.col("id") / CELLS).cast("int").alias("at"))
+    full = grid.join(held, ["cell", "at"], "left").select("cell", "at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return full.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def _among(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of words (row, term) whose term is one of terms, a written table of distinct ones.
+
+    Up to BROADCAST_ROWS terms are broadcast. More meet the words by a shuffle, but only words that a broadcast filter of
+    fixed size lets through are shuffled, so that the corpus's words stay where they are.
+    """
+    if terms.count() <= BROADCAST_ROWS:
+        return words.join(F.broadcast(terms), "term", "left_semi")
+    cell, at, bit = _place(F.col("term"))
+    met = words.withColumns({"cell": cell, "_at": at, "_bit": bit}).join(F.broadcast(_filter(terms)), "cell")
+    return met.filter(F.getbit(F.get("bits", F.col("_at")), F.col("_bit")) == 1).select("row", "term").join(terms, "term", "left_semi")
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = 0.5, least: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
     """term, kind and value of an entity, n_c, n_ct, n_t, pmi, ic for each term that gives entities away.
 
@@ -133,14 +166,15 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = 0.5,
     bound = holders.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("bound"))
     pairs = written(pairs.join(bound, "term").filter(given("bound") >= disclosure).drop("bound"), "disclosing-pairs")
     words = docs.select("row", F.explode(_terms(F.col("text"), least)).alias("term"))
-    totals = words.join(few(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    wanted = written(pairs.select("term").distinct(), "disclosing-candidates")
+    totals = _among(words, wanted).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     out = pairs.join(totals, "term").withColumn("given", given("n_t")).withColumn("ic", -F.log2(share)).withColumn("pmi", F.log2(F.col("given") / share))
     return out.filter((F.col("given") >= disclosure) & (F.col("pmi") > 0)).select("term", "entity.rank", "entity.value", "n_c", "n_ct", "n_t", "pmi", "ic")
 
 
 def _held_terms(rows: DataFrame, terms: DataFrame, least: int) -> DataFrame:
     """row, terms for every distinct text that holds one of the terms. terms: a column term, distinct."""
-    hits = rows.select("row", F.explode(_terms(F.col("text"), least)).alias("term")).join(terms, "term", "left_semi")
+    hits = _among(rows.select("row", F.explode(_terms(F.col("text"), least)).alias("term")), terms)
     return hits.groupBy("row").agg(F.collect_set("term").alias("terms"))  # as many as the text's words at most
 
 
@@ -154,24 +188,18 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.5, least: int = 4,
     found = rows.withColumn("spans", base_spans(F.col("text"))).withColumn("secrets", secret_spans(F.col("text")))
     entities = found.select("row", "text", F.array_sort(F.concat("spans", "secrets")).alias("spans")).filter(F.size("spans") > 0)
     entities = written(entities.dropDuplicates(["row"]), "entity-rows")  # the texts with an entity, found in one pass
-    terms = _small(disclosing_terms(entities, rows, disclosure, least).select("term").distinct())
+    terms = written(disclosing_terms(entities, rows, disclosure, least).select("term").distinct(), "disclosing-terms")
     protected = F.concat("spans", "secrets")
-    if terms is None:
+    if terms.isEmpty():
         return found.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(protected).alias("spans"))
     held = written(_held_terms(rows, terms, least), "held-terms").withColumnRenamed("row", "_row")
+    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     out = found.join(held, F.col("row") == F.col("_row"), "left")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     extra = F.when(F.col("terms").isNotNull(), _found(ascii_lower(F.col("text")), pattern, F.lit(KINDS.index("term")))).otherwise(F.expr(f"cast(array() as {SPAN})"))
     return out.select("doc_id", "text", F.col("spans").alias("base"), F.array_sort(F.concat(protected, extra)).alias("spans"))
 
 
-def _small(terms: DataFrame) -> DataFrame | None:
-    """The terms as a written table, broadcast if they are few; None if there are none."""
-    terms = written(terms, "disclosing-terms")
-    n = terms.count()
-    return None if not n else F.broadcast(terms) if n <= 200_000 else terms
-
-
 def spelled(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)
