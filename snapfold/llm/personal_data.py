@@ -139,7 +139,8 @@ def _among(words: DataFrame, terms: DataFrame) -> DataFrame:
         return words.join(F.broadcast(terms), "term", "left_semi")
     cell, at, bit = _place(F.col("term"))
     met = words.withColumns({"cell": cell, "_at": at, "_bit": bit}).join(F.broadcast(_filter(terms)), "cell")
-    return met.filter(F.getbit(F.get("bits", F.col("_at")), F.col("_bit")) == 1).select("row", "term").join(terms, "term", "left_semi")
+    # An inner join: a semi join would be moved in front of the filter. Terms are distinct, so it adds no rows.
+    return met.filter(F.getbit(F.get("bits", F.col("_at")), F.col("_bit")) == 1).select("row", "term").join(terms.select("term"), "term")
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = 0.5, least: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
