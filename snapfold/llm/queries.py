@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, katz, line_dedup, near_join, personal_data, piece_codec, quality, sharding, token_file
+from . import decontaminate, exact_dedup, katz, line_dedup, near_join, personal_data, piece_codec, quality, resampling, sharding, simhash_near, source_audit, token_file
 from .common import documents, scratch
 
 
@@ -75,13 +75,42 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op3_katz, op4_piece_codec, op5_decontaminate, op6_near_join, op7_sharding, op8_quality, op9_personal_data, op10_exact_dedup)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near.simhash_components(documents(spark, sf_dir))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(documents(spark, sf_dir, "lang", "source"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_file, op2_line_dedup, op3_katz, op4_piece_codec, op5_decontaminate, op6_near_join, op7_sharding, op8_quality, op9_personal_data, op10_exact_dedup,
+        op11_resampling, op12_simhash_near, op13_source_audit,
+    )
+}
 
 _LINES = r"""
     SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
     FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The unsigned crc32 of the UTF-8 bytes of w: bytes from its hexadecimal digits, eight shifts a byte.
+_CRC = """
+    xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(w), i, 2))::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))
+    ), 4294967295)
+"""
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER)
+_SHARE = "(1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * v))"
+
 ORACLES = {
     "op2_line_dedup": f"""
         WITH lines AS ({_LINES}),
@@ -93,4 +122,50 @@ ORACLES = {
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_resampling": f"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        own AS (SELECT doc_id, unnest(ws) AS w FROM docs),
+        wanted AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+        buckets AS (SELECT w, {_CRC} % 10000 AS bucket FROM (SELECT w FROM own UNION SELECT w FROM wanted)),
+        placed AS (SELECT doc_id, bucket FROM own JOIN buckets USING (w)),
+        s AS (SELECT bucket, count(*) AS s FROM placed GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM wanted JOIN buckets USING (w) GROUP BY bucket),
+        sums AS (SELECT (SELECT count(*) FROM own)::DOUBLE AS big_s, (SELECT count(*) FROM wanted)::DOUBLE AS big_t),
+        gain AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000) / ((s + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (bucket) CROSS JOIN sums),
+        weighed AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM placed JOIN gain USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM docs LEFT JOIN weighed USING (doc_id)),
+        ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM ranks) THEN rank END AS rank
+        FROM scored LEFT JOIN ranks USING (doc_id)""",
+    "op13_source_audit": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents),
+        each AS (SELECT r, lang, source, unnest(terms) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS in_lang FROM each GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        langs AS (SELECT lang, count(*) AS v, sum(in_lang) AS total FROM kept GROUP BY lang),
+        n AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        own AS (SELECT lang, source, sum(n) AS own FROM n GROUP BY lang, source),
+        groups AS (SELECT lang, source, coalesce(own, 0) AS own FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN own USING (lang, source)),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+                {_SHARE.format(n="coalesce(n, 0)", total="own")} AS p, {_SHARE.format(n="in_lang", total="total")} AS q
+            FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN n USING (lang, source, term)),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        WHERE part = 'pair' OR rank <= 10""",
 }
