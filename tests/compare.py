@@ -3,13 +3,14 @@
 import os
 
 import duckdb
+import pandas as pd
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cell(v):
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
