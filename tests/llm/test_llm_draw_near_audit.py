@@ -138,7 +138,8 @@ def roots_of(marks, radius):
 
     def find(m):
         while root[m] != m:
-            m = root[m] = root[root[m]]
+            root[m] = root[root[m]]
+            m = root[m]
         return m
 
     array = np.array(marks, np.uint64)
