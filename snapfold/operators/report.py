@@ -15,8 +15,9 @@ def unparsed(outputs: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def totals(outputs: DataFrame) -> DataFrame:
+    """One row, of zeros and a null percentage where nothing has landed."""
     n, ok = F.count(F.lit(1)), F.count_if("parsed")
-    return outputs.agg(n.alias("landed"), ok.alias("parsed"), (n - ok).alias("unparsed"), F.bround(F.lit(100.0) * ok / n, 1).alias("percent"))
+    return outputs.agg(n.alias("landed"), ok.alias("parsed"), (n - ok).alias("unparsed"), F.bround(F.try_divide(F.lit(100.0) * ok, n), 1).alias("percent"))
 
 
 def fills(outputs: DataFrame) -> DataFrame:

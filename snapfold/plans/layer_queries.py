@@ -236,12 +236,17 @@ def command_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built["v_show_ip_interface_brief_auto"].select("device_name", "snapshot_id", "interface", F.nullif("ip_address", F.lit("")).alias("ip_address"), "status")
 
 
-@query(cte("devices") + """ SELECT hostname, CASE role WHEN 'core' THEN 'router' WHEN 'border' THEN 'router' WHEN 'access' THEN 'switch' WHEN 'dist' THEN 'switch' ELSE 'router' END AS kind,
-        CASE role WHEN 'core' THEN 'router' WHEN 'border' THEN 'router' WHEN 'access' THEN 'switch' WHEN 'dist' THEN 'switch' ELSE 'firewall' END AS kind_of_fw FROM devices""")
+_KIND = """CASE WHEN role IN ('core', 'border') THEN 'router' WHEN role IN ('access', 'dist') THEN 'switch'
+    WHEN regexp_matches({h}, '(^|[-_.])(fw[0-9]?|firewall|asa|palo|checkpoint)\\b', 'i') THEN 'firewall'
+    WHEN regexp_matches({h}, '(^|[-_.])(r[0-9]|router|rtr|rt[0-9]|bgp|asr|edge\\b|border\\b|core\\b)', 'i') THEN 'router' ELSE 'switch' END"""
+_KIND_NAMES = {"kind": "hostname", "kind_of_fw": "'x-fw' || substr(hostname, 2)", "kind_of_asr": "'asr' || substr(hostname, 2) || 'k-1'", "kind_of_edge": "'edge' || substr(hostname, 2)"}
+
+
+@query(cte("devices") + f" SELECT hostname, {', '.join(f'{_KIND.format(h=h)} AS {name}' for name, h in _KIND_NAMES.items())} FROM devices")
 def device_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of each device by role, else by its name (r17 is a router, x-fw2 a firewall)."""
+    """The kind of each device by role, else by its name and by three other spellings of it."""
     d = model(spark, sf_dir, "devices")
-    return d.select("hostname", net.device_kind(F.col("hostname"), F.col("role")).alias("kind"), net.device_kind(F.concat(F.lit("x-fw"), F.substring("hostname", 2, 9)), F.col("role")).alias("kind_of_fw"))
+    return d.select("hostname", *[net.device_kind(F.expr(h), F.col("role")).alias(name) for name, h in _KIND_NAMES.items()])
 
 
 @query(cte("links", "sessions") + f", {SOURCES_SQL} SELECT protocol, status, CASE protocol WHEN 'bgp' THEN false WHEN 'ospf' THEN false ELSE status = 'up' END AS sound, count(*) AS n FROM u GROUP BY ALL")

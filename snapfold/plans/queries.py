@@ -332,10 +332,31 @@ def inventory_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.inventory_shape(model(spark, sf_dir, "devices"), model(spark, sf_dir, "raw"))
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), f AS (SELECT *, list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS full_lines FROM l) SELECT doc_id, len(lines) AS line_count, len(full_lines) AS non_blank, list_max(list_transform(lines, lambda x: length(x))) AS max_line, len(list_filter(full_lines, lambda x: starts_with(x, '  '))) AS indented FROM f""")
+_STRUCTURE = r"""
+    WITH t AS (SELECT 'd' || doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'r' || seq, raw_output FROM raw),
+    l AS (SELECT id, string_split(text, chr(10)) AS lines FROM t),
+    f AS (SELECT *, list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS full_lines FROM l),
+    w AS (SELECT *, list_transform(full_lines, lambda x: len(regexp_split_to_array(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+'))) AS words,
+        list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS marks FROM f),
+    n AS (SELECT id, count(*) FILTER (WHERE mark AND NOT coalesce(before, false)) AS blocks
+        FROM (SELECT id, mark, lag(mark) OVER (PARTITION BY id ORDER BY pos) AS before FROM (SELECT id, unnest(marks) AS mark, generate_subscripts(marks, 1) AS pos FROM w)) GROUP BY id)
+    SELECT id, len(lines) AS line_count, len(full_lines) AS non_blank, list_max(list_transform(lines, lambda x: length(x))) AS max_line,
+        CASE WHEN len(full_lines) <= 1 THEN 0 ELSE blocks END AS blocks, len(list_filter(full_lines, lambda x: starts_with(x, '  '))) AS indented,
+        len(list_filter(full_lines, lambda x: regexp_matches(x, '^\s{2,}[A-Za-z][A-Za-z0-9 _-]*:\s*\S'))) >= 3 AS key_values,
+        len(words) >= 3 AND len(list_filter(range(1, greatest(len(words) - 1, 2)), lambda i: list_max(words[i:i + 4]) - list_min(words[i:i + 4]) <= 1 AND list_min(words[i:i + 4]) >= 3)) > 0 AS aligned,
+        coalesce(regexp_matches(full_lines[1], '(%\s*Invalid|Error:|Unknown command|Permission denied|not found)', 'i'), false) AS error,
+        len(list_filter(full_lines[1:20], lambda x: regexp_matches(x, '^(!|interface |router |hostname |vrf |line |ip route|version )'))) >= 5 AS config
+    FROM w JOIN n USING (id)"""
+
+
+@query(cte("raw") + "," + _STRUCTURE.strip().removeprefix("WITH"))
 def text_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.structure(F.coalesce("text", F.lit(""))).alias("s"))
-    return d.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("line_count", "non_blank", "max_line", "indented")])
+    """All features of the documents' and the outputs' texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.unionByName(model(spark, sf_dir, "raw").select(F.concat(F.lit("r"), "seq").alias("id"), F.col("raw_output").alias("text")))
+    counts = ("line_count", "non_blank", "max_line", "blocks", "indented")
+    s = texts.select("id", text.structure(F.col("text")).alias("s"))
+    return s.select("id", *[F.col(f"s.{c}").cast("long").alias(c) for c in counts], *[f"s.{c}" for c in ("key_values", "aligned", "error", "config")])
 
 
 @query(cte("raw") + r""" SELECT seq, CASE WHEN raw_output LIKE 'hostname%' THEN regexp_extract(raw_output, '(?s)(router ospf \d+\n network \S+)\n!', 1) ELSE '' END AS section FROM raw""")

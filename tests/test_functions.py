@@ -73,7 +73,7 @@ def test_hops_and_components(spark):
     assert hop("a", 1) == {("a", "b"), ("b", "c"), ("a", "c")}
     nodes = spark.createDataFrame([(n,) for n in "abcdxyz"], "node string")
     out = topology.blast_radius(nodes, edges, spark.createDataFrame([("s1", "c"), ("s2", "q")], "scenario string, device string")).collect()
-    assert {tuple(r) for r in out} == {("s1", 4, 2, 2), ("s2", 3, 4, 1)}
+    assert {tuple(r) for r in out} == {("s1", 4, 2, 2, 3, 4), ("s2", 3, 4, 1, 3, 4)}
     depth = {r.node: (r.root, r.depth) for r in topology.bfs_levels(nodes, edges).collect()}
     assert depth["d"] == ("c", 1) and depth["y"] == ("x", 1) and depth["z"] == ("z", 0)
 

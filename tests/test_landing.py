@@ -227,7 +227,7 @@ def test_pre_scrubbed_texts_stay(spark):
     assert got["r1"] == "password abc" and "removed_" in got["r2"]
 
 
-@pytest.mark.parametrize(("host", "role", "kind"), [("a-fw1", None, "firewall"), ("x.r2.net", None, "router"), ("r", None, "switch"), ("edge-7", None, "router"), ("sw1", None, "switch"), ("r1", "FW", "firewall"), ("any", "core", "router"), ("asa-1", "dist", "switch")])
+@pytest.mark.parametrize(("host", "role", "kind"), [("a-fw1", None, "firewall"), ("x.r2.net", None, "router"), ("r", None, "switch"), ("edge-7", None, "router"), ("sw1", None, "switch"), ("r1", "FW", "firewall"), ("asr9k-1", None, "router"), ("lab-asr1001x", None, "router"), ("bgprr1", None, "router"), ("fw12", None, "switch"), ("xr1", None, "switch"), ("my_core", None, "router"), ("cores", None, "switch"), ("any", "core", "router"), ("asa-1", "dist", "switch")])
 def test_device_kind(spark, host, role, kind):
     df = spark.createDataFrame([(host, role)], "h string, r string")
     assert df.select(net.device_kind(F.col("h"), F.col("r")).alias("k")).first().k == kind
