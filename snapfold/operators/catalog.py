@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .report import coverage
+from .stored import replace_table
 from .text import is_learnable, parse_outputs, structure
 
 # Whose word counts more, the last one most.
@@ -36,8 +37,8 @@ def flag_blacklisted(commands: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
 
 def refresh(table: DataFrame, path: str) -> None:
-    """Replaces a table as a whole; readers see the old files or the new ones."""
-    table.write.mode("overwrite").parquet(path)
+    """Replaces a versioned table as a whole; readers (stored.read_current) see the old version or the new one."""
+    replace_table(table, path)
 
 
 def match_command(stored: DataFrame, asked: DataFrame) -> DataFrame:

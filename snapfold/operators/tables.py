@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import Scratch
+
 #: Columns and key of each table.
 TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "parsed_outputs": ("device_name string, command string, parsed_data string, snapshot_id string, raw_output_hash string, ingested_at timestamp, platform string", ("device_name", "command", "snapshot_id")),
@@ -90,3 +92,19 @@ def export_inventory(devices: DataFrame, raw: DataFrame, path: str) -> None:
 def prefer_first(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The rows of first, and those of second whose key first doesn't have; columns are aligned by name, missing ones null."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def number_rows(df: DataFrame, stored: Scratch, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with `place`: 0, 1, ... in each group of the `by` columns, in the order of the `order` columns.
+
+    Rows are sorted by ranges over all groups, so that no task holds a group; a row's number is its place in its range after
+    all rows of the ranges before, less that of the first row of its group. Equal rows get places of their own in any order.
+    """
+    keys = [*by, *order]
+    at = stored.put(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftrightunsigned("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row for each range
+    placed = at.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("_all", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = placed.groupBy(*by).agg(F.min("_all").alias("_first"))
+    return placed.join(first, list(by)).select(*df.columns, (F.col("_all") - F.col("_first")).alias("place"))

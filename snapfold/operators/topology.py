@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import canonical_interface, canonical_platform, first_present, link_id, platform_of_product, role_of_host, usable_interface, vendor_of
+from .stored import Scratch, shared_dir
+from .tables import number_rows
 
 BROADCAST_ROWS = 200_000
 
@@ -89,13 +90,23 @@ def adjacency_edges(source: DataFrame, devices: DataFrame, *, roles: Sequence[st
 
 
 def nhop_subgraph(edges: DataFrame, center: str, hops: int) -> DataFrame:
-    """Edges with both ends within `hops` of the centre; none for 0 hops or an unknown centre. Each hop is one join."""
-    both = mirrored(edges)
-    reached = both.filter(F.col("src") == center).select(F.col("src").alias("node")).distinct()
+    """Edges with both ends within `hops` of the centre; none for 0 hops or an unknown centre.
+
+    Each hop is a job of its own that joins the last one's nodes and leaves out those of all before, which it reads as one
+    written table; it ends early where a hop finds nothing new. So no plan, the result's included, grows with the hops.
+    """
+    stored = Scratch(edges.sparkSession)
+    both = stored.put(mirrored(edges), "mirrored")
+    front = stored.put(both.filter(F.col("src") == center).select(F.col("src").alias("node")).distinct(), "reached")
+    found = [front]
     for _ in range(hops):
-        step = both.join(reached, both["src"] == reached["node"], "left_semi").select(F.col("dst").alias("node"))
-        reached = reached.union(step).distinct()
-    ends = lambda c: reached.withColumnRenamed("node", c)
+        step = both.join(front.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = stored.put(step.join(stored.union(*found), "node", "left_anti"), "reached")
+        if front.isEmpty():
+            break
+        found.append(front)
+    stored.drop(both)
+    ends = lambda c: stored.union(*found).withColumnRenamed("node", c)
     return edges.filter(F.lit(hops > 0)).join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select(*edges.columns)
 
 
@@ -105,12 +116,7 @@ def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Seq
     Labels take the least label next to them, then that label's own label, so chains shorten by half a round. Rounds are
     checkpointed to the shared folder, and the driver sees one count a round.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="snapfold-")
-    spark.sparkContext.setCheckpointDir(path)
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     keys = list(keys)
     pairs = edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = nodes.select(*keys, "node", F.col("node").alias("root")).distinct().checkpoint()
@@ -174,27 +180,27 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links
 def bfs_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, root, depth, slot from the node of highest degree (then least name) of each component, however deep.
 
-    slot: a node's place in its level from 0, by its first parent's place and then by name, as a queue meets them.
+    slot: a node's place in its level from 0, by its first parent's place and then by name, as a queue meets them. Levels are
+    put in order by ranges over all components, so a wide level is the work of many tasks. Each level is a written table,
+    and all but the last two are read by the result alone.
     """
     spark = nodes.sparkSession
+    stored = Scratch(spark)
     keyed = lambda df: df.withColumn("k", F.lit(0))
-    both = mirrored(edges)
+    both = stored.put(mirrored(edges), "mirrored")
     labels = connected(spark, keyed(nodes.select("node").distinct()), keyed(both), ["k"]).select("node", F.col("root").alias("comp"))
     degree = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     roots = labels.join(degree, "node", "left").groupBy("comp").agg(F.min(F.struct(-F.coalesce("degree", F.lit(0)), F.col("node"))).getField("node").alias("node"))
-    front = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(0).alias("slot")).checkpoint()
-    seen, before, depth = front, front.select("node"), 0
+    level = lambda df, depth: df.select("node", "root", F.lit(depth).alias("depth"), "slot")
+    front = stored.put(level(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("slot")), 0), "level")
+    levels = [front]
     while not front.isEmpty():
-        depth += 1
         step = both.join(front.select(F.col("node").alias("src"), "root", "slot"), "src").groupBy("root", F.col("dst").alias("node")).agg(F.min("slot").alias("parent"))
-        new = step.join(before, "node", "left_anti")  # a node's neighbours are at most one level away
-        slot = F.row_number().over(Window.partitionBy("root").orderBy("parent", "node")) - 1
-        before = front.select("node")
-        front = new.select("node", "root", F.lit(depth).alias("depth"), slot.alias("slot")).checkpoint()
-        before = before.union(front.select("node"))
-        seen = seen.unionByName(front)
-        seen = seen.checkpoint() if depth % 20 == 0 else seen
-    return seen
+        near = stored.union(*levels[-2:]).select("node")  # a node's neighbours are at most one level away
+        slots = number_rows(step.join(near, "node", "left_anti"), stored, ["root"], ["parent", "node"])
+        front = stored.put(level(slots.withColumnRenamed("place", "slot"), len(levels)), "level")
+        levels.append(front)
+    return stored.union(*levels)
 
 
 # Words in a role that make a device a router, for the last step of device_facts().

@@ -165,14 +165,6 @@ def config_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.config_line_changes(old, new, ["device_name"])
 
 
-@query()
-def config_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified diffs of each device's last two configurations; no SQL form."""
-    old, new = _pairs(spark, sf_dir)
-    pairs = old.select("device_name", F.col("raw_output").alias("old")).join(new.select("device_name", F.col("raw_output").alias("new")), "device_name")
-    return diff.unified_diffs(pairs, "old", "new")
-
-
 _OUTPUTS = ", outputs AS (SELECT *, seq % 3 = 0 AS parsed, seq % 97 = 0 AS error FROM raw)"
 _REASON = "CASE WHEN bool_or(o.error) THEN 'parser_error' WHEN o.platform IS NULL THEN 'unclassified' WHEN any_value(c.parser_type) IS NULL THEN 'no_parser_registered' WHEN any_value(c.parser_type) = 'raw_only' THEN 'raw_only' ELSE 'parser_no_match' END"
 _UNPARSED = cte("raw", "commands") + _OUTPUTS + f", reasons AS (SELECT o.platform, o.command, count(*) AS n, {_REASON} AS reason FROM outputs o LEFT JOIN commands c ON o.platform = c.platform AND o.command = c.command WHERE NOT parsed GROUP BY o.platform, o.command)"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import text, textfsm
+from ..operators import diff, text, textfsm
+from .fixtures import cte, model
 from .queries import query
 
 PORTS = r"""
@@ -50,3 +51,50 @@ def state_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame([("ios", "show ports", 0, None, None, textfsm.template_of(PORTS))], f"platform string, command string, tier int, pattern string, fields array<string>, fsm {textfsm.TEMPLATE}")
     rows = text.parse_outputs(raw, templates).filter("reason = 'ok'").select(F.col("device_name").cast("long").alias("k"), F.explode(F.from_json("records", "array<struct<router:string,port:string,status:string,members:array<string>>>")).alias("r"))
     return rows.select("k", "r.router", "r.port", "r.status", F.array_join("r.members", ",").alias("members"))
+
+
+#: The last two configurations of each device, line by line. Lines of these texts stand at one place in either text, or differ.
+_DIFF = """,
+    c AS (SELECT device_name, raw_output, row_number() OVER (PARTITION BY device_name ORDER BY snapshot_id DESC, seq DESC) AS p FROM raw WHERE command = 'show running-config'),
+    pairs AS (SELECT o.device_name, o.raw_output AS old, n.raw_output AS new FROM c o JOIN c n ON o.device_name = n.device_name AND o.p = 2 AND n.p = 1),
+    sides AS (SELECT device_name, string_split(old, chr(10)) AS a, string_split(new, chr(10)) AS b FROM pairs WHERE old <> new),
+    places AS (SELECT device_name, a, b, unnest(range(1, greatest(len(a), len(b)) + 1)) AS i FROM sides),
+    met AS (SELECT device_name, i, a[i] AS x, b[i] AS y, coalesce(a[i] = b[i], false) AS same FROM places),
+    gaps AS (SELECT *, count(*) FILTER (WHERE same) OVER (PARTITION BY device_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM met),
+    lines AS (
+        SELECT device_name, gap, 2 AS kind, ' ' AS sign, i AS old_no, i AS new_no, i, x AS line FROM gaps WHERE same
+        UNION ALL SELECT device_name, gap, 0, '-', i, NULL, i, x FROM gaps WHERE NOT same AND x IS NOT NULL
+        UNION ALL SELECT device_name, gap, 1, '+', NULL, i, i, y FROM gaps WHERE NOT same AND y IS NOT NULL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY device_name ORDER BY gap, kind, i) AS place FROM lines),
+    near AS (
+        SELECT *, coalesce(place - max(CASE WHEN sign <> ' ' THEN place END) OVER (PARTITION BY device_name ORDER BY place) <= 3, false)
+            OR coalesce(min(CASE WHEN sign <> ' ' THEN place END) OVER (PARTITION BY device_name ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - place <= 3, false) AS kept FROM placed),
+    starts AS (SELECT *, kept AND NOT coalesce(lag(kept) OVER (PARTITION BY device_name ORDER BY place), false) AS first FROM near),
+    hunks AS (SELECT *, sum(first::INT) OVER (PARTITION BY device_name ORDER BY place) AS hunk FROM starts)
+"""
+
+
+def _config_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = model(spark, sf_dir, "raw").filter("command = 'show running-config'")
+    newest = Window.partitionBy("device_name").orderBy(F.desc("snapshot_id"), F.desc("seq"))
+    last = raw.withColumn("p", F.row_number().over(newest)).filter("p <= 2").groupBy("device_name").agg(F.max(F.when(F.col("p") == 2, F.col("raw_output"))).alias("old"), F.max(F.when(F.col("p") == 1, F.col("raw_output"))).alias("new"), F.max("p").alias("p"))
+    return last.filter("p = 2").select("device_name", "old", "new")
+
+
+@query(cte("raw") + _DIFF + " SELECT device_name, hunk, place, sign, old_no, new_no, line FROM hunks WHERE kept")
+def config_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified diff of each device's last two configurations, line by line."""
+    return diff.diff_rows(_config_pairs(spark, sf_dir), "old", "new")
+
+
+@query(cte("raw") + _DIFF + """, texts AS (
+        SELECT device_name, hunk, count(*) AS n, string_agg(sign || line, chr(10) ORDER BY place) AS body, count(*) FILTER (WHERE sign = '+') AS added, count(*) FILTER (WHERE sign = '-') AS removed,
+            min(old_no) AS old_first, count(old_no) AS old_n, min(new_no) AS new_first, count(new_no) AS new_n FROM hunks WHERE kept GROUP BY ALL),
+    heads AS (SELECT *, '@@ -' || old_first || CASE old_n WHEN 1 THEN '' ELSE ',' || old_n END || ' +' || new_first || CASE new_n WHEN 1 THEN '' ELSE ',' || new_n END || ' @@' AS head FROM texts),
+    whole AS (SELECT device_name, '--- ' || chr(10) || '+++ ' || chr(10) || string_agg(head || chr(10) || body, chr(10) ORDER BY hunk) AS diff, sum(n + 1) + 2 AS n, sum(added) AS added, sum(removed) AS removed FROM heads GROUP BY device_name)
+    SELECT device_name, coalesce(diff, '') AS diff, coalesce(n, 0)::BIGINT AS full_line_count, coalesce(added, 0)::BIGINT AS added, coalesce(removed, 0)::BIGINT AS removed,
+        (coalesce(added, 0) + coalesce(removed, 0)) || ' lines changed (' || CASE WHEN coalesce(added, 0) >= coalesce(removed, 0) THEN '+' ELSE '' END || (coalesce(added, 0) - coalesce(removed, 0)) || ')' AS summary
+    FROM pairs LEFT JOIN whole USING (device_name)""")
+def config_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified diffs of each device's last two configurations, put together from their rows."""
+    return diff.unified_diffs(_config_pairs(spark, sf_dir), "old", "new")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.tables import latest_per_key
 
@@ -50,24 +50,67 @@ def landed(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[
     return latest_per_key(rows, keys, [*[F.desc(c) for c in order], F.desc("batch")]).drop("batch")
 
 
-def flap_stream(events: DataFrame, by: Sequence[str], time: str, state: str) -> DataFrame:
-    """by and flaps so far, as a stream: how often the state has changed for each key, updated by every micro-batch.
+class _Flaps(StatefulProcessor):
+    """Counts changes of state for one key in event time.
 
-    The state kept for a key is its last state and its count; a batch's events are taken in order of time, then state.
+    Rows wait in a list until the watermark has passed them, so that late ones take their place; a timer stands at the
+    earliest that waits. A key that has been idle for `idle_ms` behind the watermark leaves the state, its count with it.
+    """
+
+    def __init__(self, by: Sequence[str], time: str, state: str, idle_ms: int) -> None:
+        self.by, self.time, self.state, self.idle_ms = list(by), time, state, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, state string")
+        self.seen = handle.getValueState("seen", "state string, flaps long, at long")
+
+    def _set_timer(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  (Spark's name)
+        new = [(int(t.value // 1_000_000), None if pd.isna(s) else s) for part in rows for t, s in zip(part[self.time], part[self.state], strict=True) if not pd.isna(t)]
+        if new:
+            first = min(t for t, _ in [*new, *(self.waiting.get() if self.waiting.exists() else [])])
+            self.waiting.appendList(new)
+            self._set_timer(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timer: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        mark = timer.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in held if r[0] <= mark), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        left = [r for r in held if r[0] > mark]
+        last, flaps, at = self.seen.get() if self.seen.exists() else (None, 0, None)
+        for t, now in due:
+            flaps += last is not None and now is not None and now != last
+            last, at = now, t
+        if not due and not left and at is not None and at + self.idle_ms <= mark:
+            self.seen.clear()
+            return
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.seen.update((last, flaps, at))
+        self._set_timer(min(r[0] for r in left) if left else at + self.idle_ms)
+        if due:
+            yield pd.DataFrame({**{c: [v] for c, v in zip(self.by, key, strict=True)}, "flaps": [flaps]})
+
+    def close(self) -> None:
+        pass
+
+
+def flap_stream(events: DataFrame, by: Sequence[str], time: str, state: str, late: str = "10 minutes", idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """by and flaps so far, as a stream: how often the state has changed for each key, in order of event time, then state.
+
+    Rows may come out of order by `late`; they count once the watermark has passed them, as in session_flaps() over all rows.
+    A null state is no change and no state to change from. Output mode update: a row for each key whose count is renewed.
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in by) + ", flaps long"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last, flaps = held.get if held.exists else (None, 0)
-        every = pd.concat(list(batches)).sort_values([time, state])  # one key's events of one micro-batch
-        for now in every[state]:
-            flaps += last is not None and now != last
-            last = now
-        held.update((last, flaps))
-        yield pd.DataFrame({**{c: [v] for c, v in zip(by, key, strict=True)}, "flaps": [flaps]})
-
-    return events.groupBy(*by).applyInPandasWithState(step, schema, "last string, flaps long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark(time, late).groupBy(*by)
+    return rows.transformWithStateInPandas(_Flaps(by, time, state, idle_ms), schema, "update", "eventTime")
 
 
 def land_stream(staging: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
