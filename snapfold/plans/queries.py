@@ -271,8 +271,21 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.blast_radius(nodes, e, busiest.select(F.col("src").alias("scenario"), F.col("src").alias("device"))).select("scenario", "components", "largest", "isolated")
 
 
-@query()
+_BFS = """, mirrored AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), degrees AS (SELECT src AS node, count(*) AS degree FROM mirrored GROUP BY src),
+    comps(node, comp) USING KEY (node) AS (
+        SELECT node, node FROM degrees
+        UNION SELECT b.dst, min(c.comp) FROM comps c JOIN mirrored b ON b.src = c.node JOIN recurring.comps r ON r.node = b.dst WHERE c.comp < r.comp GROUP BY b.dst),
+    roots AS (SELECT arg_min(node, (-degree, node)) AS node FROM comps JOIN degrees USING (node) GROUP BY comp),
+    levels(node, root, depth, slot) USING KEY (node) AS (
+        SELECT node, node, 0, 0::BIGINT FROM roots
+        UNION SELECT node, root, depth, row_number() OVER (PARTITION BY root ORDER BY parent, node) - 1
+        FROM (SELECT b.dst AS node, l.root, l.depth + 1 AS depth, min(l.slot) AS parent FROM levels l JOIN mirrored b ON b.src = l.node WHERE b.dst NOT IN (SELECT node FROM recurring.levels) GROUP BY ALL))
+    SELECT node, root, depth, slot FROM levels"""
+
+
+@query("WITH RECURSIVE" + cte("edges")[4:] + _BFS)
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and place of each device from its component's busiest one."""
     e = model(spark, sf_dir, "edges")
     return topology.bfs_levels(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), e)
 

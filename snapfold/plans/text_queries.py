@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import diff, text, textfsm
+from ..operators import diff, learned, text, textfsm
 from .fixtures import cte, model
 from .queries import query
 
@@ -98,3 +98,29 @@ def config_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified diffs of each device's last two configurations, put together from their rows."""
     return diff.unified_diffs(_config_pairs(spark, sf_dir), "old", "new")
+
+
+def clauses_of(body: str, hint: str | None = None) -> list[dict[str, str | None]]:
+    """A parser as one that was learned: the clauses of route maps with what each matches and sets."""
+    rows: list[dict[str, str | None]] = []
+    if not body.startswith("hostname"):
+        raise ValueError("no configuration")
+    for line in body.split("\n"):
+        word, _, rest = line.strip().partition(" ")
+        if word == "route-map":
+            name, action, seq = rest.split(" ")
+            rows.append({"Policy": name, "Action": action, "Seq": seq})
+        elif word in ("match", "set") and rows:
+            rows[-1][word] = rest
+    return rows
+
+
+@query(cte("raw") + """, c AS (SELECT seq, raw_output, 'RM' || (seq % 3) AS policy FROM raw WHERE raw_output LIKE 'hostname%')
+    SELECT seq AS k, policy, 'permit' AS action, '10' AS seq, 'community C' || (seq % 4) AS "match", 'metric ' || (seq % 50) AS "set", NULL AS _error FROM c
+    UNION ALL SELECT seq, policy, 'deny', '20', NULL, NULL, NULL FROM c
+    UNION ALL SELECT seq, NULL, NULL, NULL, NULL, NULL, 'ValueError: no configuration' FROM raw WHERE raw_output NOT LIKE 'hostname%'""")
+def learned_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a learned parser, called as a table function on each text."""
+    learned.register_parser(spark, "route_map_clauses", clauses_of)
+    raw = model(spark, sf_dir, "raw").select(F.col("seq").alias("k"), "raw_output")
+    return learned.parse_learned(raw, "route_map_clauses", ["policy", "action", "seq", "match", "set", "_error"])

@@ -54,7 +54,8 @@ class _Flaps(StatefulProcessor):
     """Counts changes of state for one key in event time.
 
     Rows wait in a list until the watermark has passed them, so that late ones take their place; a timer stands at the
-    earliest that waits. A key that has been idle for `idle_ms` behind the watermark leaves the state, its count with it.
+    earliest that waits. A key that has been idle for more than `idle_ms` begins anew, however batches fall, and leaves the
+    state once the watermark is that far.
     """
 
     def __init__(self, by: Sequence[str], time: str, state: str, idle_ms: int) -> None:
@@ -66,33 +67,40 @@ class _Flaps(StatefulProcessor):
         self.seen = handle.getValueState("seen", "state string, flaps long, at long")
 
     def _set_timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  (Spark's name)
-        new = [(int(t.value // 1_000_000), None if pd.isna(s) else s) for part in rows for t, s in zip(part[self.time], part[self.state], strict=True) if not pd.isna(t)]
+        set_already = list(self.handle.listTimers())
+        for old in set_already:
+            if old > at:
+                self.handle.deleteTimer(old)
+        if not any(old <= at for old in set_already):
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (Spark's names)
+        new = [(int(t.value // 1000), None if pd.isna(s) else s) for part in rows for t, s in zip(part[self.time], part[self.state], strict=True) if not pd.isna(t)]
         if new:
             first = min(t for t, _ in [*new, *(self.waiting.get() if self.waiting.exists() else [])])
             self.waiting.appendList(new)
-            self._set_timer(first)
+            self._set_timer(first // 1000)
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timer: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timer.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due = sorted((r for r in held if r[0] <= mark), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
         left = [r for r in held if r[0] > mark]
         last, flaps, at = self.seen.get() if self.seen.exists() else (None, 0, None)
         for t, now in due:
+            if at is not None and t - at > self.idle_ms * 1000:
+                last, flaps = None, 0
             flaps += last is not None and now is not None and now != last
             last, at = now, t
-        if not due and not left and at is not None and at + self.idle_ms <= mark:
+        if not due and not left and at is not None and at + self.idle_ms * 1000 <= mark:
             self.seen.clear()
             return
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
         self.waiting.put(left) if left else self.waiting.clear()
         self.seen.update((last, flaps, at))
-        self._set_timer(min(r[0] for r in left) if left else at + self.idle_ms)
+        self._set_timer((min(r[0] for r in left) if left else at + self.idle_ms * 1000) // 1000)
         if due:
             yield pd.DataFrame({**{c: [v] for c, v in zip(self.by, key, strict=True)}, "flaps": [flaps]})
 
@@ -104,7 +112,7 @@ def flap_stream(events: DataFrame, by: Sequence[str], time: str, state: str, lat
     """by and flaps so far, as a stream: how often the state has changed for each key, in order of event time, then state.
 
     Rows may come out of order by `late`; they count once the watermark has passed them, as in session_flaps() over all rows.
-    A null state is no change and no state to change from. Output mode update: a row for each key whose count is renewed.
+    A null state is no change and no state to change from; a pause of more than idle_ms begins the count anew. Output mode update: a row for each key whose count is renewed.
     Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
