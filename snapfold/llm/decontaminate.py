@@ -3,15 +3,22 @@
 Item and window get 64-bit SimHash fingerprints over their k-word shingles, each weighted by how often it occurs. A
 fingerprint is cut into BLOCKS blocks. Two fingerprints within RADIUS bits are within RADIUS // BLOCKS bits in one block at
 least, so items are indexed under every value that near to each of their blocks, and a window looks up its own five
-values: all items of its length within the radius are found, and only they go on to the exact check, the weighted Jaccard
-similarity of the shingles themselves.
+values: all items of its length within the radius are found.
 
 A window of similarity s or more shares at least s * parts shingles with its item (parts: the shingles of an item of that
 length), so windows are laid, word by word, only where so many shingles stand that any item of that length has; which
-item it is, the fingerprints tell. Items of more than STEPS shingles get windows at every (parts // STEPS)-th word.
-
-RADIUS is statistical: of shingle bags of similarity 0.8, the expected distance is 9.7 bits with a deviation of 2.9;
-tests/llm measures the recall against brute force. All in DataFrame functions.
+item it is, the fingerprints tell. Items of more than STEPS shingles get windows at every (parts // STEPS)-th word, where
+as many shingles less one step stand: the best window lies within half a step of one of these.
+
+A document and an item that meet so go on to the exact check, which looks at all windows of the document, on a grid or
+not. A shared shingle at place p counts in the windows that start in one interval: not behind p, not so early that the
+window ends before p or that it holds more of this shingle than the item does. Sums over the ends of these intervals give
+the shared weight of every window at once, and so the weighted Jaccard similarity of the best one.
+
+RADIUS is statistical: of shingle bags of similarity 0.8, the expected distance is 9.7 bits with a deviation of 2.9, as
+long as many shingles make up the weight. Where few do (the sum of squared shares is over 1 / EFFECTIVE: heavily repeated
+text, and items of a few words), fingerprints tell little; such items are met on their own shingles, document by
+document, and go to the exact check without them. tests/llm measures the recall. All in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -27,6 +34,8 @@ from .common import discard, written
 #: Fingerprints within RADIUS bits are found for certain: BLOCKS blocks, values within RADIUS // BLOCKS bits of each.
 RADIUS, BLOCKS = 19, 5
 STEPS = 2000
+#: Items whose weight rests on fewer shingles than this, by the sum of squared shares, are met without fingerprints.
+EFFECTIVE = 8
 BREAKS = r"[^\p{L}\p{N}]+"
 BROADCAST_ROWS = 200_000
 #: Two 32-bit counters in a long; 32 longs count the 64 bits of shingle hashes.
@@ -119,6 +128,40 @@ def _starts(hits: Column, parts: Column, need: Column, last: Column, step: Colum
     return F.array_distinct(F.flatten(F.transform(runs, of)))
 
 
+def _bags(items: DataFrame) -> DataFrame:
+    """item_key, size, shingle, copies of each item, and firm: whether its weight rests on EFFECTIVE shingles at least."""
+    each = items.select("item_key", "size", F.explode("hashes").alias("shingle")).groupBy("item_key", "size", "shingle").agg(F.count(F.lit(1)).alias("copies"))
+    firm = each.groupBy("item_key").agg((F.sum(F.col("copies") * F.col("copies")) * EFFECTIVE <= F.sum("copies") * F.sum("copies")).alias("firm"))
+    return each.join(firm, "item_key")
+
+
+def _best_windows(candidates: DataFrame, worded: DataFrame, bags: DataFrame, items: DataFrame, sizes: list[int], least: float, small) -> DataFrame:  # noqa: ANN001
+    """doc_id, row, item_key, start, length of each candidate's first window of most shared weight, if it has `least` of similarity."""
+    some = candidates.join(small(items.select("item_key", "size", "length")), "item_key").withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    docs = candidates.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))
+    held = worded.join(docs, same, "left_semi").dropDuplicates(["doc_id", "row"])
+    n = F.size("words")
+    each = [held.select("doc_id", "row", F.lit(k).alias("size"), n.alias("n_words"), F.posexplode(grams(F.col("words"), k)).alias("pos", "shingle")) for k in sizes]
+    occurring = reduce(DataFrame.unionByName, each).groupBy("doc_id", "row", "size", "n_words", "shingle").agg(F.array_sort(F.collect_list("pos")).alias("at"))  # places in one document
+    met = occurring.join(some, same & (occurring["size"] == some["size"])).drop(some["size"]).join(small(bags.select("item_key", "shingle", "copies")), ["item_key", "shingle"])
+    parts, last = F.col("length") - F.col("size") + 1, F.greatest(F.col("n_words") - F.col("length"), F.lit(0))
+
+    def interval(p: Column, i: Column) -> Column:
+        too_many = F.coalesce(F.get(F.col("at"), (i - F.col("copies")).cast("int")) + 1, F.lit(0))
+        return F.struct(F.greatest(too_many, p - parts + 1, F.lit(0)).alias("lo"), F.least(p, last).alias("hi"))
+
+    spans = met.select("doc_id", "row", "item_key", "length", "size", "n_words", F.explode(F.transform("at", interval)).alias("s")).filter("s.lo <= s.hi")
+    ends = F.explode(F.array(F.struct(F.col("s.lo").alias("start"), F.lit(1).alias("d")), F.struct((F.col("s.hi") + 1).alias("start"), F.lit(-1).alias("d")))).alias("e")
+    key = ["doc_id", "row", "item_key", "length", "size", "n_words"]
+    steps = spans.select(*key, ends).groupBy(*key, "e.start").agg(F.sum("e.d").alias("d"))
+    shared = F.sum("d").over(Window.partitionBy("doc_id", "row", "item_key").orderBy("start"))  # the starts of one document
+    best = steps.withColumn("shared", shared).groupBy(*key).agg(F.min(F.struct((-F.col("shared")).alias("less"), "start")).alias("best"))
+    own = F.least(parts, F.col("n_words") - F.col("size") + 1)
+    like = -F.col("best.less") / (own + parts + F.col("best.less"))
+    return best.filter(like >= least - 1e-9).select("doc_id", "row", "item_key", F.col("best.start").alias("start"), "length")
+
+
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (the hash of the row's text), item_id, start_word, similarity: as contaminated(), each text of an id on its own."""
     items = benchmark.filter("item_id is not null").select("item_id", words_of(F.coalesce("text", F.lit(""))).alias("item_words")).dropDuplicates().filter(F.size("item_words") > 0)
@@ -128,43 +171,52 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, k: int = 5, similar
     sizes = [k, *sorted(r["length"] for r in items.filter(F.col("length") < k).select("length").distinct().collect())]
     own = F.coalesce(*[F.when(F.col("size") == n, grams(F.col("item_words"), n)) for n in sizes])
     items = written(items.select("item_id", "item_key", "length", "size", own.alias("hashes"), shingles_of(F.col("item_words"), k).alias("item_shingles")), "items")
-    index = items.select("size", "length", F.explode("hashes").alias("shingle")).distinct()
-    small = (lambda df: F.broadcast(df)) if index.count() <= BROADCAST_ROWS else (lambda df: df)
+    bags = written(_bags(items), "item-bags")
+    small = (lambda df: F.broadcast(df)) if bags.count() <= BROADCAST_ROWS else (lambda df: df)
+    # Firm items are met by length, all of them at once; each other one by itself.
+    lengths = bags.join(small(items.select("item_key", "length")), "item_key")
+    index = written(lengths.select("size", "length", F.when(~F.col("firm"), F.col("item_key")).alias("alone"), "shingle").distinct(), "item-index")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     worded = rows.select("doc_id", "row", words_of(F.col("text")).alias("words"))
-    hits = _placed(worded, sizes).join(small(index), ["size", "shingle"]).groupBy("doc_id", "row", "size", "length").agg(F.array_sort(F.collect_set("pos")).alias("hits"))  # places in one document
+    hits = _placed(worded, sizes).join(small(index), ["size", "shingle"]).groupBy("doc_id", "row", "size", "length", "alone").agg(F.array_sort(F.collect_set("pos")).alias("hits"))  # places in one document
     parts = F.col("length") - F.col("size") + 1
-    need = F.greatest(F.ceil(parts * similarity - 1e-9), F.lit(1)).cast("int")
-    hits = written(hits.withColumn("parts", parts).withColumn("need", need).filter(F.size("hits") >= F.col("need")), "hits")
+    step = F.greatest(F.floor(parts / STEPS), F.lit(1)).cast("int")
+    grid = F.when((step > 1) & F.col("alone").isNull(), step).otherwise(0)
+    need = F.greatest(F.ceil(parts * similarity - 1e-9) - grid, F.lit(1)).cast("int")
+    hits = written(hits.withColumns({"parts": parts, "need": need, "step": step}).filter(F.size("hits") >= F.col("need")), "hits")
 
-    near = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    of_length = hits.filter("alone is null").drop("alone")
+    near = F.broadcast(of_length) if of_length.count() <= BROADCAST_ROWS else of_length
     near = near.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
     found = worded.join(near, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
-    step = F.greatest(F.floor(F.col("parts") / STEPS), F.lit(1)).cast("int")
-    places = found.select("doc_id", "row", "size", "length", "words", F.explode(_starts(F.col("hits"), F.col("parts"), F.col("need"), last, step)).alias("start"))
+    places = found.select("doc_id", "row", "size", "length", "words", F.explode(_starts(F.col("hits"), F.col("parts"), F.col("need"), last, F.col("step"))).alias("start"))
     # Words are cut first, so that whole texts stay out of the shuffle; rows that repeat an id and a text give their windows once.
     windows = places.select("doc_id", "row", "size", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
-    windows = written(windows.dropDuplicates(["doc_id", "row", "length", "start"]), "windows")
-
     key = ["doc_id", "row", "length", "start"]
     of_size = F.coalesce(*[F.when(F.col("size") == n, grams(F.col("window"), n)) for n in sizes])
-    hashed = windows.select(*key, of_size.alias("hashes"))
+    hashed = windows.dropDuplicates(key).select(*key, of_size.alias("hashes"))
     marks = simhash(hashed, key, "hashes").withColumn("b", F.explode(blocks(F.col("fingerprint"))))
-    known = simhash(items, ["item_key", "length"], "hashes").withColumnRenamed("fingerprint", "item_fingerprint").withColumn("b", F.explode(near_blocks(F.col("item_fingerprint"), radius)))
+    firm = items.join(small(bags.filter("firm").select("item_key").distinct()), "item_key", "left_semi")
+    known = simhash(firm, ["item_key", "length"], "hashes").withColumnRenamed("fingerprint", "item_fingerprint").withColumn("b", F.explode(near_blocks(F.col("item_fingerprint"), radius)))
     alike = marks.join(known, ["length", "b"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
-    pairs = alike.select(*key, "item_key").distinct()
-
-    pairs = pairs.withColumnsRenamed({"doc_id": "_doc", "row": "_row", "length": "_length", "start": "_start"})
-    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col("row")) & (F.col("_length") == F.col("length")) & (F.col("_start") == F.col("start"))
-    checked = pairs.join(windows, same).select("doc_id", "row", "item_key", "start", shingles_of(F.col("window"), k).alias("shingles"))
-    checked = checked.join(small(items.select("item_key", "item_id", "item_shingles")), "item_key")
+    alone = hits.filter("alone is not null").select("doc_id", "row", F.col("alone").alias("item_key"))
+    candidates = written(alike.select("doc_id", "row", "item_key").unionByName(alone).distinct(), "candidates")
+
+    best = _best_windows(candidates, worded, bags, items, sizes, similarity, small)
+    # What the hashes of shingles say is checked on the shingles themselves.
+    best = written(best.withColumnsRenamed({"doc_id": "_doc", "row": "_row"}), "best-windows")
+    few = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
+    cut = worded.dropDuplicates(["doc_id", "row"]) if best.count() > BROADCAST_ROWS else worded
+    checked = cut.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "item_key", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
+    checked = checked.dropDuplicates(["doc_id", "row", "item_key"]).select("doc_id", "row", "item_key", "start", shingles_of(F.col("window"), k).alias("shingles"))
+    checked = checked.join(items.select("item_key", "item_id", "item_shingles"), "item_key")
     scored = weighted_jaccard(checked, ["doc_id", "row", "item_id", "item_key", "start"], "shingles", "item_shingles").filter(F.col("similarity") >= similarity)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("start")))
-    out = scored.groupBy("doc_id", "row", "item_id").agg(best.alias("best"))
+    first = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("start")))
+    out = scored.groupBy("doc_id", "row", "item_id").agg(first.alias("best"))
     out = written(out.select("doc_id", "row", "item_id", F.col("best.start").cast("long").alias("start_word"), (-F.col("best.s")).alias("similarity")), "contaminated")
-    discard(hits, windows, items)
+    discard(hits, candidates, best, index, bags, items)
     return out
 
 
@@ -174,8 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     docs and benchmark (item_id, text) are read by these names only. Null, empty or wordless texts and items match
     nothing, and items of null id are passed over. An item of fewer than k words is one shingle. A document shorter than
     the item is one window. Rows of one doc_id are told apart by text, and the best of them is returned; a null id is
-    returned as null. Of equal windows the first is named. Items are broadcast only while they have BROADCAST_ROWS
-    shingles at most. Texts and items may have any length; empty tables give no rows.
+    returned as null. Of equal windows the first is named: all windows of a document that meets an item are compared.
+    Items are broadcast only while they have BROADCAST_ROWS shingles at most. Texts and items may have any length; empty
+    tables give no rows.
     """
     scored = contaminated_rows(docs, benchmark, k, similarity, radius, id_col, text_col)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start_word").alias("start")))

@@ -76,6 +76,53 @@ def test_long_items(spark):
     assert got.keys() == {1} and got[1] > 0.999
 
 
+def test_long_item_off_the_grid(spark):
+    """An item of more than STEPS shingles, five words into a text, changed so that its best window is just 0.8 alike."""
+    rnd = random.Random(15)
+    own = [f"x{rnd.randint(0, 10**9)}" for _ in range(20_004)]
+    changed = list(own)
+    for i in range(444):
+        changed[4 + 45 * i] = f"y{i}"
+    want = sum((bags(changed, 5) & bags(own, 5)).values()) / sum((bags(changed, 5) | bags(own, 5)).values())
+    assert 0.8 <= want < 0.802
+    docs = frame(spark, [(1, " ".join([*"abcde", *changed, "tail"])), (2, " ".join([*["p"] * 17, *own])), (3, " ".join(own[:15_000]))])
+    got = {r.doc_id: (r.similarity, r.start_word) for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")).collect()}
+    assert got == {1: (want, 5), 2: (1.0, 17)}
+
+
+def test_repeated_text(spark):
+    """Items of few heavy shingles, whose fingerprints tell nothing."""
+    text = lambda *runs: " ".join(w for word, n in runs for w in [word] * n)
+    items = [(1, text(("alpha", 52), ("beta", 56))), (2, text(("la", 40))), (3, text(("a", 30), ("b", 30), ("c", 30), ("d", 30))), (4, "one two three")]
+    docs = [(1, text(("alpha", 56), ("beta", 52))), (2, "so " + text(("la", 43)) + " end"), (3, text(("x", 3), ("d", 33), ("c", 27), ("b", 33), ("a", 27))), (4, "we say one two three times"), (5, "clean"), (6, text(("a", 33), ("b", 27), ("c", 33), ("d", 27)))]
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: (round(v[0], 9), v[1]) for k, v in brute_leaks(docs, items).items()} and {(1, 1), (2, 2), (6, 3), (4, 4)} <= got.keys()
+
+
+@pytest.mark.parametrize("parts", [5, 10, 50, 5000])
+def test_recall_just_above_the_threshold(spark, parts):
+    """Planted windows of a similarity from 0.8 to 0.85: at least 99 % of them are found, over items of each size."""
+    rnd = random.Random(parts)
+    many = 300 if parts < 1000 else 30
+    items, docs, want = [], [], set()
+    for i in range(many):
+        own = [f"{i}x{rnd.randint(0, 10**6)}" for _ in range(parts + 4)]
+        while True:
+            new = list(own)
+            for _ in range(rnd.randint(0, max(1, parts // 20))):
+                new[rnd.randrange(len(new))] = f"y{rnd.randint(0, 10**6)}"
+            cut = rnd.randint(0, parts // 5)
+            new[: cut] = [f"z{rnd.randint(0, 10**6)}" for _ in range(cut)]
+            like = sum((bags(new, 5) & bags(own, 5)).values()) / sum((bags(new, 5) | bags(own, 5)).values())
+            if 0.8 <= like < 0.85 or parts == 5 and like == 1:
+                break
+        items.append((i, " ".join(own)))
+        docs.append((i, " ".join([*["before"] * rnd.randint(0, 9), *new, "after"])))
+        want.add((i, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * many, (parts, len(got), many)
+
+
 def test_near_fingerprints_share_a_block(spark):
     """Whatever 19 bits differ, an indexed value of one block is met."""
     rnd = random.Random(13)
