@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import canonical_platform, normalised_by
 from . import report
 from .layers import parsed_rows, pick
-from .tables import latest_per_key, upsert_latest
-from .text import is_cli_error, parse_outputs, redact_text
+from .stored import Scratch
+from .tables import latest_per_key, merge_devices, upsert_latest
+from .text import is_cli_error, redact_text, salt_fingerprint, secrets_in, with_records
 from .topology import build_devices, extract_links
+from .views import build_all
 
 # The fields in which parsed version output holds a model and an OS version, the first one counts.
 MODEL_FIELDS = ["hardware", "model", "chassis", "platform"]
@@ -115,57 +118,101 @@ def neighbor_rows(parsed: DataFrame, like: str, protocol: str) -> DataFrame:
     return out.filter("local_if is not null and peer is not null and peer_if is not null")
 
 
-def landed_outputs(outputs: DataFrame, templates: DataFrame, salt: str, platforms: DataFrame | None = None) -> DataFrame:
-    """device_name, command, snapshot_id, platform, raw_output (redacted), parsed_data, parsed, error, reason of each output.
+def landed_outputs(outputs: DataFrame, templates: DataFrame, salt: str | None, platforms: DataFrame | None = None) -> DataFrame:
+    """device_name, command, snapshot_id, platform, raw_output (redacted), parsed_data, parsed, error, reason, replacements,
+    degraded of each output; every row of outputs gives one, whatever it repeats or lacks.
 
     outputs: device_name, command, snapshot_id, platform, raw_output and, if texts were redacted by the collector, pre_scrubbed.
-    platforms (device_name, platform) is what discovery found and goes before the output's own.
+    platforms (device_name, platform) is what discovery found and goes before the output's own. Without a salt texts stay as
+    they are, and those that nobody has redacted are marked as degraded.
     """
     scrubbed = F.coalesce(F.col("pre_scrubbed"), F.lit(False)) if "pre_scrubbed" in outputs.columns else F.lit(False)
-    rows = outputs.withColumn("raw_output", F.when(scrubbed, F.col("raw_output")).otherwise(redact_text(F.col("raw_output"), salt)))
+    text = F.col("raw_output")
+    clean = text if salt is None else F.when(scrubbed, text).otherwise(redact_text(text, salt))
+    counted = F.when(scrubbed | F.lit(salt is None), 0).otherwise(secrets_in(text))
+    rows = outputs.withColumns({"replacements": counted, "degraded": ~scrubbed & F.lit(salt is None)}).withColumn("raw_output", clean)
     if platforms is not None:
-        rows = rows.join(platforms.select("device_name", F.col("platform").alias("_found")), "device_name", "left").withColumn("platform", F.coalesce("_found", "platform")).drop("_found")
-    rows = rows.withColumn("platform", canonical_platform(F.col("platform")))
-    read = parse_outputs(rows, templates).withColumnRenamed("records", "parsed_data")
-    out = rows.join(read, ["device_name", "command", "snapshot_id"])
-    return out.select("device_name", "command", "snapshot_id", "platform", "raw_output", "parsed_data", (F.col("reason") == "ok").alias("parsed"), is_cli_error(F.col("raw_output")).alias("error"), "reason")
+        found = platforms.groupBy("device_name").agg(F.min("platform").alias("_found"))
+        rows = rows.join(found, "device_name", "left").withColumn("platform", F.coalesce("_found", "platform")).drop("_found")
+    rows = with_records(rows.withColumn("platform", canonical_platform(F.col("platform"))), templates)
+    return rows.select("device_name", "command", "snapshot_id", "platform", "raw_output", F.col("records").alias("parsed_data"), (F.col("reason") == "ok").alias("parsed"), is_cli_error(F.col("raw_output")).alias("error"), "reason", "replacements", "degraded")
 
 
-def land_snapshot(outputs: DataFrame, templates: DataFrame, commands: DataFrame, inventory: DataFrame, wanted: DataFrame, salt: str, existing: DataFrame | None = None, platforms: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of one landing by name: outputs, devices, links, totals, reasons, silent, learn_queue, fills, bundle_ingests.
+# What is known of a bundle.
+BUNDLE = ["bundle_id", "bundle_sha256", "collector_name", "collector_version"]
+
+
+def land_snapshot(
+    outputs: DataFrame, templates: DataFrame, commands: DataFrame, inventory: DataFrame, wanted: DataFrame, salt: str | None, existing: DataFrame | None = None, platforms: DataFrame | None = None,
+    existing_devices: DataFrame | None = None, existing_links: DataFrame | None = None, bundle: dict[str, str] | None = None, via: str = "offline", views: bool = True,
+) -> dict[str, DataFrame]:
+    """The tables of one landing by name: outputs, parsed, devices, links, refused, redaction, totals, reasons, silent, learn_queue,
+    fills, bundle_ingests and, if asked for, the views that follow (v_..., value_profile).
 
     outputs of one bundle; existing: outputs that are there already, over which the new ones are laid (newest snapshot of each
-    device and command). templates as parse_outputs() takes them, commands (platform, command, ...) as report.unparsed().
-    Links come from parsed neighbours, and for devices without any from the text of their CDP and LLDP listings.
+    device and command). templates as with_records() takes them, commands (platform, command, ...) as report.unparsed().
+    Rows without a device, a command or a text are refused, and listed as such. What lands is redacted and parsed once, as it
+    is written to the shared folder; all tables are read from there. The same write observes the redaction: its counts take no
+    second pass. Links come from parsed neighbours, and for devices without any from the text of their CDP and LLDP
+    listings. existing_devices keep what the landing does not know; of existing_links the first sighting stays. bundle
+    (BUNDLE) and via are stamped on the outputs. The input may be empty: all tables are then empty but totals and redaction.
     """
-    landed = landed_outputs(outputs, templates, salt, platforms)
-    kept = ["device_name", "command", "snapshot_id", "platform", "raw_output", "parsed_data"]
-    rows = landed.select(*kept)
-    table = upsert_latest(existing.select(*kept), rows, ["device_name", "command"], [F.desc("snapshot_id")]) if existing is not None else latest_per_key(rows, ["device_name", "command"], [F.desc("snapshot_id")])
+    spark = outputs.sparkSession
+    stored, seen = Scratch(spark), Observation("redaction")
+    lacks = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    problem = reduce(lambda w, c: w.when(lacks(c), f"no {c}"), ["command", "raw_output"], F.when(lacks("device_name"), "no device_name"))
+    refused = outputs.withColumn("problem", problem).filter("problem is not null").select("device_name", "command", "snapshot_id", "problem")
+    counts = [F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("replacements"), F.lit(0)).alias("replacements"), F.count_if("degraded").alias("degraded")]
+    landed = stored.put(landed_outputs(outputs.filter(problem.isNull()), templates, salt, platforms).observe(seen, *counts), "landed")
+    found = seen.get
+    mark = salt_fingerprint(salt) if salt is not None else None
+    redaction = spark.createDataFrame([(found.get("texts", 0), found.get("replacements", 0), mark, found.get("degraded", 0) > 0)], "texts long, replacements long, salt_fingerprint string, degraded boolean")
+    about = {**dict.fromkeys(BUNDLE), **(bundle or {})}
+    rows = landed.select("device_name", "command", "snapshot_id", "platform", "raw_output", "parsed_data", F.lit(about["bundle_id"]).cast("string").alias("bundle_id"), F.lit(about["bundle_sha256"]).cast("string").alias("bundle_sha256"), F.lit(via).alias("ingested_via"))
+    order = [F.desc("snapshot_id"), F.desc("raw_output")]
+    table = upsert_latest(existing, rows, ["device_name", "command"], order) if existing is not None else latest_per_key(rows, ["device_name", "command"], order)
     version = parsed_rows(rows.filter(F.col("command").isin("show version", "display version")), "platform")
     f = F.col("fields")
     facts = version.select("device_name", "snapshot_id", "platform", pick_model(f).alias("model"), pick_os_version(f).alias("os_version"), pick(f, ["pid"]).alias("pid"), pick(f, ["ip_address"]).alias("ip_address"))
     every = rows.select("device_name", "snapshot_id", "platform", *[F.lit(None).cast("string").alias(c) for c in ("model", "os_version", "pid", "ip_address")]).distinct()
     devices = build_devices(facts.unionByName(every), inventory)
+    devices = stored.put(devices if existing_devices is None else merge_devices(existing_devices, devices), "devices")
     near = neighbor_rows(rows, "%cdp neighbors%", "cdp").unionByName(neighbor_rows(rows, "%lldp neighbors%", "lldp"))
     have = near.select(F.col("device").alias("device_name"))
     text = [raw_neighbors(rows.filter(F.col("command").ilike(f"%{k} neighbors%")), k, have) for k in ("cdp", "lldp")]
     links = extract_links(near.unionByName(text[0]).unionByName(text[1]), devices)
+    links = stored.put(links if existing_links is None else merge_sightings(existing_links, links), "links")
     reasons = report.unparsed(landed, commands)
-    out = {"outputs": table, "devices": devices, "links": links, "totals": report.totals(landed), "reasons": reasons, "silent": report.silent_devices(landed), "learn_queue": report.learn_queue(reasons, wanted), "fills": report.fills(landed)}
-    return out | {"bundle_ingests": bundle_ingest(landed)}
+    out = {"outputs": table, "parsed": rows.filter("parsed_data is not null"), "devices": devices, "links": links, "refused": refused, "redaction": redaction, "totals": report.totals(landed), "reasons": reasons}
+    out |= {"silent": report.silent_devices(landed), "learn_queue": report.learn_queue(reasons, wanted), "fills": report.fills(landed), "bundle_ingests": bundle_ingest(landed, about, mark)}
+    dated = landed.withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    up = links.withColumn("link_status", F.lit(None).cast("string"))
+    return out | build_all(out["parsed"], dated, up) if views else out
+
+
+def merge_sightings(existing: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per link_id of two link tables: the ends as last seen, the first sighting of all."""
+    rest = [c for c in links.columns if c not in ("link_id", "first_snapshot", "snapshot_id")]
+    both = existing.select(*links.columns).unionByName(links)
+    last = F.max(F.struct("snapshot_id", *rest)).alias("l")
+    merged = both.groupBy("link_id").agg(last, F.min("first_snapshot").alias("first_snapshot"))
+    return merged.select(*[F.col(f"l.{c}").alias(c) if c in (*rest, "snapshot_id") else F.col(c) for c in links.columns])
 
 
-def bundle_ingest(landed: DataFrame) -> DataFrame:
-    """One row: snapshot_id, devices, outputs and a JSON summary of outputs by reason."""
+def bundle_ingest(landed: DataFrame, bundle: dict[str, str | None], mark: str | None) -> DataFrame:
+    """A row for each snapshot: what is known of the bundle, devices, outputs, replacements, the salt's fingerprint, whether texts
+    stayed as they were though nobody had redacted them, and a JSON summary of outputs by reason."""
     counts = landed.groupBy("snapshot_id", "reason").agg(F.count(F.lit(1)).alias("n"))
     summary = counts.groupBy("snapshot_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n"))))).alias("summary"))
-    return landed.groupBy("snapshot_id").agg(F.count_distinct("device_name").alias("devices"), F.count(F.lit(1)).alias("outputs")).join(summary, "snapshot_id")
+    known = [F.lit(bundle[c]).cast("string").alias(c) for c in BUNDLE]
+    own = landed.groupBy("snapshot_id").agg(F.count_distinct("device_name").alias("devices"), F.count(F.lit(1)).alias("outputs"), F.sum("replacements").alias("replacements"), F.max("degraded").alias("degraded"))
+    joined = own.join(summary.withColumnRenamed("snapshot_id", "_of"), F.col("snapshot_id").eqNullSafe(F.col("_of"))).drop("_of")
+    return joined.select(*known, "snapshot_id", "devices", "outputs", "replacements", F.lit(mark).cast("string").alias("salt_fingerprint"), "degraded", "summary")
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """The parts of the import report as JSON folders under the path."""
-    for name in ("totals", "reasons", "silent", "learn_queue", "fills", "bundle_ingests"):
+    for name in ("totals", "reasons", "silent", "learn_queue", "fills", "bundle_ingests", "refused", "redaction"):
         tables[name].write.mode("overwrite").json(f"{path}/{name}")
 
 

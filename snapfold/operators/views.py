@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import fingerprint
+from .layers import l2_links
 
 
 def latest_snapshots(df: DataFrame) -> DataFrame:
@@ -93,15 +95,67 @@ def snapshot_metadata(parsed: DataFrame) -> DataFrame:
     return out.select("snapshot_id", F.coalesce("started", named).alias("captured_at"), "devices", "outputs", seconds.alias("duration_s"))
 
 
+# Columns that name things, whose values are not worth a profile.
+NAMING_COLUMNS = [
+    "device_name", "hostname", "snapshot_id", "ip_address", "address", "neighbor_ip", "router_id", "mac_address", "hardware_address", "physical_address", "interface", "local_interface",
+    "neighbor_interface", "port", "name", "neighbor_name", "platform_id", "platform", "vlan_id", "neighbor_id", "prefix", "network", "next_hop",
+]
+
+
+def _long(view: DataFrame, name: str, columns: Iterable[str]) -> DataFrame:
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return view.select(F.lit(name).alias("view_name"), F.inline(values)).filter("value is not null")
+
+
+def _profile(long: DataFrame, max_cardinality: int, mode: str) -> DataFrame:
+    counts = long.groupBy("view_name", "column_name", "value").agg(F.count(F.lit(1)).alias("freq"))
+    few = counts.groupBy("view_name", "column_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_cardinality).select("view_name", "column_name")
+    marked = counts.join(F.broadcast(few), ["view_name", "column_name"]).withColumn("fingerprint", fingerprint(F.col("value"), mode))  # a row for each column
+    cluster = F.dense_rank().over(Window.partitionBy("view_name", "column_name").orderBy("fingerprint"))
+    return marked.select("view_name", "column_name", "value", "freq", "fingerprint", cluster.alias("cluster_id"))
+
+
 def value_profile(view: DataFrame, name: str, columns: Iterable[str], max_cardinality: int = 30, mode: str = "documented") -> DataFrame:
     """Frequency, fingerprint and cluster of each value of the columns that have few distinct ones, in one pass over the view."""
-    columns = list(columns)
-    long = view.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))).filter("value is not null")
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("freq"))
-    few = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_cardinality).select("column_name")
-    marked = counts.join(F.broadcast(few), "column_name").withColumn("fingerprint", fingerprint(F.col("value"), mode))  # a row for each column
-    cluster = F.dense_rank().over(Window.partitionBy("column_name").orderBy("fingerprint"))
-    return marked.select(F.lit(name).alias("view_name"), "column_name", "value", "freq", "fingerprint", cluster.alias("cluster_id"))
+    return _profile(_long(view, name, list(columns)), max_cardinality, mode)
+
+
+def profile_views(views: dict[str, DataFrame], max_cardinality: int = 30, mode: str = "documented", skip: Iterable[str] = NAMING_COLUMNS) -> DataFrame:
+    """value_profile() of all text columns of all views at once; columns that name things are left out.
+
+    One job sketches the distinct counts of all columns of all views, each view in one scan, and a row for each view comes
+    to the driver. Columns whose sketch says twice the limit or less are counted exactly, which settles the limit: their
+    values alone are laid out, again in one scan of each view that has such columns.
+    """
+    left_out = {c.lower() for c in skip}
+    asked = {name: [c for c, t in view.dtypes if t == "string" and c.lower() not in left_out] for name, view in views.items()}
+    sketches = [
+        views[name].agg(F.lit(name).alias("view_name"), F.array(*[F.approx_count_distinct(f"`{c}`", 0.02) for c in columns]).alias("about"))
+        for name, columns in asked.items() if columns
+    ]
+    none = "view_name string, column_name string, value string, freq long, fingerprint string, cluster_id int"
+    if not sketches:
+        return next(iter(views.values())).sparkSession.createDataFrame([], none) if views else _no_views(none)
+    found = {r["view_name"]: r["about"] for r in reduce(DataFrame.unionByName, sketches).collect()}  # a row for each view
+    few = {name: [c for c, n in zip(asked[name], about, strict=True) if 0 < n <= 2 * max_cardinality] for name, about in found.items()}
+    long = [_long(views[name], name, columns) for name, columns in few.items() if columns]
+    if not long:
+        return next(iter(views.values())).sparkSession.createDataFrame([], none)
+    return _profile(reduce(DataFrame.unionByName, long), max_cardinality, mode)
+
+
+def _no_views(schema: str) -> DataFrame:
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active().createDataFrame([], schema)
+
+
+def build_all(parsed: DataFrame, outputs: DataFrame, links: DataFrame, max_cardinality: int = 30) -> dict[str, DataFrame]:
+    """All views that follow a landing, by name: v_snapshots_auto, v_l2_links_auto, one for each command, and value_profile over
+    the commands' views. outputs has what snapshot_metadata() takes, links what l2_links() does."""
+    commands = build_views(parsed)
+    out = {"v_snapshots_auto": snapshot_metadata(outputs), "v_l2_links_auto": l2_links(links), **commands}
+    return out | {"value_profile": profile_views(commands, max_cardinality)}
 
 
 def recipe_view(views: dict[str, DataFrame], recipes: Iterable[dict], devices: DataFrame, concept: str) -> DataFrame | None:

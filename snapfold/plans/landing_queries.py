@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network as net
-from ..operators import catalog, landing, policy
+from ..operators import catalog, landing, policy, topology, views
 from .fixtures import cte, model
-from .queries import query
+from .queries import ORACLES, query
 
 SALT = "s"
 TEMPLATES = [
@@ -35,19 +35,22 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "platform string, command string, tier int, pattern string, fields array<string>")
 
 
-def _landing(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+BUNDLE = {"bundle_id": "b1", "bundle_sha256": "abc", "collector_name": "c", "collector_version": "2"}
+
+
+def _landing(spark: SparkSession, sf_dir: str, views: bool = False) -> dict[str, DataFrame]:
     d = model(spark, sf_dir, "devices")
     inventory = d.select("hostname", "ip_address", "platform", "site", "role")
     wanted = spark.createDataFrame([("show ip route",)], "command string")
-    return landing.land_snapshot(_outputs(spark, sf_dir), _templates(spark), model(spark, sf_dir, "commands"), inventory, wanted, SALT)
+    return landing.land_snapshot(_outputs(spark, sf_dir), _templates(spark), model(spark, sf_dir, "commands"), inventory, wanted, SALT, bundle=BUNDLE, views=views)
 
 
 @query(cte("raw") + LANDED + """ SELECT 'outputs' AS part, command AS name, count(*) AS n FROM (SELECT command FROM l QUALIFY row_number() OVER (PARTITION BY device_name, command ORDER BY snapshot_id DESC) = 1) GROUP BY ALL
     UNION ALL SELECT 'landed', command, count(*) FROM l GROUP BY ALL UNION ALL SELECT 'parsed', command, count(*) FILTER (WHERE reason = 'ok') FROM l GROUP BY ALL
     UNION ALL SELECT 'silent', 'devices', least(20, count(*)) FROM (SELECT device_name FROM l GROUP BY ALL HAVING NOT bool_or(reason = 'ok')) UNION ALL SELECT 'total', 'landed', count(*) FROM l UNION ALL SELECT 'total', 'parsed', count(*) FILTER (WHERE reason = 'ok') FROM l""")
 def land_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of a landing, counted: outputs kept, landed and parsed by command, silent devices, totals."""
-    t = _landing(spark, sf_dir)
+    """All of a landing, views too; counted: outputs kept, landed and parsed by command, silent devices, totals."""
+    t = _landing(spark, sf_dir, views=True)
     part = lambda df, part, name, n: df.select(F.lit(part).alias("part"), name.alias("name"), n.cast("long").alias("n"))
     fills, total = t["fills"], t["totals"]
     rows = [
@@ -64,12 +67,68 @@ def landed_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landing(spark, sf_dir)["devices"].select("hostname", "ip_address", "site", "role", "role_source")
 
 
-@query(cte("raw") + LANDED + """ SELECT snapshot_id, count(DISTINCT device_name) AS devices, count(*) AS outputs, count(*) FILTER (WHERE reason = 'ok') AS ok, count(*) FILTER (WHERE reason = 'no_template') AS no_template FROM l GROUP BY snapshot_id""")
+@query(cte("raw") + LANDED + """
+    SELECT 'b1' AS bundle_id, 'abc' AS bundle_sha256, 'c' AS collector_name, '2' AS collector_version, snapshot_id, count(DISTINCT device_name) AS devices, count(*) AS outputs,
+        2 * count(*) FILTER (WHERE raw_output LIKE 'hostname%') AS replacements, substr(sha256('s'), 1, 8) AS salt_fingerprint, false AS degraded,
+        count(*) FILTER (WHERE reason = 'ok') AS ok, count(*) FILTER (WHERE reason = 'no_template') AS no_template FROM l GROUP BY snapshot_id""")
 def bundle_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest row of each snapshot with its JSON summary read back."""
     rows = _landing(spark, sf_dir)["bundle_ingests"]
     held = F.from_json("summary", "map<string,long>")
-    return rows.select("snapshot_id", "devices", "outputs", *[F.coalesce(F.element_at(held, c), F.lit(0)).alias(c) for c in ("ok", "no_template")])
+    return rows.select(*[c for c in rows.columns if c != "summary"], *[F.coalesce(F.element_at(held, c), F.lit(0)).alias(c) for c in ("ok", "no_template")])
+
+
+@query(cte("raw", "commands") + LANDED + """, u AS (SELECT platform, command, count(*) AS n, bool_or(broken) AS error FROM l WHERE reason <> 'ok' GROUP BY ALL), c AS (SELECT platform, command, min(parser_type) AS parser_type FROM commands GROUP BY ALL)
+    SELECT coalesce(u.platform, '-') AS platform, u.command, n, CASE WHEN error THEN 'parser_error' WHEN u.platform IS NULL THEN 'unclassified' WHEN parser_type IS NULL THEN 'no_parser_registered' WHEN parser_type = 'raw_only' THEN 'raw_only' ELSE 'parser_no_match' END AS reason
+    FROM u LEFT JOIN c ON u.platform = c.platform AND u.command = c.command""")
+def landed_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why outputs were not parsed, by platform and command, as a landing reports it."""
+    return _landing(spark, sf_dir)["reasons"].select(F.coalesce("platform", F.lit("-")).alias("platform"), "command", "n", "reason")
+
+
+@query(cte("raw") + LANDED + """ SELECT device_name, command, snapshot_id, parsed_ok, replace(replace(raw_output, ' 7 secret', ' 7 '), 'community C', 'community ') NOT LIKE '%secret%' AS clean, 'b1' AS bundle_id, 'abc' AS bundle_sha256, 'offline' AS ingested_via
+    FROM (SELECT *, reason = 'ok' AS parsed_ok FROM l QUALIFY row_number() OVER (PARTITION BY device_name, command ORDER BY snapshot_id DESC) = 1)""")
+def landed_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outputs that stay after a landing: newest of each device and command, redacted and stamped with their bundle."""
+    t = _landing(spark, sf_dir)["outputs"]
+    return t.select("device_name", "command", "snapshot_id", F.col("parsed_data").isNotNull().alias("parsed_ok"), (~F.col("raw_output").contains("secret")).alias("clean"), "bundle_id", "bundle_sha256", "ingested_via")
+
+
+@query(ORACLES["link_dedup"])
+def landed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that a landing reads from the text of neighbour listings, laid over those of earlier snapshots."""
+    n = model(spark, sf_dir, "neighbors")
+    devices = model(spark, sf_dir, "devices")
+    early = n.filter("snapshot_id < 'snap_1995'")
+    entry = F.concat(F.lit("Device ID: "), "peer", F.lit("\nEntry address(es):\nInterface: "), "local_if", F.lit(",  Port ID (outgoing port): "), "peer_if")
+    listing = F.array_join(F.collect_list(entry), "\n")  # the neighbours of one device in one snapshot
+    late = n.filter("snapshot_id >= 'snap_1995'").groupBy(F.col("device").alias("device_name"), "snapshot_id").agg(listing.alias("raw_output"))
+    outputs = late.select("device_name", F.lit("show cdp neighbors detail").alias("command"), "snapshot_id", F.lit("cisco_ios").alias("platform"), "raw_output")
+    inventory = devices.select("hostname", "ip_address", "platform", "site", "role")
+    wanted = spark.createDataFrame([], "command string")
+    known = topology.extract_links(early, devices)
+    out = landing.land_snapshot(outputs, _templates(spark), model(spark, sf_dir, "commands"), inventory, wanted, SALT, existing_links=known, views=False)
+    return out["links"].select("link_id", "first_snapshot", "snapshot_id")
+
+
+_PROFILED = {
+    "show_ip_ospf_neighbor": ("show ip ospf neighbor", ["State"]), "show_ip_bgp_summary": ("show ip bgp summary", ["neighbor", "peer", "as", "state_pfxrcd"]), "show_vlan": ("show vlan", ["tag", "interfaces"]),
+    "show_ip_interface_brief": ("show ip interface brief", ["status", "proto"]), "show_interfaces_terse": ("show interfaces terse", ["link_state", "proto"]),
+}
+_PROFILE_ROWS = " UNION ALL ".join(
+    f"SELECT 'v_{view}_auto' AS view_name, '{c}' AS column_name, json_extract_string(parsed_data, '$[0].{c}') AS value FROM latest WHERE command = '{command}'"
+    for view, (command, columns) in _PROFILED.items() for c in columns
+)
+
+
+@query(cte("outputs") + f""", newest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name, command) AS top FROM outputs), latest AS (SELECT * FROM newest WHERE snapshot_id = top AND parsed_data <> 'no list'),
+    every AS ({_PROFILE_ROWS}), counts AS (SELECT view_name, column_name, value, count(*) AS freq FROM every WHERE value IS NOT NULL GROUP BY ALL),
+    few AS (SELECT *, count(*) OVER (PARTITION BY view_name, column_name) AS n,
+        array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(value), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''))), ' ') AS fingerprint FROM counts)
+    SELECT view_name, column_name, value, freq, fingerprint, dense_rank() OVER (PARTITION BY view_name, column_name ORDER BY fingerprint) AS cluster_id FROM few WHERE n <= 30""")
+def view_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value profile of all views that the parsed outputs have."""
+    return views.profile_views(views.build_views(model(spark, sf_dir, "outputs").select("device_name", "command", "snapshot_id", "parsed_data")))
 
 
 @query(cte("outputs") + """, v AS (SELECT device_name, snapshot_id, ok, ln, CASE command WHEN 'show ip ospf neighbor' THEN 'State' WHEN 'show ip interface brief' THEN 'status' WHEN 'show vlan' THEN 'tag' END AS field FROM outputs WHERE parsed_data <> 'no list' AND command IN ('show ip ospf neighbor', 'show ip interface brief', 'show vlan')),
