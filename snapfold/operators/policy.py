@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.network import ipv4_number
+
 
 def config_lines(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
     """keys, line_no, line of each line of the texts."""
@@ -49,6 +53,62 @@ def policies_of_neighbors(asked: DataFrame, raw: DataFrame, text: str = "raw_out
     return bound.join(route_maps(raw, text, keys), [*keys, "policy"], "left")
 
 
+def prefix_lists(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
+    """keys, list, seq, place, action, network (a number), length, low, high: the entries of IPv4 prefix lists.
+
+    An entry takes prefixes under its network whose length lies between low and high: its own length alone, from ge on, or
+    up to le. Entries without a number come by their place in the text, behind none.
+    """
+    pattern = r"^\s*ip prefix-list (\S+)(?: seq (\d+))? (permit|deny) (\d+\.\d+\.\d+\.\d+)/(\d+)(?: ge (\d+))?(?: le (\d+))?\s*$"
+    lines = config_lines(raw, text, keys).filter(F.col("line").rlike(pattern))
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    number = lambda i: part(i).try_cast("int")
+    length, ge, le = number(5), number(6), number(7)
+    rows = lines.select(*keys, part(1).alias("list"), F.coalesce(number(2), F.col("line_no")).alias("seq"), F.col("line_no").alias("place"), part(3).alias("action"), ipv4_number(part(4)).alias("address"), length.alias("length"), F.coalesce(ge, length).alias("low"), F.coalesce(le, F.when(ge.isNotNull(), 32), length).alias("high"))
+    sound = rows.filter("address is not null and length between 0 and 32")
+    return sound.select(*keys, "list", "seq", "place", "action", _masked(F.col("address"), F.col("length")).alias("network"), "length", "low", "high")
+
+
+def as_path_lists(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
+    """keys, list, place, action, pattern: the entries of AS path lists; `_` in one stands for any end or separator."""
+    pattern = r"^\s*ip as-path access-list (\S+) (permit|deny) (.+?)\s*$"
+    lines = config_lines(raw, text, keys).filter(F.col("line").rlike(pattern))
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    return lines.select(*keys, part(1).alias("list"), F.col("line_no").alias("place"), part(2).alias("action"), F.regexp_replace(part(3), "_", "(?:^|[ ,{}()]|\\$)").alias("pattern"))
+
+
+def _masked(address: Column, length: Column) -> Column:
+    """The address with all bits behind the length off."""
+    return F.when(length > 0, F.call_function("shiftleft", F.call_function("shiftright", address.cast("long"), 32 - length), 32 - length)).otherwise(F.lit(0).cast("long"))
+
+
+def resolve_matches(requests: DataFrame, clauses: DataFrame, prefixes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """request, condition, holds: the truth that policy_walk() asks for, computed for match lines over prefix and AS path lists.
+
+    requests: request, device, policy, prefix and, for AS path lists, as_path ('65001 65002'); clauses as for policy_walk();
+    prefixes and paths: the lists of `device`. A line names one list or more and holds if one of them permits; in a list the
+    first entry that takes the route decides, and where none does, or the list is not there, it does not permit. Prefixes
+    meet entries by equality of their leading bits, at most 33 of them, so no request is compared with a whole list.
+    """
+    said = clauses.select("device", "policy", F.explode(F.array_distinct("matches")).alias("condition"))
+    route = ["request", "device", "prefix", *(["as_path"] if paths is not None else [])]
+    asked = requests.select(*route, "policy").join(said, ["device", "policy"]).drop("policy")
+    kinds = {"prefix": r"^match ip address prefix-list (.+)$", "path": r"^match as-path (.+)$"}
+    named = lambda kind: asked.filter(F.col("condition").rlike(kinds[kind])).withColumn("list", F.explode(F.split(F.trim(F.regexp_extract("condition", kinds[kind], 1)), r"\s+")))
+    decided = lambda df, first: df.groupBy("request", "condition", "list").agg(F.min(F.struct(*first, "action"))["action"].alias("action"))
+
+    mine = named("prefix").withColumns({"address": ipv4_number(F.split_part("prefix", F.lit("/"), F.lit(1))).cast("long"), "bits": F.split_part("prefix", F.lit("/"), F.lit(2)).try_cast("int")})
+    mine = mine.filter("address is not null and bits between 0 and 32").withColumn("length", F.explode(F.sequence(F.lit(0), F.col("bits"))))
+    met = mine.withColumn("network", _masked(F.col("address"), F.col("length"))).join(prefixes, ["device", "list", "length", "network"]).filter("bits between low and high")
+    permits = [decided(met, ["seq", "place"])]
+    if paths is not None:
+        met = named("path").join(paths, ["device", "list"]).filter(F.rlike(F.coalesce("as_path", F.lit("")), F.col("pattern")))
+        permits.append(decided(met, ["place"]))
+    held = reduce(DataFrame.unionByName, permits).groupBy("request", "condition").agg(F.max(F.col("action") == "permit").alias("holds"))
+    every = reduce(DataFrame.unionByName, [named(k).select("request", "condition") for k in (kinds if paths is not None else ["prefix"])]).distinct()
+    return every.join(held, ["request", "condition"], "left").select("request", "condition", F.coalesce("holds", F.lit(False)).alias("holds"))
+
+
 def policy_walk(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> DataFrame:
     """request and outcome of the first clause whose match lines all hold: permit, deny, implicit_deny, or missing policy.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import diff, learned, text, textfsm
+from ..operators import diff, learned, policy, text, textfsm
 from .fixtures import cte, model
 from .queries import query
 
@@ -124,3 +124,24 @@ def learned_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned.register_parser(spark, "route_map_clauses", clauses_of)
     raw = model(spark, sf_dir, "raw").select(F.col("seq").alias("k"), "raw_output")
     return learned.parse_learned(raw, "route_map_clauses", ["policy", "action", "seq", "match", "set", "_error"])
+
+
+@query(cte("raw") + """,
+    r AS (SELECT seq AS k, seq % 7 AS octet, 8 + seq % 25 AS bits, seq % 4 AS denied, 64512 + seq % 5 AS peer FROM raw),
+    m AS (SELECT *, CASE WHEN octet = denied AND bits BETWEEN 16 AND 24 THEN false ELSE bits BETWEEN 16 AND 28 END AS listed, bits = 32 AND octet = 5 AS host, peer IN (64513, 64515) AS by_path FROM r)
+    SELECT k, CASE WHEN listed OR host THEN 10 WHEN by_path THEN 20 END AS seq, CASE WHEN listed OR host THEN 'permit' WHEN by_path THEN 'deny' ELSE 'implicit_deny' END AS outcome FROM m""")
+def policy_of_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a policy over prefix lists and AS path lists says to a route, each list read from the captured text."""
+    raw = model(spark, sf_dir, "raw").select(F.col("seq").alias("device"), "raw_output")
+    lists = ["\nip prefix-list PL seq 10 permit 10.0.0.0/8 ge 16 le 28\nip prefix-list PL seq 5 deny 10.", "denied", ".0.0/16 le 24\nip prefix-list HOST permit 10.5.0.0/16 ge 32\nip as-path access-list 7 deny _64514_\nip as-path access-list 7 permit ^6451[345]_"]
+    maps = "\nroute-map PX permit 10\n match ip address prefix-list PL HOST\nroute-map PX deny 20\n match as-path 7\n"
+    body = F.concat("raw_output", F.lit(lists[0]), F.col("device") % 4, F.lit(lists[2] + maps))
+    raw = raw.select("device", body.alias("raw_output"))
+    prefix = F.concat(F.lit("10."), F.col("device") % 7, F.lit(".9.1/"), 8 + F.col("device") % 25)
+    path = F.concat(64512 + F.col("device") % 5, F.when(F.col("device") % 5 == 3, " 64999").otherwise(" 64514"))
+    path = F.when(F.col("device") % 5 == 1, "64513").otherwise(path)
+    asked = raw.select(F.col("device").alias("request"), "device", F.lit("PX").alias("policy"), prefix.alias("prefix"), path.alias("as_path"))
+    keys = ("device",)
+    clauses = policy.route_maps(raw, keys=keys).filter("policy = 'PX'")
+    truth = policy.resolve_matches(asked, clauses, policy.prefix_lists(raw, keys=keys), policy.as_path_lists(raw, keys=keys))
+    return policy.policy_walk(clauses, asked, truth).select(F.col("request").alias("k"), "seq", "outcome")
