@@ -6,8 +6,10 @@ import hashlib
 import io
 import json
 import re
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -163,23 +165,137 @@ def validate_bundles(digests: DataFrame, manifests: DataFrame, allowed_templates
     return both.select("bundle", F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
-def expand_archives(spark: SparkSession, path: str) -> DataFrame:
-    """archive, name, text of each file in the .zip, .tar and .tgz archives of a path; one archive at a time in a task."""
+class _File(io.RawIOBase):
+    """A file of Spark's listing for reading at any place; a place before its start is an OSError, as archive readers expect."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for archive, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = []
-                if archive.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        rows = [(archive, n, z.read(n).decode("utf-8", "replace")) for n in z.namelist() if not n.endswith("/")]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-                        rows = [(archive, m.name, t.extractfile(m).read().decode("utf-8", "replace")) for m in t.getmembers() if m.isfile()]
-                yield pd.DataFrame(rows, columns=["archive", "name", "text"])
+    def __init__(self, path: str) -> None:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        self.file = system.open_input_file(at)
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:  # noqa: ANN001
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self.file.tell(), self.file.size())[whence]
+        if at < 0:
+            raise OSError("before the start of the file")
+        return self.file.seek(at)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def _open(path: str) -> io.BufferedReader:
+    return io.BufferedReader(_File(path), 1 << 16)
+
+
+#: Compressed bytes of an archive that one task inflates, about, and rows of a batch.
+GROUP_BYTES, GROUP_ROWS = 8 << 20, 1000
+_MEMBER = "archive string, name string, kind string, offset long, packed long, size long, method int, crc long, part long"
 
+
+def _members(archive: str) -> Iterator[tuple]:
+    """archive, name, kind, offset, packed, size, method, crc, part of each file of an archive, from its directory or its headers.
+
+    Only a zip's directory and the headers of a tar are read; a compressed tar has no places to jump to, so it is one part.
+    """
+    if re.search(r"\.(tgz|tar\.gz)$", archive):
+        yield archive, None, "stream", 0, 0, 0, 0, 0, 0
+        return
+    with _open(archive) as f:
+        if archive.endswith(".zip"):
+            with zipfile.ZipFile(f) as z:
+                found = [(i.filename, "zip", i.header_offset, i.compress_size, i.file_size, i.compress_type if not i.flag_bits & 1 else -1, i.CRC) for i in z.infolist() if not i.is_dir()]
+        else:
+            with tarfile.open(fileobj=f) as t:
+                found = [(m.name, "tar", m.offset_data, m.size, m.size, 0, 0) for m in t if m.isfile() and not m.issparse()]
+    held = part = rows = 0
+    for name, kind, offset, packed, size, method, crc in sorted(found, key=lambda m: m[2]):
+        if rows and (held + packed > GROUP_BYTES or rows >= GROUP_ROWS):
+            held, rows, part = 0, 0, part + 1
+        held, rows = held + packed, rows + 1
+        yield archive, name, kind, offset, packed, size, method, crc, part
+
+
+def _directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split(" ")[0] for c in _MEMBER.split(", ")]
+    for pdf in batches:
+        for archive in pdf["path"]:
+            yield pd.DataFrame(list(_members(archive)), columns=columns)
+
+
+def _inflated(f, m) -> bytes:  # noqa: ANN001
+    """The bytes of one member; a zip's local header says how far behind it they begin."""
+    if m.kind == "tar":
+        f.seek(m.offset)
+        return f.read(m.size)
+    if m.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"{m.archive}: {m.name} is encrypted or packed in a way that is not read")
+    f.seek(m.offset)
+    names, extra = struct.unpack("<HH", f.read(30)[26:])
+    f.seek(m.offset + 30 + names + extra)
+    raw = f.read(m.packed)
+    out = raw if m.method == zipfile.ZIP_STORED else zlib.decompress(raw, -15)
+    if zlib.crc32(out) != m.crc:
+        raise ValueError(f"{m.archive}: {m.name} is damaged")
+    return out
+
+
+def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come archive by archive; each file is opened once for a run of its members, and a member's text is held alone."""
+    for pdf in batches:
+        for archive, own in pdf.groupby("archive", sort=False):
+            if (own["kind"] == "stream").any():
+                with _open(archive) as f, tarfile.open(fileobj=f, mode="r|gz") as t:
+                    for m in t:
+                        if m.isfile():
+                            yield pd.DataFrame([(archive, m.name, t.extractfile(m).read().decode("utf-8", "replace"))], columns=["archive", "name", "text"])
+                continue
+            with _open(archive) as f:
+                for some in (own.iloc[i : i + 100] for i in range(0, len(own), 100)):
+                    yield pd.DataFrame([(archive, m.name, _inflated(f, m).decode("utf-8", "replace")) for m in some.itertuples()], columns=["archive", "name", "text"])
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """archive, name, kind, offset, packed, size, method, crc, part of each file in the .zip, .tar and .tgz archives of a path.
+
+    The content of archives is not read. part numbers runs of members of about GROUP_BYTES; a .tgz is one row of kind stream.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{zip,tar,tgz,tar.gz}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(work, "archive string, name string, text string")
+    return files.select("path").mapInPandas(_directories, _MEMBER)
+
+
+def expand_archives(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """archive, name, text of each file in the .zip, .tar and .tgz archives of a path.
+
+    Archives are opened by their directories, and runs of members, each read at its own place, are dealt out over tasks: a
+    large archive is the work of many, and none holds it. A .tgz streams through one task, member by member. Damaged,
+    encrypted or oddly packed members fail the job. Names that occur twice in an archive give two rows.
+    """
+    members = archive_members(spark, path)
+    dealt = members.repartition(partitions, "archive", "part") if partitions else members.repartition("archive", "part")
+    return dealt.sortWithinPartitions("archive", "offset").mapInPandas(_inflate, "archive string, name string, text string")
+
+
+def members_as_files(members: DataFrame) -> DataFrame:
+    """host, file, text, length of the outputs among expanded members, in the shape of read_bundle()."""
+    at = r"devices/([^/]+)/([^/]+)\.txt$"
+    rows = members.select(F.regexp_extract("name", at, 1).alias("host"), F.regexp_extract("name", at, 2).alias("file"), "text", F.octet_length("text").cast("long").alias("length"))
+    return rows.filter("host <> '' and file not like '.%' and file not like '\\\\_%'")
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
