@@ -66,9 +66,11 @@ def sync_by_hash(existing: DataFrame, incoming: DataFrame, key: str, settings: S
 
 
 def export_backups(raw: DataFrame, commands: DataFrame, path: str) -> None:
-    """Text of backup-only commands, one folder per snapshot and device."""
+    """Text of backup-only commands, one folder per snapshot and device, which one task writes."""
     wanted = commands.filter("backup_only").select("command").distinct()
-    raw.join(F.broadcast(wanted) if wanted.count() < 100_000 else wanted, "command", "left_semi").select("snapshot_id", "device_name", F.col("raw_output").alias("value")).write.partitionBy("snapshot_id", "device_name").text(path)
+    few = F.broadcast(wanted) if wanted.count() < 100_000 else wanted
+    rows = raw.join(few, "command", "left_semi").select("snapshot_id", "device_name", F.col("raw_output").alias("value"))
+    rows.repartition("snapshot_id", "device_name").write.partitionBy("snapshot_id", "device_name").text(path)
 
 
 def stamp_bundle(raw: DataFrame, snapshot_id: str, bundle_id: str, sha256: str, via: str) -> DataFrame:
