@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed_shuffles, pieces, scratch, strings, whole, written
+from .common import delete, freed_shuffles, pieces, scratch, strings, whole, written
 from .katz import CUT, END, START, Tables, factors
 from .packed import deltas, pack, unpack
 from .words import mix, word_hashes
@@ -202,7 +202,8 @@ def _messages(records: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) ->
             begin = np.flatnonzero(np.diff(pair[i:j], prepend=-1))
             contexts, follow = np.unique(pair[i:j][begin] // kinds, return_counts=True)
             words, word_of = np.unique(pair[i:j][begin] % kinds, return_inverse=True)
-            out.append((p, SUMS, number, pack(b.train, deltas(known[contexts]), follow, deltas(known[words]), word_of, np.diff(begin, append=j - i), text[i:j], times[i:j] - 1)))
+            here, own = np.unique(text[i:j], return_inverse=True)
+            out.append((p, SUMS, number, pack(deltas(here), b.train[here], deltas(known[contexts]), follow, deltas(known[words]), word_of, np.diff(begin, append=j - i), own, times[i:j] - 1)))
         yield _record(out)
 
 
@@ -225,10 +226,10 @@ def _partition(records: Iterator[pa.RecordBatch], hot: np.ndarray, hot_totals: n
     factor = np.array([1.0, *[d[r] for r in range(1, CUT + 1)], 1.0])
     p1 = np.where(counts > 0, counts * factor[np.minimum(counts, CUT + 1)] / whole_mass, unknown)
 
-    contexts = np.unique(np.concatenate([np.cumsum(unpack(blob)[1], dtype=np.uint64) for _, blob in mail]))
+    contexts = np.unique(np.concatenate([np.cumsum(unpack(blob)[2], dtype=np.uint64) for _, blob in mail]))
     keys, trained = [], []
     for _, blob in mail:
-        train, context, follow, word, word_of, texts, text, times = unpack(blob)
+        _, train, context, follow, word, word_of, texts, text, times = unpack(blob)
         c = np.searchsorted(contexts, np.cumsum(context, dtype=np.uint64))
         w = np.searchsorted(words, np.cumsum(word, dtype=np.uint64))
         keys.append(np.repeat(c, follow) * len(words) + w[word_of])
@@ -261,7 +262,8 @@ def _partition(records: Iterator[pa.RecordBatch], hot: np.ndarray, hot_totals: n
         base = np.log10((own + 0.1) / (total + 0.1 * (kinds + 1)))
     at = 0
     for (batch, blob), n in zip(mail, lengths, strict=True):
-        train, _, _, _, _, texts, text, times = unpack(blob)
+        own_texts, train, _, _, _, _, texts, text, times = unpack(blob)
+        names = np.cumsum(own_texts, dtype=np.int64)  # of the message's texts in their batch
         of_each, times = np.repeat(of[at : at + n], texts), times.astype(np.int64) + 1
         at += n
         c, some = c_of[of_each], len(train)
@@ -274,9 +276,9 @@ def _partition(records: Iterator[pa.RecordBatch], hot: np.ndarray, hot_totals: n
         open_c, open_of = np.unique(c[cold], return_inverse=True)
         hot_of = lambda k, c=c: np.searchsorted(hot, contexts[c[k]])
         yield _record([(part, SUMS, batch, pack(
-            here, add(value[of_each] * times)[here], add(base[c] * times)[here], add((own[c] > 0) * times)[here].astype(np.int64), tokens[here].astype(np.int64), lows.astype(np.int64).ravel(),
-            text[cold], open_of, times[cold], table[open_c].ravel(), above[open_c].astype(np.int64), divisor[open_c].astype(np.int64), below[open_c],
-            text[warm], hot_of(warm), times[warm], text[done], hot_of(done), times[done],
+            names[here], add(value[of_each] * times)[here], add(base[c] * times)[here], add((own[c] > 0) * times)[here].astype(np.int64), tokens[here].astype(np.int64), lows.astype(np.int64).ravel(),
+            names[text[cold]], open_of, times[cold], table[open_c].ravel(), above[open_c].astype(np.int64), divisor[open_c].astype(np.int64), below[open_c],
+            names[text[warm]], hot_of(warm), times[warm], names[text[done]], hot_of(done), times[done],
         ))])
 
 
@@ -300,29 +302,29 @@ def _finish(records: Iterator[pa.RecordBatch], d: np.ndarray, hot_weights: np.nd
 
 
 def _collect(records: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
-    """The rows of each batch with the sums of its messages."""
-    rows: dict[int, bytes] = {}
-    sums: dict[int, np.ndarray] = {}
-    for _, kind, batch, blob in _rows(records):
-        if kind == DOCS:
-            rows[batch] = blob
-            continue
-        here, *values = unpack(blob)
-        top = int(here[-1]) + 1
-        old = sums.get(batch)
-        if old is None or old.shape[1] < top:
-            sums[batch] = np.zeros((4, top))
-            if old is not None:
-                sums[batch][:, : old.shape[1]] = old
-        sums[batch][:, here] += np.stack([v.astype(np.float64) for v in values])
-    for batch, blob in rows.items():
-        ids, null, held, of = unpack(blob)
-        score, base, known, tokens = sums.pop(batch)[:, of]
-        yield pa.record_batch({
+    """The rows of each batch with the sums of its messages. Records come batch by batch, its rows first, so one batch is held."""
+    rows, sums = None, np.zeros((4, 0))
+
+    def closed() -> pa.RecordBatch:
+        ids, null, held, of = rows
+        score, base, known, tokens = sums[:, of]
+        return pa.record_batch({
             "doc_id": pa.array(ids.astype(np.uint64).view(np.int64), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
             "train_tokens": pa.array(np.full(len(ids), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
         })
 
+    for _, kind, _, blob in _rows(records):
+        if kind == DOCS:
+            if rows is not None:
+                yield closed()
+            rows = unpack(blob)
+            sums = np.zeros((4, int(rows[3].max()) + 1))
+            continue
+        here, *values = unpack(blob)
+        sums[:, here] += np.stack([v.astype(np.float64) for v in values])
+    if rows is not None:
+        yield closed()
+
 
 def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> tuple[DataFrame, Tables]:
     """What katz.score_documents gives for order 2, and the model. stable: docs comes straight from files, so its rows keep their order."""
@@ -359,6 +361,7 @@ def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     messages = texts.mapInArrow(lambda rows: _messages(rows, hot, parts), _DDL)
     met = messages.unionByName(replies).repartitionById(parts, F.col("part"))
     out = table(met.mapInArrow(lambda rows: _partition(rows, hot, hot_totals, ends, total, kinds, d, mass, unknown), _DDL), "pairs")
+    delete(spark, f"{home}/replies")
     of_counts = sum((unpack(r["blob"])[0].astype(np.int64) for r in out.filter(F.col("kind") == STATE).select("blob").collect()), np.zeros(CUT + 3, np.int64))
     d2 = factors({r: int(of_counts[r]) for r in range(1, CUT + 2)})
     model = Tables(words, mass, unknown, d, out.filter(F.col("kind") == PAIRS).select("context", "word", "count"), out.filter(F.col("kind") == CONTEXTS).select("context", "stats", "below"), d2)
@@ -371,4 +374,5 @@ def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
 
     closed = out.filter(F.col("kind").isin(DOCS, SUMS)).select(*[f.name for f in _ARROW]).mapInArrow(lambda rows: _finish(rows, d2, weights, divisors), _DDL)
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return closed.select("part", "kind", "batch", "blob").repartition("batch").mapInArrow(lambda rows: _collect(rows, total), columns), model
+    in_order = closed.select("part", "kind", "batch", "blob").repartition("batch").sortWithinPartitions("batch", F.col("kind") != DOCS)
+    return in_order.mapInArrow(lambda rows: _collect(rows, total), columns), model
