@@ -143,7 +143,7 @@ def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.groupBy("field", "value", "canonical").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(cte("neighbors") + """, r AS (SELECT device, local_if, peer, peer_if, snapshot_id FROM neighbors WHERE length(local_if) > 0) SELECT device, CASE WHEN local_if LIKE '%1' OR local_if LIKE '%3' THEN 'cdp' ELSE 'lldp' END AS protocol, count(DISTINCT local_if || peer || peer_if || snapshot_id) AS n FROM r GROUP BY ALL""")
+@query(cte("neighbors") + """ SELECT DISTINCT device, local_if, peer, peer_if, CASE WHEN local_if LIKE '%1' OR local_if LIKE '%3' THEN 'cdp' ELSE 'lldp' END AS protocol, snapshot_id FROM neighbors""")
 def raw_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours read back from CDP and LLDP listings that are written from the neighbour table."""
     n = model(spark, sf_dir, "neighbors")
@@ -152,7 +152,7 @@ def raw_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.col("local_if").rlike("[13]$")
     text = lambda rows, body: rows.select(F.col("device").alias("device_name"), "snapshot_id", body.alias("raw_output"))
     out = landing.raw_neighbors(text(n.filter(odd), cdp), "cdp").unionByName(landing.raw_neighbors(text(n.filter(~odd), lldp), "lldp"))
-    return out.groupBy("device", "protocol").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("device", "local_if", "peer", "peer_if", "protocol", "snapshot_id")
 
 
 @query(cte("raw") + """, f AS (SELECT device_name AS host, command, platform, raw_output FROM raw QUALIFY row_number() OVER (PARTITION BY device_name, command ORDER BY seq DESC) = 1), g AS (SELECT host, bool_or(command = 'show ip bgp summary') AS hinted,

@@ -229,11 +229,26 @@ def log_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-@query(cte("outputs") + f""" SELECT device_name, snapshot_id, {J('interface')} AS interface, {J('ip_address')} AS ip_address, {J('status')} AS status FROM {LISTS} AND command = 'show ip interface brief' AND snapshot_id = (SELECT max(o.snapshot_id) FROM outputs o WHERE o.device_name = outputs.device_name AND o.command = outputs.command)""")
+_VIEW_COLUMNS = {
+    "show ip ospf neighbor": ["NEIGHBOR_ID", "State", "address", "interface"], "show ip bgp summary": ["neighbor", "peer", "as", "state_pfxrcd"], "show vlan": ["tag"],
+    "show ip interface brief": ["interface", "ip_address", "status", "proto"], "show interfaces terse": ["interface", "ip_address", "link_state", "proto"],
+}
+_VIEW_ROWS = " UNION ALL ".join(
+    f"SELECT 'v_{c.replace(' ', '_')}_auto' AS name, device_name, snapshot_id, '{x}' AS field, json_extract_string(parsed_data, '$[0].{x}') AS value FROM latest WHERE command = '{c}'"
+    for c, columns in _VIEW_COLUMNS.items() for x in columns
+)
+
+
+@query(cte("outputs") + f""", newest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name, command) AS top FROM outputs), latest AS (SELECT * FROM newest WHERE snapshot_id = top AND parsed_data <> 'no list') {_VIEW_ROWS}""")
 def command_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view of one command, out of all views that are built at once from the parsed lists, each with its own typed columns."""
+    """The values of all views that are built at once from the parsed lists, each with its own typed columns."""
     built = views.build_views(model(spark, sf_dir, "outputs").select("device_name", "command", "snapshot_id", "parsed_data"))
-    return built["v_show_ip_interface_brief_auto"].select("device_name", "snapshot_id", "interface", F.nullif("ip_address", F.lit("")).alias("ip_address"), "status")
+    long = []
+    for name, view in sorted(built.items()):
+        columns = [c for c in view.columns if c not in ("device_name", "snapshot_id", "interfaces")]
+        values = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+        long.append(view.select(F.lit(name).alias("name"), "device_name", "snapshot_id", F.inline(values)))
+    return reduce(DataFrame.unionByName, long)
 
 
 _KIND = """CASE WHEN role IN ('core', 'border') THEN 'router' WHEN role IN ('access', 'dist') THEN 'switch'

@@ -260,15 +260,28 @@ def nhop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.nhop_subgraph(e, e.agg(F.min("src")).first()[0] or "", 3)
 
 
-@query("WITH RECURSIVE" + cte("edges")[4:] + """, k AS (SELECT src AS gone FROM edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 2), n AS (SELECT k.gone AS scenario, v.node FROM k, (SELECT src AS node FROM edges UNION SELECT dst FROM edges) v WHERE v.node <> k.gone), b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-    reach AS (SELECT scenario, node, node AS seen FROM n UNION SELECT r.scenario, r.node, b.dst FROM reach r JOIN b ON r.seen = b.src JOIN n ON n.scenario = r.scenario AND n.node = b.dst), c AS (SELECT scenario, node, min(seen) AS root FROM reach GROUP BY ALL), z AS (SELECT scenario, root, count(*) AS size FROM c GROUP BY ALL)
-    SELECT scenario, count(*) AS components, max(size) AS largest, count(*) FILTER (WHERE size = 1) AS isolated FROM z GROUP BY scenario""")
+_BLAST = """,
+    k AS (SELECT src AS gone, row_number() OVER (ORDER BY count(*) DESC, src) AS place FROM edges GROUP BY src QUALIFY place <= 3),
+    scenarios AS (SELECT CASE place WHEN 3 THEN 'links of ' ELSE '' END || gone AS scenario, gone, place FROM k UNION ALL SELECT 'none', '', 3),
+    nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+    n AS (SELECT scenario, node FROM scenarios, nodes WHERE place = 3 OR node <> gone),
+    b AS (SELECT scenario, src, dst FROM scenarios, (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) WHERE src <> gone AND dst <> gone),
+    reach AS (SELECT scenario, node, node AS seen FROM n UNION SELECT r.scenario, r.node, b.dst FROM reach r JOIN b ON r.seen = b.src AND r.scenario = b.scenario),
+    c AS (SELECT scenario, node, min(seen) AS root FROM reach GROUP BY ALL), z AS (SELECT scenario, root, count(*) AS size FROM c GROUP BY ALL),
+    t AS (SELECT scenario, count(*) AS components, max(size) AS largest, count(*) FILTER (WHERE size = 1) AS isolated FROM z GROUP BY scenario)
+    SELECT t.*, o.components AS components_before, o.largest AS largest_before FROM t JOIN t o ON o.scenario = 'none' WHERE t.scenario <> 'none'"""
+
+
+@query("WITH RECURSIVE" + cte("edges")[4:] + _BLAST)
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two busiest devices removed, each in a scenario of its own."""
+    """The two busiest devices removed, each in a scenario of its own, and all links of the third one, with what was before."""
     e = model(spark, sf_dir, "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    busiest = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(2)
-    return topology.blast_radius(nodes, e, busiest.select(F.col("src").alias("scenario"), F.col("src").alias("device"))).select("scenario", "components", "largest", "isolated")
+    busiest = [r["src"] for r in e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(3).collect()]
+    gone = spark.createDataFrame([(h, h) for h in busiest[:2]], "scenario string, device string")
+    third = F.lit(busiest[2] if len(busiest) > 2 else None).cast("string")
+    links = e.filter((F.col("src") == third) | (F.col("dst") == third)).select(F.concat(F.lit("links of "), third).alias("scenario"), "src", "dst")
+    return topology.blast_radius(nodes, e, gone, links)
 
 
 _BFS = """, mirrored AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), degrees AS (SELECT src AS node, count(*) AS degree FROM mirrored GROUP BY src),
@@ -290,10 +303,22 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.bfs_levels(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), e)
 
 
-@query(cte("raw") + r""", l AS (SELECT seq, unnest(string_split(raw_output, chr(10))) AS line FROM raw) SELECT seq, regexp_extract(line, '^route-map (\S+)', 1) AS policy, regexp_extract(line, '(permit|deny)', 1) AS action, CAST(regexp_extract(line, '(\d+)$', 1) AS INT) AS clause FROM l WHERE line LIKE 'route-map %'""")
+_CLAUSES = r""",
+    t AS (SELECT seq, string_split(raw_output, chr(10)) AS lines FROM raw), l AS (SELECT seq, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t),
+    tops AS (SELECT *, lead(i) OVER (PARTITION BY seq ORDER BY i) AS after FROM l WHERE NOT regexp_matches(line, '^\s+\S')),
+    heads AS (SELECT * FROM tops WHERE line LIKE 'route-map %'),
+    body AS (SELECT h.seq, h.i, string_agg(CASE WHEN l.line LIKE ' match%' THEN trim(l.line) END, ';' ORDER BY l.i) AS matches, string_agg(CASE WHEN l.line LIKE ' set%' THEN trim(l.line) END, ';' ORDER BY l.i) AS sets
+        FROM heads h JOIN l ON l.seq = h.seq AND l.i > h.i AND (h.after IS NULL OR l.i < h.after) GROUP BY ALL)
+    SELECT h.seq, regexp_extract(line, '^route-map (\S+)', 1) AS policy, regexp_extract(line, '(permit|deny)', 1) AS action, CAST(regexp_extract(line, '(\d+)$', 1) AS INT) AS clause, h.i - 1 AS place, coalesce(matches, '') AS matches, coalesce(sets, '') AS sets
+    FROM heads h LEFT JOIN body b ON h.seq = b.seq AND h.i = b.i"""
+
+
+@query(cte("raw") + _CLAUSES)
 def route_map_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stanza of every captured text, with its match and set lines."""
     raw = model(spark, sf_dir, "raw").select(F.col("seq").alias("key"), "raw_output")
-    return policy.route_maps(raw, keys=("key",)).select(F.col("key").alias("seq"), "policy", "action", F.col("seq").alias("clause"))
+    maps = policy.route_maps(raw, keys=("key",))
+    return maps.select(F.col("key").alias("seq"), "policy", "action", F.col("seq").alias("clause"), "place", F.array_join("matches", ";").alias("matches"), F.array_join("sets", ";").alias("sets"))
 
 
 @query(cte("raw") + """ SELECT seq AS request, CASE WHEN seq % 4 = 3 THEN 10 ELSE 20 END AS seq, CASE WHEN seq % 4 = 3 THEN 'permit' ELSE 'deny' END AS outcome FROM raw WHERE raw_output LIKE 'hostname%'""")
