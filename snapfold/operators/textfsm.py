@@ -129,5 +129,5 @@ def records(text: Column, template: Column) -> Column:
         return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 
     start = state_of(F.lit(START), nothing, F.array().cast("array<array<array<string>>>"), F.lit(False), F.lit(False))
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    return F.aggregate(F.filter(lines, lambda x, i: (x != "") | (i < F.size(lines) - 1)), start, step, close)
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n$", ""), "\n")
+    return F.aggregate(lines, start, step, close)
