@@ -302,28 +302,28 @@ def _finish(records: Iterator[pa.RecordBatch], d: np.ndarray, hot_weights: np.nd
 
 
 def _collect(records: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
-    """The rows of each batch with the sums of its messages. Records come batch by batch, its rows first, so one batch is held."""
-    rows, sums = None, np.zeros((4, 0))
-
-    def closed() -> pa.RecordBatch:
-        ids, null, held, of = rows
-        score, base, known, tokens = sums[:, of]
-        return pa.record_batch({
-            "doc_id": pa.array(ids.astype(np.uint64).view(np.int64), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(ids), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
-        })
-
-    for _, kind, _, blob in _rows(records):
+    """The rows of each batch with the sums of its messages. A task has as many batches as about PART_TOKENS tokens make."""
+    rows: dict[int, bytes] = {}
+    sums: dict[int, np.ndarray] = {}
+    for _, kind, batch, blob in _rows(records):
         if kind == DOCS:
-            if rows is not None:
-                yield closed()
-            rows = unpack(blob)
-            sums = np.zeros((4, int(rows[3].max()) + 1))
+            rows[batch] = blob
             continue
         here, *values = unpack(blob)
-        sums[:, here] += np.stack([v.astype(np.float64) for v in values])
-    if rows is not None:
-        yield closed()
+        top = int(here[-1]) + 1
+        old = sums.get(batch)
+        if old is None or old.shape[1] < top:
+            sums[batch] = np.zeros((4, top))
+            if old is not None:
+                sums[batch][:, : old.shape[1]] = old
+        sums[batch][:, here] += np.stack([v.astype(np.float64) for v in values])
+    for batch, blob in rows.items():
+        ids, null, held, of = unpack(blob)
+        score, base, known, tokens = sums.pop(batch)[:, of]
+        yield pa.record_batch({
+            "doc_id": pa.array(ids.astype(np.uint64).view(np.int64), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(ids), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+        })
 
 
 def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> tuple[DataFrame, Tables]:
@@ -374,5 +374,4 @@ def score_pairs(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
 
     closed = out.filter(F.col("kind").isin(DOCS, SUMS)).select(*[f.name for f in _ARROW]).mapInArrow(lambda rows: _finish(rows, d2, weights, divisors), _DDL)
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    in_order = closed.select("part", "kind", "batch", "blob").repartition("batch").sortWithinPartitions("batch", F.col("kind") != DOCS)
-    return in_order.mapInArrow(lambda rows: _collect(rows, total), columns), model
+    return closed.select("part", "kind", "batch", "blob").repartition(parts, "batch").mapInArrow(lambda rows: _collect(rows, total), columns), model
