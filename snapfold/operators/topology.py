@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import canonical_interface, canonical_platform, first_present, link_id, platform_of_product, role_of_host, usable_interface, vendor_of
-from .stored import Scratch, shared_dir
+from .stored import Scratch
 from .tables import number_rows
 
 BROADCAST_ROWS = 200_000
@@ -114,20 +114,22 @@ def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Seq
     """keys, node, root: the least node of each node's component, separately for each value of the keys.
 
     Labels take the least label next to them, then that label's own label, so chains shorten by half a round. Rounds are
-    checkpointed to the shared folder, and the driver sees one count a round.
+    written to the shared folder, each deletes the one before, and the driver sees one count a round.
     """
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    keys = list(keys)
-    pairs = edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    labels = nodes.select(*keys, "node", F.col("node").alias("root")).distinct().checkpoint()
+    stored, keys = Scratch(spark), list(keys)
+    pairs = stored.put(edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
+    last = stored.put(nodes.select(*keys, "node", F.col("node").alias("new")).distinct(), "labels")
     while True:
+        labels = last.select(*keys, "node", F.col("new").alias("root"))
         near = pairs.join(labels.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.min("root").alias("near"))
         hooked = labels.join(near, [*keys, "node"], "left").withColumn("to", F.least("root", "near"))
         jump = hooked.select(*keys, F.col("node").alias("to"), F.col("to").alias("further"))
-        new = hooked.join(jump, [*keys, "to"], "left").select(*keys, "node", F.least("to", "further").alias("new"), (F.least("to", "further") != F.col("root")).alias("moved")).checkpoint()
-        labels = new.select(*keys, "node", F.col("new").alias("root"))
-        if new.filter("moved").isEmpty():
-            return labels
+        now = stored.put(hooked.join(jump, [*keys, "to"], "left").select(*keys, "node", F.least("to", "further").alias("new"), (F.least("to", "further") != F.col("root")).alias("moved")), "labels")
+        stored.drop(last)
+        last = now
+        if now.filter("moved").isEmpty():
+            stored.drop(pairs)
+            return now.select(*keys, "node", F.col("new").alias("root"))
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -137,11 +139,12 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links
     components that it touches; all others count as they are. So work is what scenarios touch, not scenarios x graph.
     """
     spark = nodes.sparkSession
+    stored = Scratch(spark)
     keyed = lambda df: df.withColumn("k", F.lit(0))
     known = nodes.select("node").distinct()
     pairs = mirrored(edges).filter("src < dst")
     labels = connected(spark, keyed(known), keyed(pairs), ["k"]).select("node", F.col("root").alias("comp"))
-    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).checkpoint()
+    sizes = stored.put(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
     gone = scenarios.select("scenario", F.col("device").alias("node")).distinct()
     hit = gone.select("scenario", "node")
     if links is not None:
@@ -161,7 +164,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links
     # Components by size: the largest untouched one is the first rank that the scenario doesn't touch.
     # No scenario touches more components than `most`, so the most + 1 largest hold one that it doesn't, if there is any.
     most = touched.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    top = sizes.orderBy(F.desc("size"), "comp").limit(most + 1).checkpoint()
+    top = stored.put(sizes.orderBy(F.desc("size"), "comp").limit(most + 1), "largest")
     ranks = top.select("comp", F.row_number().over(Window.orderBy(F.desc("size"), "comp")).alias("rank"))  # most + 1 rows
     ranked = touched.join(sizes, "comp").join(ranks, "comp", "left")
     old = ranked.groupBy("scenario").agg(F.count(F.lit(1)).alias("t_n"), F.count_if(F.col("size") == 1).alias("t_alone"), F.array_sort(F.collect_set("rank")).alias("ranks"))
