@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .report import coverage
 from .stored import replace_table
-from .text import is_learnable, parse_outputs, structure
+from .tables import few
+from .text import is_learnable, structure, with_records
 
 # Whose word counts more, the last one most.
 SOURCES = ["ntc", "user", "custom", "learned"]
@@ -69,7 +70,7 @@ def candidate_commands(parsed: DataFrame, devices: DataFrame, keywords: DataFram
     sample = last.groupBy("command").agg(F.min(F.struct("device_name", "parsed_data"))["parsed_data"].alias("sample"))
     names = held.select("command", "devices").join(sample, "command")
     # Distinct commands and keywords are two short lists; they meet by containment.
-    hits = names.join(F.broadcast(keywords.select("protocol", F.lower("keyword").alias("keyword")).distinct()), F.contains(F.lower("command"), F.col("keyword")))
+    hits = names.join(few(keywords.select("protocol", F.lower("keyword").alias("keyword")).distinct()), F.contains(F.lower("command"), F.col("keyword")))
     return hits.select("protocol", "command", "devices", "sample").distinct()
 
 
@@ -97,8 +98,7 @@ def _least(rows: DataFrame, limit: int) -> DataFrame:
 def validate_learned(raw: DataFrame, templates: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Share of learnable outputs that a candidate template reads, by platform and command, and whether it reaches the threshold."""
     rows = raw.filter(is_learnable(F.col("command"), F.col("raw_output")))
-    read = parse_outputs(rows, templates).join(rows.select("device_name", "command", "snapshot_id", "platform").distinct(), ["device_name", "command", "snapshot_id"])
-    return coverage(read.withColumn("parsed", F.col("reason") == "ok"), threshold)
+    return coverage(with_records(rows, templates).withColumn("parsed", F.col("reason") == "ok"), threshold)
 
 
 def discover_platform(files: DataFrame, templates: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -110,8 +110,8 @@ def discover_platform(files: DataFrame, templates: DataFrame, signatures: DataFr
     """
     order = {c: i for i, c in enumerate([*VERSION_COMMANDS, *SECONDARY_COMMANDS])}
     rank = F.coalesce(*[F.when(F.col("command") == c, F.lit(i)) for c, i in order.items()])
-    hint = files.join(F.broadcast(signatures), "command").groupBy("host").agg(F.min(F.struct("command", "platform")).alias("hint"))
-    tried = files.withColumn("rank", rank).filter("rank is not null").join(hint, "host", "left").join(F.broadcast(templates), "command")
+    hint = files.join(few(signatures), "command").groupBy("host").agg(F.min(F.struct("command", "platform")).alias("hint"))
+    tried = files.withColumn("rank", rank).filter("rank is not null").join(hint, "host", "left").join(few(templates), "command")
     read = tried.filter(F.coalesce(F.col("hint.platform") == F.col("platform"), F.lit(True))).filter(F.exists(F.split("text", "\n"), lambda x: F.regexp_like(x, F.col("pattern"))))
     best = read.groupBy("host").agg(F.min(F.struct("rank", "priority", "platform", "command")).alias("b"))
     sample = files.groupBy("host").agg(F.max(F.struct(F.length("text").alias("n"), F.col("command")))["command"].alias("longest"))

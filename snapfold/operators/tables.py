@@ -22,6 +22,15 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df for broadcasting if it is small enough, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by `order`. Ties beyond it are for the caller to break."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_place = 1").drop("_place")
@@ -68,8 +77,7 @@ def sync_by_hash(existing: DataFrame, incoming: DataFrame, key: str, settings: S
 def export_backups(raw: DataFrame, commands: DataFrame, path: str) -> None:
     """Text of backup-only commands, one folder per snapshot and device, which one task writes."""
     wanted = commands.filter("backup_only").select("command").distinct()
-    few = F.broadcast(wanted) if wanted.count() < 100_000 else wanted
-    rows = raw.join(few, "command", "left_semi").select("snapshot_id", "device_name", F.col("raw_output").alias("value"))
+    rows = raw.join(few(wanted), "command", "left_semi").select("snapshot_id", "device_name", F.col("raw_output").alias("value"))
     rows.repartition("snapshot_id", "device_name").write.partitionBy("snapshot_id", "device_name").text(path)
 
 

@@ -9,15 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.network import canonical_interface, canonical_platform, first_present, link_id, platform_of_product, role_of_host, usable_interface, vendor_of
 from .stored import Scratch
-from .tables import number_rows
-
-BROADCAST_ROWS = 200_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """df for broadcasting if it is small enough, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
+from .tables import few, number_rows
 
 def resolve_hostnames(names: DataFrame, devices: DataFrame) -> DataFrame:
     """raw, hostname for each distinct name: exact, then any case, first label, a device name and a separator, one edit, unchanged.
