@@ -184,7 +184,8 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{home}/out").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(cte("raw", "commands") + """ SELECT snapshot_id, device_name, count(*) AS lines FROM (SELECT snapshot_id, device_name, unnest(string_split(raw_output, chr(10))) FROM raw WHERE command IN (SELECT command FROM commands WHERE command = 'show running-config')) GROUP BY ALL""")
+@query(cte("raw", "commands") + """ SELECT snapshot_id, device_name, count(*) AS lines FROM (SELECT snapshot_id, device_name, unnest(string_split(raw_output, chr(10)))
+        FROM raw WHERE command IN (SELECT command FROM commands WHERE command = 'show running-config')) GROUP BY ALL""")
 def backup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the backups that were exported, read back from their folders."""
     home = stored.scratch(spark, "backups")
@@ -213,7 +214,8 @@ def json_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", path("$.user").alias("said_by"), path("$.api_token").alias("token"), path("$.nested[0].password").alias("password"), path("$.nested[0].tokens_in").alias("tokens_in"))
 
 
-@query(cte("raw") + """, t AS (SELECT seq, CASE seq % 5 WHEN 0 THEN 'Cisco IOS Software' WHEN 1 THEN 'Nexus Operating System (NX-OS)' WHEN 2 THEN 'Junos: 21.1' WHEN 3 THEN 'TiMOS-B' ELSE 'nothing' END || chr(10) || chr(10) || 'Name  Port' || chr(10) || raw_output AS x, raw_output FROM raw)
+@query(cte("raw") + """, t AS (SELECT seq, CASE seq % 5 WHEN 0 THEN 'Cisco IOS Software' WHEN 1 THEN 'Nexus Operating System (NX-OS)' WHEN 2 THEN 'Junos: 21.1'
+        WHEN 3 THEN 'TiMOS-B' ELSE 'nothing' END || chr(10) || chr(10) || 'Name  Port' || chr(10) || raw_output AS x, raw_output FROM raw)
     SELECT seq, CASE seq % 5 WHEN 0 THEN 'cisco_ios' WHEN 1 THEN 'cisco_nxos' WHEN 2 THEN 'juniper_junos' WHEN 3 THEN 'nokia_sros' END AS platform,
         len(list_filter(string_split(raw_output, chr(10)), lambda l: trim(l) <> '')) AS n_rows, lower(replace(replace('Show X/' || seq, ' ', '_'), '/', '_')) AS slug FROM t""")
 def text_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,11 @@ TEMPLATES = [
     ("cisco_ios", "show running-config", 0, r"^router ospf (\d+)$", ["process"]), ("cisco_ios", "show version", 0, r"^hostname (\S+)$", ["host"]), ("cisco_ios", "show version", 1, r"^router (\w+) (\d+)$", ["kind", "process"]),
     ("juniper_junos", "show running-config", 0, r"^hostname (r1\d*)$", ["host"]), ("arista_eos", "show ip route", 0, r"^ network (\S+)$", ["network"]),
 ]
-LANDED = """, o AS (SELECT device_name, command, snapshot_id, CASE WHEN platform IS NULL THEN NULL ELSE platform END AS platform, raw_output, seq FROM raw QUALIFY row_number() OVER (PARTITION BY device_name, command, snapshot_id ORDER BY seq DESC) = 1),
+LANDED = """, o AS (SELECT device_name, command, snapshot_id, CASE WHEN platform IS NULL THEN NULL ELSE platform END AS platform, raw_output, seq FROM raw QUALIFY
+        row_number() OVER (PARTITION BY device_name, command, snapshot_id ORDER BY seq DESC) = 1),
     l AS (SELECT *, raw_output NOT LIKE 'hostname%' AS broken, CASE
-        WHEN platform = 'cisco_ios' AND command IN ('show running-config', 'show version') OR platform = 'juniper_junos' AND command = 'show running-config' OR platform = 'arista_eos' AND command = 'show ip route' THEN
+        WHEN platform = 'cisco_ios' AND command IN ('show running-config', 'show version') OR platform = 'juniper_junos'
+        AND command = 'show running-config' OR platform = 'arista_eos' AND command = 'show ip route' THEN
             CASE WHEN raw_output NOT LIKE 'hostname%' OR platform = 'juniper_junos' AND NOT regexp_matches(device_name, '^r1[0-9]*$') THEN 'no_rows' ELSE 'ok' END
         ELSE 'no_template' END AS reason FROM o)"""
 
@@ -45,9 +47,11 @@ def _landing(spark: SparkSession, sf_dir: str, views: bool = False) -> dict[str,
     return landing.land_snapshot(_outputs(spark, sf_dir), _templates(spark), model(spark, sf_dir, "commands"), inventory, wanted, SALT, bundle=BUNDLE, views=views)
 
 
-@query(cte("raw") + LANDED + """ SELECT 'outputs' AS part, command AS name, count(*) AS n FROM (SELECT command FROM l QUALIFY row_number() OVER (PARTITION BY device_name, command ORDER BY snapshot_id DESC) = 1) GROUP BY ALL
+@query(cte("raw") + LANDED + """ SELECT 'outputs' AS part, command AS name, count(*) AS n FROM (SELECT command FROM l QUALIFY
+        row_number() OVER (PARTITION BY device_name, command ORDER BY snapshot_id DESC) = 1) GROUP BY ALL
     UNION ALL SELECT 'landed', command, count(*) FROM l GROUP BY ALL UNION ALL SELECT 'parsed', command, count(*) FILTER (WHERE reason = 'ok') FROM l GROUP BY ALL
-    UNION ALL SELECT 'silent', 'devices', least(20, count(*)) FROM (SELECT device_name FROM l GROUP BY ALL HAVING NOT bool_or(reason = 'ok')) UNION ALL SELECT 'total', 'landed', count(*) FROM l UNION ALL SELECT 'total', 'parsed', count(*) FILTER (WHERE reason = 'ok') FROM l""")
+    UNION ALL SELECT 'silent', 'devices', least(20, count(*)) FROM (SELECT device_name FROM l GROUP BY ALL HAVING NOT bool_or(reason = 'ok')) UNION ALL
+        SELECT 'total', 'landed', count(*) FROM l UNION ALL SELECT 'total', 'parsed', count(*) FILTER (WHERE reason = 'ok') FROM l""")
 def land_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of a landing, views too; counted: outputs kept, landed and parsed by command, silent devices, totals."""
     t = _landing(spark, sf_dir, views=True)
@@ -60,7 +64,8 @@ def land_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-@query(cte("raw", "devices") + """, r AS (SELECT device_name, platform, row_number() OVER (PARTITION BY device_name ORDER BY snapshot_id DESC) AS n FROM raw), h AS (SELECT hostname FROM devices UNION SELECT device_name FROM raw)
+@query(cte("raw", "devices") + """, r AS (SELECT device_name, platform, row_number() OVER (PARTITION BY device_name ORDER BY snapshot_id DESC) AS n FROM raw),
+        h AS (SELECT hostname FROM devices UNION SELECT device_name FROM raw)
     SELECT h.hostname, d.ip_address, d.site, d.role, CASE WHEN d.role IS NOT NULL THEN 'inventory' END AS role_source FROM h LEFT JOIN devices d ON h.hostname = d.hostname""")
 def landed_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each device of the inventory or the outputs."""
@@ -78,15 +83,18 @@ def bundle_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "summary"], *[F.coalesce(F.element_at(held, c), F.lit(0)).alias(c) for c in ("ok", "no_template")])
 
 
-@query(cte("raw", "commands") + LANDED + """, u AS (SELECT platform, command, count(*) AS n, bool_or(broken) AS error FROM l WHERE reason <> 'ok' GROUP BY ALL), c AS (SELECT platform, command, min(parser_type) AS parser_type FROM commands GROUP BY ALL)
-    SELECT coalesce(u.platform, '-') AS platform, u.command, n, CASE WHEN error THEN 'parser_error' WHEN u.platform IS NULL THEN 'unclassified' WHEN parser_type IS NULL THEN 'no_parser_registered' WHEN parser_type = 'raw_only' THEN 'raw_only' ELSE 'parser_no_match' END AS reason
+@query(cte("raw", "commands") + LANDED + """, u AS (SELECT platform, command, count(*) AS n, bool_or(broken) AS error FROM l WHERE reason <> 'ok' GROUP BY ALL),
+        c AS (SELECT platform, command, min(parser_type) AS parser_type FROM commands GROUP BY ALL)
+    SELECT coalesce(u.platform, '-') AS platform, u.command, n, CASE WHEN error THEN 'parser_error' WHEN u.platform IS NULL THEN 'unclassified'
+        WHEN parser_type IS NULL THEN 'no_parser_registered' WHEN parser_type = 'raw_only' THEN 'raw_only' ELSE 'parser_no_match' END AS reason
     FROM u LEFT JOIN c ON u.platform = c.platform AND u.command = c.command""")
 def landed_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why outputs were not parsed, by platform and command, as a landing reports it."""
     return _landing(spark, sf_dir)["reasons"].select(F.coalesce("platform", F.lit("-")).alias("platform"), "command", "n", "reason")
 
 
-@query(cte("raw") + LANDED + """ SELECT device_name, command, snapshot_id, parsed_ok, replace(replace(raw_output, ' 7 secret', ' 7 '), 'community C', 'community ') NOT LIKE '%secret%' AS clean, 'b1' AS bundle_id, 'abc' AS bundle_sha256, 'offline' AS ingested_via
+@query(cte("raw") + LANDED + """
+        SELECT device_name, command, snapshot_id, parsed_ok, replace(replace(raw_output, ' 7 secret', ' 7 '), 'community C', 'community ') NOT LIKE '%secret%' AS clean, 'b1' AS bundle_id, 'abc' AS bundle_sha256, 'offline' AS ingested_via
     FROM (SELECT *, reason = 'ok' AS parsed_ok FROM l QUALIFY row_number() OVER (PARTITION BY device_name, command ORDER BY snapshot_id DESC) = 1)""")
 def landed_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outputs that stay after a landing: newest of each device and command, redacted and stamped with their bundle."""
@@ -121,7 +129,8 @@ _PROFILE_ROWS = " UNION ALL ".join(
 )
 
 
-@query(cte("outputs") + f""", newest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name, command) AS top FROM outputs), latest AS (SELECT * FROM newest WHERE snapshot_id = top AND parsed_data <> 'no list'),
+@query(cte("outputs") + f""", newest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name, command) AS top FROM outputs), latest AS (SELECT * FROM newest
+        WHERE snapshot_id = top AND parsed_data <> 'no list'),
     every AS ({_PROFILE_ROWS}), counts AS (SELECT view_name, column_name, value, count(*) AS freq FROM every WHERE value IS NOT NULL GROUP BY ALL),
     few AS (SELECT *, count(*) OVER (PARTITION BY view_name, column_name) AS n,
         array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(value), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''))), ' ') AS fingerprint FROM counts)
@@ -131,9 +140,14 @@ def view_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.profile_views(views.build_views(model(spark, sf_dir, "outputs").select("device_name", "command", "snapshot_id", "parsed_data")))
 
 
-@query(cte("outputs") + """, v AS (SELECT device_name, snapshot_id, ok, ln, CASE command WHEN 'show ip ospf neighbor' THEN 'State' WHEN 'show ip interface brief' THEN 'status' WHEN 'show vlan' THEN 'tag' END AS field FROM outputs WHERE parsed_data <> 'no list' AND command IN ('show ip ospf neighbor', 'show ip interface brief', 'show vlan')),
-    w AS (SELECT field, CASE field WHEN 'State' THEN json_extract_string(parsed_data, '$[0].State') WHEN 'status' THEN json_extract_string(parsed_data, '$[0].status') ELSE json_extract_string(parsed_data, '$[0].tag') END AS value FROM (SELECT o.parsed_data, CASE o.command WHEN 'show ip ospf neighbor' THEN 'State' WHEN 'show ip interface brief' THEN 'status' WHEN 'show vlan' THEN 'tag' END AS field FROM outputs o WHERE o.parsed_data <> 'no list') WHERE field IS NOT NULL)
-    SELECT field, value, CASE WHEN value = 'full' THEN 'Full' WHEN value = 'FULL/DR' THEN 'Full/DR' WHEN value = '2WAY' THEN '2-Way' WHEN value = 'INIT' THEN 'Init' ELSE value END AS canonical, count(*) AS n FROM w GROUP BY ALL
+@query(cte("outputs") + """, v AS (SELECT device_name, snapshot_id, ok, ln, CASE command WHEN 'show ip ospf neighbor' THEN 'State'
+        WHEN 'show ip interface brief' THEN 'status' WHEN 'show vlan' THEN 'tag' END AS field FROM outputs WHERE parsed_data <> 'no list'
+        AND command IN ('show ip ospf neighbor', 'show ip interface brief', 'show vlan')),
+    w AS (SELECT field, CASE field WHEN 'State' THEN json_extract_string(parsed_data, '$[0].State') WHEN 'status' THEN json_extract_string(parsed_data, '$[0].status')
+        ELSE json_extract_string(parsed_data, '$[0].tag') END AS value FROM (SELECT o.parsed_data, CASE o.command WHEN 'show ip ospf neighbor' THEN 'State'
+        WHEN 'show ip interface brief' THEN 'status' WHEN 'show vlan' THEN 'tag' END AS field FROM outputs o WHERE o.parsed_data <> 'no list') WHERE field IS NOT NULL)
+    SELECT field, value, CASE WHEN value = 'full' THEN 'Full' WHEN value = 'FULL/DR' THEN 'Full/DR' WHEN value = '2WAY' THEN '2-Way' WHEN value = 'INIT' THEN 'Init'
+        ELSE value END AS canonical, count(*) AS n FROM w GROUP BY ALL
     UNION ALL SELECT 'interfaces', i, i, count(*) FROM (SELECT unnest(['Gi0/' || (pk % 4), 'Gi0/' || (pk % 3)]) AS i FROM outputs WHERE command = 'show vlan' AND parsed_data <> 'no list') GROUP BY ALL
     UNION ALL SELECT 'interface', 'Gi0/' || (pk % 40), 'GigabitEthernet0/' || (pk % 40), count(*) FROM outputs WHERE command = 'show ip interface brief' AND parsed_data <> 'no list' GROUP BY ALL""")
 def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +169,8 @@ def raw_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("device", "local_if", "peer", "peer_if", "protocol", "snapshot_id")
 
 
-@query(cte("raw") + """, f AS (SELECT device_name AS host, command, platform, raw_output FROM raw QUALIFY row_number() OVER (PARTITION BY device_name, command ORDER BY seq DESC) = 1), g AS (SELECT host, bool_or(command = 'show ip bgp summary') AS hinted,
+@query(cte("raw") + """, f AS (SELECT device_name AS host, command, platform, raw_output FROM raw QUALIFY row_number() OVER (PARTITION BY device_name, command
+        ORDER BY seq DESC) = 1), g AS (SELECT host, bool_or(command = 'show ip bgp summary') AS hinted,
         bool_or(command = 'show version' AND raw_output LIKE 'hostname%') AS version FROM f GROUP BY host)
     SELECT host, CASE WHEN hinted THEN 'juniper_junos' WHEN version AND regexp_matches(host, '^r1') THEN 'arista_eos' WHEN version THEN 'cisco_ios' END AS platform,
         CASE WHEN hinted AND version THEN 'template-version' WHEN hinted THEN 'filename-signature' WHEN version THEN 'template-version' ELSE 'unknown' END AS confidence FROM g""")
@@ -167,8 +182,11 @@ def discover_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.discover_platform(files, templates, signatures).select("host", "platform", "confidence")
 
 
-@query("""WITH c AS (SELECT p_type AS command, p_brand AS platform, CASE p_partkey % 5 WHEN 0 THEN 'ntc' WHEN 1 THEN 'user' WHEN 2 THEN 'custom' WHEN 3 THEN 'learned' ELSE 'other' END AS source, p_partkey AS id FROM part), r AS (SELECT *, CASE source WHEN 'ntc' THEN 1 WHEN 'user' THEN 2 WHEN 'custom' THEN 3 WHEN 'learned' THEN 4 ELSE 0 END AS w FROM c)
-    SELECT platform, command, source, id, regexp_matches(lower(command), '^promo|steel$|n/a') AS blacklisted FROM r QUALIFY row_number() OVER (PARTITION BY platform, command ORDER BY w DESC, source DESC, id DESC) = 1""")
+@query("""WITH c AS (SELECT p_type AS command, p_brand AS platform, CASE p_partkey % 5 WHEN 0 THEN 'ntc' WHEN 1 THEN 'user' WHEN 2 THEN 'custom' WHEN 3 THEN 'learned'
+        ELSE 'other' END AS source, p_partkey AS id FROM part), r AS (SELECT *, CASE source WHEN 'ntc' THEN 1 WHEN 'user' THEN 2 WHEN 'custom' THEN 3 WHEN 'learned' THEN 4
+        ELSE 0 END AS w FROM c)
+    SELECT platform, command, source, id, regexp_matches(lower(command), '^promo|steel$|n/a') AS blacklisted FROM r QUALIFY
+        row_number() OVER (PARTITION BY platform, command ORDER BY w DESC, source DESC, id DESC) = 1""")
 def merge_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each platform and command out of four sources, and whether the command is blacklisted."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -177,15 +195,18 @@ def merge_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.flag_blacklisted(catalog.merge_commands(rows), ["^PROMO", " ", "steel$", "n/a"])
 
 
-@query(cte("raw", "devices") + """, k AS (SELECT device_name, command, snapshot_id, raw_output FROM raw WHERE device_name IN (SELECT hostname FROM devices)), w(protocol, keyword) AS (VALUES ('bgp', 'BGP'), ('ospf', 'route'), ('any', 'show'))
-    SELECT protocol, command, count(DISTINCT device_name) AS devices, (SELECT min(device_name) FROM k j WHERE j.command = k.command AND j.snapshot_id = (SELECT max(snapshot_id) FROM k i WHERE i.command = k.command)) AS sampled FROM k JOIN w ON contains(lower(command), lower(keyword)) GROUP BY ALL""")
+@query(cte("raw", "devices") + """, k AS (SELECT device_name, command, snapshot_id, raw_output FROM raw WHERE device_name IN (SELECT hostname
+        FROM devices)), w(protocol, keyword) AS (VALUES ('bgp', 'BGP'), ('ospf', 'route'), ('any', 'show'))
+    SELECT protocol, command, count(DISTINCT device_name) AS devices, (SELECT min(device_name) FROM k j WHERE j.command = k.command
+        AND j.snapshot_id = (SELECT max(snapshot_id) FROM k i WHERE i.command = k.command)) AS sampled FROM k JOIN w ON contains(lower(command), lower(keyword)) GROUP BY ALL""")
 def candidate_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = model(spark, sf_dir, "raw").withColumn("parsed_data", F.col("device_name"))
     words = spark.createDataFrame([("bgp", "BGP"), ("ospf", "route"), ("any", "show")], "protocol string, keyword string")
     return catalog.candidate_commands(raw, model(spark, sf_dir, "devices"), words).withColumnRenamed("sample", "sampled")
 
 
-@query(cte("raw") + """, q AS (SELECT DISTINCT p_brand || ' ' || CASE p_size % 3 WHEN 0 THEN 'ECO' ELSE 'x' END AS asked, string_split(lower(p_brand || ' ' || CASE p_size % 3 WHEN 0 THEN 'ECO' ELSE 'x' END), ' ') AS w FROM part), s AS (SELECT DISTINCT p_brand || ' ' || p_type AS command FROM part)
+@query(cte("raw") + """, q AS (SELECT DISTINCT p_brand || ' ' || CASE p_size % 3 WHEN 0 THEN 'ECO' ELSE 'x' END AS asked, string_split(lower(p_brand || ' ' ||
+        CASE p_size % 3 WHEN 0 THEN 'ECO' ELSE 'x' END), ' ') AS w FROM part), s AS (SELECT DISTINCT p_brand || ' ' || p_type AS command FROM part)
     SELECT asked, min(command) AS command FROM q LEFT JOIN s ON len(list_filter(w, lambda x: NOT contains(lower(command), x))) = 0 GROUP BY asked""")
 def match_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first command that holds every word that was asked for."""
@@ -194,21 +215,28 @@ def match_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.match_command(p.select(F.concat_ws(" ", "p_brand", "p_type").alias("command")), asked)
 
 
-@query(cte("raw") + """, k AS (SELECT * FROM raw WHERE raw_output LIKE 'hostname%' AND command <> 'show running-config'), s AS (SELECT platform, command, device_name, snapshot_id, raw_output, row_number() OVER (PARTITION BY platform, command ORDER BY device_name, snapshot_id, raw_output) AS n FROM k)
-    SELECT coalesce(k.platform, '-') AS platform, k.command, count(*) AS outputs, (SELECT array_to_string(list(device_name ORDER BY n), ',') FROM s WHERE s.platform IS NOT DISTINCT FROM k.platform AND s.command = k.command AND s.n <= 3) AS sampled FROM k GROUP BY ALL""")
+@query(cte("raw") + """, k AS (SELECT * FROM raw WHERE raw_output LIKE 'hostname%' AND command <> 'show running-config'),
+        s AS (SELECT platform, command, device_name, snapshot_id, raw_output, row_number() OVER (PARTITION BY platform, command
+        ORDER BY device_name, snapshot_id, raw_output) AS n FROM k)
+    SELECT coalesce(k.platform, '-') AS platform, k.command, count(*) AS outputs, (SELECT array_to_string(list(device_name ORDER BY n), ',') FROM s
+        WHERE s.platform IS NOT DISTINCT FROM k.platform AND s.command = k.command AND s.n <= 3) AS sampled FROM k GROUP BY ALL""")
 def learn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = catalog.learn_candidates(model(spark, sf_dir, "raw"))
     return out.select(F.coalesce("platform", F.lit("-")).alias("platform"), "command", "outputs", F.array_join(F.col("samples.device_name"), ",").alias("sampled"))
 
 
-@query(cte("raw") + LANDED + """, g AS (SELECT * FROM l WHERE raw_output LIKE 'hostname%' AND command <> 'show running-config') SELECT coalesce(platform, '-') AS platform, command, count(*) AS samples, round(avg((reason = 'ok')::INT), 6) AS share, avg((reason = 'ok')::INT) >= 0.7 AS passes FROM g GROUP BY ALL""")
+@query(cte("raw") + LANDED + """, g AS (SELECT * FROM l WHERE raw_output LIKE 'hostname%' AND command <> 'show running-config')
+        SELECT coalesce(platform, '-') AS platform, command, count(*) AS samples, round(avg((reason = 'ok')::INT), 6) AS share, avg((reason = 'ok')::INT) >= 0.7 AS passes FROM g
+        GROUP BY ALL""")
 def parser_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each platform's learnable outputs the templates read."""
     out = catalog.validate_learned(_outputs(spark, sf_dir), _templates(spark))
     return out.select(F.coalesce("platform", F.lit("-")).alias("platform"), "command", "samples", F.round("share", 6).alias("share"), "passes")
 
 
-@query(cte("raw") + LANDED + """ SELECT device_name, command, snapshot_id, reason, CASE WHEN reason = 'ok' THEN CASE WHEN platform = 'arista_eos' THEN regexp_extract(raw_output, ' network ([0-9.]+)', 1) WHEN platform = 'cisco_ios' AND command = 'show running-config' THEN regexp_extract(raw_output, 'router ospf ([0-9]+)', 1) ELSE device_name END END AS first_value FROM l""")
+@query(cte("raw") + LANDED + """ SELECT device_name, command, snapshot_id, reason, CASE WHEN reason = 'ok' THEN CASE
+        WHEN platform = 'arista_eos' THEN regexp_extract(raw_output, ' network ([0-9.]+)', 1) WHEN platform = 'cisco_ios'
+        AND command = 'show running-config' THEN regexp_extract(raw_output, 'router ospf ([0-9]+)', 1) ELSE device_name END END AS first_value FROM l""")
 def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each output read by the first template tier that yields rows."""
     from ..operators.text import parse_outputs as parse
@@ -218,8 +246,12 @@ def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("device_name", "command", "snapshot_id", "reason", first.alias("first_value"))
 
 
-@query("""WITH v AS (SELECT '10.' || (o_custkey % 256) || '.' || (o_orderkey % 300) || '.0' || (o_orderkey % 2) AS ip, '2001:DB8:' || printf('%04x', o_custkey % 16) || ':0:0::' || (o_orderkey % 9) AS six, 1 + o_custkey % 65535 AS a, o_orderkey % 7 AS b, o_orderkey AS k FROM orders)
-    SELECT k, ip || '/24' AS ip, printf('2001:db8%s::%s', CASE (SELECT printf('%x', CAST('0x' || string_split(six, ':')[3] AS INT))) WHEN '0' THEN '' ELSE ':' || printf('%x', CAST('0x' || string_split(six, ':')[3] AS INT)) END, CASE WHEN string_split(six, '::')[2] = '0' THEN '' ELSE string_split(six, '::')[2] END) AS six, CAST(b * 65536 + a AS VARCHAR) AS asn FROM v""")
+@query("""WITH
+        v AS (SELECT '10.' || (o_custkey % 256) || '.' || (o_orderkey % 300) || '.0' || (o_orderkey % 2) AS ip, '2001:DB8:' || printf('%04x', o_custkey % 16) || ':0:0::' || (o_orderkey % 9) AS six, 1 + o_custkey % 65535 AS a, o_orderkey % 7 AS b, o_orderkey AS k
+        FROM orders)
+    SELECT k, ip || '/24' AS ip, printf('2001:db8%s::%s', CASE (SELECT printf('%x', CAST('0x' || string_split(six, ':')[3] AS INT))) WHEN '0' THEN ''
+        ELSE ':' || printf('%x', CAST('0x' || string_split(six, ':')[3] AS INT)) END, CASE WHEN string_split(six, '::')[2] = '0' THEN ''
+        ELSE string_split(six, '::')[2] END) AS six, CAST(b * 65536 + a AS VARCHAR) AS asn FROM v""")
 def address_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPv4, IPv6 and dotted AS numbers in canonical form. Octets with leading zeros are no addresses and stay."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -229,8 +261,11 @@ def address_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), net.normalised("ip_address", ip).alias("ip"), net.canonical_ip(six).alias("six"), net.normalised("remote_as", asn).alias("asn"))
 
 
-@query("""WITH i AS (SELECT 'r' || l_suppkey AS device_name, l_linenumber AS pos, CASE l_partkey % 4 WHEN 0 THEN 'Loopback' || (l_partkey % 3) WHEN 1 THEN 'lo0.' || (l_partkey % 2) ELSE 'Gi0/' || l_linenumber END AS interface, CASE WHEN l_partkey % 5 = 0 THEN 'unassigned' ELSE '10.0.' || (l_partkey % 9) || '.1/32' END AS ip_address, CASE WHEN l_orderkey % 3 = 0 THEN 'down' ELSE 'Up' END AS status FROM lineitem)
-    SELECT device_name, split_part(ip_address, '/', 1) AS loopback FROM i WHERE status = 'Up' AND interface NOT LIKE 'Gi%' AND ip_address <> 'unassigned' QUALIFY row_number() OVER (PARTITION BY device_name ORDER BY pos, interface, ip_address) = 1""")
+@query("""WITH i AS (SELECT 'r' || l_suppkey AS device_name, l_linenumber AS pos, CASE l_partkey % 4 WHEN 0 THEN 'Loopback' || (l_partkey % 3)
+        WHEN 1 THEN 'lo0.' || (l_partkey % 2) ELSE 'Gi0/' || l_linenumber END AS interface, CASE WHEN l_partkey % 5 = 0 THEN 'unassigned'
+        ELSE '10.0.' || (l_partkey % 9) || '.1/32' END AS ip_address, CASE WHEN l_orderkey % 3 = 0 THEN 'down' ELSE 'Up' END AS status FROM lineitem)
+    SELECT device_name, split_part(ip_address, '/', 1) AS loopback FROM i WHERE status = 'Up' AND interface NOT LIKE 'Gi%' AND ip_address <> 'unassigned' QUALIFY
+        row_number() OVER (PARTITION BY device_name ORDER BY pos, interface, ip_address) = 1""")
 def loopbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first loopback of each device that is up and has an address."""
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -240,7 +275,10 @@ def loopbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.loopbacks(x.select(F.concat(F.lit("r"), "l_suppkey").alias("device_name"), F.col("l_linenumber").alias("pos"), name.alias("interface"), ip.alias("ip_address"), status.alias("status")))
 
 
-@query(cte("raw") + """, t AS (SELECT device_name, snapshot_id, 'router-id 10.0.0.' || (seq % 200) || chr(10) || 'router bgp ' || (64512 + seq % 50) AS x, seq FROM raw WHERE seq % 3 <> 0) SELECT device_name, max_by('10.0.0.' || (seq % 200), snapshot_id || '10.0.0.' || (seq % 200)) AS router_id, max_by((64512 + seq % 50)::VARCHAR, snapshot_id || (64512 + seq % 50)) AS local_as FROM t GROUP BY device_name""")
+@query(cte("raw") + """, t AS (SELECT device_name, snapshot_id, 'router-id 10.0.0.' || (seq % 200) || chr(10) || 'router bgp ' || (64512 + seq % 50) AS x, seq FROM raw
+        WHERE seq % 3 <> 0)
+        SELECT device_name, max_by('10.0.0.' || (seq % 200), snapshot_id || '10.0.0.' || (seq % 200)) AS router_id, max_by((64512 + seq % 50)::VARCHAR, snapshot_id || (64512 + seq % 50)) AS local_as
+        FROM t GROUP BY device_name""")
 def ids_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router id and AS number out of each device's newest text."""
     raw = model(spark, sf_dir, "raw")
@@ -248,7 +286,9 @@ def ids_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.ids_of_text(raw.select("device_name", "snapshot_id", body.alias("raw_output")))
 
 
-@query(cte("devices") + """, p(platform, vendor) AS (VALUES ('cisco-ios', 'Cisco Systems'), ('arista', 'Arista Networks')) SELECT hostname, coalesce(p.vendor, upper(substr(d.platform, 1, 1)) || lower(substr(d.platform, 2))) AS vendor, CASE d.model WHEN 'M1-1' THEN '-' ELSE d.model END AS model, 'v' || length(d.hostname) AS os_version FROM devices d LEFT JOIN p ON d.platform = p.platform""")
+@query(cte("devices") + """, p(platform, vendor) AS (VALUES ('cisco-ios', 'Cisco Systems'), ('arista', 'Arista Networks'))
+        SELECT hostname, coalesce(p.vendor, upper(substr(d.platform, 1, 1)) || lower(substr(d.platform, 2))) AS vendor, CASE d.model WHEN 'M1-1' THEN '-'
+        ELSE d.model END AS model, 'v' || length(d.hostname) AS os_version FROM devices d LEFT JOIN p ON d.platform = p.platform""")
 def device_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendor by the platform's profile; model and version by the first field that has one."""
     d = model(spark, sf_dir, "devices")
@@ -259,7 +299,8 @@ def device_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("hostname", "vendor", landing.pick_model(F.col("fields")).alias("model"), landing.pick_os_version(F.col("fields")).alias("os_version"))
 
 
-@query("""WITH r AS (SELECT CASE l_partkey % 6 WHEN 0 THEN '0.0.0.0' ELSE '10.' || (l_partkey % 50) || '.0.0' END AS network, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE (l_partkey % 4) * 8 END AS length FROM lineitem)
+@query("""WITH r AS (SELECT CASE l_partkey % 6 WHEN 0 THEN '0.0.0.0' ELSE '10.' || (l_partkey % 50) || '.0.0' END AS network, CASE WHEN l_partkey % 9 = 0 THEN NULL
+        ELSE (l_partkey % 4) * 8 END AS length FROM lineitem)
     SELECT network || CASE WHEN length IS NULL THEN '' ELSE '/' || length END AS prefix, coalesce(network = '0.0.0.0' AND length = 0, false) AS is_default, count(*) AS n FROM r GROUP BY ALL""")
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -270,8 +311,12 @@ def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("prefix", "is_default").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(cte("raw") + """, c AS (SELECT device_name AS device, seq, 'RM' || (seq % 3) AS policy, '10.0.0.' || (regexp_extract(raw_output, 'neighbor 10.0.0.([0-9]+)', 1)) AS neighbor FROM raw WHERE raw_output LIKE 'hostname%' AND command = 'show running-config' QUALIFY row_number() OVER (PARTITION BY device_name ORDER BY snapshot_id DESC, seq DESC) = 1),
-    n AS (SELECT DISTINCT device, unnest(['10.0.0.1', '10.0.0.2', '10.0.0.3']) AS neighbor FROM c) SELECT n.device, n.neighbor, d AS direction, CASE WHEN d = 'in' THEN c.policy END AS policy, CASE WHEN d = 'in' AND c.policy IS NOT NULL THEN 2 ELSE 0 END AS clauses FROM n CROSS JOIN (VALUES ('in'), ('out')) x(d) LEFT JOIN c ON n.device = c.device AND n.neighbor = c.neighbor""")
+@query(cte("raw") + """,
+        c AS (SELECT device_name AS device, seq, 'RM' || (seq % 3) AS policy, '10.0.0.' || (regexp_extract(raw_output, 'neighbor 10.0.0.([0-9]+)', 1)) AS neighbor FROM raw
+        WHERE raw_output LIKE 'hostname%' AND command = 'show running-config' QUALIFY row_number() OVER (PARTITION BY device_name ORDER BY snapshot_id DESC, seq DESC) = 1),
+    n AS (SELECT DISTINCT device, unnest(['10.0.0.1', '10.0.0.2', '10.0.0.3']) AS neighbor FROM c) SELECT n.device, n.neighbor, d AS direction, CASE
+        WHEN d = 'in' THEN c.policy END AS policy, CASE WHEN d = 'in' AND c.policy IS NOT NULL THEN 2 ELSE 0 END AS clauses FROM n CROSS JOIN (VALUES ('in'), ('out')) x(d) LEFT
+        JOIN c ON n.device = c.device AND n.neighbor = c.neighbor""")
 def policy_of_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy, and how many clauses it has, of each of three neighbours in either direction."""
     raw = model(spark, sf_dir, "raw").filter("raw_output like 'hostname%' and command = 'show running-config'")

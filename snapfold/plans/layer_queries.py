@@ -34,13 +34,15 @@ def ospf_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(bad.unionByName(good))
 
 
-@query(cte("outputs") + f""", l AS (SELECT device_name AS device, {J('neighbor', 'peer')} AS neighbor_ip, {J('as')} AS neighbor_as, {J('state_pfxrcd')} AS state FROM {LISTS} AND command = 'show ip bgp summary' AND {NEWEST('show ip bgp summary')})
+@query(cte("outputs") + f""", l AS (SELECT device_name AS device, {J('neighbor', 'peer')} AS neighbor_ip, {J('as')} AS neighbor_as, {J('state_pfxrcd')} AS state
+        FROM {LISTS} AND command = 'show ip bgp summary' AND {NEWEST('show ip bgp summary')})
     SELECT *, count(*) AS n FROM l GROUP BY ALL""")
 def bgp_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(layers.bgp_layer(model(spark, sf_dir, "outputs")).select("device", "neighbor_ip", "neighbor_as", "state"))
 
 
-@query(cte("outputs") + f""", l AS (SELECT device_name AS device, {J('tag')} AS vlan_id, unnest(['Gi0/' || (pk % 4), 'Gi0/' || (pk % 3)]) AS interface FROM {LISTS} AND command = 'show vlan' AND {NEWEST('show vlan')})
+@query(cte("outputs") + f""", l AS (SELECT device_name AS device, {J('tag')} AS vlan_id, unnest(['Gi0/' || (pk % 4), 'Gi0/' || (pk % 3)]) AS interface FROM {LISTS}
+        AND command = 'show vlan' AND {NEWEST('show vlan')})
     SELECT device, vlan_id, array_to_string(list_sort(list_distinct(list(interface))), ',') AS interfaces FROM l GROUP BY ALL""")
 def vlan_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All interfaces of each VLAN on each device."""
@@ -48,7 +50,8 @@ def vlan_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("device", "vlan_id", F.array_join("interfaces", ",").alias("interfaces"))
 
 
-@query(cte("links") + """, l AS (SELECT * FROM links WHERE snapshot_id = (SELECT max(snapshot_id) FROM links)), e AS (SELECT source_device AS a, destination_device AS b FROM l UNION SELECT destination_device, source_device FROM l)
+@query(cte("links") + """, l AS (SELECT * FROM links WHERE snapshot_id = (SELECT max(snapshot_id) FROM links)), e AS (SELECT source_device AS a, destination_device AS b
+        FROM l UNION SELECT destination_device, source_device FROM l)
     SELECT a AS device, count(DISTINCT b) AS neighbors, (SELECT count(*) FROM l WHERE source_device = a OR destination_device = a) AS links FROM e GROUP BY a""")
 def physical_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices of the newest snapshot's links with how many neighbours and links each has."""
@@ -58,7 +61,8 @@ def physical_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(ends, "device")
 
 
-SOURCES_SQL = """u AS (SELECT 'l2_cdp' AS protocol, source_device AS src, source_interface AS sif, destination_device AS dst, destination_interface AS dif, coalesce(link_status, 'up') AS status, snapshot_id FROM links
+SOURCES_SQL = """u AS (SELECT 'l2_cdp' AS protocol, source_device AS src, source_interface AS sif, destination_device AS dst, destination_interface AS dif, coalesce(link_status, 'up') AS status, snapshot_id
+        FROM links
         UNION ALL SELECT 'bgp', device_name, '', neighbor, '', state, snapshot_id FROM sessions UNION ALL SELECT 'ospf', device_name, interface, neighbor, '', state, snapshot_id FROM sessions)"""
 
 
@@ -76,8 +80,10 @@ def universal_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, every).groupBy("protocol", "status", "snapshot_id").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct(F.concat("dst", "dif", "sif")).alias("targets"))
 
 
-SCOPED = """, s AS (SELECT hostname FROM devices WHERE role IN ('core', 'border')), l AS (SELECT source_device AS src, source_interface AS sif, destination_device AS dst, destination_interface AS dif, coalesce(link_status, 'up') AS status FROM links
-        WHERE snapshot_id = 'snap_19970101_000000_t' AND (source_device IN (SELECT hostname FROM s) OR destination_device IN (SELECT hostname FROM s))), near AS (SELECT 'r1' AS node UNION SELECT dst FROM l WHERE src = 'r1' UNION SELECT src FROM l WHERE dst = 'r1'),
+SCOPED = """, s AS (SELECT hostname FROM devices WHERE role IN ('core', 'border')),
+        l AS (SELECT source_device AS src, source_interface AS sif, destination_device AS dst, destination_interface AS dif, coalesce(link_status, 'up') AS status FROM links
+        WHERE snapshot_id = 'snap_19970101_000000_t' AND (source_device IN (SELECT hostname FROM s) OR destination_device IN (SELECT hostname FROM s))),
+        near AS (SELECT 'r1' AS node UNION SELECT dst FROM l WHERE src = 'r1' UNION SELECT src FROM l WHERE dst = 'r1'),
     t AS (SELECT * FROM l WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near))"""
 
 
@@ -92,7 +98,8 @@ def adjacency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(cte("links", "devices") + SCOPED + """, h AS (SELECT src AS host FROM t UNION SELECT dst FROM t)
-    SELECT hostname, model, vendor, coalesce(ip_address, '') AS ip, role, site, (SELECT count(*) FROM h) AS hosts, (SELECT count(*) FROM t) AS edges FROM devices WHERE hostname IN (SELECT host FROM h)""")
+    SELECT hostname, model, vendor, coalesce(ip_address, '') AS ip, role, site, (SELECT count(*) FROM h) AS hosts, (SELECT count(*) FROM t) AS edges FROM devices
+        WHERE hostname IN (SELECT host FROM h)""")
 def adjacency_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of the devices in that table, and its size."""
     rows = _scoped(spark, sf_dir)
@@ -101,8 +108,10 @@ def adjacency_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(cte("outputs", "links") + f""", newest AS (SELECT max(snapshot_id) AS snapshot_id FROM outputs WHERE command = 'show ip bgp summary'),
-    b AS (SELECT 'bgp' AS layer, device_name AS device, {J('neighbor', 'peer')} AS far, CASE WHEN regexp_full_match({J('state_pfxrcd')}, '[0-9]+') THEN 'Established' ELSE {J('state_pfxrcd')} END AS state, NULL AS area FROM {LISTS} AND command = 'show ip bgp summary' AND snapshot_id IN (SELECT snapshot_id FROM newest)),
-    o AS (SELECT 'ospf', device_name, {J('NEIGHBOR_ID')}, CASE {J('State')} WHEN 'FULL/DR' THEN 'FULL/DR' WHEN '2WAY' THEN '2-Way' WHEN 'INIT' THEN 'Init' ELSE 'Full' END, CASE WHEN ln % 10 = 0 THEN '0' END FROM {LISTS} AND command = 'show ip ospf neighbor' AND snapshot_id IN (SELECT snapshot_id FROM newest)),
+    b AS (SELECT 'bgp' AS layer, device_name AS device, {J('neighbor', 'peer')} AS far, CASE WHEN regexp_full_match({J('state_pfxrcd')}, '[0-9]+') THEN 'Established'
+        ELSE {J('state_pfxrcd')} END AS state, NULL AS area FROM {LISTS} AND command = 'show ip bgp summary' AND snapshot_id IN (SELECT snapshot_id FROM newest)),
+    o AS (SELECT 'ospf', device_name, {J('NEIGHBOR_ID')}, CASE {J('State')} WHEN 'FULL/DR' THEN 'FULL/DR' WHEN '2WAY' THEN '2-Way' WHEN 'INIT' THEN 'Init'
+        ELSE 'Full' END, CASE WHEN ln % 10 = 0 THEN '0' END FROM {LISTS} AND command = 'show ip ospf neighbor' AND snapshot_id IN (SELECT snapshot_id FROM newest)),
     u AS (SELECT * FROM b UNION ALL SELECT * FROM o) SELECT layer, device, far, state, area, CASE WHEN state = 'weird' THEN 'state' ELSE '' END AS errors, count(*) AS n FROM u GROUP BY ALL""")
 def query_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed BGP and OSPF rows of the newest snapshot with sessions, canonical states, the area of the interface, and what is wrong with a row."""
@@ -126,18 +135,24 @@ def _interfaces(spark: SparkSession, sf_dir: str, command: str, status: str) ->
     return rows.select("device_name", "snapshot_id", *[layers.pick(f, [c]).alias(c) for c in ("interface", "ip_address", status, "proto")]).distinct()
 
 
-@query(cte("outputs") + f""", i AS (SELECT DISTINCT device_name, snapshot_id, {J('interface')} AS interface, {J('ip_address')} AS ip_address, {J('status')} AS status, {J('proto')} AS proto FROM {LISTS} AND command = 'show ip interface brief'),
-    j AS (SELECT DISTINCT device_name, snapshot_id, {J('interface')} AS interface, {J('ip_address')} AS ip_address, {J('link_state')} AS status, {J('proto')} AS proto FROM {LISTS} AND command = 'show interfaces terse'),
+@query(cte("outputs") + f""",
+        i AS (SELECT DISTINCT device_name, snapshot_id, {J('interface')} AS interface, {J('ip_address')} AS ip_address, {J('status')} AS status, {J('proto')} AS proto
+        FROM {LISTS} AND command = 'show ip interface brief'),
+    j AS (SELECT DISTINCT device_name, snapshot_id, {J('interface')} AS interface, {J('ip_address')} AS ip_address, {J('link_state')} AS status, {J('proto')} AS proto
+        FROM {LISTS} AND command = 'show interfaces terse'),
     i1 AS (SELECT * FROM i WHERE snapshot_id = (SELECT max(k.snapshot_id) FROM i k WHERE k.device_name = i.device_name) AND coalesce(ip_address, '') NOT IN ('', 'unassigned')),
-    j1 AS (SELECT * FROM j WHERE snapshot_id = (SELECT max(k.snapshot_id) FROM j k WHERE k.device_name = j.device_name) AND coalesce(ip_address, '') <> '' AND device_name NOT IN (SELECT device_name FROM i1))
+    j1 AS (SELECT * FROM j WHERE snapshot_id = (SELECT max(k.snapshot_id) FROM j k WHERE k.device_name = j.device_name) AND coalesce(ip_address, '') <> ''
+        AND device_name NOT IN (SELECT device_name FROM i1))
     SELECT device_name, interface, ip_address, status, proto, snapshot_id FROM i1 UNION ALL SELECT device_name, interface, ip_address, status, proto, snapshot_id FROM j1""")
 def inspect_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addressed interfaces of every device from its newest snapshot, IOS output first."""
     return layers.inspect_interfaces(_interfaces(spark, sf_dir, "show ip interface brief", "status"), _interfaces(spark, sf_dir, "show interfaces terse", "link_state"))
 
 
-@query(cte("devices") + """, f AS (SELECT hostname, platform, CASE WHEN site LIKE 'A%' THEN NULL ELSE ip_address END AS loopback, role FROM devices), want AS (SELECT hostname FROM devices UNION SELECT 'x' || hostname FROM devices WHERE role IS NULL)
-    SELECT w.hostname, f.hostname IS NOT NULL AS known, CASE WHEN f.hostname IS NOT NULL THEN concat_ws(',', CASE WHEN f.platform IS NULL THEN 'platform' END, CASE WHEN f.loopback IS NULL THEN 'loopback' END, CASE WHEN f.role IS NULL THEN 'role' END) END AS unknown_facts,
+@query(cte("devices") + """, f AS (SELECT hostname, platform, CASE WHEN site LIKE 'A%' THEN NULL ELSE ip_address END AS loopback, role FROM devices),
+        want AS (SELECT hostname FROM devices UNION SELECT 'x' || hostname FROM devices WHERE role IS NULL)
+    SELECT w.hostname, f.hostname IS NOT NULL AS known, CASE WHEN f.hostname IS NOT NULL THEN concat_ws(',', CASE WHEN f.platform IS NULL THEN 'platform' END, CASE
+        WHEN f.loopback IS NULL THEN 'loopback' END, CASE WHEN f.role IS NULL THEN 'role' END) END AS unknown_facts,
         CASE WHEN f.hostname IS NOT NULL THEN coalesce(f.role, 'none') END AS role FROM want w LEFT JOIN f ON w.hostname = f.hostname""")
 def inspect_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model(spark, sf_dir, "devices")
@@ -147,11 +162,17 @@ def inspect_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("hostname", "known", F.array_join("unknown_facts", ",").alias("unknown_facts"), F.when(F.col("known"), F.coalesce(F.element_at("found", "role"), F.lit("none"))).alias("role"))
 
 
-@query(cte("links", "devices", "sessions") + """, f AS (SELECT hostname, '10.0.0.' || substr(hostname, 2) AS loopback FROM devices), l AS (SELECT * FROM links WHERE snapshot_id = (SELECT max(snapshot_id) FROM links)),
-    m AS (SELECT source_device AS src, source_interface AS sif, destination_device AS dst, destination_interface AS dif, discovery_protocol AS p, coalesce(link_status, 'unknown') AS s FROM l UNION ALL SELECT destination_device, destination_interface, source_device, source_interface, discovery_protocol, coalesce(link_status, 'unknown') FROM l),
-    e AS (SELECT src, dst, sif, dif, p, s FROM m QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY sif DESC, dif DESC, p DESC, s DESC) = 1), q AS (SELECT device_name AS src, hostname AS dst, state, remote_as FROM sessions JOIN f ON neighbor = loopback),
-    o AS (SELECT src, dst, max(state) AS ospf FROM (SELECT src, dst, state FROM q UNION ALL SELECT dst, src, state FROM q) GROUP BY ALL), b AS (SELECT src, dst, max(CASE WHEN state = '12' THEN 'Established' ELSE state END) AS bgp FROM q GROUP BY ALL)
-    SELECT e.src, e.dst, sif, dif, p AS protocol, s AS link_status, ospf AS ospf_state, bgp AS bgp_state FROM e LEFT JOIN o ON e.src = o.src AND e.dst = o.dst LEFT JOIN b ON e.src = b.src AND e.dst = b.dst""")
+@query(cte("links", "devices", "sessions") + """, f AS (SELECT hostname, '10.0.0.' || substr(hostname, 2) AS loopback FROM devices), l AS (SELECT * FROM links
+        WHERE snapshot_id = (SELECT max(snapshot_id) FROM links)),
+   
+        m AS (SELECT source_device AS src, source_interface AS sif, destination_device AS dst, destination_interface AS dif, discovery_protocol AS p, coalesce(link_status, 'unknown') AS s
+        FROM l UNION ALL SELECT destination_device, destination_interface, source_device, source_interface, discovery_protocol, coalesce(link_status, 'unknown') FROM l),
+    e AS (SELECT src, dst, sif, dif, p, s FROM m QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY sif DESC, dif DESC, p DESC, s DESC) = 1),
+        q AS (SELECT device_name AS src, hostname AS dst, state, remote_as FROM sessions JOIN f ON neighbor = loopback),
+    o AS (SELECT src, dst, max(state) AS ospf FROM (SELECT src, dst, state FROM q UNION ALL SELECT dst, src, state FROM q) GROUP BY ALL), b AS (SELECT src, dst, max(CASE
+        WHEN state = '12' THEN 'Established' ELSE state END) AS bgp FROM q GROUP BY ALL)
+    SELECT e.src, e.dst, sif, dif, p AS protocol, s AS link_status, ospf AS ospf_state, bgp AS bgp_state FROM e LEFT JOIN o ON e.src = o.src AND e.dst = o.dst LEFT
+        JOIN b ON e.src = b.src AND e.dst = b.dst""")
 def unified_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directed edges of the newest snapshot's links with the OSPF and BGP state between their ends."""
     d, s = model(spark, sf_dir, "devices"), model(spark, sf_dir, "sessions")
@@ -161,8 +182,10 @@ def unified_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.unified_graph(facts, layers.physical_layer(model(spark, sf_dir, "links")), ospf, bgp)[1].drop("bgp_neighbor_as")
 
 
-@query(cte("outputs", "sessions") + f""", d AS (SELECT DISTINCT device_name, replace({J('interface')}, 'Gi', 'GigabitEthernet') AS interface FROM {LISTS} AND command = 'show ip interface brief' AND {J('status')} = 'down'),
-    s AS (SELECT device_name, {"CASE WHEN interface LIKE 'Gi%' THEN 'GigabitEthernet' || substr(interface, 3) ELSE interface END"} AS interface, neighbor, state FROM sessions), r AS (SELECT DISTINCT device_name, neighbor FROM sessions WHERE ln % 2 = 1)
+@query(cte("outputs", "sessions") + f""", d AS (SELECT DISTINCT device_name, replace({J('interface')}, 'Gi', 'GigabitEthernet') AS interface FROM {LISTS}
+        AND command = 'show ip interface brief' AND {J('status')} = 'down'),
+    s AS (SELECT device_name, {"CASE WHEN interface LIKE 'Gi%' THEN 'GigabitEthernet' || substr(interface, 3) ELSE interface END"} AS interface, neighbor, state
+        FROM sessions), r AS (SELECT DISTINCT device_name, neighbor FROM sessions WHERE ln % 2 = 1)
     SELECT DISTINCT 'established_over_down_interface' AS kind, device_name, interface AS subject FROM s WHERE state = 'Estab' AND (device_name, interface) IN (SELECT device_name, interface FROM d)
     UNION ALL SELECT DISTINCT 'peer_without_route', device_name, neighbor FROM s WHERE (device_name, neighbor) NOT IN (SELECT device_name, neighbor FROM r)""")
 def cross_layer_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +195,8 @@ def cross_layer_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.cross_layer_anomalies(_interfaces(spark, sf_dir, "show ip interface brief", "status"), sessions, routes)
 
 
-@query(cte("sessions", "devices") + """ SELECT 'role' AS by, coalesce(role, 'none') AS value, count(*) AS devices FROM devices GROUP BY ALL UNION ALL SELECT 'platform', platform, count(*) FROM devices GROUP BY ALL UNION ALL SELECT 'total', 'all', count(*) FROM devices
+@query(cte("sessions", "devices") + """ SELECT 'role' AS by, coalesce(role, 'none') AS value, count(*) AS devices FROM devices GROUP BY ALL UNION ALL
+        SELECT 'platform', platform, count(*) FROM devices GROUP BY ALL UNION ALL SELECT 'total', 'all', count(*) FROM devices
     UNION ALL SELECT 'snapshot', snapshot_id, count(DISTINCT device_name) FROM sessions GROUP BY ALL""")
 def fleet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices by role, platform, in all, and distinct devices of each snapshot."""
@@ -188,7 +212,8 @@ def session_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir, "sessions").groupBy("device_name", "interface", "remote_as").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("state").startswith("FULL")).alias("full_sessions"))
 
 
-@query(cte("sessions", "links") + """ SELECT 'global' AS choice, '' AS device_name, max(snapshot_id) AS snapshot_id FROM sessions UNION ALL SELECT 'topology', '', coalesce((SELECT max(snapshot_id) FROM links), (SELECT max(snapshot_id) FROM sessions))
+@query(cte("sessions", "links") + """ SELECT 'global' AS choice, '' AS device_name, max(snapshot_id) AS snapshot_id FROM sessions UNION ALL
+        SELECT 'topology', '', coalesce((SELECT max(snapshot_id) FROM links), (SELECT max(snapshot_id) FROM sessions))
     UNION ALL SELECT 'sessions', '', max(snapshot_id) FROM sessions UNION ALL SELECT 'device', device_name, max(snapshot_id) FROM sessions GROUP BY device_name""")
 def newest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest snapshot by each rule: of all rows, with links or else sessions (with links and without any), of each device."""
@@ -199,8 +224,11 @@ def newest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-@query(cte("sessions", "devices") + """, a AS (SELECT 's' AS t, device_name AS k1, neighbor AS k2, snapshot_id FROM sessions UNION ALL SELECT 'd', remote_as, interface, snapshot_id FROM sessions), x AS (SELECT DISTINCT t, k1, k2 FROM a WHERE snapshot_id = 'snap_19960101_000000_t'), y AS (SELECT DISTINCT t, k1, k2 FROM a WHERE snapshot_id = 'snap_19960201_000000_t')
-    SELECT t AS table_name, 'added' AS change, count(*) AS n, min(k1 || '|' || k2) AS sample FROM (SELECT * FROM y EXCEPT SELECT * FROM x) GROUP BY ALL UNION ALL SELECT t, 'removed', count(*), min(k1 || '|' || k2) FROM (SELECT * FROM x EXCEPT SELECT * FROM y) GROUP BY ALL""")
+@query(cte("sessions", "devices") + """, a AS (SELECT 's' AS t, device_name AS k1, neighbor AS k2, snapshot_id FROM sessions UNION ALL
+        SELECT 'd', remote_as, interface, snapshot_id FROM sessions), x AS (SELECT DISTINCT t, k1, k2 FROM a WHERE snapshot_id = 'snap_19960101_000000_t'),
+        y AS (SELECT DISTINCT t, k1, k2 FROM a WHERE snapshot_id = 'snap_19960201_000000_t')
+    SELECT t AS table_name, 'added' AS change, count(*) AS n, min(k1 || '|' || k2) AS sample FROM (SELECT * FROM y EXCEPT SELECT * FROM x) GROUP BY ALL UNION ALL
+        SELECT t, 'removed', count(*), min(k1 || '|' || k2) FROM (SELECT * FROM x EXCEPT SELECT * FROM y) GROUP BY ALL""")
 def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows added to and removed from two tables between two snapshots: totals and the first of the samples."""
     s = model(spark, sf_dir, "sessions")
@@ -210,8 +238,10 @@ def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(first, ["table_name", "change"])
 
 
-@query(cte("devices", "links", "logs") + """, seen AS (SELECT host, max("timestamp") AS last_seen FROM logs GROUP BY host), linked AS (SELECT source_device AS h FROM links UNION SELECT destination_device FROM links)
-    SELECT hostname, CASE WHEN last_seen IS NULL THEN 'never' WHEN last_seen < TIMESTAMP '2024-01-30 00:00:00' THEN 'stale' ELSE 'fresh' END AS seen, hostname IN (SELECT h FROM linked) AS linked FROM devices LEFT JOIN seen ON hostname = host""")
+@query(cte("devices", "links", "logs") + """, seen AS (SELECT host, max("timestamp") AS last_seen FROM logs GROUP BY host), linked AS (SELECT source_device AS h
+        FROM links UNION SELECT destination_device FROM links)
+    SELECT hostname, CASE WHEN last_seen IS NULL THEN 'never' WHEN last_seen < TIMESTAMP '2024-01-30 00:00:00' THEN 'stale'
+        ELSE 'fresh' END AS seen, hostname IN (SELECT h FROM linked) AS linked FROM devices LEFT JOIN seen ON hostname = host""")
 def device_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices that were never seen in the logs or not for a day, and devices without links."""
     d, links = model(spark, sf_dir, "devices").select("hostname"), model(spark, sf_dir, "links")
@@ -221,7 +251,9 @@ def device_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale.join(alone, "hostname", "left").select("hostname", "seen", F.coalesce("linked", F.lit(True)).alias("linked"))
 
 
-@query(cte("logs") + """ SELECT w AS since, host, count(*) AS n FROM logs, (VALUES ('last_1h', INTERVAL 1 HOUR), ('last_24h', INTERVAL 24 HOUR), ('last_7d', INTERVAL 168 HOUR)) v(w, i) WHERE CAST("timestamp" AS TIMESTAMP) >= TIMESTAMP '2024-01-31 00:00:00' - i AND CAST("timestamp" AS TIMESTAMP) <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY ALL""")
+@query(cte("logs") + """ SELECT w AS since, host, count(*) AS n
+        FROM logs, (VALUES ('last_1h', INTERVAL 1 HOUR), ('last_24h', INTERVAL 24 HOUR), ('last_7d', INTERVAL 168 HOUR)) v(w, i)
+        WHERE CAST("timestamp" AS TIMESTAMP) >= TIMESTAMP '2024-01-31 00:00:00' - i AND CAST("timestamp" AS TIMESTAMP) <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY ALL""")
 def log_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages by host in each of the named ranges."""
     logs = model(spark, sf_dir, "logs")
@@ -239,7 +271,8 @@ _VIEW_ROWS = " UNION ALL ".join(
 )
 
 
-@query(cte("outputs") + f""", newest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name, command) AS top FROM outputs), latest AS (SELECT * FROM newest WHERE snapshot_id = top AND parsed_data <> 'no list') {_VIEW_ROWS}""")
+@query(cte("outputs") + f""", newest AS (SELECT *, max(snapshot_id) OVER (PARTITION BY device_name, command) AS top FROM outputs), latest AS (SELECT * FROM newest
+        WHERE snapshot_id = top AND parsed_data <> 'no list') {_VIEW_ROWS}""")
 def command_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of all views that are built at once from the parsed lists, each with its own typed columns."""
     built = views.build_views(model(spark, sf_dir, "outputs").select("device_name", "command", "snapshot_id", "parsed_data"))
@@ -272,7 +305,8 @@ def edge_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("protocol", "status", net.edge_sound(F.col("protocol"), F.col("status")).alias("sound")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT o_orderkey AS k, 'snap_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_w' AS id, date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) AS at, lower(replace(replace(o_orderpriority, ' ', '_'), '/', '_')) AS slug FROM orders""")
+@query("""SELECT o_orderkey AS k, 'snap_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_w' AS id, date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) AS at, lower(replace(replace(o_orderpriority, ' ', '_'), '/', '_')) AS slug
+        FROM orders""")
 def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot ids written from times and read back, and slugs."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -25,7 +25,8 @@ def query(oracle: str | None = None):  # noqa: ANN201
     return add
 
 
-STATE_SQL = """CASE WHEN state = 'Estab' THEN 'Established' WHEN state = 'FULL/DR' THEN 'Full/DR' WHEN state = 'connected' THEN 'up' WHEN state = 'administratively down' THEN 'admin-down' WHEN state = 'Idle' THEN 'Idle' END"""
+STATE_SQL = """CASE WHEN state = 'Estab' THEN 'Established' WHEN state = 'FULL/DR' THEN 'Full/DR' WHEN state = 'connected' THEN 'up'
+        WHEN state = 'administratively down' THEN 'admin-down' WHEN state = 'Idle' THEN 'Idle' END"""
 IF_SQL = "CASE WHEN interface LIKE 'Gi%' THEN 'GigabitEthernet' || substr(interface, 3) ELSE interface END"
 
 
@@ -46,7 +47,9 @@ def latest_snapshot_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest_per_key(raw, ["device_name", "command"], [F.desc("snapshot_id"), F.desc("seq")])
 
 
-@query(cte("raw") + """ SELECT snapshot_id, min(updated_at) AS captured_at, count(DISTINCT device_name) AS devices, count(*) AS outputs, epoch(max(updated_at) - min(updated_at)) AS duration_s FROM raw GROUP BY snapshot_id""")
+@query(cte("raw") + """
+        SELECT snapshot_id, min(updated_at) AS captured_at, count(DISTINCT device_name) AS devices, count(*) AS outputs, epoch(max(updated_at) - min(updated_at)) AS duration_s
+        FROM raw GROUP BY snapshot_id""")
 def snapshot_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.snapshot_metadata(model(spark, sf_dir, "raw").withColumnRenamed("updated_at", "ingested_at"))
 
@@ -59,8 +62,11 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("device_name", "command", "snapshot_id", "seq")
 
 
-@query(cte("devices") + """, e AS (SELECT hostname, site, role, platform FROM devices WHERE length(hostname) % 2 = 0 OR role IS NOT NULL), i AS (SELECT hostname, CASE WHEN role = 'core' THEN NULL ELSE upper(site) END AS site, CASE WHEN role = 'wan' THEN 'border' ELSE role END AS role, CAST(NULL AS VARCHAR) AS platform FROM devices WHERE role IS NULL OR role <> 'edge')
-    SELECT coalesce(i.hostname, e.hostname) AS hostname, coalesce(i.site, e.site) AS site, coalesce(i.role, e.role) AS role, coalesce(i.platform, e.platform) AS platform FROM e FULL JOIN i ON e.hostname = i.hostname""")
+@query(cte("devices") + """, e AS (SELECT hostname, site, role, platform FROM devices WHERE length(hostname) % 2 = 0 OR role IS NOT NULL), i AS (SELECT hostname, CASE
+        WHEN role = 'core' THEN NULL ELSE upper(site) END AS site, CASE WHEN role = 'wan' THEN 'border' ELSE role END AS role, CAST(NULL AS VARCHAR) AS platform FROM devices
+        WHERE role IS NULL OR role <> 'edge')
+    SELECT coalesce(i.hostname, e.hostname) AS hostname, coalesce(i.site, e.site) AS site, coalesce(i.role, e.role) AS role, coalesce(i.platform, e.platform) AS platform
+        FROM e FULL JOIN i ON e.hostname = i.hostname""")
 def device_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model(spark, sf_dir, "devices")
     old = d.filter("length(hostname) % 2 = 0 or role is not null").select("hostname", "site", "role", "platform")
@@ -68,8 +74,12 @@ def device_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.merge_devices(old, new)
 
 
-@query(cte("sessions") + """, l AS (SELECT md5(device_name || '|' || neighbor) AS link_id, seen AS first_seen, seen AS last_seen, interface AS link_type, snapshot_id, state AS link_status, remote_as AS discovery_protocol, CAST(ok AS VARCHAR) || '/' || CAST(ln AS VARCHAR) || '/' || CAST(seen AS VARCHAR) || state || interface AS seq FROM sessions)
-    SELECT link_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, min_by(link_type, seq) AS link_type, max_by(snapshot_id, seq) AS snapshot_id, max_by(discovery_protocol, seq) AS discovery_protocol, max_by(link_status, seq) AS link_status FROM l GROUP BY link_id""")
+@query(cte("sessions") + """,
+        l AS (SELECT md5(device_name || '|' || neighbor) AS link_id, seen AS first_seen, seen AS last_seen, interface AS link_type, snapshot_id, state AS link_status, remote_as AS discovery_protocol, CAST(ok AS VARCHAR) || '/' || CAST(ln AS VARCHAR) || '/' || CAST(seen AS VARCHAR) || state || interface AS seq
+        FROM sessions)
+   
+        SELECT link_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, min_by(link_type, seq) AS link_type, max_by(snapshot_id, seq) AS snapshot_id, max_by(discovery_protocol, seq) AS discovery_protocol, max_by(link_status, seq) AS link_status
+        FROM l GROUP BY link_id""")
 def link_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = model(spark, sf_dir, "sessions")
     seq = F.concat(F.col("ok").cast("string"), F.lit("/"), F.col("ln").cast("string"), F.lit("/"), F.date_format("seen", "yyyy-MM-dd HH:mm:ss"), "state", "interface")
@@ -90,8 +100,11 @@ def json_explode_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.explode_parsed(_parsed(spark, sf_dir), ["neighbor", "state", "interface"])
 
 
-@query(cte("sessions") + """, long AS (SELECT 'state' AS column_name, state AS value FROM sessions UNION ALL SELECT 'interface', interface FROM sessions UNION ALL SELECT 'remote_as', remote_as FROM sessions), c AS (SELECT column_name, value, count(*) AS freq FROM long GROUP BY ALL),
-    f AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(value), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''))), ' ') AS fingerprint, count(*) OVER (PARTITION BY column_name) AS n FROM c)
+@query(cte("sessions") + """, long AS (SELECT 'state' AS column_name, state AS value FROM sessions UNION ALL SELECT 'interface', interface FROM sessions UNION ALL
+        SELECT 'remote_as', remote_as FROM sessions), c AS (SELECT column_name, value, count(*) AS freq FROM long GROUP BY ALL),
+   
+        f AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(value), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''))), ' ') AS fingerprint, count(*) OVER (PARTITION BY column_name) AS n
+        FROM c)
     SELECT 'sessions' AS view_name, column_name, value, freq, fingerprint, dense_rank() OVER (PARTITION BY column_name ORDER BY fingerprint) AS cluster_id FROM f WHERE n <= 30""")
 def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.value_profile(model(spark, sf_dir, "sessions"), "sessions", ["state", "interface", "remote_as"])
@@ -103,15 +116,18 @@ def state_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("state", net.canonical_state(F.col("state")).alias("canonical"), net.canonical_interface(F.col("interface")).alias("interface")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(cte("devices") + """ SELECT hostname, CASE platform WHEN 'cisco-ios' THEN 'cisco_ios' WHEN 'JunOS' THEN 'juniper_junos' WHEN 'nx-os' THEN 'cisco_nxos' WHEN 'arista' THEN 'arista_eos' ELSE 'mikrotik_ros' END AS platform,
-    CASE WHEN coalesce(role, '') = 'edge' OR role IN ('core', 'border', 'access', 'dist', 'wan') THEN role END AS role_of_name, CASE lower(coalesce(role, '')) WHEN 'access' THEN 0 WHEN 'dist' THEN 1 WHEN 'wan' THEN 2 WHEN 'core' THEN 3 ELSE 1 END AS stage FROM devices""")
+@query(cte("devices") + """ SELECT hostname, CASE platform WHEN 'cisco-ios' THEN 'cisco_ios' WHEN 'JunOS' THEN 'juniper_junos' WHEN 'nx-os' THEN 'cisco_nxos'
+        WHEN 'arista' THEN 'arista_eos' ELSE 'mikrotik_ros' END AS platform,
+    CASE WHEN coalesce(role, '') = 'edge' OR role IN ('core', 'border', 'access', 'dist', 'wan') THEN role END AS role_of_name, CASE lower(coalesce(role, ''))
+        WHEN 'access' THEN 0 WHEN 'dist' THEN 1 WHEN 'wan' THEN 2 WHEN 'core' THEN 3 ELSE 1 END AS stage FROM devices""")
 def role_from_hostname(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model(spark, sf_dir, "devices")
     host = F.concat(F.lit("Site1-"), F.upper(F.coalesce("role", F.lit("coreless"))), F.lit("-01.core.example.net"))
     return d.select("hostname", net.canonical_platform(F.col("platform")).alias("platform"), net.role_of_host(host).alias("role_of_name"), net.rollout_stage(F.col("role")).alias("stage"))
 
 
-@query(cte("neighbors", "devices") + """, r AS (SELECT n.*, lower(regexp_extract(peer, '^([A-Za-z0-9]+)', 1)) AS host FROM neighbors n), k AS (SELECT *, replace(local_if, 'Gi0', 'GigabitEthernet0') AS lif FROM r WHERE device <> host),
+@query(cte("neighbors", "devices") + """, r AS (SELECT n.*, lower(regexp_extract(peer, '^([A-Za-z0-9]+)', 1)) AS host FROM neighbors n),
+        k AS (SELECT *, replace(local_if, 'Gi0', 'GigabitEthernet0') AS lif FROM r WHERE device <> host),
     i AS (SELECT *, md5(least(lower(device || ':' || lif), lower(host || ':' || peer_if)) || '|' || greatest(lower(device || ':' || lif), lower(host || ':' || peer_if))) AS link_id FROM k)
     SELECT link_id, min(snapshot_id) AS first_snapshot, max(snapshot_id) AS snapshot_id FROM i WHERE host IN (SELECT hostname FROM devices) GROUP BY link_id""")
 def link_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +135,16 @@ def link_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("link_id", "first_snapshot", "snapshot_id")
 
 
-@query(cte("neighbors", "devices") + """, raw AS (SELECT DISTINCT peer AS raw FROM neighbors) SELECT raw, lower(regexp_extract(raw, '^([A-Za-z0-9]+)', 1)) AS hostname, CASE WHEN raw LIKE '%.%' THEN 3 WHEN raw LIKE '%-%' THEN 4 ELSE 1 END AS tier FROM raw WHERE lower(regexp_extract(raw, '^([A-Za-z0-9]+)', 1)) IN (SELECT hostname FROM devices)""")
+@query(cte("neighbors", "devices") + """, raw AS (SELECT DISTINCT peer AS raw FROM neighbors) SELECT raw, lower(regexp_extract(raw, '^([A-Za-z0-9]+)', 1)) AS hostname,
+        CASE WHEN raw LIKE '%.%' THEN 3 WHEN raw LIKE '%-%' THEN 4 ELSE 1 END AS tier FROM raw WHERE lower(regexp_extract(raw, '^([A-Za-z0-9]+)', 1)) IN (SELECT hostname
+        FROM devices)""")
 def hostname_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.resolve_hostnames(model(spark, sf_dir, "neighbors").select(F.col("peer").alias("raw")), model(spark, sf_dir, "devices"))
 
 
-@query(cte("sessions") + """, ios AS (SELECT DISTINCT device_name, interface FROM sessions WHERE interface LIKE 'Gi%' AND state <> 'Idle'), jun AS (SELECT DISTINCT device_name, interface FROM sessions WHERE interface LIKE 'ge%') SELECT * FROM ios UNION ALL SELECT * FROM jun WHERE device_name NOT IN (SELECT device_name FROM ios)""")
+@query(cte("sessions") + """, ios AS (SELECT DISTINCT device_name, interface FROM sessions WHERE interface LIKE 'Gi%' AND state <> 'Idle'),
+        jun AS (SELECT DISTINCT device_name, interface FROM sessions WHERE interface LIKE 'ge%') SELECT * FROM ios UNION ALL SELECT * FROM jun
+        WHERE device_name NOT IN (SELECT device_name FROM ios)""")
 def interface_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = model(spark, sf_dir, "sessions").select("device_name", "interface", "state")
     ios = s.filter("interface like 'Gi%' and state <> 'Idle'").select("device_name", "interface").distinct()
@@ -140,8 +160,10 @@ def _bounds(df: DataFrame) -> tuple[str, str]:
     return tuple(df.agg(F.min(F.when(F.col("snapshot_id") >= "snap_1995", F.col("snapshot_id"))), F.max("snapshot_id")).first())
 
 
-@query(cte("sessions") + f""", a AS (SELECT device_name, neighbor, max(state) AS s FROM sessions WHERE snapshot_id = {_TWO[0]} GROUP BY ALL), b AS (SELECT device_name, neighbor, max(state) AS s FROM sessions WHERE snapshot_id = {_TWO[1]} GROUP BY ALL)
-    SELECT coalesce(a.device_name, b.device_name) AS device_name, coalesce(a.neighbor, b.neighbor) AS neighbor, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' END AS change FROM a FULL JOIN b ON a.device_name = b.device_name AND a.neighbor = b.neighbor WHERE a.s IS NULL OR b.s IS NULL""")
+@query(cte("sessions") + f""", a AS (SELECT device_name, neighbor, max(state) AS s FROM sessions WHERE snapshot_id = {_TWO[0]} GROUP BY ALL),
+        b AS (SELECT device_name, neighbor, max(state) AS s FROM sessions WHERE snapshot_id = {_TWO[1]} GROUP BY ALL)
+    SELECT coalesce(a.device_name, b.device_name) AS device_name, coalesce(a.neighbor, b.neighbor) AS neighbor, CASE WHEN a.s IS NULL THEN 'added'
+        WHEN b.s IS NULL THEN 'removed' END AS change FROM a FULL JOIN b ON a.device_name = b.device_name AND a.neighbor = b.neighbor WHERE a.s IS NULL OR b.s IS NULL""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = model(spark, sf_dir, "sessions")
     return diff.diff_snapshots(s, ["device_name", "neighbor"], *_bounds(s))
@@ -158,7 +180,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ranked.filter("p = 2"), ranked.filter("p = 1")
 
 
-@query(cte("raw") + _PAIRS + """, l AS (SELECT device_name, p, unnest(string_split(raw_output, chr(10))) AS line FROM cfg WHERE p <= 2), c AS (SELECT device_name, line, sum(CASE WHEN p = 1 THEN 1 ELSE -1 END) AS d FROM l GROUP BY ALL)
+@query(cte("raw") + _PAIRS + """, l AS (SELECT device_name, p, unnest(string_split(raw_output, chr(10))) AS line FROM cfg WHERE p <= 2),
+        c AS (SELECT device_name, line, sum(CASE WHEN p = 1 THEN 1 ELSE -1 END) AS d FROM l GROUP BY ALL)
     SELECT device_name, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greatest(-d, 0)) AS BIGINT) AS removed FROM c GROUP BY device_name""")
 def config_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _pairs(spark, sf_dir)
@@ -195,29 +218,37 @@ def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.totals(_outputs(spark, sf_dir))
 
 
-@query(cte("logs") + f""" SELECT "timestamp", host, severity, message, false AS widened FROM logs WHERE contains(lower(message), 'error') AND "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS AND lower(severity) = 'error' ORDER BY "timestamp" DESC, host, message LIMIT 50""")
+@query(cte("logs") + f""" SELECT "timestamp", host, severity, message, false AS widened FROM logs WHERE contains(lower(message), 'error')
+        AND "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS AND lower(severity) = 'error' ORDER BY "timestamp" DESC, host, message LIMIT 50""")
 def search_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_logs(model(spark, sf_dir, "logs"), "Error", AS_OF, severity="error")
 
 
-@query(cte("raw") + """ SELECT device_name, command, snapshot_id, substr(raw_output, greatest(instr(lower(raw_output), 'match community c3') - 200, 1), 1200) AS excerpt FROM raw WHERE contains(lower(raw_output), 'match community c3') ORDER BY snapshot_id DESC, device_name, command, excerpt LIMIT 50""")
+@query(cte("raw") + """ SELECT device_name, command, snapshot_id, substr(raw_output, greatest(instr(lower(raw_output), 'match community c3') - 200, 1), 1200) AS excerpt
+        FROM raw WHERE contains(lower(raw_output), 'match community c3') ORDER BY snapshot_id DESC, device_name, command, excerpt LIMIT 50""")
 def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.query_evidence(model(spark, sf_dir, "raw"), "match community C3")
 
 
-@query(cte("raw") + """, w AS (SELECT device_name, seq, length(raw_output) AS size, sum(length(raw_output)) OVER (PARTITION BY device_name ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS s, row_number() OVER (PARTITION BY device_name ORDER BY seq DESC) AS n FROM raw) SELECT device_name, seq, size FROM w WHERE s <= 1000 OR n = 1""")
+@query(cte("raw") + """, w AS (SELECT device_name, seq, length(raw_output) AS size, sum(length(raw_output)) OVER (PARTITION BY device_name
+        ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS s, row_number() OVER (PARTITION BY device_name ORDER BY seq DESC) AS n FROM raw) SELECT device_name, seq, size FROM w
+        WHERE s <= 1000 OR n = 1""")
 def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = model(spark, sf_dir, "raw").select("device_name", "seq", F.length("raw_output").cast("long").alias("size"))
     return search.within_budget(raw, ["device_name"], [F.desc("seq")], F.col("size"), 1000)
 
 
-@query(cte("raw") + r""" SELECT device_name, seq, regexp_extract(raw_output, '(?m)^router ospf (\d+)', 1) AS ospf, regexp_extract(raw_output, '(?m)^ network (\S+)', 1) AS network, len(regexp_extract_all(raw_output, '(?m)^route-map .*$')) AS stanzas FROM raw""")
+@query(cte("raw") + r"""
+        SELECT device_name, seq, regexp_extract(raw_output, '(?m)^router ospf (\d+)', 1) AS ospf, regexp_extract(raw_output, '(?m)^ network (\S+)', 1) AS network, len(regexp_extract_all(raw_output, '(?m)^route-map .*$')) AS stanzas
+        FROM raw""")
 def config_regex_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = model(spark, sf_dir, "raw").select("device_name", "seq", text.config_facts(F.col("raw_output")).alias("f"))
     return facts.select("device_name", "seq", "f.ospf", "f.network", F.size("f.route_maps").cast("long").alias("stanzas"))
 
 
-@query(cte("sessions", "devices") + """ SELECT device_name, snapshot_id, neighbor AS peer, state AS status FROM sessions WHERE device_name IN (SELECT hostname FROM devices WHERE vendor = 'cisco') AND state <> 'Idle' UNION ALL SELECT device_name, snapshot_id, neighbor, interface FROM sessions WHERE device_name IN (SELECT hostname FROM devices WHERE vendor = 'juniper')""")
+@query(cte("sessions", "devices") + """ SELECT device_name, snapshot_id, neighbor AS peer, state AS status FROM sessions WHERE device_name IN (SELECT hostname
+        FROM devices WHERE vendor = 'cisco') AND state <> 'Idle' UNION ALL SELECT device_name, snapshot_id, neighbor, interface FROM sessions
+        WHERE device_name IN (SELECT hostname FROM devices WHERE vendor = 'juniper')""")
 def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = model(spark, sf_dir, "sessions")
     recipe = lambda vendor, fields, when, where=None: {"concept": "bgp", "command": "summary", "vendor_hint": vendor, "field_mappings": fields, "filter_expr": where, "discovered_at": when}
@@ -225,14 +256,16 @@ def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.recipe_view({"summary": s}, recipes, model(spark, sf_dir, "devices"), "bgp")
 
 
-@query(cte("devices") + """, p(protocol) AS (VALUES ('bgp'), ('ospf'), ('lldp')), r(concept, vendor_hint) AS (VALUES ('bgp', 'universal'), ('ospf', 'cisco')) SELECT DISTINCT protocol, vendor FROM devices, p WHERE NOT EXISTS (SELECT 1 FROM r WHERE concept = protocol AND (vendor_hint = vendor OR vendor_hint = 'universal'))""")
+@query(cte("devices") + """, p(protocol) AS (VALUES ('bgp'), ('ospf'), ('lldp')), r(concept, vendor_hint) AS (VALUES ('bgp', 'universal'), ('ospf', 'cisco'))
+        SELECT DISTINCT protocol, vendor FROM devices, p WHERE NOT EXISTS (SELECT 1 FROM r WHERE concept = protocol AND (vendor_hint = vendor OR vendor_hint = 'universal'))""")
 def recipe_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     intent = spark.sql("select * from values ('bgp'), ('ospf'), ('lldp') as t(protocol)")
     recipes = spark.sql("select * from values ('bgp', 'universal'), ('ospf', 'cisco') as t(concept, vendor_hint)")
     return views.recipe_gaps(intent, model(spark, sf_dir, "devices"), recipes)
 
 
-_FACTS = """, s AS (SELECT device_name AS device, CASE WHEN ln = 1 THEN '10.9.' || device_name END AS loopback, CASE WHEN ln = 2 THEN remote_as END AS local_as, neighbor AS peer_ip, remote_as FROM sessions)"""
+_FACTS = """, s AS (SELECT device_name AS device, CASE WHEN ln = 1 THEN '10.9.' || device_name END AS loopback, CASE
+        WHEN ln = 2 THEN remote_as END AS local_as, neighbor AS peer_ip, remote_as FROM sessions)"""
 
 
 def _fact_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,21 +273,28 @@ def _fact_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("device_name").alias("device"), F.when(F.col("ln") == 1, F.concat(F.lit("10.9."), "device_name")).alias("loopback"), F.when(F.col("ln") == 2, F.col("remote_as")).alias("local_as"), F.col("neighbor").alias("peer_ip"), "remote_as", "state")
 
 
-@query(cte("devices", "sessions") + _FACTS + """, o AS (SELECT device AS hostname, min(loopback) AS l, min(local_as) AS a FROM s GROUP BY device), t AS (SELECT peer_ip, min(remote_as) AS told FROM s GROUP BY peer_ip), b AS (SELECT d.hostname, d.platform, d.role, coalesce(CASE WHEN length(d.hostname) % 2 = 0 THEN '10.0.0.' || substr(d.hostname, 2) END, o.l) AS loopback, o.a FROM devices d LEFT JOIN o ON d.hostname = o.hostname)
+@query(cte("devices", "sessions") + _FACTS + """, o AS (SELECT device AS hostname, min(loopback) AS l, min(local_as) AS a FROM s GROUP BY device),
+        t AS (SELECT peer_ip, min(remote_as) AS told FROM s GROUP BY peer_ip), b AS (SELECT d.hostname, d.platform, d.role, coalesce(CASE
+        WHEN length(d.hostname) % 2 = 0 THEN '10.0.0.' || substr(d.hostname, 2) END, o.l) AS loopback, o.a FROM devices d LEFT JOIN o ON d.hostname = o.hostname)
     SELECT hostname, platform, loopback, coalesce(a, told) AS local_as, role FROM b LEFT JOIN t ON b.loopback = t.peer_ip""")
 def facts_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model(spark, sf_dir, "devices").withColumn("loopback", F.when(F.length("hostname") % 2 == 0, F.concat(F.lit("10.0.0."), F.substring("hostname", 2, 9))))
     return topology.device_facts(d, _fact_sessions(spark, sf_dir))
 
 
-@query(cte("edges", "sessions") + """, f AS (SELECT DISTINCT dst, '10.0.0.' || substr(dst, 2) AS peer_ip FROM edges), s AS (SELECT s.device_name AS src, f.dst, max(s.state) AS bgp_state FROM sessions s JOIN f ON s.neighbor = f.peer_ip GROUP BY ALL) SELECT e.src, e.dst, s.bgp_state FROM edges e LEFT JOIN s ON e.src = s.src AND e.dst = s.dst""")
+@query(cte("edges", "sessions") + """, f AS (SELECT DISTINCT dst, '10.0.0.' || substr(dst, 2) AS peer_ip FROM edges),
+        s AS (SELECT s.device_name AS src, f.dst, max(s.state) AS bgp_state FROM sessions s JOIN f ON s.neighbor = f.peer_ip GROUP BY ALL) SELECT e.src, e.dst, s.bgp_state
+        FROM edges e LEFT JOIN s ON e.src = s.src AND e.dst = s.dst""")
 def edge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = model(spark, sf_dir, "edges")
     facts = e.select(F.col("dst").alias("hostname")).distinct().withColumn("loopback", F.concat(F.lit("10.0.0."), F.substring("hostname", 2, 9)))
     return topology.overlay(e, facts, _fact_sessions(spark, sf_dir))
 
 
-@query(cte("edges") + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), c AS (SELECT min(src) AS n FROM edges), r1 AS (SELECT n FROM c UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM c)), r2 AS (SELECT n FROM r1 UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM r1)), r3 AS (SELECT n FROM r2 UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM r2)) SELECT * FROM edges WHERE src IN (SELECT n FROM r3) AND dst IN (SELECT n FROM r3)""")
+@query(cte("edges") + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), c AS (SELECT min(src) AS n FROM edges), r1 AS (SELECT n
+        FROM c UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM c)), r2 AS (SELECT n FROM r1 UNION SELECT dst FROM both_ways WHERE src IN (SELECT n
+        FROM r1)), r3 AS (SELECT n FROM r2 UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM r2)) SELECT * FROM edges WHERE src IN (SELECT n FROM r3)
+        AND dst IN (SELECT n FROM r3)""")
 def nhop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = model(spark, sf_dir, "edges")
     return topology.nhop_subgraph(e, e.agg(F.min("src")).first()[0] or "", 3)
@@ -292,7 +332,8 @@ _BFS = """, mirrored AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM e
     levels(node, root, depth, slot) USING KEY (node) AS (
         SELECT node, node, 0, 0::BIGINT FROM roots
         UNION SELECT node, root, depth, row_number() OVER (PARTITION BY root ORDER BY parent, node) - 1
-        FROM (SELECT b.dst AS node, l.root, l.depth + 1 AS depth, min(l.slot) AS parent FROM levels l JOIN mirrored b ON b.src = l.node WHERE b.dst NOT IN (SELECT node FROM recurring.levels) GROUP BY ALL))
+        FROM (SELECT b.dst AS node, l.root, l.depth + 1 AS depth, min(l.slot) AS parent FROM levels l JOIN mirrored b ON b.src = l.node WHERE b.dst NOT IN (SELECT node
+        FROM recurring.levels) GROUP BY ALL))
     SELECT node, root, depth, slot FROM levels"""
 
 
@@ -307,9 +348,11 @@ _CLAUSES = r""",
     t AS (SELECT seq, string_split(raw_output, chr(10)) AS lines FROM raw), l AS (SELECT seq, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t),
     tops AS (SELECT *, lead(i) OVER (PARTITION BY seq ORDER BY i) AS after FROM l WHERE NOT regexp_matches(line, '^\s+\S')),
     heads AS (SELECT * FROM tops WHERE line LIKE 'route-map %'),
-    body AS (SELECT h.seq, h.i, string_agg(CASE WHEN l.line LIKE ' match%' THEN trim(l.line) END, ';' ORDER BY l.i) AS matches, string_agg(CASE WHEN l.line LIKE ' set%' THEN trim(l.line) END, ';' ORDER BY l.i) AS sets
+    body AS (SELECT h.seq, h.i, string_agg(CASE WHEN l.line LIKE ' match%' THEN trim(l.line) END, ';' ORDER BY l.i) AS matches, string_agg(CASE
+        WHEN l.line LIKE ' set%' THEN trim(l.line) END, ';' ORDER BY l.i) AS sets
         FROM heads h JOIN l ON l.seq = h.seq AND l.i > h.i AND (h.after IS NULL OR l.i < h.after) GROUP BY ALL)
-    SELECT h.seq, regexp_extract(line, '^route-map (\S+)', 1) AS policy, regexp_extract(line, '(permit|deny)', 1) AS action, CAST(regexp_extract(line, '(\d+)$', 1) AS INT) AS clause, h.i - 1 AS place, coalesce(matches, '') AS matches, coalesce(sets, '') AS sets
+   
+        SELECT h.seq, regexp_extract(line, '^route-map (\S+)', 1) AS policy, regexp_extract(line, '(permit|deny)', 1) AS action, CAST(regexp_extract(line, '(\d+)$', 1) AS INT) AS clause, h.i - 1 AS place, coalesce(matches, '') AS matches, coalesce(sets, '') AS sets
     FROM heads h LEFT JOIN body b ON h.seq = b.seq AND h.i = b.i"""
 
 
@@ -321,7 +364,8 @@ def route_map_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select(F.col("key").alias("seq"), "policy", "action", F.col("seq").alias("clause"), "place", F.array_join("matches", ";").alias("matches"), F.array_join("sets", ";").alias("sets"))
 
 
-@query(cte("raw") + """ SELECT seq AS request, CASE WHEN seq % 4 = 3 THEN 10 ELSE 20 END AS seq, CASE WHEN seq % 4 = 3 THEN 'permit' ELSE 'deny' END AS outcome FROM raw WHERE raw_output LIKE 'hostname%'""")
+@query(cte("raw") + """ SELECT seq AS request, CASE WHEN seq % 4 = 3 THEN 10 ELSE 20 END AS seq, CASE WHEN seq % 4 = 3 THEN 'permit' ELSE 'deny' END AS outcome FROM raw
+        WHERE raw_output LIKE 'hostname%'""")
 def policy_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each captured policy asked about a route of community C3."""
     raw = model(spark, sf_dir, "raw").select(F.col("seq").alias("device"), "raw_output")
@@ -331,7 +375,8 @@ def policy_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.policy_walk(maps, asked, truth)
 
 
-@query(cte("raw") + """ SELECT seq AS request, 10 AS clause, CASE WHEN seq % 4 = 3 THEN 'all match lines hold' ELSE 'fails: match community C' || (seq % 4) END AS reason, seq % 4 = 3 AS won, CASE WHEN seq % 4 = 3 THEN 'set metric ' || (seq % 50) ELSE '' END AS sets
+@query(cte("raw") + """ SELECT seq AS request, 10 AS clause, CASE WHEN seq % 4 = 3 THEN 'all match lines hold'
+        ELSE 'fails: match community C' || (seq % 4) END AS reason, seq % 4 = 3 AS won, CASE WHEN seq % 4 = 3 THEN 'set metric ' || (seq % 50) ELSE '' END AS sets
         FROM raw WHERE raw_output LIKE 'hostname%'
     UNION ALL SELECT seq, 20, 'no match lines', true, '' FROM raw WHERE raw_output LIKE 'hostname%' AND seq % 4 <> 3""")
 def policy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,13 +388,16 @@ def policy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request", F.col("seq").alias("clause"), "reason", "won", F.array_join("sets", ",").alias("sets"))
 
 
-@query(cte("devices") + """, s AS (SELECT hostname, role, CASE lower(coalesce(role, '')) WHEN 'access' THEN 0 WHEN 'dist' THEN 1 WHEN 'wan' THEN 2 WHEN 'core' THEN 3 ELSE 1 END AS stage FROM devices WHERE model LIKE 'M1%') SELECT *, row_number() OVER (PARTITION BY stage ORDER BY role NULLS FIRST, hostname) AS place FROM s""")
+@query(cte("devices") + """, s AS (SELECT hostname, role, CASE lower(coalesce(role, '')) WHEN 'access' THEN 0 WHEN 'dist' THEN 1 WHEN 'wan' THEN 2 WHEN 'core' THEN 3
+        ELSE 1 END AS stage FROM devices WHERE model LIKE 'M1%') SELECT *, row_number() OVER (PARTITION BY stage ORDER BY role NULLS FIRST, hostname) AS place FROM s""")
 def rollout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rollout_plan(model(spark, sf_dir, "devices"), "M1%").withColumn("place", F.col("place").cast("long"))
 
 
-@query("""WITH e AS (SELECT doc_id, source, sha256(lang || chr(10) || text) AS hash FROM documents WHERE doc_id % 5 <> 0), i AS (SELECT doc_id, source, sha256(CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END || chr(10) || text) AS new_hash FROM documents WHERE doc_id % 11 <> 0)
-    SELECT coalesce(e.doc_id, i.doc_id) AS doc_id, CASE WHEN e.hash IS NULL THEN 'insert' WHEN i.new_hash IS NULL THEN CASE WHEN e.source IN (SELECT source FROM i) THEN 'prune' ELSE 'kept' END WHEN hash = new_hash THEN 'unchanged' ELSE 'update' END AS action FROM e FULL JOIN i ON e.doc_id = i.doc_id""")
+@query("""WITH e AS (SELECT doc_id, source, sha256(lang || chr(10) || text) AS hash FROM documents WHERE doc_id % 5 <> 0), i AS (SELECT doc_id, source, sha256(CASE
+        WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END || chr(10) || text) AS new_hash FROM documents WHERE doc_id % 11 <> 0)
+    SELECT coalesce(e.doc_id, i.doc_id) AS doc_id, CASE WHEN e.hash IS NULL THEN 'insert' WHEN i.new_hash IS NULL THEN CASE WHEN e.source IN (SELECT source
+        FROM i) THEN 'prune' ELSE 'kept' END WHEN hash = new_hash THEN 'unchanged' ELSE 'update' END AS action FROM e FULL JOIN i ON e.doc_id = i.doc_id""")
 def content_hash_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     old = d.filter("doc_id % 5 <> 0").select("doc_id", "source", F.sha2(F.concat_ws("\n", "lang", "text"), 256).alias("hash"))
@@ -373,7 +421,8 @@ _STRUCTURE = r"""
     SELECT id, len(lines) AS line_count, len(full_lines) AS non_blank, list_max(list_transform(lines, lambda x: length(x))) AS max_line,
         CASE WHEN len(full_lines) <= 1 THEN 0 ELSE blocks END AS blocks, len(list_filter(full_lines, lambda x: starts_with(x, '  '))) AS indented,
         len(list_filter(full_lines, lambda x: regexp_matches(x, '^\s{2,}[A-Za-z][A-Za-z0-9 _-]*:\s*\S'))) >= 3 AS key_values,
-        len(words) >= 3 AND len(list_filter(range(1, greatest(len(words) - 1, 2)), lambda i: list_max(words[i:i + 4]) - list_min(words[i:i + 4]) <= 1 AND list_min(words[i:i + 4]) >= 3)) > 0 AS aligned,
+        len(words) >= 3 AND len(list_filter(range(1, greatest(len(words) - 1, 2)), lambda i: list_max(words[i:i + 4]) - list_min(words[i:i + 4]) <= 1
+        AND list_min(words[i:i + 4]) >= 3)) > 0 AS aligned,
         coalesce(regexp_matches(full_lines[1], '(%\s*Invalid|Error:|Unknown command|Permission denied|not found)', 'i'), false) AS error,
         len(list_filter(full_lines[1:20], lambda x: regexp_matches(x, '^(!|interface |router |hostname |vrf |line |ip route|version )'))) >= 5 AS config
     FROM w JOIN n USING (id)"""
@@ -394,7 +443,11 @@ def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir, "raw").select("seq", diff.extract_sections(F.col("raw_output"), ["router ospf"]).alias("section"))
 
 
-@query(cte("raw") + """ SELECT seq, CASE WHEN raw_output LIKE 'hostname%' THEN replace(raw_output, regexp_extract(raw_output, 'password 7 (secret[0-9]+)', 1), 'removed_' || substr(sha256('pepper' || regexp_extract(raw_output, 'password 7 (secret[0-9]+)', 1)), 1, 12)) ELSE raw_output END AS redacted, CASE WHEN raw_output LIKE 'hostname%' AND seq % 4 >= 0 THEN 1 + (CASE WHEN raw_output LIKE '%community %' THEN 1 ELSE 0 END) ELSE 0 END AS findings FROM raw""".replace("THEN replace(raw_output,", "THEN replace(replace(raw_output, 'community C' || CAST(seq % 4 AS VARCHAR), 'community removed_' || substr(sha256('pepper' || 'C' || CAST(seq % 4 AS VARCHAR)), 1, 12)),"))
+@query(cte("raw") + """ SELECT seq, CASE
+        WHEN raw_output LIKE 'hostname%' THEN replace(raw_output, regexp_extract(raw_output, 'password 7 (secret[0-9]+)', 1), 'removed_' || substr(sha256('pepper' || regexp_extract(raw_output, 'password 7 (secret[0-9]+)', 1)), 1, 12))
+        ELSE raw_output END AS redacted, CASE WHEN raw_output LIKE 'hostname%' AND seq % 4 >= 0 THEN 1 + (CASE WHEN raw_output LIKE '%community %' THEN 1 ELSE 0 END)
+        ELSE 0 END AS findings
+        FROM raw""".replace("THEN replace(raw_output,", "THEN replace(replace(raw_output, 'community C' || CAST(seq % 4 AS VARCHAR), 'community removed_' || substr(sha256('pepper' || 'C' || CAST(seq % 4 AS VARCHAR)), 1, 12)),"))
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = model(spark, sf_dir, "raw")
     return raw.select("seq", text.redact_text(F.col("raw_output"), "pepper").alias("redacted"), text.redact_findings(F.col("raw_output")).alias("findings"))
@@ -410,29 +463,37 @@ def syslog_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.severity_windows(model(spark, sf_dir, "logs"))
 
 
-@query(cte("logs") + """, g AS (SELECT host, "timestamp" AS t, CASE WHEN "timestamp" >= lag("timestamp") OVER (PARTITION BY host ORDER BY "timestamp") + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new FROM logs), s AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT host, min(t) AS started, max(t) + INTERVAL 30 MINUTES AS ended, count(*) AS n FROM s GROUP BY host, k""")
+@query(cte("logs") + """, g AS (SELECT host, "timestamp" AS t, CASE WHEN "timestamp" >= lag("timestamp") OVER (PARTITION BY host
+        ORDER BY "timestamp") + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new FROM logs), s AS (SELECT *, sum(new) OVER (PARTITION BY host
+        ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT host, min(t) AS started, max(t) + INTERVAL 30 MINUTES AS ended, count(*) AS n FROM s GROUP BY host, k""")
 def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.host_sessions(model(spark, sf_dir, "logs"))
 
 
-@query(cte("raw") + """ SELECT seq, length(trim(raw_output)) < 30 OR contains(lower(raw_output), '% invalid') AS is_error, raw_output LIKE 'hostname%' AND command <> 'show running-config' AS learnable FROM raw""")
+@query(cte("raw") + """ SELECT seq, length(trim(raw_output)) < 30 OR contains(lower(raw_output), '% invalid') AS is_error, raw_output LIKE 'hostname%'
+        AND command <> 'show running-config' AS learnable FROM raw""")
 def cli_error_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = model(spark, sf_dir, "raw")
     return raw.select("seq", text.is_cli_error(F.col("raw_output")).alias("is_error"), text.is_learnable(F.col("command"), F.col("raw_output")).alias("learnable"))
 
 
-@query(cte("logs") + """, f AS (SELECT host, severity, lag(severity) OVER (PARTITION BY host ORDER BY "timestamp", severity) AS b FROM logs) SELECT host, count(*) AS flaps FROM f WHERE b <> severity GROUP BY host""")
+@query(cte("logs") + """, f AS (SELECT host, severity, lag(severity) OVER (PARTITION BY host ORDER BY "timestamp", severity) AS b FROM logs)
+        SELECT host, count(*) AS flaps FROM f WHERE b <> severity GROUP BY host""")
 def state_flaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.session_flaps(model(spark, sf_dir, "logs"), ["host"], "timestamp", "severity")
 
 
-@query(cte("commands", "devices") + """, own AS (SELECT CASE platform WHEN 'arista' THEN 'arista_eos' ELSE platform END AS p FROM devices WHERE hostname = 'r3') SELECT platform, command, parser_type <> 'raw_only' AS has_template FROM commands, own WHERE NOT blacklisted AND contains(lower(command), 'ip') AND platform IN (p, '*') ORDER BY CASE WHEN platform = p THEN 0 ELSE 1 END, command, platform LIMIT 20""")
+@query(cte("commands", "devices") + """, own AS (SELECT CASE platform WHEN 'arista' THEN 'arista_eos' ELSE platform END AS p FROM devices WHERE hostname = 'r3')
+        SELECT platform, command, parser_type <> 'raw_only' AS has_template FROM commands, own WHERE NOT blacklisted AND contains(lower(command), 'ip') AND platform IN (p, '*')
+        ORDER BY CASE WHEN platform = p THEN 0 ELSE 1 END, command, platform LIMIT 20""")
 def search_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model(spark, sf_dir, "devices").withColumn("platform", net.canonical_platform(F.col("platform")))
     return search.search_commands(model(spark, sf_dir, "commands"), d, "IP", device="r3")
 
 
-@query(cte("devices") + """ SELECT hostname AS claim, hostname AS device, role IS DISTINCT FROM 'core' AS device_known, (SELECT count(*) FROM devices o WHERE o.role IS DISTINCT FROM 'core' AND CAST(floor(CAST(substr(o.hostname, 2) AS INT) / 16) AS INT) = CAST(floor(CAST(substr(d.hostname, 2) AS INT) / 16) AS INT)) AS in_use FROM devices d""")
+@query(cte("devices") + """ SELECT hostname AS claim, hostname AS device, role IS DISTINCT FROM 'core' AS device_known, (SELECT count(*) FROM devices o
+        WHERE o.role IS DISTINCT FROM 'core'
+        AND CAST(floor(CAST(substr(o.hostname, 2) AS INT) / 16) AS INT) = CAST(floor(CAST(substr(d.hostname, 2) AS INT) / 16) AS INT)) AS in_use FROM devices d""")
 def plan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model(spark, sf_dir, "devices")
     claims = d.select(F.col("hostname").alias("claim"), F.col("hostname").alias("device"), F.concat("ip_address", F.lit("/28")).alias("subnet"))
@@ -440,7 +501,9 @@ def plan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.plan_check(claims, used)
 
 
-@query(cte("sessions") + """, p AS (SELECT device_name AS device, neighbor AS prefix, remote_as AS neighbor_as, ok, ln, ok % 3 AS weight, ln * 10 AS med FROM sessions), m AS (SELECT *, min(med) OVER (PARTITION BY device, prefix, neighbor_as) AS least FROM p) SELECT device, prefix, weight, med, ok AS router_id FROM m WHERE med = least QUALIFY row_number() OVER (PARTITION BY device, prefix ORDER BY weight DESC, ok) = 1""")
+@query(cte("sessions") + """, p AS (SELECT device_name AS device, neighbor AS prefix, remote_as AS neighbor_as, ok, ln, ok % 3 AS weight, ln * 10 AS med FROM sessions),
+        m AS (SELECT *, min(med) OVER (PARTITION BY device, prefix, neighbor_as) AS least FROM p) SELECT device, prefix, weight, med, ok AS router_id FROM m WHERE med = least
+        QUALIFY row_number() OVER (PARTITION BY device, prefix ORDER BY weight DESC, ok) = 1""")
 def best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = model(spark, sf_dir, "sessions")
     same = {c: F.lit(v) for c, v in {"local_pref": 100, "is_local": False, "as_path_len": 1, "origin": 0, "is_internal": False, "igp_metric": 0, "valid": True}.items()}

@@ -68,7 +68,8 @@ _DIFF = """,
     placed AS (SELECT *, row_number() OVER (PARTITION BY device_name ORDER BY gap, kind, i) AS place FROM lines),
     near AS (
         SELECT *, coalesce(place - max(CASE WHEN sign <> ' ' THEN place END) OVER (PARTITION BY device_name ORDER BY place) <= 3, false)
-            OR coalesce(min(CASE WHEN sign <> ' ' THEN place END) OVER (PARTITION BY device_name ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - place <= 3, false) AS kept FROM placed),
+            OR coalesce(min(CASE WHEN sign <> ' ' THEN place END) OVER (PARTITION BY device_name ORDER BY place ROWS BETWEEN CURRENT ROW
+        AND UNBOUNDED FOLLOWING) - place <= 3, false) AS kept FROM placed),
     starts AS (SELECT *, kept AND NOT coalesce(lag(kept) OVER (PARTITION BY device_name ORDER BY place), false) AS first FROM near),
     hunks AS (SELECT *, sum(first::INT) OVER (PARTITION BY device_name ORDER BY place) AS hunk FROM starts)
 """
@@ -91,9 +92,11 @@ def config_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT device_name, hunk, count(*) AS n, string_agg(sign || line, chr(10) ORDER BY place) AS body, count(*) FILTER (WHERE sign = '+') AS added, count(*) FILTER (WHERE sign = '-') AS removed,
             min(old_no) AS old_first, count(old_no) AS old_n, min(new_no) AS new_first, count(new_no) AS new_n FROM hunks WHERE kept GROUP BY ALL),
     heads AS (SELECT *, '@@ -' || old_first || CASE old_n WHEN 1 THEN '' ELSE ',' || old_n END || ' +' || new_first || CASE new_n WHEN 1 THEN '' ELSE ',' || new_n END || ' @@' AS head FROM texts),
-    whole AS (SELECT device_name, '--- ' || chr(10) || '+++ ' || chr(10) || string_agg(head || chr(10) || body, chr(10) ORDER BY hunk) AS diff, sum(n + 1) + 2 AS n, sum(added) AS added, sum(removed) AS removed FROM heads GROUP BY device_name)
+    whole AS (SELECT device_name, '--- ' || chr(10) || '+++ ' || chr(10) || string_agg(head || chr(10) || body, chr(10)
+        ORDER BY hunk) AS diff, sum(n + 1) + 2 AS n, sum(added) AS added, sum(removed) AS removed FROM heads GROUP BY device_name)
     SELECT device_name, coalesce(diff, '') AS diff, coalesce(n, 0)::BIGINT AS full_line_count, coalesce(added, 0)::BIGINT AS added, coalesce(removed, 0)::BIGINT AS removed,
-        (coalesce(added, 0) + coalesce(removed, 0)) || ' lines changed (' || CASE WHEN coalesce(added, 0) >= coalesce(removed, 0) THEN '+' ELSE '' END || (coalesce(added, 0) - coalesce(removed, 0)) || ')' AS summary
+        (coalesce(added, 0) + coalesce(removed, 0)) || ' lines changed (' || CASE WHEN coalesce(added, 0) >= coalesce(removed, 0) THEN '+'
+        ELSE '' END || (coalesce(added, 0) - coalesce(removed, 0)) || ')' AS summary
     FROM pairs LEFT JOIN whole USING (device_name)""")
 def config_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified diffs of each device's last two configurations, put together from their rows."""
