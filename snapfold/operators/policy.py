@@ -146,8 +146,13 @@ def policy_trace(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> D
 
 
 def best_path(paths: DataFrame, by: tuple[str, ...] = ("device", "prefix")) -> DataFrame:
-    """The winning path per device and prefix: weight, local preference, local origin, AS path length, origin, MED within one AS, then type, metric, router id."""
+    """The winning path per device and prefix: weight, local preference, local origin, AS path length, origin, MED within one AS, then type, metric, router id.
+
+    Paths that are equal in all of these go by neighbour AS and then their other columns, so that one input has one answer.
+    """
     least_med = F.min("med").over(Window.partitionBy(*by, "neighbor_as"))
     order = [F.desc("weight"), F.desc("local_pref"), F.desc("is_local"), F.asc("as_path_len"), F.asc("origin"), F.asc("is_internal"), F.asc("igp_metric"), F.asc("router_id")]
+    named = {*by, "weight", "local_pref", "is_local", "as_path_len", "origin", "is_internal", "igp_metric", "router_id", "neighbor_as"}
+    order += [F.asc("neighbor_as"), *[F.asc(c) for c in paths.columns if c not in named]]
     ranked = paths.filter("valid").withColumn("_med", least_med).filter("med = _med").drop("_med")
     return ranked.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_p = 1").drop("_p")
