@@ -68,6 +68,21 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What np.unique gives with the inverse, in less than half of its memory: places are 32 bits, and nothing is kept twice."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    kinds = ordered[first]
+    del ordered
+    places = np.cumsum(first, dtype=np.int32)
+    places -= 1
+    of = np.empty(len(values), np.int32)
+    of[order] = places
+    return kinds, of
+
+
 class Batch:
     """The distinct texts of some rows: tokens with their contexts, and the number of training rows of each text."""
 
@@ -119,12 +134,11 @@ def _pieces_of(values: np.ndarray, parts: int) -> np.ndarray:
 def _word_counts(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, count in training texts, tokens in all of them (contexts follow: a word is the context of the token behind it)."""
     for _, b in _batches(records):
-        words, of, tokens = np.unique(b.word, return_inverse=True, return_counts=True)
+        words, of = _distinct(b.word)
         counts = np.bincount(of, weights=b.train[b.text], minlength=len(words)).astype(np.int64)
         rows = np.bincount(b.text_of, minlength=len(b.train))
         every = np.bincount(of, weights=rows[b.text], minlength=len(words)).astype(np.int64)
         yield pa.record_batch({"word": _signed(words), "count": pa.array(counts), "tokens": pa.array(every)})
-        del tokens
 
 
 def _word_blobs(records: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -140,7 +154,7 @@ def _word_blobs(records: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
 def _asks(records: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """To each owner: words and the partitions that will ask for each."""
     for _, b in _batches(records):
-        words, of = np.unique(b.word, return_inverse=True)
+        words, of = _distinct(b.word)
         owner = _owner(words, parts)
         order = np.argsort(owner, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -184,14 +198,27 @@ def _messages(records: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) ->
     """Each batch's pairs by partition, and its rows to one of them."""
     for number, b in _batches(records):
         out = [(number % parts, DOCS, number, pack(b.ids, b.null, b.held, b.text_of))]
-        known, of = np.unique(np.concatenate([b.context, b.word]), return_inverse=True)
-        texts, kinds, n = len(b.train), len(known), len(b.word)
+        known, of = _distinct(b.word)
+        begin = int(np.searchsorted(known, np.uint64(START)))  # a token's context is the token before it, or the start
+        if begin == len(known) or known[begin] != START:
+            known = np.insert(known, begin, START)
+            of += of >= begin
+        behind = np.empty_like(of)
+        behind[1:] = of[:-1]
+        behind[b.context == START] = begin
+        texts, kinds = len(b.train), len(known)
+        key = behind.astype(np.int64) * kinds
+        key += of
+        del behind, of
         if kinds * kinds * texts < 1 << 63:
-            key, times = np.unique((of[:n] * kinds + of[n:]) * texts + b.text, return_counts=True)
+            key *= texts
+            key += b.text
+            key, times = np.unique(key, return_counts=True)
             pair, text = key // texts, key % texts
         else:  # only where one batch is a very long text
-            both, times = np.unique(np.stack([of[:n] * kinds + of[n:], b.text]), axis=1, return_counts=True)
+            both, times = np.unique(np.stack([key, b.text]), axis=1, return_counts=True)
             pair, text = both
+        del key
         part = _part(known[pair // kinds], known[pair % kinds], hot, parts)
         order = np.argsort(part.astype(np.uint32), kind="stable")
         pair, text, times = pair[order], text[order], times[order]
@@ -235,8 +262,10 @@ def _partition(records: Iterator[pa.RecordBatch], hot: np.ndarray, hot_totals: n
         keys.append(np.repeat(c, follow) * len(words) + w[word_of])
         trained.append(np.add.reduceat((times.astype(np.int64) + 1) * train[text], np.concatenate([[0], np.cumsum(texts[:-1], dtype=np.int64)])))
     lengths = [len(k) for k in keys]
-    pairs, of = np.unique(np.concatenate(keys), return_inverse=True)
+    every = np.concatenate(keys)
     keys.clear()
+    pairs, of = _distinct(every)
+    del every
     have = np.bincount(of, weights=np.concatenate(trained), minlength=len(pairs)).astype(np.int64)
     trained.clear()
     c_of, w_of = pairs // len(words), pairs % len(words)
