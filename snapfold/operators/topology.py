@@ -61,9 +61,19 @@ def extract_links(neighbors: DataFrame, devices: DataFrame) -> DataFrame:
     return rows.groupBy("link_id").agg(last, F.min("snapshot_id").alias("first_snapshot")).select("link_id", *[F.col(f"l.{a}").alias(b) for a, b in names.items()], "first_snapshot", F.col("l.snapshot_id").alias("snapshot_id"))
 
 
+def linked(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, src, dst of each pair of nodes once, the lesser one first; no loops."""
+    return edges.filter("src <> dst").select(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def both_ways(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, src, dst of linked() pairs in both directions."""
+    return pairs.select(*keys, F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     """src, dst in both directions, each pair once."""
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    return both_ways(linked(edges))
 
 
 def adjacency_edges(source: DataFrame, devices: DataFrame, *, roles: Sequence[str] = (), sites: Sequence[str] = (), name_like: str | None = None, snapshot_id: str | None = None) -> DataFrame:
@@ -105,23 +115,31 @@ def nhop_subgraph(edges: DataFrame, center: str, hops: int) -> DataFrame:
 def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, node, root: the least node of each node's component, separately for each value of the keys.
 
-    Labels take the least label next to them, then that label's own label, so chains shorten by half a round. Rounds are
-    written to the shared folder, each deletes the one before, and the driver sees one count a round.
+    A round hooks each node to its least neighbour, follows the hooks to their ends, and goes on with the links between the
+    ends alone. So links are read whole once and then shrink, long chains fold in one round, and hooks are followed in tables
+    of nodes. Rounds are written to the shared folder, each deletes the one before; links to unknown nodes do not count.
     """
     stored, keys = Scratch(spark), list(keys)
-    pairs = stored.put(edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
-    last = stored.put(nodes.select(*keys, "node", F.col("node").alias("new")).distinct(), "labels")
-    while True:
-        labels = last.select(*keys, "node", F.col("new").alias("root"))
-        near = pairs.join(labels.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, [*keys, "node"], "left").withColumn("to", F.least("root", "near"))
-        jump = hooked.select(*keys, F.col("node").alias("to"), F.col("to").alias("further"))
-        now = stored.put(hooked.join(jump, [*keys, "to"], "left").select(*keys, "node", F.least("to", "further").alias("new"), (F.least("to", "further") != F.col("root")).alias("moved")), "labels")
-        stored.drop(last)
-        last = now
-        if now.filter("moved").isEmpty():
-            stored.drop(pairs)
-            return now.select(*keys, "node", F.col("new").alias("root"))
+    labels = stored.put(nodes.select(*keys, "node", F.col("node").alias("root")).distinct(), "labels")
+    renamed = lambda df, **names: df.select(*keys, *[F.col(a).alias(b) for a, b in names.items()])
+    for end in ("src", "dst"):
+        edges = edges.join(renamed(labels, node=end), [*keys, end], "left_semi")
+    pairs = stored.put(linked(edges, keys), "pairs")
+    while not pairs.isEmpty():
+        near = both_ways(pairs, keys).groupBy(*keys, F.col("src").alias("node")).agg(F.min("dst").alias("near"))
+        hooks, moving = stored.put(near.select(*keys, "node", F.least("node", "near").alias("root")), "hooks"), True
+        while moving:
+            ahead = hooks.join(renamed(hooks, node="root", root="further"), [*keys, "root"])
+            further = stored.put(ahead.select(*keys, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "hooks")
+            stored.drop(hooks)
+            hooks, moving = further, not further.filter("moved").isEmpty()
+        now = labels.join(renamed(hooks, node="root", root="end"), [*keys, "root"], "left").select(*keys, "node", F.coalesce("end", "root").alias("root"))
+        at = pairs.join(renamed(hooks, node="src", root="from"), [*keys, "src"]).join(renamed(hooks, node="dst", root="to"), [*keys, "dst"])
+        now, left = stored.put(now, "labels"), stored.put(linked(at.select(*keys, F.col("from").alias("src"), F.col("to").alias("dst")), keys), "pairs")
+        stored.drop(labels, pairs, hooks)
+        labels, pairs = now, left
+    stored.drop(pairs)
+    return labels
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -134,7 +152,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links
     stored = Scratch(spark)
     keyed = lambda df: df.withColumn("k", F.lit(0))
     known = nodes.select("node").distinct()
-    pairs = mirrored(edges).filter("src < dst")
+    pairs = stored.put(linked(edges), "pairs")
     labels = connected(spark, keyed(known), keyed(pairs), ["k"]).select("node", F.col("root").alias("comp"))
     sizes = stored.put(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
     gone = scenarios.select("scenario", F.col("device").alias("node")).distinct()
@@ -151,6 +169,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links
     if links is not None:
         left = left.join(cut, ["scenario", "src", "dst"], "left_anti")
     parts = connected(spark, left_nodes, left, ["scenario"]).groupBy("scenario", "root").agg(F.count(F.lit(1)).alias("size"))
+    stored.drop(pairs)
     new = parts.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("top"), F.count_if(F.col("size") == 1).alias("alone"))
 
     # Components by size: the largest untouched one is the first rank that the scenario doesn't touch.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network as net
-from ..operators import diff, policy, report, search, tables, text, topology, views
+from ..operators import diff, policy, report, search, stored, tables, text, topology, views
 from ..streaming import logs as streams
 from .fixtures import cte, model
 
@@ -291,12 +291,17 @@ def edge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.overlay(e, facts, _fact_sessions(spark, sf_dir))
 
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges, written once, for what reads them more than once: deriving them is a join of the lines with themselves."""
+    return stored.Scratch(spark).put(model(spark, sf_dir, "edges"), "edges")
+
+
 @query(cte("edges") + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), c AS (SELECT min(src) AS n FROM edges), r1 AS (SELECT n
         FROM c UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM c)), r2 AS (SELECT n FROM r1 UNION SELECT dst FROM both_ways WHERE src IN (SELECT n
         FROM r1)), r3 AS (SELECT n FROM r2 UNION SELECT dst FROM both_ways WHERE src IN (SELECT n FROM r2)) SELECT * FROM edges WHERE src IN (SELECT n FROM r3)
         AND dst IN (SELECT n FROM r3)""")
 def nhop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = model(spark, sf_dir, "edges")
+    e = _edges(spark, sf_dir)
     return topology.nhop_subgraph(e, e.agg(F.min("src")).first()[0] or "", 3)
 
 
@@ -315,7 +320,7 @@ _BLAST = """,
 @query("WITH RECURSIVE" + cte("edges")[4:] + _BLAST)
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two busiest devices removed, each in a scenario of its own, and all links of the third one, with what was before."""
-    e = model(spark, sf_dir, "edges")
+    e = _edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     busiest = [r["src"] for r in e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(3).collect()]
     gone = spark.createDataFrame([(h, h) for h in busiest[:2]], "scenario string, device string")

@@ -58,3 +58,35 @@ def test_blast_radius_of_components(spark):
     scenarios = spark.createDataFrame([("1", "b"), ("2", "y"), ("2", "d")], "scenario string, device string")
     got = topology.blast_radius(nodes, spark.createDataFrame(edges, "src string, dst string"), scenarios)
     assert {tuple(r) for r in got.select("scenario", "components", "largest", "isolated").collect()} == {("1", 5, 3, 3), ("2", 4, 3, 2)}
+
+
+def test_components_read_their_links_once(spark, monkeypatch):
+    """Chains, hubs and unknown nodes, with keys; every round after the first one has fewer links."""
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)]
+    comb = [(f"{'z' if i % 2 else 'd'}{i // 2:03}", f"{'d' if i % 2 else 'z'}{(i + 1) // 2:03}") for i in range(60)]
+    hub = [("zz", f"h{i}") for i in range(30)]
+    edges = [(k, a, b) for k in (1, 2) for a, b in chain + comb + hub if k == 1 or a != "c100"] + [(1, "c000", "unknown"), (1, "unknown", "h1"), (1, "h2", "h2")]
+    nodes = sorted({(k, n) for k, a, b in edges for n in (a, b) if n != "unknown"} | {(k, "alone") for k in (1, 2)})
+    sizes, put = [], topology.Scratch.put
+    monkeypatch.setattr(topology.Scratch, "put", lambda self, df, name: (out := put(self, df, name), sizes.append(out.count()) if name == "pairs" else None)[0])
+    got = topology.connected(spark, spark.createDataFrame(nodes, "k int, node string"), spark.createDataFrame(edges, "k int, src string, dst string"), ["k"])
+    rows = {(r.k, r.node): r.root for r in got.collect()}
+    want = {(k, n): min(c) for k in (1, 2) for c in parts_of([(a, b) for kk, a, b in edges if kk == k and "unknown" not in (a, b)], [n for kk, n in nodes if kk == k]) for n in c}
+    assert rows == want and len(sizes) > 1 and sizes[-1] == 0 and all(a > b for a, b in zip(sizes, sizes[1:]))
+
+
+def parts_of(edges, nodes):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    left, out = set(nodes), []
+    while left:
+        comp, queue = set(), deque([min(left)])
+        while queue:
+            n = queue.popleft()
+            if n not in comp:
+                comp.add(n)
+                queue.extend(near[n])
+        out.append(comp)
+        left -= comp
+    return out
