@@ -201,8 +201,9 @@ def bfs_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     stored = Scratch(spark)
     keyed = lambda df: df.withColumn("k", F.lit(0))
-    both = stored.put(mirrored(edges), "mirrored")
-    labels = connected(spark, keyed(nodes.select("node").distinct()), keyed(both), ["k"]).select("node", F.col("root").alias("comp"))
+    pairs = stored.put(linked(edges), "pairs")
+    both = both_ways(pairs)
+    labels = connected(spark, keyed(nodes.select("node").distinct()), keyed(pairs), ["k"]).select("node", F.col("root").alias("comp"))
     degree = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     roots = labels.join(degree, "node", "left").groupBy("comp").agg(F.min(F.struct(-F.coalesce("degree", F.lit(0)), F.col("node"))).getField("node").alias("node"))
     level = lambda df, depth: df.select("node", "root", F.lit(depth).alias("depth"), "slot")
@@ -214,6 +215,7 @@ def bfs_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         slots = number_rows(step.join(near, "node", "left_anti"), stored, ["root"], ["parent", "node"])
         front = stored.put(level(slots.withColumnRenamed("place", "slot"), len(levels)), "level")
         levels.append(front)
+    stored.drop(pairs)
     return stored.union(*levels)
 
 
