@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import ipv4_number
+from .stored import Scratch
+from .text import let
 
 
 def config_lines(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
@@ -15,6 +17,16 @@ def config_lines(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...]
     return raw.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def _groups(raw: DataFrame, text: str, keys: tuple[str, ...], pattern: str, n: int) -> DataFrame:
+    """keys, line_no, g of each line that the pattern matches whole: an array of its n groups, '' where one has no part.
+
+    A line is read once for all groups: the array comes out of a generator, so what is made of it doesn't match again.
+    """
+    lines = config_lines(raw, text, keys).filter(F.col("line").rlike(pattern))
+    cells = F.split(F.regexp_replace("line", pattern, "\x01".join(f"${i + 1}" for i in range(n))), "\x01")
+    return lines.select(*keys, "line_no", F.explode(F.array(cells)).alias("g"))
+
+
 def route_maps(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
     """keys, policy, action, seq, place, matches, sets: one row per stanza with its match and set lines in text order.
 
@@ -22,15 +34,18 @@ def route_maps(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] =
     stanzas of equal policy, action and number stay apart. One text is one row all along: nothing is shuffled.
     """
     head = r"^route-map (\S+) (permit|deny) (\d+)"
-    lines = F.split(text, "\n")
-    cut = raw.select(*keys, lines.alias("_lines")).withColumn("_tops", F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"^\s+\S"), i)), lambda i: i.isNotNull()))
 
-    def stanza(top: Column, j: Column) -> Column:
-        line = F.get("_lines", top)
-        end = F.coalesce(F.get("_tops", j + 1), F.size("_lines"))
-        return F.when(line.rlike(head), F.struct(top.alias("place"), line.alias("line"), F.slice("_lines", top + 2, F.greatest(end - top - 1, F.lit(0))).alias("body")))
+    def stanzas(lines: Column) -> Column:
+        tops = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"^\s+\S"), i)), lambda i: i.isNotNull())
+        return let(tops, lambda tops: F.array_compact(F.transform(tops, lambda top, j: stanza(lines, tops, top, j))))
 
-    each = cut.select(*keys, F.explode(F.array_compact(F.transform("_tops", stanza))).alias("s"))
+    def stanza(lines: Column, tops: Column, top: Column, j: Column) -> Column:
+        line = F.get(lines, top)
+        end = F.coalesce(F.get(tops, j + 1), F.size(lines))
+        return F.when(line.rlike(head), F.struct(top.alias("place"), line.alias("line"), F.slice(lines, top + 2, F.greatest(end - top - 1, F.lit(0))).alias("body")))
+
+    # The lines and their tops are worked out once a text, not once a line.
+    each = raw.select(*keys, F.explode(let(F.split(text, "\n"), stanzas)).alias("s"))
     part = lambda i: F.regexp_extract("s.line", head, i)
     of = lambda kind: F.transform(F.filter("s.body", lambda x: x.rlike(rf"^\s+{kind}\b")), lambda x: F.trim(x))
     return each.select(*keys, part(1).alias("policy"), part(2).alias("action"), part(3).try_cast("int").alias("seq"), F.col("s.place").alias("place"), of("match").alias("matches"), of("set").alias("sets"))
@@ -60,11 +75,12 @@ def prefix_lists(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...]
     up to le. Entries without a number come by their place in the text, behind none.
     """
     pattern = r"^\s*ip prefix-list (\S+)(?: seq (\d+))? (permit|deny) (\d+\.\d+\.\d+\.\d+)/(\d+)(?: ge (\d+))?(?: le (\d+))?\s*$"
-    lines = config_lines(raw, text, keys).filter(F.col("line").rlike(pattern))
-    part = lambda i: F.regexp_extract("line", pattern, i)
+    lines = _groups(raw, text, keys, pattern, 7)
+    part = lambda i: F.get("g", F.lit(i - 1))
     number = lambda i: part(i).try_cast("int")
     length, ge, le = number(5), number(6), number(7)
-    rows = lines.select(*keys, part(1).alias("list"), F.coalesce(number(2), F.col("line_no")).alias("seq"), F.col("line_no").alias("place"), part(3).alias("action"), ipv4_number(part(4)).alias("address"), length.alias("length"), F.coalesce(ge, length).alias("low"), F.coalesce(le, F.when(ge.isNotNull(), 32), length).alias("high"))
+    address = F.explode(F.array(ipv4_number(part(4)))).alias("address")  # worked out once
+    rows = lines.select(*keys, part(1).alias("list"), F.coalesce(number(2), F.col("line_no")).alias("seq"), F.col("line_no").alias("place"), part(3).alias("action"), address, length.alias("length"), F.coalesce(ge, length).alias("low"), F.coalesce(le, F.when(ge.isNotNull(), 32), length).alias("high"))
     sound = rows.filter("address is not null and length between 0 and 32")
     return sound.select(*keys, "list", "seq", "place", "action", _masked(F.col("address"), F.col("length")).alias("network"), "length", "low", "high")
 
@@ -72,8 +88,8 @@ def prefix_lists(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...]
 def as_path_lists(raw: DataFrame, text: str = "raw_output", keys: tuple[str, ...] = ("device_name",)) -> DataFrame:
     """keys, list, place, action, pattern: the entries of AS path lists; `_` in one stands for any end or separator."""
     pattern = r"^\s*ip as-path access-list (\S+) (permit|deny) (.+?)\s*$"
-    lines = config_lines(raw, text, keys).filter(F.col("line").rlike(pattern))
-    part = lambda i: F.regexp_extract("line", pattern, i)
+    lines = _groups(raw, text, keys, pattern, 3)
+    part = lambda i: F.get("g", F.lit(i - 1))
     return lines.select(*keys, part(1).alias("list"), F.col("line_no").alias("place"), part(2).alias("action"), F.regexp_replace(part(3), "_", "(?:^|[ ,{}()]|\\$)").alias("pattern"))
 
 
@@ -88,25 +104,34 @@ def resolve_matches(requests: DataFrame, clauses: DataFrame, prefixes: DataFrame
     requests: request, device, policy, prefix and, for AS path lists, as_path ('65001 65002'); clauses as for policy_walk();
     prefixes and paths: the lists of `device`. A line names one list or more and holds if one of them permits; in a list the
     first entry that takes the route decides, and where none does, or the list is not there, it does not permit. Prefixes
-    meet entries by equality of their leading bits, at most 33 of them, so no request is compared with a whole list.
+    meet entries by equality of their leading bits, for the lengths that their list has (33 at most), so no request is
+    compared with a whole list. What is asked, the prefix lists and the truth are written once, as all are read again.
     """
+    stored = Scratch(requests.sparkSession)
     said = clauses.select("device", "policy", F.explode(F.array_distinct("matches")).alias("condition"))
     route = ["request", "device", "prefix", *(["as_path"] if paths is not None else [])]
-    asked = requests.select(*route, "policy").join(said, ["device", "policy"]).drop("policy")
     kinds = {"prefix": r"^match ip address prefix-list (.+)$", "path": r"^match as-path (.+)$"}
-    named = lambda kind: asked.filter(F.col("condition").rlike(kinds[kind])).withColumn("list", F.explode(F.split(F.trim(F.regexp_extract("condition", kinds[kind], 1)), r"\s+")))
+    kinds = kinds if paths is not None else {"prefix": kinds["prefix"]}
+    names = F.coalesce(*[F.when(F.col("condition").rlike(line), F.struct(F.lit(kind).alias("kind"), F.split(F.trim(F.regexp_extract("condition", line, 1)), r"\s+").alias("lists"))) for kind, line in kinds.items()])
+    told = said.withColumn("names", names).filter("names is not null").select("device", "policy", "condition", "names.kind", F.explode("names.lists").alias("list"))
+    asked = stored.put(requests.select(*route, "policy").join(told, ["device", "policy"]).drop("policy"), "asked")
     decided = lambda df, first: df.groupBy("request", "condition", "list").agg(F.min(F.struct(*first, "action"))["action"].alias("action"))
 
-    mine = named("prefix").withColumns({"address": ipv4_number(F.split_part("prefix", F.lit("/"), F.lit(1))).cast("long"), "bits": F.split_part("prefix", F.lit("/"), F.lit(2)).try_cast("int")})
-    mine = mine.filter("address is not null and bits between 0 and 32").withColumn("length", F.explode(F.sequence(F.lit(0), F.col("bits"))))
-    met = mine.withColumn("network", _masked(F.col("address"), F.col("length"))).join(prefixes, ["device", "list", "length", "network"]).filter("bits between low and high")
+    entries = stored.put(prefixes, "prefix-lists")
+    lengths = entries.groupBy("device", "list").agg(F.collect_set("length").alias("lengths"))  # 33 at most
+    mine = asked.filter("kind = 'prefix'").withColumns({"address": ipv4_number(F.split_part("prefix", F.lit("/"), F.lit(1))).cast("long"), "bits": F.split_part("prefix", F.lit("/"), F.lit(2)).try_cast("int")})
+    mine = mine.filter("address is not null and bits between 0 and 32").join(lengths, ["device", "list"])
+    mine = mine.withColumn("length", F.explode(F.filter("lengths", lambda n: n <= F.col("bits"))))
+    met = mine.withColumn("network", _masked(F.col("address"), F.col("length"))).join(entries, ["device", "list", "length", "network"]).filter("bits between low and high")
     permits = [decided(met, ["seq", "place"])]
     if paths is not None:
-        met = named("path").join(paths, ["device", "list"]).filter(F.rlike(F.coalesce("as_path", F.lit("")), F.col("pattern")))
+        met = asked.filter("kind = 'path'").join(paths, ["device", "list"]).filter(F.rlike(F.coalesce("as_path", F.lit("")), F.col("pattern")))
         permits.append(decided(met, ["place"]))
-    held = reduce(DataFrame.unionByName, permits).groupBy("request", "condition").agg(F.max(F.col("action") == "permit").alias("holds"))
-    every = reduce(DataFrame.unionByName, [named(k).select("request", "condition") for k in (kinds if paths is not None else ["prefix"])]).distinct()
-    return every.join(held, ["request", "condition"], "left").select("request", "condition", F.coalesce("holds", F.lit(False)).alias("holds"))
+    held = [p.select("request", "condition", (F.col("action") == "permit").alias("holds")) for p in permits]
+    every = reduce(DataFrame.unionByName, held, asked.select("request", "condition", F.lit(False).alias("holds")))
+    truth = stored.put(every.groupBy("request", "condition").agg(F.max("holds").alias("holds")), "truth")
+    stored.drop(asked, entries)
+    return truth
 
 
 def policy_walk(clauses: DataFrame, requests: DataFrame, truth: DataFrame) -> DataFrame:

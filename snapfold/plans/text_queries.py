@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import diff, learned, policy, text, textfsm
+from ..operators import diff, learned, policy, stored, text, textfsm
 from .fixtures import cte, model
 from .queries import query
 
@@ -145,6 +145,6 @@ def policy_of_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("device") % 5 == 1, "64513").otherwise(path)
     asked = raw.select(F.col("device").alias("request"), "device", F.lit("PX").alias("policy"), prefix.alias("prefix"), path.alias("as_path"))
     keys = ("device",)
-    clauses = policy.route_maps(raw, keys=keys).filter("policy = 'PX'")
+    clauses = stored.Scratch(spark).put(policy.route_maps(raw, keys=keys).filter("policy = 'PX'"), "clauses")
     truth = policy.resolve_matches(asked, clauses, policy.prefix_lists(raw, keys=keys), policy.as_path_lists(raw, keys=keys))
     return policy.policy_walk(clauses, asked, truth).select(F.col("request").alias("k"), "seq", "outcome")
