@@ -99,26 +99,21 @@ def rollout_plan(devices: DataFrame, model_like: str) -> DataFrame:
     return rows.select("hostname", "role", "stage", place.alias("place"))
 
 
-#: Subnets meet addresses on blocks of this many leading bits, and wider ones on the first so many of an address.
-BLOCK_BITS = (16, 8, 0)
-
-
 def plan_check(claims: DataFrame, interfaces: DataFrame) -> DataFrame:
     """claims (claim, device, subnet and, if given, interface) with what speaks against them: one row for each claim.
 
     device_known; in_use: addresses inside the claimed subnet; interface_known and interface_address: the claimed interface of
-    the device and the address that it has already. Subnets of any width are met: each on the longest of BLOCK_BITS that it
-    has. Distinct addresses are counted by block before a subnet wider than its block takes them as a whole.
+    the device and the address that it has already. Subnets of any width are met: distinct addresses are counted by network
+    for each length that is claimed, 33 at most, and a claim takes the count of its own network, so no addresses are compared.
     """
-    length = F.split_part("subnet", F.lit("/"), F.lit(2)).cast("int")
-    size = F.pow(F.lit(2), 32 - length).cast("long")
-    low = ipv4_number(F.col("subnet"))
-    bits = F.coalesce(*[F.when(length >= b, F.lit(b)) for b in BLOCK_BITS])
-    key = lambda address, b: F.floor(address / F.pow(F.lit(2), 32 - b)).cast("long")
-    asked = claims.withColumn("low", low - low % size).withColumn("high", F.col("low") + size - 1).withColumn("bits", bits).withColumn("block", key(F.col("low"), bits))
+    length = F.split_part("subnet", F.lit("/"), F.lit(2)).try_cast("int")
+    network = lambda address: F.call_function("shiftright", address, 32 - F.col("length"))
+    asked = claims.withColumn("length", F.when(length.between(0, 32), length))
+    nets = asked.select("claim", "length", network(ipv4_number(F.col("subnet"))).alias("network")).filter("network is not null")
+    lengths = nets.select("length").distinct()  # 33 rows at most
     used = interfaces.select(ipv4_number(F.col("ip_address")).alias("address")).filter("address is not null").distinct()
-    used = used.withColumn("bits", F.explode(F.array(*map(F.lit, BLOCK_BITS)))).withColumn("block", key(F.col("address"), F.col("bits")))
-    hits = asked.join(used, ["bits", "block"]).filter("address between low and high").groupBy("claim").agg(F.count(F.lit(1)).alias("in_use"))
+    counts = used.crossJoin(F.broadcast(lengths)).groupBy("length", network(F.col("address")).alias("network")).agg(F.count(F.lit(1)).alias("n"))
+    hits = nets.join(counts, ["length", "network"]).groupBy("claim").agg(F.sum("n").alias("in_use"))
     known = interfaces.select(F.col("device_name").alias("device")).distinct().withColumn("known", F.lit(True))
     out = asked.join(hits, "claim", "left").join(known, "device", "left")
     columns = ["claim", "device", F.coalesce("known", F.lit(False)).alias("device_known"), F.coalesce("in_use", F.lit(0)).alias("in_use")]
