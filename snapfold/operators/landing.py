@@ -177,10 +177,10 @@ def land_snapshot(
     every = rows.select("device_name", "snapshot_id", "platform", *[F.lit(None).cast("string").alias(c) for c in ("model", "os_version", "pid", "ip_address")]).distinct()
     devices = build_devices(facts.unionByName(every), inventory)
     devices = stored.put(devices if existing_devices is None else merge_devices(existing_devices, devices), "devices")
-    near = neighbor_rows(rows, "%cdp neighbors%", "cdp").unionByName(neighbor_rows(rows, "%lldp neighbors%", "lldp"))
+    near = stored.put(neighbor_rows(rows, "%cdp neighbors%", "cdp").unionByName(neighbor_rows(rows, "%lldp neighbors%", "lldp")), "near")
     have = near.select(F.col("device").alias("device_name"))
     text = [raw_neighbors(rows.filter(F.col("command").ilike(f"%{k} neighbors%")), k, have) for k in ("cdp", "lldp")]
-    links = extract_links(near.unionByName(text[0]).unionByName(text[1]), devices)
+    links = extract_links(stored.put(near.unionByName(text[0]).unionByName(text[1]), "neighbors"), devices)  # names and rows of the same texts
     links = stored.put(links if existing_links is None else merge_sightings(existing_links, links), "links")
     reasons = report.unparsed(landed, commands)
     out = {"outputs": table, "parsed": rows.filter("parsed_data is not null"), "devices": devices, "links": links, "refused": refused, "redaction": redaction, "totals": report.totals(landed), "reasons": reasons}

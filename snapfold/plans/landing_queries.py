@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network as net
-from ..operators import catalog, landing, policy, topology, views
+from ..operators import catalog, landing, policy, stored, topology, views
 from .fixtures import cte, model
 from .queries import ORACLES, query
 
@@ -105,7 +105,7 @@ def landed_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["link_dedup"])
 def landed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that a landing reads from the text of neighbour listings, laid over those of earlier snapshots."""
-    n = model(spark, sf_dir, "neighbors")
+    n = stored.Scratch(spark).put(model(spark, sf_dir, "neighbors"), "neighbors")  # a join of the lines with themselves, read twice
     devices = model(spark, sf_dir, "devices")
     early = n.filter("snapshot_id < 'snap_1995'")
     entry = F.concat(F.lit("Device ID: "), "peer", F.lit("\nEntry address(es):\nInterface: "), "local_if", F.lit(",  Port ID (outgoing port): "), "peer_if")
