@@ -36,7 +36,7 @@ def _port_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("\n  status "), F.when(F.col("l_partkey") % 2 == 0, "up").otherwise("down")))
     second = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("\n  member "), F.col("l_suppkey"))).otherwise("")
     port = F.concat(F.lit("Port Gi0/"), "l_linenumber", status, F.lit("\n  member "), "l_partkey", second)
-    ports = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", port.alias("port")))).alias("ports"))  # the items of one order
+    ports = x.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", port.alias("port")))).alias("ports"))  # the items of one order
     end = F.when(F.col("l_orderkey") % 3 == 0, "\nSummary\n checked up\n checked maybe").otherwise("")
     router = F.concat(F.lit("noise\nRouter r"), F.col("l_orderkey") % 97, F.lit("\n"))
     return ports.select("l_orderkey", F.concat(router, F.array_join("ports.port", "\n"), end).alias("raw_output"))

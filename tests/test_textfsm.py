@@ -1,6 +1,7 @@
 """State templates: filldown, required, lists, actions, states; rows worked out by hand."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,21 @@ def test_parse_outputs_with_states(spark):
     templates = spark.createDataFrame([("p", "show ports", 0, None, None, textfsm.template_of(PORTS)), ("p", "show ports", 1, "^port (\\S+)$", ["port"], None)], f"platform string, command string, tier int, pattern string, fields array<string>, fsm {textfsm.TEMPLATE}")
     got = {r.device_name: (r.reason, r.records) for r in text.parse_outputs(raw, templates).collect()}
     assert got == {"d1": ("ok", '[{"router":"r1","port":"a","status":"up","members":[]}]'), "d2": ("parser_error", None), "d3": ("ok", '[{"port":"z"}]'), "d4": ("no_template", None), "d5": ("no_rows", None)}
+
+
+def test_long_text_does_not_copy_the_records_so_far(spark):
+    n = 4000
+    body = F.concat(F.lit("Router r1\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Port "), i.cast("string"), F.lit("\n  status up\n  member 1"))), "\n"))
+    df = spark.createDataFrame([(textfsm.template_of(PORTS),)], f"fsm {textfsm.TEMPLATE}").select(textfsm.records(body, F.col("fsm")).alias("r"))
+    start = time.time()
+    got = df.first().r.records
+    assert time.time() - start < 30
+    assert [json.loads(x) for x in got] == [{"router": "r1", "port": str(i), "status": "up", "members": ["1"]} for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize(("line", "a"), [("x5.", "5"), ("x\u0663.", None), ("x5\u2028", "5"), ("x5\u00e9", None), ("x5\x1f\"\\", "5")])
+def test_patterns_keep_the_dialect_of_the_engine(spark, line, a):
+    plain = "Value A (\\d)\nValue B (.*)\n\nStart\n  ^x${A}\\b${B}$$\n"
+    rest = line[2:].rstrip("\u2028")
+    assert run(spark, plain, line) == (False, [] if a is None else [{"a": a, "b": rest}])
+    assert spark.range(1).select(F.regexp_extract(F.lit(line), r"^x(\d)\b(.*)$", 2)).first()[0] == ("" if a is None else rest)
