@@ -89,3 +89,8 @@ def test_patterns_keep_the_dialect_of_the_engine(spark, line, a):
     rest = line[2:].rstrip("\u2028")
     assert run(spark, plain, line) == (False, [] if a is None else [{"a": a, "b": rest}])
     assert spark.range(1).select(F.regexp_extract(F.lit(line), r"^x(\d)\b(.*)$", 2)).first()[0] == ("" if a is None else rest)
+
+
+@pytest.mark.parametrize(("rule", "line", "a"), [("^a|x${A}", "bbx7", "7"), ("^(a|b)${A}", "b7", "7"), ("^(a|b)${A}", "xb7", None), ("^\\(|${A}", "b7", "7"), ("^[|(]${A}", "|7", "7"), ("^[|(]${A}", "b|7", None)])
+def test_rules_with_an_alternative_inside_a_line(spark, rule, line, a):
+    assert run(spark, f"Value Required A (\\d)\n\nStart\n  {rule} -> Record\n", line) == (False, [] if a is None else [{"a": a}])
