@@ -4,9 +4,12 @@ import json
 import time
 
 import pytest
+from compare import same
 from pyspark.sql import functions as F
 
 from snapfold.operators import text, textfsm
+from snapfold.plans import text_queries
+from snapfold.plans.queries import ORACLES
 
 PORTS = r"""
 Value Filldown ROUTER (\S+)
@@ -94,3 +97,7 @@ def test_patterns_keep_the_dialect_of_the_engine(spark, line, a):
 @pytest.mark.parametrize(("rule", "line", "a"), [("^a|x${A}", "bbx7", "7"), ("^(a|b)${A}", "b7", "7"), ("^(a|b)${A}", "xb7", None), ("^\\(|${A}", "b7", "7"), ("^[|(]${A}", "|7", "7"), ("^[|(]${A}", "b|7", None)])
 def test_rules_with_an_alternative_inside_a_line(spark, rule, line, a):
     assert run(spark, f"Value Required A (\\d)\n\nStart\n  {rule} -> Record\n", line) == (False, [] if a is None else [{"a": a}])
+
+
+def test_query_against_duckdb(spark):
+    same(spark, text_queries.state_templates, ORACLES["state_templates"])
