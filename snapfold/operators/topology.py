@@ -112,64 +112,95 @@ def nhop_subgraph(edges: DataFrame, center: str, hops: int) -> DataFrame:
     return edges.filter(F.lit(hops > 0)).join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame, keys: Sequence[str], first: DataFrame | None = None) -> DataFrame:
     """keys, node, root: the least node of each node's component, separately for each value of the keys.
 
     A round hooks each node to its least neighbour, follows the hooks to their ends, and goes on with the links between the
     ends alone. So links are read whole once and then shrink, long chains fold in one round, and hooks are followed in tables
     of nodes. Rounds are written to the shared folder, each deletes the one before; links to unknown nodes do not count.
+    first: links of edges whose components are found before, so that the rounds over all edges begin with links between those.
     """
     stored, keys = Scratch(spark), list(keys)
     labels = stored.put(nodes.select(*keys, "node", F.col("node").alias("root")).distinct(), "labels")
     renamed = lambda df, **names: df.select(*keys, *[F.col(a).alias(b) for a, b in names.items()])
-    for end in ("src", "dst"):
-        edges = edges.join(renamed(labels, node=end), [*keys, end], "left_semi")
-    pairs = stored.put(linked(edges, keys), "pairs")
-    while not pairs.isEmpty():
-        near = both_ways(pairs, keys).groupBy(*keys, F.col("src").alias("node")).agg(F.min("dst").alias("near"))
-        hooks, moving = stored.put(near.select(*keys, "node", F.least("node", "near").alias("root")), "hooks"), True
-        while moving:
-            ahead = hooks.join(renamed(hooks, node="root", root="further"), [*keys, "root"])
-            further = stored.put(ahead.select(*keys, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "hooks")
-            stored.drop(hooks)
-            hooks, moving = further, not further.filter("moved").isEmpty()
-        now = labels.join(renamed(hooks, node="root", root="end"), [*keys, "root"], "left").select(*keys, "node", F.coalesce("end", "root").alias("root"))
-        at = pairs.join(renamed(hooks, node="src", root="from"), [*keys, "src"]).join(renamed(hooks, node="dst", root="to"), [*keys, "dst"])
-        now, left = stored.put(now, "labels"), stored.put(linked(at.select(*keys, F.col("from").alias("src"), F.col("to").alias("dst")), keys), "pairs")
-        stored.drop(labels, pairs, hooks)
-        labels, pairs = now, left
-    stored.drop(pairs)
+
+    def between(links: DataFrame, roots: DataFrame) -> DataFrame:
+        at = links.join(renamed(roots, node="src", root="from"), [*keys, "src"]).join(renamed(roots, node="dst", root="to"), [*keys, "dst"])
+        return linked(at.select(*keys, F.col("from").alias("src"), F.col("to").alias("dst")), keys)
+
+    for links in (edges,) if first is None else (first, edges):
+        pairs = stored.put(between(links, labels), "pairs")
+        while not pairs.isEmpty():
+            near = both_ways(pairs, keys).groupBy(*keys, F.col("src").alias("node")).agg(F.min("dst").alias("near"))
+            hooks, moving = stored.put(near.select(*keys, "node", F.least("node", "near").alias("root")), "hooks"), True
+            while moving:
+                ahead = hooks.join(renamed(hooks, node="root", root="further"), [*keys, "root"])
+                further = stored.put(ahead.select(*keys, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "hooks")
+                stored.drop(hooks)
+                hooks, moving = further, not further.filter("moved").isEmpty()
+            now = labels.join(renamed(hooks, node="root", root="end"), [*keys, "root"], "left").select(*keys, "node", F.coalesce("end", "root").alias("root"))
+            now, left = stored.put(now, "labels"), stored.put(between(pairs, hooks), "pairs")
+            stored.drop(labels, pairs, hooks)
+            labels, pairs = now, left
+        stored.drop(pairs)
     return labels
 
 
+#: Links a node from which on components are found by a part of the links first.
+MANY_LINKS = 16
+
+
+def first_links(pairs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """A part of the links to find components by before all of them are looked at; None where there are few for each node.
+
+    A link is taken by a hash of its ends, with a share of sqrt(nodes / links). Whatever the graph, and whatever a scenario
+    removes of it, no more than nodes / share links are expected between what the part leaves asunder (Karger, Klein, Tarjan):
+    both are the root of nodes * links. The part says where to begin only; all links are looked at after it.
+    """
+    n, m = nodes.count(), pairs.count()
+    if m <= MANY_LINKS * n:
+        return None
+    return pairs.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 30)) < int((n / m) ** 0.5 * (1 << 30)))
+
+
 def blast_radius(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """For each scenario that removes devices and links: components, largest one and isolated devices of what is left, and before.
 
     scenarios: scenario, device; links: scenario, src, dst. The graph is labelled once. A scenario takes up again only the
-    components that it touches; all others count as they are. So work is what scenarios touch, not scenarios x graph.
+    components that it touches; all others count as they are. Of a touched component with many links a part is taken up
+    again (first_links); of the others, those at nodes outside of the largest piece which that part leaves, as no others can
+    join pieces. So work is what scenarios touch and part, not scenarios x graph, and no task holds a component's links.
     """
     spark = nodes.sparkSession
     stored = Scratch(spark)
     keyed = lambda df: df.withColumn("k", F.lit(0))
-    known = nodes.select("node").distinct()
+    known = stored.put(nodes.select("node").distinct(), "known")
     pairs = stored.put(linked(edges), "pairs")
-    labels = connected(spark, keyed(known), keyed(pairs), ["k"]).select("node", F.col("root").alias("comp"))
+    part = first_links(pairs, known)
+    first = pairs if part is None else stored.put(part, "first")
+    labels = connected(spark, keyed(known), keyed(pairs), ["k"], None if part is None else keyed(first)).select("node", F.col("root").alias("comp"))
     sizes = stored.put(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    gone = scenarios.select("scenario", F.col("device").alias("node")).distinct()
-    hit = gone.select("scenario", "node")
+    gone = stored.put(scenarios.select("scenario", F.col("device").alias("node")).distinct(), "gone")
+    hit, uncut = gone, lambda df: df
     if links is not None:
-        cut = links.select("scenario", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        hit = hit.union(cut.select("scenario", "src"))
-    touched = hit.join(labels, "node").select("scenario", "comp").distinct()
-    left_nodes = touched.join(labels, "comp").select("scenario", "node").join(gone, ["scenario", "node"], "left_anti")
-    inside = pairs.join(labels.withColumnRenamed("node", "src"), "src")
-    left = touched.join(inside, "comp").select("scenario", "src", "dst")
-    for end in ("src", "dst"):
-        left = left.join(gone.withColumnRenamed("node", end), ["scenario", end], "left_anti")
-    if links is not None:
-        left = left.join(cut, ["scenario", "src", "dst"], "left_anti")
-    parts = connected(spark, left_nodes, left, ["scenario"]).groupBy("scenario", "root").agg(F.count(F.lit(1)).alias("size"))
-    stored.drop(pairs)
+        cut = stored.put(links.select("scenario", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "cut")
+        hit, uncut = gone.union(cut.select("scenario", "src")), lambda df: df.join(cut, ["scenario", "src", "dst"], "left_anti")
+    touched = stored.put(hit.join(labels, "node").select("scenario", "comp").distinct(), "touched")
+    left_nodes = stored.put(few(touched).join(labels, "comp").select("scenario", "node").join(gone, ["scenario", "node"], "left_anti"), "left")
+    left = uncut(first.join(left_nodes.withColumnRenamed("node", "src"), "src").select("scenario", "src", "dst"))
+    pieces = connected(spark, left_nodes, left, ["scenario"])
+    parts = pieces.groupBy("scenario", "root").agg(F.count(F.lit(1)).alias("size"))
+    if part is not None:
+        parts = stored.put(parts.join(labels.withColumnRenamed("node", "root"), "root"), "pieces")
+        main = stored.put(parts.groupBy("scenario", "comp").agg(F.max(F.struct("size", "root")).getField("root").alias("root")), "main")
+        minor = stored.put(pieces.join(main, ["scenario", "root"], "left_anti"), "minor")
+        at = lambda end, other: pairs.join(minor.withColumnRenamed("node", end), end).select("scenario", "root", "src", "dst", F.col(other).alias("node"))
+        met = uncut(at("src", "dst").union(at("dst", "src"))).join(pieces.withColumnRenamed("root", "to"), ["scenario", "node"])
+        whole = connected(spark, parts.select("scenario", F.col("root").alias("node")), met.select("scenario", F.col("root").alias("src"), F.col("to").alias("dst")), ["scenario"])
+        whole = whole.select("scenario", F.col("node").alias("root"), F.col("root").alias("whole"))
+        parts = parts.join(whole, ["scenario", "root"]).groupBy("scenario", "whole").agg(F.sum("size").alias("size"))
+        stored.drop(first, main, minor)
+    stored.drop(known, pairs, left_nodes)
     new = parts.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("top"), F.count_if(F.col("size") == 1).alias("alone"))
 
     # Components by size: the largest untouched one is the first rank that the scenario doesn't touch.

@@ -1,9 +1,12 @@
 """The graph operators over links as they are: all of them, several components, long chains; brute force."""
 
+import random
 from collections import defaultdict, deque
+from itertools import combinations
 
 import pandas as pd
 from compare import SF
+from pyspark.sql import functions as F
 
 from snapfold.operators import topology
 from snapfold.plans.fixtures import model
@@ -90,3 +93,45 @@ def parts_of(edges, nodes):
         out.append(comp)
         left -= comp
     return out
+
+
+def brute_radius(nodes, edges, down, cut):
+    before, out = parts_of(edges, nodes), set()
+    for s in {s for s, *_ in down + cut}:
+        gone, lost = {d for k, d in down if k == s}, {frozenset(e) for k, *e in cut if k == s}
+        after = parts_of([e for e in edges if frozenset(e) not in lost and not gone & set(e)], [n for n in nodes if n not in gone])
+        out.add((s, len(after), max(map(len, after)), sum(len(c) == 1 for c in after), len(before), max(map(len, before))))
+    return out
+
+
+def radius(spark, nodes, edges, down, cut):
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    out = topology.blast_radius(frame([(n,) for n in nodes], "node string"), frame(edges, "src string, dst string"), frame(down, "scenario string, device string"), frame(cut, "scenario string, src string, dst string"))
+    return {tuple(r) for r in out.collect()}
+
+
+def test_blast_radius_takes_up_a_part_of_many_links(spark, monkeypatch):
+    """Three dense blobs in one component, joined by a node, by one link and with a tail; scenarios do not lay out all links."""
+    rnd = random.Random(5)
+    blobs = [[f"{b}{i:02}" for i in range(60)] for b in "abc"]
+    edges = [e for blob in blobs for e in combinations(blob, 2) if rnd.random() < 0.9]
+    edges += [("x", "a00"), ("x", "a01"), ("b00", "x"), ("b05", "c05"), ("c09", "t0"), ("t0", "t1"), ("t1", "t2"), ("o", "p"), ("p", "o"), ("q", "q")]
+    nodes = sorted({n for e in edges for n in e})
+    down = [("node", "x"), ("tail", "c09"), ("half", "b05"), *[("half", n) for n in blobs[0][:50]], ("unknown", "nobody"), ("mixed", "t1")]
+    cut = [("link", "c05", "b05"), ("mixed", "b05", "c05"), ("mixed", "b00", "x"), *[("all of one", a, b) for a, b in edges if "c30" in (a, b)], ("pair", "o", "p")]
+    sizes, put = [], topology.Scratch.put
+    monkeypatch.setattr(topology.Scratch, "put", lambda self, df, name: (out := put(self, df, name), sizes.append(out.count()) if "scenario" in df.columns else None)[0])
+    assert radius(spark, nodes, edges, down, cut) == brute_radius(nodes, edges, down, cut)
+    assert max(sizes) < 2 * len(edges)  # six scenarios touch nearly all of them
+    assert len(edges) > topology.MANY_LINKS * len(nodes)
+
+
+def test_blast_radius_with_any_first_links(spark, monkeypatch):
+    """What is found first says where to begin only: no links and some of them give the same."""
+    rnd = random.Random(8)
+    nodes = [f"n{i:02}" for i in range(40)]
+    edges = sorted({tuple(sorted(rnd.sample(nodes, 2))) for _ in range(45)})
+    down, cut = [("1", nodes[0]), ("1", nodes[9]), ("2", nodes[3])], [("2", *edges[5]), ("3", *edges[7]), ("3", *edges[8])]
+    for share in (0, 1):
+        monkeypatch.setattr(topology, "first_links", lambda pairs, nodes, share=share: pairs.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(2)) < share))
+        assert radius(spark, nodes, edges, down, cut) == brute_radius(nodes, edges, down, cut), share
